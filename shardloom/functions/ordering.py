@@ -108,3 +108,35 @@ def last_rows(df: DataFrame, group: Sequence[str], order: str, k: int, tiebreak:
         .where(F.col("rank_desc") <= k)
         .drop("__salt")
     )
+
+
+def last_before(
+    df: DataFrame,
+    order: Sequence[str],
+    bucket: Column,
+    value: Column,
+    group: Sequence[str] = (),
+    name: str = "previous",
+    inclusive: bool = False,
+) -> DataFrame:
+    """Add ``name`` = the latest non-null ``value`` ahead of each row in ``order`` (or at it, if ``inclusive``).
+
+    Like ``lag`` / ``last(ignorenulls)`` over the group, but a hot group is spread over its buckets: each
+    bucket's last value is carried forward over the few bucket rows, and only rows of one bucket are sorted.
+    """
+    keys = [*group, "__bucket"]
+    rows = df.withColumn("__bucket", bucket).withColumn("__value", value)
+    ahead = Window.partitionBy(*group).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.when(F.col("__value").isNotNull(), F.struct(*order))
+    carried = (
+        rows.groupBy(*keys)
+        .agg(F.max_by("__value", at).alias("__last"))
+        .select(*keys, F.last("__last", ignorenulls=True).over(ahead).alias("__carry"))
+    )
+    end = Window.currentRow if inclusive else -1
+    inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
+    return (
+        rows.join(carried, keys)
+        .withColumn(name, F.coalesce(F.last("__value", ignorenulls=True).over(inside), F.col("__carry")))
+        .drop("__bucket", "__value", "__carry")
+    )
