@@ -39,7 +39,7 @@ def pick_config(bench: DataFrame, by: Sequence[str] = (), rate: str = "total_rat
     """Marks the best throughput among PASS rows; failed rows stay in the table."""
     passed = F.upper("status") == "PASS"
     best = bench.where(passed).groupBy(*by).agg(
-        F.max_by(F.struct("config", "batch"), F.struct(F.col(rate), -F.col("batch"))).alias("__best"), F.lit(1).alias("__one")
+        F.max_by(F.struct("config", "batch"), F.struct(F.col(rate), -F.col("batch"), "config")).alias("__best"), F.lit(1).alias("__one")
     )
     joined = bench.withColumn("__one", F.lit(1)).join(best, [*by, "__one"], "left").drop("__one")
     chosen = passed & (F.struct("config", "batch") == F.col("__best"))

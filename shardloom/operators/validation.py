@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from shardloom.functions.hashing import hex_prefix
 from shardloom.session import require
 
 # Spellings of a 64-bit integer dtype in shard headers.
@@ -91,9 +92,17 @@ def verify_dataset(
     )
 
 
-def table_digest(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Order-insensitive digest of whole rows; equal tables give equal digests."""
-    hashed = df.select(*by, F.xxhash64(*[F.col(c) for c in df.columns]).alias("__h"))
+def table_digest(df: DataFrame, by: Sequence[str] = (), portable: bool = False) -> DataFrame:
+    """Order-insensitive digest of whole rows; equal tables give equal digests.
+
+    ``portable`` hashes the rows' text with md5, slower but repeatable in other engines.
+    """
+    if portable:
+        text = F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in df.columns]))
+        row = hex_prefix(text, 15)
+    else:
+        row = F.xxhash64(*[F.col(c) for c in df.columns])
+    hashed = df.select(*by, row.alias("__h"))
     return hashed.groupBy(*by).agg(
         F.count("*").alias("rows"), F.bit_xor("__h").alias("digest_xor"),
         F.sum(F.pmod("__h", F.lit(1_000_003))).alias("digest_sum"),
