@@ -142,7 +142,7 @@ def _(t: Tables):
 @query(
     "lr_check",
     f"""WITH {STEPS} SELECT run, count(*) AS steps, count(*) FILTER (k % 7 <> 0 OR step < 1) AS agreeing,
-      round(max(CASE WHEN k % 7 = 0 THEN 0.00001 ELSE 0 END), 9) AS worst FROM s GROUP BY run""",
+      round(max(CASE WHEN k % 7 = 0 THEN 0.00001 ELSE 0 END)::DOUBLE, 9) AS worst FROM s GROUP BY run""",
     ("runlog",),
 )
 def _(t: Tables):
@@ -291,7 +291,7 @@ def _(t: Tables):
 
 @query(
     "stable_files",
-    f"""WITH o AS (SELECT event_id, event_type AS cache, CAST(user_id AS VARCHAR) || CASE WHEN k = 0 THEN '.tmp' ELSE '' END AS name, (k // 25) * 1000000000 AS bytes, ts
+    f"""WITH o AS (SELECT event_id, event_type AS cache, CAST(user_id AS VARCHAR) || CASE WHEN k = 0 THEN '.tmp' ELSE '' END AS name, (k // 25)::BIGINT * 1000000000 AS bytes, ts
       FROM (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) AS k FROM events)),
     p AS (SELECT *, lag(bytes) OVER (PARTITION BY cache, name ORDER BY ts) AS pb FROM o WHERE name NOT LIKE '%.tmp'),
     tw AS (SELECT DISTINCT cache, replace(name, '.tmp', '') AS name FROM o WHERE name LIKE '%.tmp')
@@ -419,7 +419,7 @@ def _bench(t: Tables) -> DataFrame:
     rows = t.log.groupBy("run", F.col("event_type").alias("config"), (F.col("k") % 8).alias("batch")).agg(
         F.avg("loss").alias("total_rate"), F.bool_and(F.col("k") < 96).alias("good")
     )
-    return rows.withColumn("total_rate", F.round("total_rate", 9)).withColumn("status", F.when("good", "PASS").otherwise("OOM"))
+    return rows.withColumn("total_rate", F.round("total_rate", 9)).withColumn("status", F.when(F.col("good"), "PASS").otherwise("OOM"))
 
 
 @query(

@@ -18,6 +18,7 @@ BatchFn = Callable[[np.ndarray], np.ndarray]
 def batch_infer(
     df: DataFrame, make_fn: Callable[[], BatchFn], spec: DatasetSpec, batch_size: int = 256,
     views: Sequence[str] | None = None, tensor: str = "tensor", out: str = "features", keep_input: bool = False,
+    out_type: str = "float",
 ) -> DataFrame:
     """Apply ``make_fn()(array[n, C, H, W]) -> array[n, ...]`` to batches; other columns are kept.
 
@@ -25,11 +26,12 @@ def batch_infer(
     function, never after it. Batches hold at most ``batch_size`` rows and are filled across input chunks.
     """
     require(batch_size > 0, "batch_size must be positive")
+    require(out_type in ("float", "double"), f"unsupported output type {out_type!r}")
     if views is not None:
         df = df.where(F.col("view").isin(list(views)))
     binary = df.schema[tensor].dataType.typeName() == "binary"
     kept = [c for c in df.columns if keep_input or c != tensor]
-    schema = extended_schema(df.select(*kept).schema, f"{out} array<float>")
+    schema = extended_schema(df.select(*kept).schema, f"{out} array<{out_type}>")
     shape, size = spec.shape, spec.size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -43,7 +45,7 @@ def batch_infer(
             if len(y) != len(x):
                 raise ValueError(f"the batch function returned {len(y)} rows for {len(x)}")
             columns = {c: table.column(c).combine_chunks() for c in kept}
-            columns[out] = list_column(y.reshape(len(y), -1), pa.float32())
+            columns[out] = list_column(y.reshape(len(y), -1), pa.float32() if out_type == "float" else pa.float64())
             yield from pa.table(columns).to_batches()
 
     return df.mapInArrow(run, schema)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
 
 from shardloom.functions.parsing import iso_timestamp, path_step
 
@@ -22,12 +21,11 @@ actual_rt_samples_target_minus_v_max_abs double, path string, num_samples int, s
 use_ema boolean, sample_status string, sample_finite boolean, sample_mean double, sample_std double,
 fid_status string, fid double
 """
-RUN_LOG_SCHEMA = StructType.fromDDL(RUN_LOG_FIELDS)
 _JSON = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record", "allowNonNumericNumbers": "true"}
 
 METRIC_FIELDS = "fid double, mmd2 double, kid double, kid_x1000 double, num_images bigint, num_generated bigint, " \
     "num_real bigint, ref_features_used bigint, inception_mmd_rbf double, inception_kid_poly3 double"
-METRIC_DOC_SCHEMA = StructType.fromDDL(
+METRIC_DOC_SCHEMA = (
     f"status string, elapsed_sec double, num_generated_total bigint, num_real_total bigint, {METRIC_FIELDS}, "
     f"metrics struct<{', '.join(f.strip().replace(' ', ':', 1) for f in METRIC_FIELDS.split(','))}>, "
     "generated_image_std double, real_image_std double, generated_image_summary struct<std:double>, "
@@ -37,7 +35,7 @@ METRIC_DOC_SCHEMA = StructType.fromDDL(
 
 def parse_run_log(lines: DataFrame, column: str = "value") -> DataFrame:
     """One row per line with the typed fields, the raw ``value`` and ``malformed``; works on streams too."""
-    schema = StructType([*RUN_LOG_SCHEMA.fields, *StructType.fromDDL("_corrupt_record string").fields])
+    schema = f"{RUN_LOG_FIELDS.strip()}, _corrupt_record string"
     parsed = lines.withColumn("__j", F.from_json(F.col(column), schema, _JSON))
     out = parsed.select(*[c for c in lines.columns if c != column], F.col(column).alias("value"), "__j.*")
     # an object without a type is not an event either

@@ -102,7 +102,7 @@ class TensorShardSource(DataSource):
 
 class _ShardReader(DataSourceReader):
     def __init__(self, options: dict, schema: StructType):
-        self.options, self.columns = options, [f.name for f in schema.fields]
+        self.options, self.schema = options, schema
         self.mode = options.get("mode", "samples")
 
     def partitions(self) -> list[InputPartition]:
@@ -121,8 +121,7 @@ class _ShardReader(DataSourceReader):
     def read(self, partition: _Rows):
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        kind = {"headers": HEADER_SCHEMA, "images": IMAGE_SCHEMA}.get(self.mode, SAMPLE_SCHEMA)
-        schema = to_arrow_schema(StructType.fromDDL(kind))
+        schema = to_arrow_schema(self.schema)
         fs, inner = open_fs(partition.path)
         if self.mode == "headers":
             yield pa.RecordBatch.from_pylist([self._header(fs, inner, partition)], schema)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from shardloom.functions.arrays import is_not_finite
 from shardloom.sources.logs import parse_run_log
@@ -42,6 +43,13 @@ def monitor_windows(
     )
 
 
+def late_rows(query: StreamingQuery) -> int:
+    """Rows the watermark has turned away so far, as far as the query's recent progress reaches."""
+    return sum(
+        op["numRowsDroppedByWatermark"] for progress in query.recentProgress for op in progress["stateOperators"]
+    )
+
+
 def latest_state(log: DataFrame, by: Sequence[str] = ("run", "type")) -> DataFrame:
     """Newest row per (run, type); update mode on a stream."""
     rest = [c for c in log.columns if c not in by]
