@@ -64,6 +64,5 @@ def is_finite(v: Column) -> Column:
 
 def flip_last_axis(x: Column, spec: DatasetSpec) -> Column:
     """Mirror every row of the last axis."""
-    w = spec.width
-    order = [i - i % w + (w - 1 - i % w) for i in range(spec.size)]
-    return F.transform(F.array(*[F.lit(i) for i in order]), lambda i: F.get(x, i))
+    rows = F.sequence(F.lit(0), F.lit(spec.channels * spec.height - 1))
+    return F.flatten(F.transform(rows, lambda r: F.reverse(F.slice(x, r * spec.width + 1, spec.width))))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 
@@ -46,3 +47,14 @@ def group_rows(batch: pa.RecordBatch, keys: list[str]):
 def extended_schema(base: StructType, ddl: str) -> StructType:
     """``base`` plus the columns of a DDL string; leaves ``base`` alone."""
     return StructType([*base.fields, *StructType.fromDDL(ddl).fields])
+
+
+def key_columns(key: tuple, names: list[str], kinds: dict, rows: int) -> dict[str, pa.Array]:
+    """A group key repeated as columns."""
+    return {name: pa.array([plain(v)] * rows, to_arrow_type(kinds[name])) for name, v in zip(names, key)}
+
+
+def plain(v):
+    """A numpy or pandas scalar as a Python value, missing as None."""
+    v = v.item() if isinstance(v, np.generic) else v
+    return None if v is None or v != v else v

@@ -15,7 +15,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 SINGLE_TASK_ROWS = 100_000
-SPLITTER_SAMPLE = 4096
+ROWS_PER_BUCKET = 100_000
+MIN_BUCKETS, MAX_BUCKETS = 16, 16_384
+# Hash-picked values per bucket behind the text cut points.
+SAMPLE_PER_BUCKET = 4
 
 
 def running_before(
@@ -25,35 +28,44 @@ def running_before(
     value: Column | None = None,
     group: Sequence[str] = (),
     name: str = "before",
+    position: str | None = None,
 ) -> DataFrame:
     """Add ``name`` = sum of ``value`` (default: row count) over the rows ahead in ``order`` within ``group``.
 
-    ``bucket`` must not decrease along ``order``. One shuffle of the rows on (group, bucket), plus the
-    map-side combined totals.
+    ``position`` also adds the number of rows ahead. ``bucket`` must not decrease along ``order``. One shuffle
+    of the rows on (group, bucket), plus the map-side combined totals.
     """
     keys = [*group, "__bucket"]
-    amount = F.lit(1).cast("bigint") if value is None else value
-    rows = df.withColumn("__bucket", bucket).withColumn("__amount", amount)
+    one = F.lit(1).cast("bigint")
+    wanted = {name: one if value is None else value} | ({position: one} if position else {})
+    rows = df.withColumn("__bucket", bucket)
+    for out, amount in wanted.items():
+        rows = rows.withColumn(f"__amount_{out}", amount)
     ahead = Window.partitionBy(*group).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        rows.groupBy(*keys)
-        .agg(F.sum("__amount").alias("__total"))
-        .select(*keys, F.coalesce(F.sum("__total").over(ahead), F.lit(0)).alias("__offset"))
+    totals = rows.groupBy(*keys).agg(*[F.sum(f"__amount_{out}").alias(f"__total_{out}") for out in wanted])
+    offsets = totals.select(
+        *keys, *[F.coalesce(F.sum(f"__total_{out}").over(ahead), F.lit(0)).alias(f"__offset_{out}") for out in wanted]
     )
     inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        rows.join(offsets, keys)
-        .withColumn(name, F.col("__offset") + F.coalesce(F.sum("__amount").over(inside), F.lit(0)))
-        .drop("__bucket", "__amount", "__offset")
-    )
+    placed = rows.join(offsets, keys)
+    for out in wanted:
+        before = F.coalesce(F.sum(f"__amount_{out}").over(inside), F.lit(0))
+        placed = placed.withColumn(out, F.col(f"__offset_{out}") + before)
+    return placed.drop("__bucket", *[f"__{kind}_{out}" for kind in ("amount", "offset") for out in wanted])
 
 
-def range_bucket(df: DataFrame, column: str, buckets: int = 256) -> Column:
-    """Equal-width buckets over the column's range (numbers or timestamps); reads two scalars."""
+def bucket_count(rows: int) -> int:
+    """Enough buckets to keep each near a fixed size, few enough for their totals to fit one task."""
+    return min(MAX_BUCKETS, max(MIN_BUCKETS, rows // ROWS_PER_BUCKET))
+
+
+def range_bucket(df: DataFrame, column: str) -> Column:
+    """Equal-width buckets over the column's range (numbers or timestamps); reads three scalars."""
     numeric = _as_number(df, column)
-    lo, hi = df.agg(F.min(numeric), F.max(numeric)).first()
+    lo, hi, rows = df.agg(F.min(numeric), F.max(numeric), F.count("*")).first()
     if lo is None:
         return F.lit(0).cast("bigint")
+    buckets = bucket_count(rows)
     width = max((hi - lo) / buckets, 1e-9) if isinstance(lo, float) else max(1, -(-(hi - lo + 1) // buckets))
     return F.floor((numeric - F.lit(lo)) / F.lit(width)).cast("bigint")
 
@@ -63,14 +75,14 @@ def _as_number(df: DataFrame, column: str) -> Column:
     return F.unix_micros(F.col(column)) if kind == "timestamp" else F.col(column)
 
 
-def text_bucket(df: DataFrame, column: str, buckets: int = 256) -> Column:
+def text_bucket(df: DataFrame, column: str, rows: int) -> Column:
     """Order-preserving buckets for a text column, cut at quantiles of a small hash-picked sample.
 
     The sample only balances the buckets; every row is still placed exactly.
     """
-    sample = (
-        df.select(column).orderBy(F.xxhash64(column), column).limit(SPLITTER_SAMPLE).toPandas()[column].sort_values()
-    )
+    buckets = bucket_count(rows)
+    picked = df.select(column).orderBy(F.xxhash64(column), column).limit(buckets * SAMPLE_PER_BUCKET)
+    sample = picked.toPandas()[column].sort_values()
     cuts = np.unique(sample.to_numpy(dtype=object)[:: max(1, len(sample) // buckets)])
     encoded = np.array([c.encode() for c in cuts], dtype=object)
 
@@ -84,10 +96,11 @@ def text_bucket(df: DataFrame, column: str, buckets: int = 256) -> Column:
 
 def ordered_bucket(df: DataFrame, column: str, single_task_rows: int = SINGLE_TASK_ROWS) -> Column:
     """One bucket while the table is known to be small, else buckets that spread it."""
-    if df.limit(single_task_rows + 1).count() <= single_task_rows:
+    rows = df.count()
+    if rows <= single_task_rows:
         return F.lit(0).cast("bigint")
     kind = df.schema[column].dataType.typeName()
-    return text_bucket(df, column) if kind == "string" else range_bucket(df, column)
+    return text_bucket(df, column, rows) if kind == "string" else range_bucket(df, column)
 
 
 def last_rows(df: DataFrame, group: Sequence[str], order: str, k: int, tiebreak: str | None = None) -> DataFrame:
@@ -96,7 +109,7 @@ def last_rows(df: DataFrame, group: Sequence[str], order: str, k: int, tiebreak:
     Groups are cut into salts first, so a hot group's rows are sorted by many tasks and at most
     ``salts * k`` of them meet in one.
     """
-    salts = 32
+    salts = 256
     order_cols = [F.col(order).desc(), *([F.col(tiebreak).desc()] if tiebreak else [])]
     salted = df.withColumn("__salt", F.pmod(F.xxhash64(order, *([tiebreak] if tiebreak else [])), F.lit(salts)))
     near = Window.partitionBy(*group, "__salt").orderBy(*order_cols)

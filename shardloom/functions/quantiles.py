@@ -8,19 +8,34 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from shardloom.functions.batches import extended_schema, group_rows, key_columns, matrix
+from shardloom.session import BROADCAST_ROWS, materialize
+
 # 64 codes per doubling on the first level, each cut 4096-fold on the second.
-_FINE = 64 * 4096
+CODES_PER_DOUBLING = 64
+FINE_CUT = 4096
+_FINE = CODES_PER_DOUBLING * FINE_CUT
 _SHIFT = 12
+_OFFSET = 1100.0
 
 
 def _code(v: Column) -> Column:
     """A number that never decreases as the value grows."""
-    magnitude = F.floor((F.log2(F.abs(v)) + F.lit(1100.0)) * F.lit(float(_FINE))) + 1
+    magnitude = F.floor((F.log2(F.abs(v)) + F.lit(_OFFSET)) * F.lit(float(_FINE))) + 1
     return F.when(v == 0, F.lit(0).cast("bigint")).otherwise(F.signum(v).cast("bigint") * magnitude)
 
 
+def value_codes(values: np.ndarray) -> np.ndarray:
+    """The same kind of code for a block of values."""
+    with np.errstate(divide="ignore"):
+        magnitude = np.floor((np.log2(np.abs(values)) + _OFFSET) * _FINE) + 1
+    return np.where(values == 0, 0, np.sign(values) * magnitude).astype(np.int64)
+
+
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """One row per group: ``n`` and ``q`` (array aligned with ``probs``), linear interpolation.
 
@@ -30,34 +45,99 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Seque
     rows = df.select(*by, F.col(value).cast("double").alias("__v")).where(F.col("__v").isNotNull() & ~F.isnan("__v"))
     rows = rows.withColumn("__fine", _code(F.col("__v"))).withColumn("__coarse", F.shiftright("__fine", _SHIFT))
 
-    counts = rows.groupBy(*by, "__coarse").agg(F.count("*").alias("__c"))
-    wanted = F.array_distinct(
-        F.flatten(
-            F.array(
-                *[
-                    F.array(
-                        F.floor(F.lit(float(p)) * (F.col("__n") - 1)).cast("bigint"),
-                        F.ceil(F.lit(float(p)) * (F.col("__n") - 1)).cast("bigint"),
-                    )
-                    for p in probs
-                ]
-            )
-        )
-    )
-    counts = counts.withColumn("__n", F.sum("__c").over(Window.partitionBy(*by)))
-    hits = _ranks_inside(counts.withColumn("__ranks", wanted).withColumn("__base", F.lit(0)), by, "__coarse")
+    def count(level: str, hits: DataFrame | None, few: bool) -> DataFrame:
+        keys = [*by, *_LEVELS[: _LEVELS.index(level) + 1]]
+        if hits is None:
+            return rows.groupBy(*keys).agg(F.count("*").alias("__c"))
+        inside = rows.join(F.broadcast(hits) if few else hits, keys[:-1])
+        return inside.groupBy(*keys).agg(F.count("*").alias("__c"), *_carried())
 
-    fine = rows.join(hits, [*by, "__coarse"]).groupBy(*by, "__coarse", "__fine").agg(
-        F.count("*").alias("__c"), F.first("__ranks").alias("__ranks"),
-        F.first("__base").alias("__base"), F.first("__n").alias("__n"),
-    )
-    hits = _ranks_inside(fine, [*by, "__coarse"], "__fine")
+    return _quantiles(count, probs, by)
 
-    values = rows.join(hits, [*by, "__coarse", "__fine"]).groupBy(*by, "__coarse", "__fine", "__v").agg(
-        F.count("*").alias("__c"), F.first("__ranks").alias("__ranks"),
-        F.first("__base").alias("__base"), F.first("__n").alias("__n"),
-    )
-    found = _ranks_inside(values, [*by, "__coarse", "__fine"], "__v")
+
+def tensor_quantiles(
+    df: DataFrame, width: int, probs: Sequence[float], by: Sequence[str] = (), tensor: str = "tensor",
+    magnitude: bool = False,
+) -> DataFrame:
+    """``exact_quantiles`` of all values in arrays of ``width``; tasks count codes in blocks, nothing is exploded.
+
+    Falls back to the row form when there are too many groups to hand the wanted codes to every task.
+    """
+    by = list(by)
+    source = df.select(*by, tensor)
+
+    def counts(level: int, wanted: dict | None) -> DataFrame:
+        shared = None if wanted is None else df.sparkSession.sparkContext.broadcast(wanted)
+        schema = extended_schema(df.select(*by).schema, "__coarse bigint, __fine bigint, __v double, __c bigint")
+        kinds = {f.name: f.dataType for f in schema.fields[: len(by)]}
+
+        def fold(batches):
+            for batch in batches:
+                x = matrix(batch.column(tensor), width)
+                x = np.abs(x) if magnitude else x
+                for key, at in group_rows(batch, by):
+                    v = x[at].reshape(-1)
+                    v = v[~np.isnan(v)]
+                    fine = value_codes(v)
+                    coarse = fine >> _SHIFT
+                    if shared is not None:
+                        keep = np.isin(coarse if level == 1 else fine, shared.value.get(key, []))
+                        v, fine, coarse = v[keep], fine[keep], coarse[keep]
+                    picked, n = np.unique((coarse, fine, v)[level], return_counts=True)
+                    if not len(picked):
+                        continue
+                    out = key_columns(key, by, kinds, len(picked))
+                    codes = picked if level == 1 else value_codes(picked) if level == 2 else np.zeros(len(picked), np.int64)
+                    out["__coarse"] = pa.array(picked if level == 0 else codes >> _SHIFT)
+                    out["__fine"] = pa.array(codes)
+                    out["__v"] = pa.array(picked if level == 2 else np.zeros(len(picked)))
+                    out["__c"] = pa.array(n)
+                    yield pa.RecordBatch.from_pydict(out)
+
+        return source.mapInArrow(fold, schema)
+
+    def wanted_codes(hits: DataFrame, code: str) -> dict:
+        found: dict[tuple, list] = {}
+        for row in hits.select(*by, code).collect():  # bounded: checked against BROADCAST_ROWS
+            found.setdefault(tuple(row[:-1]), []).append(row[-1])
+        return {k: np.array(v) for k, v in found.items()}
+
+    def count(level: str, hits: DataFrame | None, few: bool) -> DataFrame:
+        keys = [*by, *_LEVELS[: _LEVELS.index(level) + 1]]
+        if hits is None:
+            return counts(0, None).groupBy(*keys).agg(F.sum("__c").alias("__c"))
+        if few:
+            found = counts(_LEVELS.index(level), wanted_codes(hits, keys[-2])).join(F.broadcast(hits), keys[:-1])
+        else:
+            exploded = source.select(*by, F.explode(tensor).alias("__v")).withColumn("__v", F.col("__v").cast("double"))
+            if magnitude:
+                exploded = exploded.withColumn("__v", F.abs("__v"))
+            exploded = exploded.where(~F.isnan("__v")).withColumn("__fine", _code(F.col("__v")))
+            found = exploded.withColumn("__coarse", F.shiftright("__fine", _SHIFT)).withColumn("__c", F.lit(1).cast("bigint")).join(hits, keys[:-1])
+        return found.groupBy(*keys).agg(F.sum("__c").alias("__c"), *_carried())
+
+    return _quantiles(count, probs, by)
+
+
+_LEVELS = ["__coarse", "__fine", "__v"]
+
+
+def _carried() -> list[Column]:
+    """Facts that are the same in all rows under one code."""
+    return [F.first(c).alias(c) for c in ("__ranks", "__base", "__n")]
+
+
+def _quantiles(count, probs: Sequence[float], by: list[str]) -> DataFrame:
+    codes = count("__coarse", None, False).withColumn("__n", F.sum("__c").over(Window.partitionBy(*by)))
+    ends = [fn(F.lit(float(p)) * (F.col("__n") - 1)).cast("bigint") for p in probs for fn in (F.floor, F.ceil)]
+    codes = codes.withColumn("__ranks", F.array_distinct(F.array(*ends))).withColumn("__base", F.lit(0))
+    # the first pass is kept, so the later ones neither repeat it nor guess its size
+    hits = materialize(_ranks_inside(codes, by, "__coarse"), "quantile-codes")
+    few = hits.count() * 2 * len(probs) <= BROADCAST_ROWS
+    hits = _ranks_inside(count("__fine", hits, few), [*by, "__coarse"], "__fine")
+    if few:
+        hits = materialize(hits, "quantile-codes")
+    found = _ranks_inside(count("__v", hits, few), [*by, "__coarse", "__fine"], "__v")
     picked = found.select(*by, "__n", F.explode("__ranks").alias("__rank"), "__v")
     grouped = picked.groupBy(*by).agg(
         F.first("__n").alias("n"), F.map_from_entries(F.collect_list(F.struct("__rank", "__v"))).alias("__at")

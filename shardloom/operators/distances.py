@@ -11,13 +11,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from shardloom.functions.batches import extended_schema, list_column, matrix
 from shardloom.operators.errors import random_projection
-from shardloom.operators.moments import feature_width, fold_tasks, moments, trace_sigma, vector_sums
-from shardloom.operators.stats import tensor_stats
+from shardloom.operators.block_pairs import kernel_sums, median_sq_distance, pack_blocks, squared_distances
+from shardloom.operators.moments import (
+    feature_width, fold_tasks, moment_summary, moments, trace_sigma, vector_sums,
+)
 from shardloom.operators.validation import match_pairs
 from shardloom.session import materialize, require
 from shardloom.spec import DatasetSpec
 
-BLOCK_ROWS = 2048
 # Up to this width the cubic kernel is summed through third moments: linear in the number of rows.
 MOMENT_KERNEL_WIDTH = 192
 _CHUNK = 65_536
@@ -134,7 +135,7 @@ def frechet_regularized(m1: DataFrame, m2: DataFrame, by: Sequence[str] = (), ep
 # ---- polynomial kernel ------------------------------------------------------------------------------------
 
 def kid_poly3(
-    x: DataFrame, y: DataFrame, features: str = "features", index: str = "global_index", block: int = BLOCK_ROWS,
+    x: DataFrame, y: DataFrame, features: str = "features", index: str = "global_index", block: int | None = None,
     method: str | None = None,
 ) -> DataFrame:
     """Unbiased MMD² with k(x,y) = (x·y/d + 1)³: ``n, m, mmd2, kid, kid_x1000``; may be negative.
@@ -149,7 +150,10 @@ def kid_poly3(
     if method == "moments":
         sums = _kernel_sums_by_moments(x, y, features, width)
     else:
-        sums = _block_kernel(_blocks(x, y, features, index, width, block), _poly3_kernel(width))
+        def kernel(a, b):
+            return (a @ b.T / width + 1.0) ** 3
+
+        sums = kernel_sums(pack_blocks(x, y, features, index, width, block), kernel, width)
     return _mmd_row(sums).withColumn("kid", F.col("mmd2")).withColumn("kid_x1000", F.col("mmd2") * 1000.0)
 
 
@@ -227,204 +231,33 @@ def _kernel_sums_by_moments(x: DataFrame, y: DataFrame, features: str, width: in
     return per_chunk.agg(*[F.sum(c).alias(c) for c in ("n", "m", "xx", "yy", "xy")])
 
 
-# ---- blocks of rows, for kernels that need every pair -----------------------------------------------------
-
-def _blocks(x: DataFrame, y: DataFrame, features: str, index: str, width: int, block: int) -> DataFrame:
-    """``(side, blk, packed, n)``: rows packed into float64 matrices of about ``block`` rows, written once.
-
-    Blocks are cut by a hash of the index, so their size is bounded by choice, not by the data.
-    """
-    sizes = [max(1, -(-df.count() // block)) for df in (x, y)]
-    firsts = [0, sizes[0]]
-    rows = [
-        df.select(
-            F.lit(side).alias("side"),
-            (F.pmod(F.xxhash64(index), F.lit(count)) + F.lit(first)).cast("int").alias("blk"),
-            F.col(features).alias("f"),
-        )
-        for side, df, count, first in zip("xy", (x, y), sizes, firsts)
-    ]
-
-    def pack(table: pa.Table) -> pa.Table:
-        m = matrix(table.column("f").combine_chunks(), width)
-        return pa.table(
-            {"side": table.column("side").slice(0, 1), "blk": table.column("blk").slice(0, 1),
-             "packed": pa.array([m.tobytes()], pa.binary()), "n": [len(m)]}
-        )
-
-    packed = rows[0].unionByName(rows[1]).groupBy("blk").applyInArrow(
-        pack, "side string, blk int, packed binary, n bigint"
-    )
-    return materialize(packed, "blocks")
-
-
-def _block_pairs(blocks: DataFrame, fn, schema: str, width: int) -> DataFrame:
-    """Run ``fn(side_p, P, side_q, Q, same)`` once per unordered pair of blocks.
-
-    Every block is sent to the pairs it belongs to and the two meet by equi-join key; a task holds two blocks.
-    """
-    count = blocks.agg(F.max("blk")).first()[0] + 1
-    others = F.sequence(F.lit(0), F.lit(count - 1))
-    sent = blocks.withColumn("__other", F.explode(others)).select(
-        F.least("blk", "__other").alias("p"), F.greatest("blk", "__other").alias("q"), "side", "blk", "packed"
-    )
-
-    def pair(table: pa.Table) -> pa.Table:
-        rows = sorted(table.select(["blk", "side", "packed"]).to_pylist(), key=lambda r: r["blk"])
-        if rows[0]["blk"] == rows[-1]["blk"] and table.column("p")[0].as_py() != table.column("q")[0].as_py():
-            return pa.table(fn(None, None, None, None, False))
-        a, b = (np.frombuffer(r["packed"], dtype=np.float64).reshape(-1, width) for r in (rows[0], rows[-1]))
-        return pa.table(fn(rows[0]["side"], a, rows[-1]["side"], b, rows[0]["blk"] == rows[-1]["blk"]))
-
-    return sent.repartition(F.col("p"), F.col("q")).groupBy("p", "q").applyInArrow(pair, schema)
-
-
-def _poly3_kernel(width: int):
-    def kernel(a, b):
-        return (a @ b.T / width + 1.0) ** 3
-
-    return kernel
-
-
-def squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """max(|a|² + |b|² - 2 a·b, 0) for all rows of two blocks."""
-    return np.maximum(np.sum(a * a, axis=1)[:, None] + np.sum(b * b, axis=1)[None, :] - 2.0 * (a @ b.T), 0.0)
-
-
-def _block_kernel(blocks: DataFrame, kernel) -> DataFrame:
-    """Kernel sums n, m, xx, yy, xy; the diagonal is left out of xx and yy."""
-    width = _block_width(blocks)
-
-    def sums(side_p, a, side_q, b, same):
-        out = {"xx": [0.0], "yy": [0.0], "xy": [0.0]}
-        if a is not None:
-            k = kernel(a, b)
-            if same:
-                np.fill_diagonal(k, 0.0)
-            name = side_p + side_q if side_p == side_q else "xy"
-            out[name] = [float(k.sum()) * (2.0 if side_p == side_q and not same else 1.0)]
-        return out
-
-    total = _block_pairs(blocks, sums, "xx double, yy double, xy double", width).agg(
-        *[F.sum(c).alias(c) for c in ("xx", "yy", "xy")]
-    )
-    counts = blocks.agg(
-        F.coalesce(F.sum(F.when(F.col("side") == "x", F.col("n"))), F.lit(0)).alias("n"),
-        F.coalesce(F.sum(F.when(F.col("side") == "y", F.col("n"))), F.lit(0)).alias("m"),
-    )
-    one = F.lit(1)
-    return total.withColumn("__one", one).join(counts.withColumn("__one", one), "__one").drop("__one")
-
-
-def _block_width(blocks: DataFrame) -> int:
-    return blocks.select((F.length("packed") / F.col("n") / 8).cast("int")).first()[0]
-
-
-_CODES_PER_DOUBLING = 64
-_FINE_CUT = 4096
-
-
-def _distance_codes(values: np.ndarray) -> np.ndarray:
-    return np.floor((np.log2(values) + 1100.0) * (_CODES_PER_DOUBLING * _FINE_CUT)).astype(np.int64)
-
-
-def _positive_pairs(side_p, a, side_q, b, same):
-    if a is None:
-        return np.empty(0)
-    d = squared_distances(a, b)
-    values = d[np.triu_indices(len(a), k=1)] if same else d.reshape(-1)
-    return values[values > 0]
-
-
-def median_sq_distance(blocks: DataFrame) -> float:
-    """Exact median of the positive squared distances over unordered pairs; 1.0 when there is none.
-
-    Blocks report counts per code, first coarse, then fine, then the values under the one or two fine codes
-    that hold the middle ranks, so pairs are counted and never stored.
-    """
-    width = _block_width(blocks)
-
-    def histogram(level: int, inside: list[int] | None):
-        def count(*pair):
-            values = _positive_pairs(*pair)
-            fine = _distance_codes(values)
-            coarse = fine // _FINE_CUT
-            keys = coarse if level == 0 else fine
-            if inside is not None:
-                keep = np.isin(coarse if level == 1 else fine, inside)
-                values, keys = values[keep], keys[keep]
-            if level == 2:
-                values, n = np.unique(values, return_counts=True)
-                return {"code": pa.array(_distance_codes(values)), "v": pa.array(values), "n": pa.array(n)}
-            codes, n = np.unique(keys, return_counts=True)
-            return {"code": pa.array(codes), "v": pa.array(np.zeros(len(codes))), "n": pa.array(n)}
-
-        found = _block_pairs(blocks, count, "code bigint, v double, n bigint", width)
-        # few rows: codes on the first two levels, equal-valued distances of one tiny span on the last
-        return found.groupBy("code", "v").agg(F.sum("n").alias("n"))
-
-    codes = histogram(0, None)
-    total = codes.agg(F.sum("n")).first()[0]
-    if not total:
-        return 1.0
-    ranks = sorted({(total - 1) // 2, total // 2})
-    base, inside = 0, None
-    for level in (0, 1, 2):
-        table = codes if level == 0 else histogram(level, inside)
-        rows = _rows_at_ranks(table, [r - base for r in ranks])
-        if level == 2:
-            median = float(np.mean([rows[r - base][0][1] for r in ranks]))
-            return median if np.isfinite(median) and median > 0 else 1.0
-        inside = sorted({rows[r - base][0][0] for r in ranks})
-        base += min(rows[r - base][1] for r in ranks)
-    raise AssertionError
-
-
-def _rows_at_ranks(table: DataFrame, ranks: list[int]) -> dict[int, tuple[tuple, int]]:
-    """The (code, v) row that covers each 0-based rank, with the count of rows ahead of it."""
-    from shardloom.functions.ordering import running_before
-
-    bucket = F.floor(F.col("code") / 64)
-    placed = running_before(table, ["code", "v"], bucket, F.col("n"), name="ahead")
-    hit = F.lit(False)
-    for r in ranks:
-        hit = hit | ((F.col("ahead") <= r) & (F.col("ahead") + F.col("n") > r))
-    found = placed.where(hit).limit(len(ranks)).collect()
-    return {r: next(((x["code"], x["v"]), x["ahead"]) for x in found if x["ahead"] <= r < x["ahead"] + x["n"]) for r in ranks}
-
+# ---- RBF kernel ---------------------------------------------------------------------------------------------
 
 def mmd_rbf(
-    x: DataFrame, y: DataFrame, features: str = "features", index: str = "global_index", block: int = BLOCK_ROWS
+    x: DataFrame, y: DataFrame, features: str = "features", index: str = "global_index", block: int | None = None
 ) -> DataFrame:
     """Unbiased MMD² with k = exp(-d²/2b²); b² is the exact median of positive squared distances over x ∪ y."""
     width = feature_width(x, features)
-    blocks = _blocks(x, y, features, index, width, block)
-    bandwidth2 = median_sq_distance(blocks)
+    blocks = pack_blocks(x, y, features, index, width, block)
+    bandwidth2 = median_sq_distance(blocks, width)
 
     def kernel(a, b):
         return np.exp(-squared_distances(a, b) / (2.0 * bandwidth2))
 
-    return _mmd_row(_block_kernel(blocks, kernel)).withColumn("bandwidth2", F.lit(bandwidth2))
+    return _mmd_row(kernel_sums(blocks, kernel, width)).withColumn("bandwidth2", F.lit(bandwidth2))
 
 
 # ---- reports ----------------------------------------------------------------------------------------------
 
-def feature_summary(df: DataFrame, features: str = "features", by: Sequence[str] = ()) -> DataFrame:
-    spec = DatasetSpec(1, 1, feature_width(df, features))
-    return tensor_stats(df, spec, by, features).select(
-        *by, F.col("mean").alias("feature_mean"), F.col("std").alias("feature_std")
-    )
-
-
 def compare_features(
     gen: DataFrame, ref_moments: DataFrame, ref_bank: DataFrame | None = None, features: str = "features",
     index: str = "global_index",
 ) -> DataFrame:
     """One record: sizes, fid, feature mean/std, trace, and KID when a reference bank is given."""
-    mom = moments(gen, features)
+    mom = materialize(moments(gen, features), "moments")
     parts = [
         frechet(mom, ref_moments).select("n1", "n2", "dims", "fid"),
-        feature_summary(gen, features),
+        moment_summary(mom),
         trace_sigma(mom).select("sigma_trace"),
     ]
     if ref_bank is not None:
@@ -462,12 +295,12 @@ def reconstruction_report(
         require(paired["only_left"] == 0 and paired["only_right"] == 0, f"{name}: not the same samples as the original")
         rows = df.select(F.lit(name).alias("name"), index, features)
         tagged = rows if tagged is None else tagged.unionByName(rows)
-    mom = moments(tagged, features, ["name"])
-    origin = moments(original, features)
+    mom = materialize(moments(tagged, features, ["name"]), "moments")
+    origin = materialize(moments(original, features), "moments")
     out = frechet(mom, origin, ["name"]).select(
         "name", F.col("n1").alias("num_images"), "dims", F.col("fid").alias("rfid_vs_original")
     )
-    out = out.join(feature_summary(tagged, features, ["name"]), "name").join(
+    out = out.join(moment_summary(mom, ["name"]), "name").join(
         trace_sigma(mom, ["name"]).select("name", "sigma_trace"), "name"
     )
     if full_ref is not None:

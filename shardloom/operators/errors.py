@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from shardloom.functions.arrays import as_double
 from shardloom.functions.batches import bytes_matrix, extended_schema, list_column
 from shardloom.functions.quantiles import exact_quantiles
+from shardloom.operators.stats import tensor_partials
 from shardloom.session import materialize, require
 from shardloom.spec import DatasetSpec
 
@@ -18,48 +19,33 @@ from shardloom.spec import DatasetSpec
 def image_summary(df: DataFrame, spec: DatasetSpec, by: Sequence[str] = (), image: str = "image") -> DataFrame:
     """Values / 255: min, max, mean, population std, and mean/std per colour channel.
 
-    Sums stay integers until the last step, so nothing drifts however many pixels there are.
+    Tasks fold whole images; the sums are whole numbers until the last step, so nothing drifts.
     """
     by = list(by)
-    if df.schema[image].dataType.typeName() == "binary":
-        df = df.withColumn(image, bytes_to_array(df, image, spec))
-    pixel = df.select(*by, F.posexplode(image).alias("__i", "__v")).withColumn(
-        "channel", (F.col("__i") / F.lit(spec.plane)).cast("int")
-    )
-    v = F.col("__v").cast("bigint")
-    per = pixel.groupBy(*by, "channel").agg(
-        F.count("*").alias("n"), F.sum(v).alias("s"), F.sum(v * v).alias("ss"), F.min(v).alias("mn"), F.max(v).alias("mx")
+    exact = "decimal(38,0)"
+    per = tensor_partials(df, spec, by, image).groupBy(*by, "channel").agg(
+        F.sum("n").alias("n"), F.sum(F.col("s").cast(exact)).alias("s"), F.sum(F.col("ss").cast(exact)).alias("ss"),
+        F.min("mn").alias("mn"), F.max("mx").alias("mx"),
     )
 
+    def mean(n, s):
+        return s.cast("double") / n / 255.0
+
     def spread(n, s, ss):
+        s, ss = s.cast("double"), ss.cast("double")
         return F.sqrt(F.greatest(F.lit(0.0), ss / n - (s / n) * (s / n))) / 255.0
 
+    n, s, ss = F.col("n"), F.col("s"), F.col("ss")
     total = per.groupBy(*by).agg(
-        F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"),
+        F.sum(n).alias("n"), F.sum(s).alias("s"), F.sum(ss).alias("ss"),
         (F.min("mn") / 255.0).alias("min"), (F.max("mx") / 255.0).alias("max"),
         *[
             F.max(F.when(F.col("channel") == c, value)).alias(f"{name}_{c}")
             for c in range(spec.channels)
-            for name, value in (
-                ("channel_mean", F.col("s") / F.col("n") / 255.0),
-                ("channel_std", spread(F.col("n"), F.col("s"), F.col("ss"))),
-            )
+            for name, value in (("channel_mean", mean(n, s)), ("channel_std", spread(n, s, ss)))
         ],
     )
-    return total.withColumn("mean", F.col("s") / F.col("n") / 255.0).withColumn(
-        "std", spread(F.col("n"), F.col("s"), F.col("ss"))
-    ).withColumnRenamed("n", "count").drop("s", "ss")
-
-
-def bytes_to_array(df: DataFrame, image: str, spec: DatasetSpec):
-    """``binary`` to ``array<smallint>``, one Arrow batch at a time."""
-    size = spec.size
-
-    @F.pandas_udf("array<smallint>")
-    def widen(images):
-        return images.map(lambda b: np.frombuffer(b, dtype=np.uint8, count=size).astype(np.int16))
-
-    return widen(F.col(image))
+    return total.withColumn("mean", mean(n, s)).withColumn("std", spread(n, s, ss)).withColumnRenamed("n", "count").drop("s", "ss")
 
 
 def array_to_bytes(df: DataFrame, spec: DatasetSpec, image: str = "image") -> DataFrame:

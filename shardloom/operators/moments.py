@@ -12,8 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from shardloom.functions.batches import extended_schema, group_rows, list_column, matrix
-from shardloom.operators.stats import _plain
+from shardloom.functions.batches import extended_schema, group_rows, key_columns, list_column, matrix
 from shardloom.session import require
 
 _PILOT_ROWS = 256
@@ -59,10 +58,8 @@ def gram_partials(
     kinds = {f.name: f.dataType for f in schema.fields[: len(by)]}
 
     def emit(groups):
-        from pyspark.sql.pandas.types import to_arrow_type
-
         for key, gram in groups.items():
-            out = {name: pa.array([_plain(v)] * (width + 1), to_arrow_type(kinds[name])) for name, v in zip(by, key)}
+            out = key_columns(key, by, kinds, width + 1)
             out["i"] = pa.array(np.arange(width + 1, dtype=np.int32))
             out["cells"] = list_column(gram, pa.float64())
             yield pa.RecordBatch.from_pydict(out)
@@ -139,6 +136,14 @@ def packed_moments(mom: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def moment_summary(mom: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Mean and population std over all feature values, from the moments alone."""
+    square = F.get("sigma", F.col("i")) * (F.col("n") - 1) / F.col("n") + F.col("mu") * F.col("mu")
+    sums = mom.groupBy(*by).agg(F.avg("mu").alias("feature_mean"), F.avg(square).alias("__square"))
+    spread = F.greatest(F.col("__square") - F.col("feature_mean") * F.col("feature_mean"), F.lit(0.0))
+    return sums.select(*by, "feature_mean", F.sqrt(spread).alias("feature_std"))
+
+
 def trace_sigma(mom: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return mom.groupBy(*by).agg(
         F.max("n").alias("n"), F.count("*").alias("dims"), F.sum(F.get("sigma", F.col("i"))).alias("sigma_trace")

@@ -8,27 +8,30 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from shardloom.functions.ordering import ordered_bucket, running_before
 from shardloom.functions.parsing import evenly_spaced
-from shardloom.session import require
+from shardloom.session import BROADCAST_ROWS, broadcast_if_small, materialize, require
 
 
 def shard_registry(
     headers: DataFrame, max_shards: int | None = None, max_samples: int | None = None, order: str = "path"
 ) -> DataFrame:
-    """Half-open global ranges in path order, plus ``source_total_seen``.
+    """Half-open global ranges and ``shard_pos`` in path order, plus ``source_total_seen``.
 
     Takes the first ``max_shards``; with ``max_samples`` the last shard is cut and later ones dropped.
-    Empty shards never appear.
+    Empty shards never appear. One row per shard, written once, since every later step reads it.
     """
+    ranged = running_before(
+        headers, [order], ordered_bucket(headers, order), F.col("num_samples"), name="start", position="shard_pos"
+    )
     if max_shards is not None:
-        headers = headers.orderBy(order).limit(max_shards)
-    ranged = running_before(headers, [order], ordered_bucket(headers, order), F.col("num_samples"), name="start")
+        ranged = ranged.where(F.col("shard_pos") < max_shards)
     kept = F.col("num_samples")
     if max_samples is not None:
         ranged = ranged.where(F.col("start") < max_samples)
         kept = F.least(kept, F.lit(max_samples) - F.col("start"))
     rows = ranged.withColumn("source_num_samples", F.col("num_samples")).withColumn("num_samples", kept)
     rows = rows.where(F.col("num_samples") > 0).withColumn("end", F.col("start") + F.col("num_samples"))
-    return rows.withColumn("source_total_seen", F.col("start") + F.col("source_num_samples"))
+    rows = rows.withColumn("source_total_seen", F.col("start") + F.col("source_num_samples"))
+    return materialize(rows, "registry")
 
 
 def source_total_seen(registry: DataFrame) -> DataFrame:
@@ -44,13 +47,12 @@ def select_shards(
     indices: Sequence[int] | None = None,
     linspace: int | None = None,
     max_shards: int | None = None,
-    order: str = "path",
 ) -> DataFrame:
-    """Explicit indices, then evenly spaced, then the first k; adds ``shard_pos`` in path order.
+    """Explicit indices, then evenly spaced, then the first k of a registry, by ``shard_pos``.
 
-    Slices in ``indices`` come from ``parse_index_list``; negatives count from the end.
+    Slices in ``indices`` come from ``parse_index_list``; negatives count from the end. Empty shards hold a
+    position in the file list but not in the registry, so select from a registry without them.
     """
-    placed = running_before(registry, [order], ordered_bucket(registry, order), name="shard_pos")
     size = registry.count()
     picked: range | list[int] = range(size)
     if indices is not None:
@@ -63,16 +65,17 @@ def select_shards(
         picked = picked[:max_shards]
     require(len(picked) > 0, "no shards selected")
     if isinstance(picked, range):
-        return placed.where(F.col("shard_pos") < len(picked))
+        return registry.where(F.col("shard_pos") < len(picked))
     wanted = registry.sparkSession.createDataFrame([(i,) for i in sorted(set(picked))], "shard_pos bigint")
-    return placed.join(wanted, "shard_pos", "left_semi")
+    return registry.join(broadcast_if_small(wanted), "shard_pos", "left_semi")
 
 
 def locate(indices: DataFrame, registry: DataFrame, index: str = "global_index") -> DataFrame:
     """Shard and local index of every global index; a negative index wraps once, outside is an error.
 
     A range join written as an equi-join: shard ranges are cut into index blocks about one average shard
-    long (at most twice as many pieces as shards), so no side has to be broadcast and a huge shard spreads.
+    long (at most twice as many pieces as shards), so a huge shard spreads and the pieces are broadcast only
+    when the shard count shows they are few.
     """
     total, shards = registry.agg(F.max("end"), F.count("*")).first()
     require(bool(shards), "the registry is empty")
@@ -89,6 +92,8 @@ def locate(indices: DataFrame, registry: DataFrame, index: str = "global_index")
         ),
     )
     asked = asked.withColumn("__block", F.floor(F.col("__at") / block))
+    if shards <= BROADCAST_ROWS // 2:
+        pieces = F.broadcast(pieces)
     hit = asked.join(pieces, "__block").where((F.col("__at") >= F.col("start")) & (F.col("__at") < F.col("end")))
     return hit.withColumn("local_index", F.col("__at") - F.col("start")).drop("__block", "__at", "start", "end")
 
@@ -96,7 +101,7 @@ def locate(indices: DataFrame, registry: DataFrame, index: str = "global_index")
 def with_global_index(samples: DataFrame, registry: DataFrame, shard: str = "path") -> DataFrame:
     """``start + local_index``; samples a cut registry no longer covers are dropped."""
     spans = registry.select(shard, F.col("start").alias("__start"), F.col("num_samples").alias("__n"))
-    joined = samples.join(spans, shard).where(F.col("local_index") < F.col("__n"))
+    joined = samples.join(broadcast_if_small(spans), shard).where(F.col("local_index") < F.col("__n"))
     return joined.withColumn("global_index", F.col("__start") + F.col("local_index")).drop("__start", "__n")
 
 

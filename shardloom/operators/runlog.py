@@ -180,7 +180,8 @@ def step_bins(steps: DataFrame, width: int, value: str = "loss", by: Sequence[st
 def speedup(windows: DataFrame, baseline: str, config: str = "run") -> DataFrame:
     """samples/s relative to the baseline configuration, window by window."""
     base = windows.where(F.col(config) == baseline).select("window", F.col("samples_per_sec").alias("baseline_rate"))
-    return windows.join(base, "window").withColumn("speedup", F.col("samples_per_sec") / F.col("baseline_rate"))
+    # the baseline has one row per window size
+    return windows.join(F.broadcast(base), "window").withColumn("speedup", F.col("samples_per_sec") / F.col("baseline_rate"))
 
 
 def latest_by_type(log: DataFrame, types: Sequence[str] = ("train_step", "fd_audit"), by: Sequence[str] = RUN) -> DataFrame:

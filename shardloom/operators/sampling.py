@@ -13,7 +13,11 @@ from shardloom.session import require
 INDEX = "global_index"
 # Above this a sample is cut by key buckets instead of one top-n task.
 _TOP_N_LIMIT = 100_000
-_BUCKET_DIGITS = 4
+
+
+def _prefix_digits(rows: int) -> int:
+    """Hex digits of a key that give buckets of at most about a million rows, up to 16^5 buckets."""
+    return 2 if rows <= 10**8 else 3 if rows <= 10**9 else 4 if rows <= 10**11 else 5
 
 
 def slice_samples(df: DataFrame, start: int, count: int, total: int | None = None, index: str = INDEX) -> DataFrame:
@@ -46,9 +50,10 @@ def first_n(df: DataFrame, n: int, index: str = INDEX) -> DataFrame:
 
 
 def sample_exact(
-    df: DataFrame, n: int, seed: int, cap: bool = False, index: str = INDEX, top_n_limit: int = _TOP_N_LIMIT
+    df: DataFrame, n: int, seed: int, cap: bool = False, index: str = INDEX, top_n_limit: int = _TOP_N_LIMIT,
+    ordered: bool = True,
 ) -> DataFrame:
-    """Exactly ``n`` rows without replacement, in index order.
+    """Exactly ``n`` rows without replacement, in index order unless ``ordered`` is off.
 
     The rows with the ``n`` smallest keys md5(seed:index). ``n`` larger than the table is an error, or the
     whole table with ``cap``. Only the index column is ranked; the rows are fetched by a semi-join.
@@ -56,14 +61,15 @@ def sample_exact(
     total = df.count()
     require(cap or n <= total, f"cannot draw {n} from {total} rows")
     if n >= total:
-        return df.orderBy(index)
+        return df.orderBy(index) if ordered else df
     keyed = df.select(index, draw_key(seed, F.col(index)).alias("__key"))
     if n <= top_n_limit:
-        chosen = keyed.orderBy("__key", index).limit(n)
+        chosen = F.broadcast(keyed.orderBy("__key", index).limit(n).select(index))
     else:
-        bucket = hex_prefix(F.col("__key"), _BUCKET_DIGITS)
+        bucket = hex_prefix(F.col("__key"), _prefix_digits(total))
         chosen = running_before(keyed, ["__key", index], bucket, name="__rank").where(F.col("__rank") < n)
-    return df.join(chosen.select(index), index, "left_semi").orderBy(index)
+    drawn = df.join(chosen.select(index), index, "left_semi")
+    return drawn.orderBy(index) if ordered else drawn
 
 
 def choose_view(
@@ -102,13 +108,15 @@ def epoch_batches(
     rank is exact without a global sort.
     """
     require(batch_size > 0, "batch_size must be positive")
+    total = df.count()
     keyed = df.withColumn("__key", draw_key(seed, epoch, F.col(index)))
-    ranked = running_before(keyed, ["__key", index], hex_prefix(F.col("__key"), 3), name="perm_rank").drop("__key")
+    bucket = hex_prefix(F.col("__key"), _prefix_digits(total))
+    ranked = running_before(keyed, ["__key", index], bucket, name="perm_rank").drop("__key")
     out = ranked.withColumn("batch_id", F.floor(F.col("perm_rank") / batch_size)).withColumn(
         "pos", F.col("perm_rank") % batch_size
     )
     if drop_last:
-        out = out.where(F.col("batch_id") < df.count() // batch_size)
+        out = out.where(F.col("batch_id") < total // batch_size)
     return out
 
 
@@ -132,7 +140,7 @@ def matched_labels(subset: DataFrame, n: int, seed: int, index: str = INDEX) ->
     key = draw_key(seed, F.col(index))
     ranked = running_before(
         subset.select(index, "label").withColumn("__key", key), ["__key", index],
-        hex_prefix(F.col("__key"), 3), name="__rank",
+        hex_prefix(F.col("__key"), _prefix_digits(total)), name="__rank",
     )
     passes = F.when(F.col("__rank") < rest, F.lit(whole + 1)).otherwise(F.lit(whole))
     turns = ranked.where(passes > 0).withColumn("__turn", F.explode(F.sequence(F.lit(0), passes - 1)))

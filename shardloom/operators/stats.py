@@ -11,10 +11,11 @@ from collections.abc import Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from shardloom.functions.arrays import is_not_finite
-from shardloom.functions.batches import bytes_matrix, extended_schema, group_rows, matrix
-from shardloom.functions.quantiles import exact_quantiles
+from shardloom.functions.batches import bytes_matrix, extended_schema, group_rows, matrix, plain
+from shardloom.functions.quantiles import tensor_quantiles
 from shardloom.spec import DatasetSpec
 
 PARTIAL_COLUMNS = ["sample_count", "n", "s", "ss", "mn", "mx"]
@@ -72,11 +73,9 @@ def _merge_block(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _partial_batch(groups: dict, by: list[str], key_types: dict, channels: int) -> pa.RecordBatch:
-    from pyspark.sql.pandas.types import to_arrow_type
-
     block = np.concatenate(list(groups.values()))
     columns = {
-        name: pa.array([_plain(key[i]) for key in groups for _ in range(channels)], to_arrow_type(key_types[name]))
+        name: pa.array([plain(key[i]) for key in groups for _ in range(channels)], to_arrow_type(key_types[name]))
         for i, name in enumerate(by)
     }
     columns["channel"] = pa.array(np.tile(np.arange(channels, dtype=np.int32), len(groups)))
@@ -85,11 +84,6 @@ def _partial_batch(groups: dict, by: list[str], key_types: dict, channels: int)
     return pa.RecordBatch.from_pydict(columns)
 
 
-def _plain(v):
-    v = v.item() if isinstance(v, np.generic) else v
-    return None if v != v else v
-
-
 def merge_stats(partials: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Associative merge of partial rows per (group, channel); union two partial tables to merge them."""
     return partials.groupBy(*by, "channel").agg(*_merge_columns())
@@ -169,19 +163,24 @@ def shape_span(registry: DataFrame, order: str = "path", shape: str = "latent_sh
     )
 
 
-def abs_quantiles(df: DataFrame, by: Sequence[str] = (), tensor: str = "tensor") -> DataFrame:
+def abs_quantiles(df: DataFrame, spec: DatasetSpec, by: Sequence[str] = (), tensor: str = "tensor") -> DataFrame:
     """mean, std of the values and mean, median, p90, p95, p99, max of their magnitudes; quantiles are exact."""
     by = list(by)
-    elements = df.select(*by, F.explode(tensor).alias("v")).select(*by, F.col("v").cast("double").alias("v"))
-    plain = elements.groupBy(*by).agg(
-        F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"),
-        F.avg(F.abs("v")).alias("abs_mean"), F.max(F.abs("v")).alias("abs_max"),
+    # the values and their magnitudes side by side, folded as two channels in one scan
+    doubled = df.withColumn(tensor, F.concat(tensor, F.transform(tensor, F.abs)))
+    pair = channel_stats(doubled, DatasetSpec(2, 1, spec.size), by, tensor)
+
+    def of(channel: int, stat: str) -> Column:
+        return F.max(F.when(F.col("channel") == channel, F.col(stat)))
+
+    folded = pair.groupBy(*by).agg(
+        of(0, "mean").alias("mean"), of(0, "std").alias("std"), of(1, "mean").alias("abs_mean"), of(1, "max").alias("abs_max")
     )
-    ranked = exact_quantiles(elements.withColumn("a", F.abs("v")), "a", [0.5, 0.9, 0.95, 0.99], by).select(
+    ranked = tensor_quantiles(df, spec.size, [0.5, 0.9, 0.95, 0.99], by, tensor, magnitude=True).select(
         *by,
         *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("abs_median", "abs_p90", "abs_p95", "abs_p99"))],
     )
-    return _join_groups(plain, ranked, by)
+    return _join_groups(folded, ranked, by)
 
 
 def _join_groups(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:

@@ -11,7 +11,7 @@ from shardloom.functions.arrays import STD_FLOOR, VAR_FLOOR, affine_channels, as
 from shardloom.functions.parsing import scale_slug
 from shardloom.operators.sampling import sample_exact
 from shardloom.operators.stats import channel_stats, tensor_stats
-from shardloom.session import require
+from shardloom.session import broadcast_if_small, require
 from shardloom.spec import DatasetSpec
 
 # Std and rms of the raw reference representation, for ratio columns.
@@ -27,7 +27,7 @@ def fit_normalizer(
     """``(channel, mean, std, num_samples)`` from an exact sample of the canonical view."""
     if "view" in df.columns:
         df = df.where(F.col("view") == "latents")
-    stats = channel_stats(sample_exact(df, sample_n, seed, cap=True), spec, tensor=tensor)
+    stats = channel_stats(sample_exact(df, sample_n, seed, cap=True, ordered=False), spec, tensor=tensor)
     std = F.sqrt(F.greatest(F.col("std") * F.col("std"), F.lit(VAR_FLOOR)))
     return stats.select("channel", "mean", std.alias("std"), F.col("sample_count").alias("num_samples"))
 
@@ -138,7 +138,7 @@ def quantize_u8(
         F.min(F.array_min(tensor)).cast("double").alias("__lo"), F.max(F.array_max(tensor)).cast("double").alias("__hi")
     )
     if by:
-        df = df.join(span, by)
+        df = df.join(broadcast_if_small(span), by)
         unit = (F.col("__lo") >= -0.05) & (F.col("__hi") <= 1.05)
         return df.withColumn(out, F.when(unit, level(True)).otherwise(level(False))).drop("__lo", "__hi")
     lo, hi = span.first()

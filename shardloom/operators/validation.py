@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from shardloom.functions.hashing import hex_prefix
 from shardloom.session import require
@@ -92,21 +92,25 @@ def verify_dataset(
     )
 
 
-def table_digest(df: DataFrame, by: Sequence[str] = (), portable: bool = False) -> DataFrame:
-    """Order-insensitive digest of whole rows; equal tables give equal digests.
+def row_hash(columns: Sequence[str], portable: bool = False) -> Column:
+    """64-bit hash of whole rows; ``portable`` hashes their text with md5, repeatable in other engines."""
+    if not portable:
+        return F.xxhash64(*[F.col(c) for c in columns])
+    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns])
+    return hex_prefix(F.md5(text), 15)
 
-    ``portable`` hashes the rows' text with md5, slower but repeatable in other engines.
-    """
-    if portable:
-        text = F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in df.columns]))
-        row = hex_prefix(text, 15)
-    else:
-        row = F.xxhash64(*[F.col(c) for c in df.columns])
-    hashed = df.select(*by, row.alias("__h"))
-    return hashed.groupBy(*by).agg(
-        F.count("*").alias("rows"), F.bit_xor("__h").alias("digest_xor"),
-        F.sum(F.pmod("__h", F.lit(1_000_003))).alias("digest_sum"),
-    )
+
+def digest_columns(row: Column) -> list[Column]:
+    """Order-insensitive aggregates of row hashes."""
+    return [
+        F.bit_xor(row).alias("digest_xor"), F.sum(F.pmod(row, F.lit(1_000_003))).alias("digest_sum"),
+    ]
+
+
+def table_digest(df: DataFrame, by: Sequence[str] = (), portable: bool = False) -> DataFrame:
+    """Order-insensitive digest of whole rows; equal tables give equal digests."""
+    hashed = df.select(*by, row_hash(df.columns, portable).alias("__h"))
+    return hashed.groupBy(*by).agg(F.count("*").alias("rows"), *digest_columns(F.col("__h")))
 
 
 def resume_plan(source: DataFrame, done: DataFrame, key: str = "source_index") -> DataFrame:

@@ -30,13 +30,13 @@ def _(t: Tables):
     f"""WITH {STEPS}, r AS (SELECT DISTINCT run FROM runlog)
     SELECT run, min(step) AS start_step, max(step) AS final_step, count(step) AS recorded_steps,
       min_by(loss, step) AS first_loss, min(loss) AS min_loss, max(loss) AS max_loss, max_by(loss, step) AS final_loss,
-      round(avg(realized), 6) AS mean_realized_fraction, max(peak_memory_mb) AS peak_memory_mb,
+      round(avg(realized), 12) AS mean_realized_fraction, max(peak_memory_mb) AS peak_memory_mb,
       coalesce(bool_and(loss_finite), false) AS loss_all_finite, coalesce(bool_and(grad_is_finite), false) AS grad_all_finite
     FROM r LEFT JOIN s USING (run) GROUP BY run""",
     ("runlog",),
 )
 def _(t: Tables):
-    return rounded(runlog.run_summary(_steps(t), runs=t.log))
+    return rounded(runlog.run_summary(_steps(t), runs=t.log), 12)
 
 
 @query(
@@ -83,22 +83,22 @@ def _(t: Tables):
 
 @query(
     "trailing_windows",
-    f"""{_last('[10, 50, 1000, 10000]')} SELECT run, "window", count(loss) AS n, round(avg(loss), 6) AS mean,
-      round(quantile_cont(loss, 0.5), 6) AS median, min(loss) AS "min", max(loss) AS "max" FROM j GROUP BY run, "window" """,
+    f"""{_last('[10, 50, 1000, 10000]')} SELECT run, "window", count(loss) AS n, round(avg(loss), 11) AS mean,
+      round(quantile_cont(loss, 0.5), 11) AS median, min(loss) AS "min", max(loss) AS "max" FROM j GROUP BY run, "window" """,
     ("runlog",),
 )
 def _(t: Tables):
-    return rounded(runlog.trailing_windows(_steps(t), "loss", (10, 50, 1000, 10000)))
+    return rounded(runlog.trailing_windows(_steps(t), "loss", (10, 50, 1000, 10000)), 11)
 
 
 @query(
     "step_bins",
-    f"""WITH {STEPS} SELECT run, (step - 1) // 16 * 16 + 1 AS bin_start, count(*) AS n, round(avg(loss), 6) AS mean,
-      round(quantile_cont(loss, 0.5), 6) AS median, (step - 1) // 16 * 16 + 16 AS bin_end FROM s GROUP BY run, (step - 1) // 16""",
+    f"""WITH {STEPS} SELECT run, (step - 1) // 16 * 16 + 1 AS bin_start, count(*) AS n, round(avg(loss), 11) AS mean,
+      round(quantile_cont(loss, 0.5), 11) AS median, (step - 1) // 16 * 16 + 16 AS bin_end FROM s GROUP BY run, (step - 1) // 16""",
     ("runlog",),
 )
 def _(t: Tables):
-    return rounded(runlog.step_bins(_steps(t), 16))
+    return rounded(runlog.step_bins(_steps(t), 16), 11)
 
 
 @query(
@@ -161,8 +161,8 @@ def _(t: Tables):
       date_diff('day', min(day) OVER (PARTITION BY job), day) * 86400.0::DOUBLE + 86400 AS el FROM d),
     q AS (SELECT job, t, CAST(done AS BIGINT) AS done, greatest(5000 - done, 0) AS remaining, done / el AS avg_rate,
       (done - lag(done) OVER w) / (epoch(t) - epoch(lag(t) OVER w)) AS interval_rate FROM p WINDOW w AS (PARTITION BY job ORDER BY t))
-    SELECT job, {TS.format('t')} AS time, done, CAST(remaining AS BIGINT) AS remaining, round(avg_rate, 9) AS avg_rate,
-      round(interval_rate, 9) AS interval_rate, round(remaining / avg_rate, 3) AS eta_sec,
+    SELECT job, {TS.format('t')} AS time, done, CAST(remaining AS BIGINT) AS remaining, round(avg_rate, 13) AS avg_rate,
+      round(interval_rate, 13) AS interval_rate, round(remaining / avg_rate, 3) AS eta_sec,
       strftime(t + to_seconds(floor(remaining / avg_rate)), '%Y%m%dT%H%M%SZ') AS finish_utc FROM q""",
 )
 def _(t: Tables):
@@ -176,8 +176,8 @@ def _(t: Tables):
     )
     out = trends.progress_eta(progress)
     return out.select(
-        "job", stamp("time_utc").alias("time"), "done", "remaining", F.round("avg_rate", 9).alias("avg_rate"),
-        F.round("interval_rate", 9).alias("interval_rate"), F.round("eta_sec", 3).alias("eta_sec"), "finish_utc",
+        "job", stamp("time_utc").alias("time"), "done", "remaining", F.round("avg_rate", 13).alias("avg_rate"),
+        F.round("interval_rate", 13).alias("interval_rate"), F.round("eta_sec", 3).alias("eta_sec"), "finish_utc",
     )
 
 

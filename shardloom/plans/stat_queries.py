@@ -99,7 +99,7 @@ def _(t: Tables):
     ("elements",),
 )
 def _(t: Tables):
-    return rounded(stats.abs_quantiles(t.latents, ["label"]))
+    return rounded(stats.abs_quantiles(t.latents, SPEC, ["label"]))
 
 
 @query(
@@ -109,7 +109,7 @@ def _(t: Tables):
     ("elements",),
 )
 def _(t: Tables):
-    return rounded(stats.abs_quantiles(t.latents).select("abs_median", "abs_p99"))
+    return rounded(stats.abs_quantiles(t.latents, SPEC).select("abs_median", "abs_p99"))
 
 
 @query(

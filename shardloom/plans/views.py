@@ -67,7 +67,7 @@ class Tables:
         """``events`` as a run log: run = user, step = position of the event in the run."""
         e = self.read("events").withColumn("created_at", F.col("ts").cast("timestamp"))
         numbered = running_before(
-            e, ["created_at", "event_id"], range_bucket(e, "created_at", 64), group=["user_id"], name="ahead"
+            e, ["created_at", "event_id"], range_bucket(e, "created_at"), group=["user_id"], name="ahead"
         )
         k = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
         kind = (

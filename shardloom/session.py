@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+# A side is broadcast only when it was counted and found no longer than this; rows here are a few keys wide.
+BROADCAST_ROWS = 200_000
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
@@ -24,7 +27,7 @@ def require(condition: bool, message: str) -> None:
         raise ValueError(message)
 
 
-def materialize(df, name: str):
+def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a reused intermediate once to the shared scratch folder and read it back.
 
     Cuts the lineage: later passes and lost executors reread the table instead of recomputing it.
@@ -33,3 +36,8 @@ def materialize(df, name: str):
     path = scratch_dir(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Hint a broadcast for a narrow side that a count shows to be small; otherwise leave the shuffle join."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shardloom.operators.validation import table_digest
+from shardloom.operators.validation import digest_columns, row_hash
 from shardloom.session import require
 from shardloom.sources.files import open_fs
 
@@ -67,12 +67,12 @@ def write_sharded(df: DataFrame, path: str, shard_size: int = 4096, index: str =
 
 def build_manifest(df: DataFrame, index: str = "global_index", payload: str = "tensor", item_bytes: int = 4) -> DataFrame:
     """Per shard: rows, payload bytes, first and last index, label range, digest."""
-    sized = df.withColumn("__bytes", F.size(payload).cast("bigint") * item_bytes)
-    facts = sized.groupBy("shard").agg(
+    sized = df.withColumn("__bytes", F.size(payload).cast("bigint") * item_bytes).withColumn("__h", row_hash(df.columns))
+    return sized.groupBy("shard").agg(
         F.count("*").alias("rows"), F.sum("__bytes").alias("bytes"), F.min(index).alias("first_index"),
         F.max(index).alias("last_index"), F.min("label").alias("label_min"), F.max("label").alias("label_max"),
+        *digest_columns(F.col("__h")),
     )
-    return facts.join(table_digest(df, ["shard"]).select("shard", "digest_xor", "digest_sum"), "shard")
 
 
 def manifest_totals(manifest: DataFrame) -> DataFrame:

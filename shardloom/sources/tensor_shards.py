@@ -7,7 +7,10 @@ several partitions by file size, so one huge shard does not become one task.
 
 from __future__ import annotations
 
+import hashlib
 import json
+import re
+import uuid
 from collections.abc import Sequence
 
 import numpy as np
@@ -18,8 +21,8 @@ from pyspark.sql.types import StructType
 
 from shardloom.functions.batches import list_column, matrix
 from shardloom.functions.parsing import shard_number
-from shardloom.session import require
-from shardloom.sources.files import checksum, file_table, list_files, open_fs
+from shardloom.session import materialize, require
+from shardloom.sources.files import list_files, open_fs
 from shardloom.spec import DatasetSpec
 
 FORMAT = "tensor_shards"
@@ -106,8 +109,6 @@ class _ShardReader(DataSourceReader):
         self.mode = options.get("mode", "samples")
 
     def partitions(self) -> list[InputPartition]:
-        import re
-
         files = list_files(self.options["path"], self.options.get("glob", "*.safetensors"))
         target = int(self.options.get("partition_bytes", _PARTITION_BYTES))
         out = []
@@ -273,19 +274,21 @@ def write_tensor_shards(
         target = f"{root}/{prefix}{shard:06d}.safetensors"
         fs, inner = open_fs(target)
         fs.create_dir(inner.rsplit("/", 1)[0], recursive=True)
-        with fs.open_output_stream(inner + ".tmp") as out:
-            out.write(len(head).to_bytes(8, "little") + head)
-            for _, _, blob in blobs.values():
-                out.write(blob)
-        fs.move(inner + ".tmp", inner)
-        return pa.table({"path": [target], "rows": pa.array([n], pa.int64())})
+        digest, total = hashlib.sha256(), 0
+        attempt = f"{inner}.{uuid.uuid4().hex}.tmp"
+        with fs.open_output_stream(attempt) as out:
+            for block in (len(head).to_bytes(8, "little") + head, *(blob for _, _, blob in blobs.values())):
+                out.write(block)
+                digest.update(block)
+                total += len(block)
+        fs.move(attempt, inner)
+        return pa.table({"path": [target], "rows": [n], "bytes": [total], "sha256": [digest.hexdigest()]})
 
     rows = df.select(index, "label", *extra, *names).withColumn("__shard", F.floor(F.col(index) / shard_size))
-    written = rows.groupBy("__shard").applyInArrow(write, "path string, rows bigint").collect()
-    spark = df.sparkSession
-    counts = spark.createDataFrame(written, "path string, rows bigint")
-    sizes = file_table(spark, root, f"{prefix}*.safetensors", recursive=False).select("path", "bytes")
-    return checksum(counts.join(sizes, "path"))
+    # writing happens once, here; the facts about the files are kept as a table
+    return materialize(
+        rows.groupBy("__shard").applyInArrow(write, "path string, rows bigint, bytes bigint, sha256 string"), "written"
+    )
 
 
 def registry_rows(headers: DataFrame) -> DataFrame:
