@@ -33,7 +33,7 @@ def _write_latents(t: Tables, dtype: str = "F32") -> str:
     ("latents",),
 )
 def _(t: Tables):
-    back = tensor_shards.read_tensor_shards(t.spark, _write_latents(t), SPEC, ["latents", "latents_flip"], partition_bytes=8192)
+    back = tensor_shards.read_tensor_shards(t.spark, _write_latents(t), SPEC, ["latents", "latents_flip"], partition_bytes=24_576)
     total = F.aggregate("tensor", F.lit(0.0), lambda acc, v: acc + v.cast("double"))
     return rounded(
         back.select("shard", "local_index", "view", "label", "source_index", total.alias("total"), F.get("tensor", F.lit(0)).alias("first"))
