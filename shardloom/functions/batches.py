@@ -35,13 +35,23 @@ def list_column(values: np.ndarray, kind: pa.DataType) -> pa.Array:
 
 
 def group_rows(batch: pa.RecordBatch, keys: list[str]):
-    """Yield ``(key tuple, row numbers)`` for the distinct keys of a batch."""
+    """Yield ``(key tuple, row numbers)`` for the distinct keys of a batch; keys are plain Python values."""
     if not keys:
         yield (), slice(None)
         return
-    frame = batch.select(keys).to_pandas()
-    for key, rows in frame.groupby(keys, dropna=False, sort=False).indices.items():
-        yield (key if isinstance(key, tuple) else (key,)), rows
+    combined, values = np.zeros(batch.num_rows, dtype=np.int64), []
+    for name in keys:
+        encoded = batch.column(name).dictionary_encode(null_encoding="encode")
+        values.append(encoded.dictionary.to_pylist())
+        combined = combined * len(values[-1]) + encoded.indices.to_numpy()
+    present, group = np.unique(combined, return_inverse=True)
+    order = np.argsort(group, kind="stable")
+    for code, rows in zip(present, np.split(order, np.cumsum(np.bincount(group))[:-1])):
+        key = []
+        for options in reversed(values):
+            code, at = divmod(int(code), len(options))
+            key.append(options[at])
+        yield tuple(reversed(key)), rows
 
 
 def extended_schema(base: StructType, ddl: str) -> StructType:
@@ -51,10 +61,4 @@ def extended_schema(base: StructType, ddl: str) -> StructType:
 
 def key_columns(key: tuple, names: list[str], kinds: dict, rows: int) -> dict[str, pa.Array]:
     """A group key repeated as columns."""
-    return {name: pa.array([plain(v)] * rows, to_arrow_type(kinds[name])) for name, v in zip(names, key)}
-
-
-def plain(v):
-    """A numpy or pandas scalar as a Python value, missing as None."""
-    v = v.item() if isinstance(v, np.generic) else v
-    return None if v is None or v != v else v
+    return {name: pa.array([v] * rows, to_arrow_type(kinds[name])) for name, v in zip(names, key)}

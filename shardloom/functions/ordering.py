@@ -35,13 +35,13 @@ def running_before(
     ``position`` also adds the number of rows ahead. ``bucket`` must not decrease along ``order``. One shuffle
     of the rows on (group, bucket), plus the map-side combined totals.
     """
-    keys = [*group, "__bucket"]
+    keys = ["__group", "__bucket"]
     one = F.lit(1).cast("bigint")
     wanted = {name: one if value is None else value} | ({position: one} if position else {})
-    rows = df.withColumn("__bucket", bucket)
+    rows = _keyed(df, group, bucket)
     for out, amount in wanted.items():
         rows = rows.withColumn(f"__amount_{out}", amount)
-    ahead = Window.partitionBy(*group).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy("__group").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = rows.groupBy(*keys).agg(*[F.sum(f"__amount_{out}").alias(f"__total_{out}") for out in wanted])
     offsets = totals.select(
         *keys, *[F.coalesce(F.sum(f"__total_{out}").over(ahead), F.lit(0)).alias(f"__offset_{out}") for out in wanted]
@@ -51,7 +51,13 @@ def running_before(
     for out in wanted:
         before = F.coalesce(F.sum(f"__amount_{out}").over(inside), F.lit(0))
         placed = placed.withColumn(out, F.col(f"__offset_{out}") + before)
-    return placed.drop("__bucket", *[f"__{kind}_{out}" for kind in ("amount", "offset") for out in wanted])
+    return placed.drop(*keys, *[f"__{kind}_{out}" for kind in ("amount", "offset") for out in wanted])
+
+
+def _keyed(df: DataFrame, group: Sequence[str], bucket: Column) -> DataFrame:
+    """Group and bucket as join keys that are never null, so rows with null groups or orders stay."""
+    key = F.struct(*group) if group else F.lit(0)
+    return df.withColumn("__group", key).withColumn("__bucket", F.coalesce(bucket, F.lit(-1)))
 
 
 def bucket_count(rows: int) -> int:
@@ -82,14 +88,15 @@ def text_bucket(df: DataFrame, column: str, rows: int) -> Column:
     """
     buckets = bucket_count(rows)
     picked = df.select(column).orderBy(F.xxhash64(column), column).limit(buckets * SAMPLE_PER_BUCKET)
-    sample = picked.toPandas()[column].sort_values()
+    sample = picked.toPandas()[column].dropna().sort_values()
     cuts = np.unique(sample.to_numpy(dtype=object)[:: max(1, len(sample) // buckets)])
     encoded = np.array([c.encode() for c in cuts], dtype=object)
 
     @F.pandas_udf("bigint")
     def place(values: pd.Series) -> pd.Series:
         # bytes compare the way Spark orders strings
-        return pd.Series(np.searchsorted(encoded, values.str.encode("utf-8").to_numpy(), side="right"))
+        known = values.fillna("").str.encode("utf-8").to_numpy()
+        return pd.Series(np.where(values.isna(), -1, np.searchsorted(encoded, known, side="right")))
 
     return place(F.col(column))
 
@@ -137,9 +144,9 @@ def last_before(
     Like ``lag`` / ``last(ignorenulls)`` over the group, but a hot group is spread over its buckets: each
     bucket's last value is carried forward over the few bucket rows, and only rows of one bucket are sorted.
     """
-    keys = [*group, "__bucket"]
-    rows = df.withColumn("__bucket", bucket).withColumn("__value", value)
-    ahead = Window.partitionBy(*group).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    keys = ["__group", "__bucket"]
+    rows = _keyed(df, group, bucket).withColumn("__value", value)
+    ahead = Window.partitionBy("__group").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     at = F.when(F.col("__value").isNotNull(), F.struct(*order))
     carried = (
         rows.groupBy(*keys)
@@ -151,5 +158,5 @@ def last_before(
     return (
         rows.join(carried, keys)
         .withColumn(name, F.coalesce(F.last("__value", ignorenulls=True).over(inside), F.col("__carry")))
-        .drop("__bucket", "__value", "__carry")
+        .drop(*keys, "__value", "__carry")
     )

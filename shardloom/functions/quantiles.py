@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shardloom.functions.batches import extended_schema, group_rows, key_columns, matrix
+from shardloom.functions.joins import join_groups
 from shardloom.session import BROADCAST_ROWS, materialize
 
 # 64 codes per doubling on the first level, each cut 4096-fold on the second.
@@ -49,7 +50,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Seque
         keys = [*by, *_LEVELS[: _LEVELS.index(level) + 1]]
         if hits is None:
             return rows.groupBy(*keys).agg(F.count("*").alias("__c"))
-        inside = rows.join(F.broadcast(hits) if few else hits, keys[:-1])
+        inside = join_groups(rows, hits, keys[:-1], small=few)
         return inside.groupBy(*keys).agg(F.count("*").alias("__c"), *_carried())
 
     return _quantiles(count, probs, by)
@@ -107,13 +108,14 @@ def tensor_quantiles(
         if hits is None:
             return counts(0, None).groupBy(*keys).agg(F.sum("__c").alias("__c"))
         if few:
-            found = counts(_LEVELS.index(level), wanted_codes(hits, keys[-2])).join(F.broadcast(hits), keys[:-1])
+            found = join_groups(counts(_LEVELS.index(level), wanted_codes(hits, keys[-2])), hits, keys[:-1], small=True)
         else:
             exploded = source.select(*by, F.explode(tensor).alias("__v")).withColumn("__v", F.col("__v").cast("double"))
             if magnitude:
                 exploded = exploded.withColumn("__v", F.abs("__v"))
             exploded = exploded.where(~F.isnan("__v")).withColumn("__fine", _code(F.col("__v")))
-            found = exploded.withColumn("__coarse", F.shiftright("__fine", _SHIFT)).withColumn("__c", F.lit(1).cast("bigint")).join(hits, keys[:-1])
+            coded = exploded.withColumn("__coarse", F.shiftright("__fine", _SHIFT)).withColumn("__c", F.lit(1).cast("bigint"))
+            found = join_groups(coded, hits, keys[:-1])
         return found.groupBy(*keys).agg(F.sum("__c").alias("__c"), *_carried())
 
     return _quantiles(count, probs, by)

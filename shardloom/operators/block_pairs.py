@@ -15,9 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from shardloom.functions.batches import matrix
+from shardloom.functions.joins import with_row
 from shardloom.functions.ordering import running_before
 from shardloom.functions.quantiles import FINE_CUT, value_codes
-from shardloom.session import materialize
+from shardloom.session import broadcast_if_small, materialize
 
 _TILE = 2048
 _MAX_BLOCK_BYTES = 64 << 20
@@ -76,9 +77,8 @@ def over_pairs(blocks: DataFrame, fn, schema: str, width: int) -> DataFrame:
         F.least("blk", "__other").alias("p"), F.greatest("blk", "__other").alias("q"), "side", "blk", "packed"
     )
     # a hash may leave a block number unused; such pairs have one block only and are left out
-    sent = sent.join(F.broadcast(present.select(F.col("blk").alias("p"))), "p").join(
-        F.broadcast(present.select(F.col("blk").alias("q"))), "q"
-    )
+    for end in ("p", "q"):
+        sent = sent.join(broadcast_if_small(present.select(F.col("blk").alias(end))), end)
 
     def pair(table: pa.Table) -> pa.Table:
         rows = sorted(table.select(["blk", "side", "packed"]).to_pylist(), key=lambda r: r["blk"])
@@ -117,8 +117,7 @@ def kernel_sums(blocks: DataFrame, kernel, width: int) -> DataFrame:
     total = over_pairs(blocks, sums, "xx double, yy double, xy double", width).agg(
         *[F.sum(c).alias(c) for c in ("xx", "yy", "xy")]
     )
-    one = F.lit(1)
-    return total.withColumn("__one", one).join(side_counts(blocks).withColumn("__one", one), "__one").drop("__one")
+    return with_row(total, side_counts(blocks))
 
 
 def median_sq_distance(blocks: DataFrame, width: int) -> float:

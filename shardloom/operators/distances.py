@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from shardloom.functions.batches import extended_schema, list_column, matrix
+from shardloom.functions.joins import with_row
 from shardloom.operators.errors import random_projection
 from shardloom.operators.block_pairs import kernel_sums, median_sq_distance, pack_blocks, squared_distances
 from shardloom.operators.moments import (
@@ -43,33 +44,34 @@ def _unpack(side: pd.DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
 
 
 def _pairwise(m1: DataFrame, m2: DataFrame, by: Sequence[str], fn, out: str) -> DataFrame:
-    """Apply ``fn(n1, mu1, S1, n2, mu2, S2)`` per group. A group holds two d x d matrices, whatever the data size."""
+    """Apply ``fn(n1, mu1, S1, n2, mu2, S2)`` per group. A group holds two d x d matrices, whatever the data size.
+
+    A second side without the group columns is one common reference: its single d x d matrix goes to every task.
+    """
     by = list(by)
-    shared = [c for c in by if c in m2.columns]
-    if not shared and by:
-        # one reference for every group
-        groups = m1.select(*by).distinct()
-        m2 = m2.withColumn("__one", F.lit(1)).join(groups.withColumn("__one", F.lit(1)), "__one").drop("__one")
-    keys = by or ["__one"]
-    tagged = [
-        m.select(*by, *([] if by else [F.lit(1).alias("__one")]), F.lit(s).alias("__side"), "i", "n", "mu", "sigma")
-        for s, m in ((1, m1), (2, m2))
-    ]
-    both = tagged[0].unionByName(tagged[1])
-    schema = extended_schema(both.select(*keys).schema, f"n1 bigint, n2 bigint, dims int, {out} double")
+    columns = ["i", "n", "mu", "sigma"]
+    schema = extended_schema(
+        m1.select(*by).schema, f"n1 bigint, n2 bigint, dims int, {out} double"
+    )
+    names = [f.name for f in schema.fields]
+    common = bool(by) and not any(c in m2.columns for c in by)
+    reference = m1.sparkSession.sparkContext.broadcast(_unpack(m2.select(*columns).toPandas())) if common else None
 
     def step(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         one, two = pdf[pdf["__side"] == 1], pdf[pdf["__side"] == 2]
-        if one.empty or two.empty:
-            return pd.DataFrame(columns=[f.name for f in schema.fields])
+        if one.empty or (two.empty and not common):
+            return pd.DataFrame(columns=names)
         n1, mu1, s1 = _unpack(one)
-        n2, mu2, s2 = _unpack(two)
+        n2, mu2, s2 = reference.value if common else _unpack(two)
         if mu1.shape != mu2.shape:
             raise ValueError(f"feature widths differ: {len(mu1)} and {len(mu2)}")
-        return pd.DataFrame([[*key, n1, n2, len(mu1), fn(n1, mu1, s1, n2, mu2, s2)]], columns=[f.name for f in schema.fields])
+        value = fn(n1, mu1, s1, n2, mu2, s2)
+        return pd.DataFrame([[*key[: len(by)], n1, n2, len(mu1), value]], columns=names)
 
-    res = both.groupBy(*keys).applyInPandas(step, schema)
-    return res if by else res.drop("__one")
+    tagged = m1.select(*by, F.lit(1).alias("__side"), *columns)
+    if not common:
+        tagged = tagged.unionByName(m2.select(*by, F.lit(2).alias("__side"), *columns))
+    return tagged.withColumn("__one", F.lit(1)).groupBy(*by, "__one").applyInPandas(step, schema)
 
 
 def frechet(m1: DataFrame, m2: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -274,10 +276,10 @@ def compare_features(
 
 
 def _side_by_side(parts: Sequence[DataFrame]) -> DataFrame:
-    out = parts[0].withColumn("__one", F.lit(1))
+    out = parts[0]
     for p in parts[1:]:
-        out = out.join(p.withColumn("__one", F.lit(1)), "__one")
-    return out.drop("__one")
+        out = with_row(out, p)
+    return out
 
 
 SKIP_REASON = "skip_mmd enabled; the primary metric is the reconstruction distance"

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from shardloom.functions.arrays import as_double
 from shardloom.functions.batches import bytes_matrix, extended_schema, list_column
+from shardloom.functions.joins import join_groups
 from shardloom.functions.quantiles import exact_quantiles
 from shardloom.operators.stats import tensor_partials
 from shardloom.session import materialize, require
@@ -127,10 +128,7 @@ def pixel_error(pairs: DataFrame, spec: DatasetSpec, by: Sequence[str] = ()) ->
     wide = medians.groupBy(*by).agg(
         *[F.max(F.when(F.col("kind") == c, F.get("q", F.lit(0)))).alias(f"image_{c}_median") for c in ("mse", "mae", "psnr")]
     ).withColumn("image_psnr_median", F.coalesce("image_psnr_median", inf))
-    if by:
-        return total.join(wide, by)
-    one = F.lit(1)
-    return total.withColumn("__one", one).join(wide.withColumn("__one", one), "__one").drop("__one")
+    return join_groups(total, wide, by)
 
 
 def rel_error(pairs: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame:

@@ -6,6 +6,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from shardloom.functions.joins import join_groups
+
 
 def capacity_plan(
     bench: DataFrame, targets: Mapping[str, int], bytes_per_sample: float, overhead_hours: float = 0.0,
@@ -39,8 +41,8 @@ def pick_config(bench: DataFrame, by: Sequence[str] = (), rate: str = "total_rat
     """Marks the best throughput among PASS rows; failed rows stay in the table."""
     passed = F.upper("status") == "PASS"
     best = bench.where(passed).groupBy(*by).agg(
-        F.max_by(F.struct("config", "batch"), F.struct(F.col(rate), -F.col("batch"), "config")).alias("__best"), F.lit(1).alias("__one")
+        F.max_by(F.struct("config", "batch"), F.struct(F.col(rate), -F.col("batch"), "config")).alias("__best")
     )
-    joined = bench.withColumn("__one", F.lit(1)).join(best, [*by, "__one"], "left").drop("__one")
+    joined = join_groups(bench, best, by, "left")
     chosen = passed & (F.struct("config", "batch") == F.col("__best"))
     return joined.withColumn("chosen", F.coalesce(chosen, F.lit(False))).drop("__best")

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from shardloom.functions.joins import with_row
 from shardloom.functions.ordering import ordered_bucket, running_before
 from shardloom.functions.parsing import evenly_spaced
 from shardloom.session import BROADCAST_ROWS, broadcast_if_small, materialize, require
@@ -119,20 +120,14 @@ def dataset_summary(
     ends = {"first_shards": registry.orderBy(F.col(order).asc()), "last_shards": registry.orderBy(F.col(order).desc())}
     for name, rows in ends.items():
         listed = rows.limit(k).agg(F.array_join(F.sort_array(F.collect_list(order)), ",").alias(name))
-        out = _beside(out, listed)
+        out = with_row(out, listed)
     if quarantine is None:
         return out.withColumn("skipped_count", F.lit(0).cast("bigint")).withColumn("skipped_first", F.lit(""))
     skipped = quarantine.agg(F.count("*").alias("skipped_count"))
     first = quarantine.orderBy(order).limit(k).agg(
         F.array_join(F.sort_array(F.collect_list(order)), ",").alias("skipped_first")
     )
-    return _beside(_beside(out, skipped), first)
-
-
-def _beside(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Two one-row results side by side."""
-    one = F.lit(1)
-    return left.withColumn("__one", one).join(right.withColumn("__one", one), "__one").drop("__one")
+    return with_row(with_row(out, skipped), first)
 
 
 def cache_inventory(files: DataFrame, expected: int, headers: DataFrame | None = None) -> DataFrame:

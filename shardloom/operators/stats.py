@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from shardloom.functions.arrays import is_not_finite
-from shardloom.functions.batches import bytes_matrix, extended_schema, group_rows, matrix, plain
+from shardloom.functions.batches import bytes_matrix, extended_schema, group_rows, matrix
+from shardloom.functions.joins import join_groups
 from shardloom.functions.quantiles import tensor_quantiles
 from shardloom.spec import DatasetSpec
 
@@ -75,7 +76,7 @@ def _merge_block(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _partial_batch(groups: dict, by: list[str], key_types: dict, channels: int) -> pa.RecordBatch:
     block = np.concatenate(list(groups.values()))
     columns = {
-        name: pa.array([plain(key[i]) for key in groups for _ in range(channels)], to_arrow_type(key_types[name]))
+        name: pa.array([key[i] for key in groups for _ in range(channels)], to_arrow_type(key_types[name]))
         for i, name in enumerate(by)
     }
     columns["channel"] = pa.array(np.tile(np.arange(channels, dtype=np.int32), len(groups)))
@@ -180,14 +181,7 @@ def abs_quantiles(df: DataFrame, spec: DatasetSpec, by: Sequence[str] = (), tens
         *by,
         *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("abs_median", "abs_p90", "abs_p95", "abs_p99"))],
     )
-    return _join_groups(folded, ranked, by)
-
-
-def _join_groups(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
-    """Join per-group results; without groups both sides are single rows."""
-    if by:
-        return left.join(right, by)
-    return left.withColumn("__one", F.lit(1)).join(right.withColumn("__one", F.lit(1)), "__one").drop("__one")
+    return join_groups(folded, ranked, by)
 
 
 def finite_audit(df: DataFrame, by: Sequence[str] = (), tensor: str = "tensor") -> DataFrame:

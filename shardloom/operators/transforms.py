@@ -8,10 +8,11 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shardloom.functions.arrays import STD_FLOOR, VAR_FLOOR, affine_channels, as_double
+from shardloom.functions.joins import join_groups
 from shardloom.functions.parsing import scale_slug
 from shardloom.operators.sampling import sample_exact
 from shardloom.operators.stats import channel_stats, tensor_stats
-from shardloom.session import broadcast_if_small, require
+from shardloom.session import is_small, require
 from shardloom.spec import DatasetSpec
 
 # Std and rms of the raw reference representation, for ratio columns.
@@ -138,7 +139,7 @@ def quantize_u8(
         F.min(F.array_min(tensor)).cast("double").alias("__lo"), F.max(F.array_max(tensor)).cast("double").alias("__hi")
     )
     if by:
-        df = df.join(broadcast_if_small(span), by)
+        df = join_groups(df, span, by, small=is_small(span))
         unit = (F.col("__lo") >= -0.05) & (F.col("__hi") <= 1.05)
         return df.withColumn(out, F.when(unit, level(True)).otherwise(level(False))).drop("__lo", "__hi")
     lo, hi = span.first()

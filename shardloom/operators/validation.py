@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shardloom.functions.hashing import hex_prefix
+from shardloom.functions.joins import with_row
 from shardloom.session import require
 
 # Spellings of a 64-bit integer dtype in shard headers.
@@ -152,8 +153,7 @@ def order_audit(source: DataFrame, derived: DataFrame, key: str = "source_index"
     order = derived.join(previous, position).agg(
         F.count_if(F.col(key) <= F.col("__previous")).alias("order_breaks")
     )
-    one = F.lit(1)
-    both = matched.withColumn("__one", one).join(order.withColumn("__one", one), "__one").drop("__one")
+    both = with_row(matched, order)
     problems = sum((F.col(c) for c in ("gaps", "extra", "duplicates", "label_mismatches", "order_breaks")), F.lit(0))
     return both.withColumn("ok", problems == 0)
 

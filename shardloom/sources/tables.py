@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shardloom.functions.ordering import ordered_bucket, running_before
+from shardloom.session import broadcast_if_small
 
 
 def read_source_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -19,7 +20,7 @@ def read_source_parquet(spark: SparkSession, path: str) -> DataFrame:
     starts = running_before(
         per_file, ["source_file"], ordered_bucket(per_file, "source_file"), F.col("__n"), name="__start"
     ).drop("__n")
-    return rows.join(starts, "source_file").withColumn("source_index", F.col("__start") + F.col("__row")).drop(
+    return rows.join(broadcast_if_small(starts), "source_file").withColumn("source_index", F.col("__start") + F.col("__row")).drop(
         "__start", "__row"
     )
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from shardloom.functions.arrays import is_not_finite
+from shardloom.functions.joins import with_row
 from shardloom.sources.logs import parse_run_log
 
 
@@ -84,9 +85,9 @@ def alerts_from_partials(partials: DataFrame, idle_seconds: int, by: Sequence[st
     )
     bad = merged.groupBy(*by).agg(F.min("bad_step").alias("step"), F.min_by("bad_at", "bad_step").alias("at"))
     bad = bad.where(F.col("step").isNotNull()).select(*by, F.lit("non_finite").alias("kind"), "step", "at")
-    newest = merged.agg(F.max("last_at").alias("__now")).withColumn("__one", F.lit(1))
+    newest = merged.agg(F.max("last_at").alias("__now"))
     nxt = F.lead("first_at").over(Window.partitionBy(*by).orderBy("slot"))
-    gaps = merged.withColumn("__next", nxt).withColumn("__one", F.lit(1)).join(newest, "__one")
+    gaps = with_row(merged.withColumn("__next", nxt), newest)
     silence = F.unix_micros(F.coalesce("__next", "__now")) - F.unix_micros("last_at")
     idle = gaps.where(silence >= idle_seconds * 1_000_000).select(
         *by, F.lit("idle").alias("kind"), F.lit(None).cast("bigint").alias("step"), F.col("last_at").alias("at")

@@ -103,3 +103,31 @@ def test_driver_side_lists():
     with pytest.raises(ValueError):
         parse_float_list(" , ")
     assert [scale_slug(s) for s in (0.35, -1, 1e-7, 1e20)] == ["s0p35", "sm1", "s1em07", "s1e20"]
+
+
+def test_rows_with_null_keys_stay(spark):
+    rows = [(None, 1, 1.0), (None, 2, 2.0), ("a", None, 3.0), ("a", 1, 4.0), ("a", 2, None)]
+    df = spark.createDataFrame(rows, "g string, t bigint, v double")
+    out = O.running_before(df, ["t"], O.range_bucket(df, "t"), group=["g"], name="pos")
+    assert sorted((r["g"] or "", r["t"] or 0, r["pos"]) for r in out.collect()) == [("", 1, 0), ("", 2, 1), ("a", 0, 0), ("a", 1, 1), ("a", 2, 2)]
+    last = O.last_before(df, ["t"], O.range_bucket(df, "t"), F.col("v"), ["g"], "p", inclusive=True)
+    assert {(r["g"], r["t"]): r["p"] for r in last.collect()}[("a", 2)] == 4.0 and last.count() == 5
+    assert {r["g"]: r["q"][0] for r in Q.exact_quantiles(df, "v", [0.5], ["g"]).collect()} == {None: 1.5, "a": 3.5}
+    texts = spark.createDataFrame([("b",), (None,), ("a",)], "s string")
+    placed = O.running_before(texts, ["s"], O.ordered_bucket(texts, "s", single_task_rows=1), name="pos")
+    assert {r["s"]: r["pos"] for r in placed.collect()} == {None: 0, "a": 1, "b": 2}
+
+
+def test_tensor_quantiles_keep_a_null_group(spark):
+    df = spark.createDataFrame([(None, [1.0, 2.0]), (1, [5.0, 7.0])], "g int, tensor array<double>")
+    assert {r["g"]: r["q"][0] for r in Q.tensor_quantiles(df, 2, [0.5], ["g"]).collect()} == {None: 1.5, 1: 6.0}
+
+
+def test_batch_groups_keep_large_and_null_keys():
+    import pyarrow as pa
+
+    from shardloom.functions.batches import group_rows
+
+    batch = pa.RecordBatch.from_pydict({"a": pa.array([2**60 + 1, None, 2**60 + 1, 5]), "b": ["x", "x", "x", None]})
+    got = {k: list(r) for k, r in group_rows(batch, ["a", "b"])}
+    assert got == {(2**60 + 1, "x"): [0, 2], (None, "x"): [1], (5, None): [3]}
