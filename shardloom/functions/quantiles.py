@@ -22,6 +22,9 @@ FINE_CUT = 4096
 _FINE = CODES_PER_DOUBLING * FINE_CUT
 _SHIFT = 12
 _OFFSET = 1100.0
+_TABLE_CODES = 1 << 22
+# Up to this many values in all, every group fits one task.
+SMALL_VALUES = 1_000_000
 
 
 def _code(v: Column) -> Column:
@@ -37,13 +40,28 @@ def value_codes(values: np.ndarray) -> np.ndarray:
     return np.where(values == 0, 0, np.sign(values) * magnitude).astype(np.int64)
 
 
+def count_codes(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes and how often each occurs; a table of counts where the codes lie close together."""
+    if codes.dtype.kind != "i" or not len(codes):
+        return np.unique(codes, return_counts=True)
+    low, high = int(codes.min()), int(codes.max())
+    if high - low > _TABLE_CODES:
+        return np.unique(codes, return_counts=True)
+    counts = np.bincount(codes - low, minlength=1)
+    at = np.flatnonzero(counts)
+    return at + low, counts[at]
+
+
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """One row per group: ``n`` and ``q`` (array aligned with ``probs``), linear interpolation.
 
-    Nulls and NaN are left out. Three passes over ``df``; every shuffle moves pre-counted codes or values.
+    Nulls and NaN are left out. A table counted as small is ranked at once; a larger one takes three passes,
+    whose shuffles move pre-counted codes or values.
     """
     by = list(by)
     rows = df.select(*by, F.col(value).cast("double").alias("__v")).where(F.col("__v").isNotNull() & ~F.isnan("__v"))
+    if rows.limit(SMALL_VALUES + 1).count() <= SMALL_VALUES:
+        return _at_once(rows, probs, by)
     rows = rows.withColumn("__fine", _code(F.col("__v"))).withColumn("__coarse", F.shiftright("__fine", _SHIFT))
 
     def count(level: str, hits: DataFrame | None, few: bool) -> DataFrame:
@@ -66,6 +84,10 @@ def tensor_quantiles(
     """
     by = list(by)
     source = df.select(*by, tensor)
+    if source.limit(SMALL_VALUES // width + 1).count() <= SMALL_VALUES // width:
+        rows = source.select(*by, F.explode(tensor).alias("__v")).withColumn("__v", F.col("__v").cast("double"))
+        rows = rows.withColumn("__v", F.abs("__v")) if magnitude else rows
+        return _at_once(rows.where(~F.isnan("__v")), probs, by)
 
     def counts(level: int, wanted: dict | None) -> DataFrame:
         shared = None if wanted is None else df.sparkSession.sparkContext.broadcast(wanted)
@@ -84,7 +106,7 @@ def tensor_quantiles(
                     if shared is not None:
                         keep = np.isin(coarse if level == 1 else fine, shared.value.get(key, []))
                         v, fine, coarse = v[keep], fine[keep], coarse[keep]
-                    picked, n = np.unique((coarse, fine, v)[level], return_counts=True)
+                    picked, n = count_codes((coarse, fine, v)[level])
                     if not len(picked):
                         continue
                     out = key_columns(key, by, kinds, len(picked))
@@ -121,6 +143,12 @@ def tensor_quantiles(
     return _quantiles(count, probs, by)
 
 
+def _at_once(rows: DataFrame, probs: Sequence[float], by: list[str]) -> DataFrame:
+    points = F.array(*[F.lit(float(p)) for p in probs])
+    out = rows.groupBy(*by).agg(F.count("*").alias("n"), F.percentile("__v", points).alias("q"))
+    return out.where(F.col("n") > 0)
+
+
 _LEVELS = ["__coarse", "__fine", "__v"]
 
 

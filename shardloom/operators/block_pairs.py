@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 from shardloom.functions.batches import matrix
 from shardloom.functions.joins import with_row
 from shardloom.functions.ordering import running_before
-from shardloom.functions.quantiles import FINE_CUT, value_codes
+from shardloom.functions.quantiles import FINE_CUT, count_codes, value_codes
 from shardloom.session import broadcast_if_small, materialize
 
 _TILE = 2048
@@ -30,12 +30,15 @@ def block_rows(n: int, width: int, parallelism: int) -> int:
     Fewer, larger blocks mean fewer copies, as each block goes to every other.
     """
     most = max(256, _MAX_BLOCK_BYTES // (8 * width))
-    wanted = math.ceil(n / max(1, math.ceil(2 * math.sqrt(parallelism))))
+    wanted = math.ceil(n / math.ceil(math.sqrt(parallelism)))
     return max(256, min(most, wanted))
 
 
 def pack_blocks(x: DataFrame, y: DataFrame, features: str, index: str, width: int, block: int | None) -> DataFrame:
-    """``(side, blk, packed, n)``, written once because several passes read it."""
+    """``(side, blk, packed, wide, n)``, written once because several passes read it.
+
+    Values keep the precision they are stored in (``wide`` for doubles) and are widened where they are used.
+    """
     counts = [df.count() for df in (x, y)]
     block = block or block_rows(max(counts), width, x.sparkSession.sparkContext.defaultParallelism)
     blocks = [max(1, -(-n // block)) for n in counts]
@@ -49,15 +52,18 @@ def pack_blocks(x: DataFrame, y: DataFrame, features: str, index: str, width: in
         for side, df, count, first in zip("xy", (x, y), blocks, firsts)
     ]
 
+    wide = any(df.schema[features].dataType.elementType.typeName() != "float" for df in (x, y))
+    kind = np.float64 if wide else np.float32
+
     def pack(table: pa.Table) -> pa.Table:
-        m = matrix(table.column("f").combine_chunks(), width)
+        m = matrix(table.column("f").combine_chunks(), width).astype(kind)
         return pa.table(
             {"side": table.column("side").slice(0, 1), "blk": table.column("blk").slice(0, 1),
-             "packed": pa.array([m.tobytes()], pa.binary()), "n": [len(m)]}
+             "packed": pa.array([m.tobytes()], pa.binary()), "wide": [wide], "n": [len(m)]}
         )
 
     packed = rows[0].unionByName(rows[1]).groupBy("blk").applyInArrow(
-        pack, "side string, blk int, packed binary, n bigint"
+        pack, "side string, blk int, packed binary, wide boolean, n bigint"
     )
     return materialize(packed, "blocks")
 
@@ -74,16 +80,24 @@ def over_pairs(blocks: DataFrame, fn, schema: str, width: int) -> DataFrame:
     present = blocks.select("blk")
     last = blocks.agg(F.max("blk")).first()[0]
     sent = blocks.withColumn("__other", F.explode(F.sequence(F.lit(0), F.lit(last)))).select(
-        F.least("blk", "__other").alias("p"), F.greatest("blk", "__other").alias("q"), "side", "blk", "packed"
+        F.least("blk", "__other").alias("p"), F.greatest("blk", "__other").alias("q"), "side", "blk", "packed", "wide"
     )
     # a hash may leave a block number unused; such pairs have one block only and are left out
     for end in ("p", "q"):
         sent = sent.join(broadcast_if_small(present.select(F.col("blk").alias(end))), end)
 
     def pair(table: pa.Table) -> pa.Table:
-        rows = sorted(table.select(["blk", "side", "packed"]).to_pylist(), key=lambda r: r["blk"])
-        a, b = (np.frombuffer(r["packed"], dtype=np.float64).reshape(-1, width) for r in (rows[0], rows[-1]))
-        return pa.table(fn(rows[0]["side"], a, rows[-1]["side"], b, rows[0]["blk"] == rows[-1]["blk"]))
+        facts = table.select(["blk", "side", "wide"]).to_pylist()
+        ends = sorted(range(len(facts)), key=lambda i: facts[i]["blk"])
+        p, q = ends[0], ends[-1]
+        packed = table.column("packed").combine_chunks()
+
+        def block(i: int) -> np.ndarray:
+            kind = np.float64 if facts[i]["wide"] else np.float32
+            return np.frombuffer(packed[i].as_buffer(), dtype=kind).reshape(-1, width).astype(np.float64)
+
+        a = block(p)
+        return pa.table(fn(facts[p]["side"], a, facts[q]["side"], a if p == q else block(q), p == q))
 
     return sent.groupBy("p", "q").applyInArrow(pair, schema)
 
@@ -141,7 +155,7 @@ def median_sq_distance(blocks: DataFrame, width: int) -> float:
                 if inside is not None:
                     keep = np.isin(coarse if level == 1 else fine, inside)
                     values, fine, coarse = values[keep], fine[keep], coarse[keep]
-                for k, n in zip(*np.unique((coarse, fine, values)[level], return_counts=True)):
+                for k, n in zip(*count_codes((coarse, fine, values)[level])):
                     seen[k] = seen.get(k, 0) + int(n)
             keys = np.array(list(seen))
             exact = level == 2

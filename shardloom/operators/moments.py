@@ -13,10 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from shardloom.functions.batches import extended_schema, group_rows, key_columns, list_column, matrix
+from shardloom.functions.joins import join_groups
 from shardloom.session import require
 
 _PILOT_ROWS = 256
 _MAX_OPEN_CELLS = 2**25
+_CHUNK_CELLS = 65_536
 
 
 def fold_tasks(df: DataFrame) -> DataFrame:
@@ -48,21 +50,24 @@ def vector_sums(partials: DataFrame, keys: Sequence[str], vector: str) -> DataFr
 def gram_partials(
     df: DataFrame, features: str, width: int, by: Sequence[str] = (), pilot: np.ndarray | None = None
 ) -> DataFrame:
-    """Rows ``(by..., i, cells)`` of the Gram matrix of ``[x - pilot, 1]``, per task and group.
+    """Rows ``(by..., chunk, cells)``: the Gram matrix of ``[x - pilot, 1]`` per task and group, in chunks of rows.
 
-    The column of ones makes row ``width`` carry the plain sums and the count.
+    The column of ones makes the last matrix row carry the plain sums and the count.
     """
     by = list(by)
     shift = np.zeros(width) if pilot is None else pilot
-    schema = extended_schema(df.select(*by).schema, "i int, cells array<double>")
+    schema = extended_schema(df.select(*by).schema, "chunk int, cells array<double>")
     kinds = {f.name: f.dataType for f in schema.fields[: len(by)]}
+    piece = _chunk_rows(width) * (width + 1)
 
     def emit(groups):
         for key, gram in groups.items():
-            out = key_columns(key, by, kinds, width + 1)
-            out["i"] = pa.array(np.arange(width + 1, dtype=np.int32))
-            out["cells"] = list_column(gram, pa.float64())
-            yield pa.RecordBatch.from_pydict(out)
+            flat = gram.reshape(-1)
+            for chunk, at in enumerate(range(0, len(flat), piece)):
+                out = key_columns(key, by, kinds, 1)
+                out["chunk"] = pa.array([chunk], pa.int32())
+                out["cells"] = list_column(flat[None, at : at + piece], pa.float64())
+                yield pa.RecordBatch.from_pydict(out)
 
     def fold(batches):
         groups: dict[tuple, np.ndarray] = {}
@@ -80,45 +85,55 @@ def gram_partials(
     return fold_tasks(df.select(*by, features)).mapInArrow(fold, schema)
 
 
+def _chunk_rows(width: int) -> int:
+    return max(1, _CHUNK_CELLS // (width + 1))
+
+
 def moments(
     df: DataFrame, features: str = "features", by: Sequence[str] = (), width: int | None = None, strict: bool = True
 ) -> DataFrame:
-    """``(by..., i, n, mu, sigma)``; covariance with n-1, symmetrised. ``strict`` raises when n < 2."""
-    width = feature_width(df, features) if width is None else width
+    """``(by..., i, n, mu, sigma)``; covariance with n-1. ``strict`` raises when n < 2, else sigma is null."""
     # shifting by a rough mean keeps the one-pass covariance from cancelling
     head = df.select(features).limit(_PILOT_ROWS).toPandas()[features]
+    require(len(head) > 0, "the feature table is empty")
     pilot = np.array(head.tolist(), dtype=np.float64).mean(axis=0)
-    require(pilot.shape == (width,), f"expected features of {width} values")
-    return finalize_moments(vector_sums(gram_partials(df, features, width, by, pilot), [*by, "i"], "cells"), by, pilot, strict)
+    require(width is None or len(pilot) == width, f"expected features of {width} values")
+    sums = vector_sums(gram_partials(df, features, len(pilot), by, pilot), [*by, "chunk"], "cells")
+    return finalize_moments(sums, by, pilot, strict)
 
 
-def finalize_moments(
-    sums: DataFrame, by: Sequence[str], pilot: np.ndarray, strict: bool = True
-) -> DataFrame:
-    """Gram rows to moments. ``n`` and the plain sums sit in row ``width``."""
+def finalize_moments(sums: DataFrame, by: Sequence[str], pilot: np.ndarray, strict: bool = True) -> DataFrame:
+    """Summed Gram chunks to moments."""
     by, width = list(by), len(pilot)
-    totals = sums.where(F.col("i") == width).select(*by, F.col("cells").alias("__sums"), F.lit(1).alias("__one"))
-    rows = sums.where(F.col("i") < width).withColumn("__one", F.lit(1)).join(totals, [*by, "__one"])
-    n = F.get("__sums", F.lit(width))
-    s_i = F.get("cells", F.lit(width))
-    few = F.lit(None).cast("array<double>")
-    if strict:
-        few = F.raise_error(F.lit("at least two samples are needed for a covariance")).cast("array<double>")
-    sigma = F.when(
-        n >= 2,
-        F.transform(
-            F.slice("cells", 1, width), lambda c, j: (c - s_i * F.get("__sums", j) / n) / (n - 1.0)
-        ),
-    ).otherwise(few)
-    base = F.array(*[F.lit(float(p)) for p in pilot]) if width <= 256 else None
-    shifted = rows.withColumn("n", n.cast("bigint")).withColumn("sigma", sigma).withColumn("__mu", s_i / n)
-    if base is not None:
-        mu = F.col("__mu") + F.get(base, F.col("i"))
-        return shifted.select(*by, "i", "n", mu.alias("mu"), "sigma")
-    # a wide pilot is joined: thousands of literals would bloat the plan
-    spark = sums.sparkSession
-    pilots = spark.createDataFrame([(i, float(p)) for i, p in enumerate(pilot)], "i int, __p double")
-    return shifted.join(pilots, "i").select(*by, "i", "n", (F.col("__mu") + F.col("__p")).alias("mu"), "sigma")
+    rows = _chunk_rows(width)
+    last = width // rows
+    start = (width - last * rows) * (width + 1)
+    totals = sums.where(F.col("chunk") == last).select(*by, F.slice("cells", start + 1, width + 1).alias("__sums"))
+    schema = extended_schema(sums.select(*by).schema, "i int, n bigint, mu double, sigma array<double>")
+
+    def finish(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                total = batch.column("__sums")[r].values.to_numpy()
+                block = batch.column("cells")[r].values.to_numpy().reshape(-1, width + 1)
+                first = batch.column("chunk")[r].as_py() * rows
+                block = block[: max(0, width - first)]
+                count, sums_i, n = len(block), block[:, width], total[width]
+                if not count:
+                    continue
+                if n >= 2:
+                    sigma = list_column((block[:, :width] - np.outer(sums_i, total[:width]) / n) / (n - 1), pa.float64())
+                elif strict:
+                    raise ValueError("at least two samples are needed for a covariance")
+                else:
+                    sigma = pa.nulls(count, pa.list_(pa.float64()))
+                at = np.arange(first, first + count)
+                out = {c: batch.column(c).take(pa.array([r] * count)) for c in by}
+                out |= {"i": pa.array(at.astype(np.int32)), "n": pa.array([int(n)] * count, pa.int64())}
+                out |= {"mu": pa.array(pilot[at] + sums_i / n), "sigma": sigma}
+                yield pa.RecordBatch.from_pydict(out)
+
+    return join_groups(sums, totals, by).mapInArrow(finish, schema)
 
 
 def moment_cells(mom: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -53,7 +53,7 @@ def stream_moments(
     shift = np.zeros(width) if pilot is None else np.asarray(pilot, dtype=np.float64)
 
     def fold(batch: DataFrame) -> DataFrame:
-        return vector_sums(gram_partials(batch, features, width, by, shift), [*by, "i"], "cells")
+        return vector_sums(gram_partials(batch, features, width, by, shift), [*by, "chunk"], "cells")
 
     return keep_partials(stream, fold, path, checkpoint, trigger)
 
@@ -62,5 +62,5 @@ def read_moments(
     spark: SparkSession, path: str, width: int, by: Sequence[str] = (), pilot: Sequence[float] | None = None
 ) -> DataFrame:
     shift = np.zeros(width) if pilot is None else np.asarray(pilot, dtype=np.float64)
-    sums = vector_sums(spark.read.parquet(path).drop("batch_id"), [*by, "i"], "cells")
+    sums = vector_sums(spark.read.parquet(path).drop("batch_id"), [*by, "chunk"], "cells")
     return finalize_moments(sums, by, shift)

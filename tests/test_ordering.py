@@ -61,10 +61,12 @@ def test_last_rows_per_group(skewed):
         assert (out.groupby("g")["rank_desc"].max() <= k).all()
 
 
-@pytest.mark.parametrize("few", [True, False])
+@pytest.mark.parametrize("few", [None, True, False])
 def test_exact_quantiles(skewed, monkeypatch, few):
     frame, df = skewed
-    if not few:
+    if few is not None:
+        monkeypatch.setattr(Q, "SMALL_VALUES", 0)
+    if few is False:
         monkeypatch.setattr(Q, "BROADCAST_ROWS", -1)
     probs = [0.0, 0.25, 0.5, 0.99, 1.0]
     for r in Q.exact_quantiles(df, "v", probs, ["g"]).collect():
@@ -74,9 +76,11 @@ def test_exact_quantiles(skewed, monkeypatch, few):
     assert whole["q"][0] == pytest.approx(np.median(frame["v"]))
 
 
-@pytest.mark.parametrize("few", [True, False])
+@pytest.mark.parametrize("few", [None, True, False])
 def test_tensor_quantiles(spark, monkeypatch, few):
-    if not few:
+    if few is not None:
+        monkeypatch.setattr(Q, "SMALL_VALUES", 0)
+    if few is False:
         monkeypatch.setattr(Q, "BROADCAST_ROWS", -1)
     x = np.random.default_rng(0).normal(size=(50, 6)).round(2)
     df = spark.createDataFrame([(i % 2, [float(v) for v in r]) for i, r in enumerate(x)], "g int, tensor array<double>")
@@ -105,7 +109,8 @@ def test_driver_side_lists():
     assert [scale_slug(s) for s in (0.35, -1, 1e-7, 1e20)] == ["s0p35", "sm1", "s1em07", "s1e20"]
 
 
-def test_rows_with_null_keys_stay(spark):
+def test_rows_with_null_keys_stay(spark, monkeypatch):
+    monkeypatch.setattr(Q, "SMALL_VALUES", 0)
     rows = [(None, 1, 1.0), (None, 2, 2.0), ("a", None, 3.0), ("a", 1, 4.0), ("a", 2, None)]
     df = spark.createDataFrame(rows, "g string, t bigint, v double")
     out = O.running_before(df, ["t"], O.range_bucket(df, "t"), group=["g"], name="pos")
@@ -118,7 +123,9 @@ def test_rows_with_null_keys_stay(spark):
     assert {r["s"]: r["pos"] for r in placed.collect()} == {None: 0, "a": 1, "b": 2}
 
 
-def test_tensor_quantiles_keep_a_null_group(spark):
+@pytest.mark.parametrize("small", [0, 100])
+def test_tensor_quantiles_keep_a_null_group(spark, monkeypatch, small):
+    monkeypatch.setattr(Q, "SMALL_VALUES", small)
     df = spark.createDataFrame([(None, [1.0, 2.0]), (1, [5.0, 7.0])], "g int, tensor array<double>")
     assert {r["g"]: r["q"][0] for r in Q.tensor_quantiles(df, 2, [0.5], ["g"]).collect()} == {None: 1.5, 1: 6.0}
 
