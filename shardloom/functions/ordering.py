@@ -3,7 +3,8 @@
 A plain ``Window.orderBy`` puts the whole table (or a hot group) in one task. Here rows first get an
 order-preserving bucket; per-bucket totals are few, so their prefix sum is cheap, and the exact order is
 only needed inside each (group, bucket). The bucket is a function of the row's own value, so a recomputed
-task lands on the same result.
+task lands on the same result. A table counted as small enough for one task gets no bucket (None) and a
+plain window.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-SINGLE_TASK_ROWS = 100_000
+SINGLE_TASK_ROWS = 500_000
 ROWS_PER_BUCKET = 100_000
 MIN_BUCKETS, MAX_BUCKETS = 16, 16_384
 # Hash-picked values per bucket behind the text cut points.
@@ -24,7 +25,7 @@ SAMPLE_PER_BUCKET = 4
 def running_before(
     df: DataFrame,
     order: Sequence[str],
-    bucket: Column,
+    bucket: Column | None,
     value: Column | None = None,
     group: Sequence[str] = (),
     name: str = "before",
@@ -35,9 +36,12 @@ def running_before(
     ``position`` also adds the number of rows ahead. ``bucket`` must not decrease along ``order``. One shuffle
     of the rows on (group, bucket), plus the map-side combined totals.
     """
-    keys = ["__group", "__bucket"]
     one = F.lit(1).cast("bigint")
     wanted = {name: one if value is None else value} | ({position: one} if position else {})
+    if bucket is None:
+        w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return df.select("*", *[F.coalesce(F.sum(amount).over(w), F.lit(0)).alias(out) for out, amount in wanted.items()])
+    keys = ["__group", "__bucket"]
     rows = _keyed(df, group, bucket)
     for out, amount in wanted.items():
         rows = rows.withColumn(f"__amount_{out}", amount)
@@ -65,12 +69,12 @@ def bucket_count(rows: int) -> int:
     return min(MAX_BUCKETS, max(MIN_BUCKETS, rows // ROWS_PER_BUCKET))
 
 
-def range_bucket(df: DataFrame, column: str) -> Column:
-    """Equal-width buckets over the column's range (numbers or timestamps); reads three scalars."""
+def range_bucket(df: DataFrame, column: str) -> Column | None:
+    """Equal-width buckets over the column's range (numbers or timestamps), none for a small table; reads three scalars."""
     numeric = _as_number(df, column)
     lo, hi, rows = df.agg(F.min(numeric), F.max(numeric), F.count("*")).first()
-    if lo is None:
-        return F.lit(0).cast("bigint")
+    if rows <= SINGLE_TASK_ROWS or lo is None:
+        return None
     buckets = bucket_count(rows)
     width = max((hi - lo) / buckets, 1e-9) if isinstance(lo, float) else max(1, -(-(hi - lo + 1) // buckets))
     return F.floor((numeric - F.lit(lo)) / F.lit(width)).cast("bigint")
@@ -101,13 +105,12 @@ def text_bucket(df: DataFrame, column: str, rows: int) -> Column:
     return place(F.col(column))
 
 
-def ordered_bucket(df: DataFrame, column: str, single_task_rows: int = SINGLE_TASK_ROWS) -> Column:
-    """One bucket while the table is known to be small, else buckets that spread it."""
+def ordered_bucket(df: DataFrame, column: str) -> Column | None:
+    """Buckets along any sortable column, none for a small table."""
+    if df.schema[column].dataType.typeName() != "string":
+        return range_bucket(df, column)
     rows = df.count()
-    if rows <= single_task_rows:
-        return F.lit(0).cast("bigint")
-    kind = df.schema[column].dataType.typeName()
-    return text_bucket(df, column, rows) if kind == "string" else range_bucket(df, column)
+    return None if rows <= SINGLE_TASK_ROWS else text_bucket(df, column, rows)
 
 
 def last_rows(df: DataFrame, group: Sequence[str], order: str, k: int, tiebreak: str | None = None) -> DataFrame:
@@ -133,7 +136,7 @@ def last_rows(df: DataFrame, group: Sequence[str], order: str, k: int, tiebreak:
 def last_before(
     df: DataFrame,
     order: Sequence[str],
-    bucket: Column,
+    bucket: Column | None,
     value: Column,
     group: Sequence[str] = (),
     name: str = "previous",
@@ -144,6 +147,10 @@ def last_before(
     Like ``lag`` / ``last(ignorenulls)`` over the group, but a hot group is spread over its buckets: each
     bucket's last value is carried forward over the few bucket rows, and only rows of one bucket are sorted.
     """
+    end = Window.currentRow if inclusive else -1
+    if bucket is None:
+        w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
+        return df.withColumn(name, F.last(value, ignorenulls=True).over(w))
     keys = ["__group", "__bucket"]
     rows = _keyed(df, group, bucket).withColumn("__value", value)
     ahead = Window.partitionBy("__group").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -153,7 +160,6 @@ def last_before(
         .agg(F.max_by("__value", at).alias("__last"))
         .select(*keys, F.last("__last", ignorenulls=True).over(ahead).alias("__carry"))
     )
-    end = Window.currentRow if inclusive else -1
     inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
     return (
         rows.join(carried, keys)

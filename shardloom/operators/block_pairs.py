@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from shardloom.functions.batches import matrix
 from shardloom.functions.joins import with_row
-from shardloom.functions.ordering import running_before
+from shardloom.functions.ordering import ordered_bucket, running_before
 from shardloom.functions.quantiles import FINE_CUT, count_codes, value_codes
 from shardloom.session import broadcast_if_small, materialize
 
@@ -75,18 +75,24 @@ def side_counts(blocks: DataFrame) -> DataFrame:
     return blocks.agg(rows("x").alias("n"), rows("y").alias("m"))
 
 
-def over_pairs(blocks: DataFrame, fn, schema: str, width: int) -> DataFrame:
-    """Run ``fn(side_p, P, side_q, Q, same)`` once per unordered pair of blocks; it returns columns."""
-    present = blocks.select("blk")
-    last = blocks.agg(F.max("blk")).first()[0]
+def pair_up(blocks: DataFrame) -> DataFrame:
+    """Every block once for each pair ``(p, q)``, p <= q, it belongs to."""
+    numbers = blocks.select("blk")
+    last = numbers.agg(F.max("blk")).first()[0]
     sent = blocks.withColumn("__other", F.explode(F.sequence(F.lit(0), F.lit(last)))).select(
         F.least("blk", "__other").alias("p"), F.greatest("blk", "__other").alias("q"), "side", "blk", "packed", "wide"
     )
-    # a hash may leave a block number unused; such pairs have one block only and are left out
+    if numbers.count() == last + 1:
+        return sent
+    # a hash may leave a block number unused; pairs with it have one block only and are left out
     for end in ("p", "q"):
-        sent = sent.join(broadcast_if_small(present.select(F.col("blk").alias(end))), end)
+        sent = sent.join(broadcast_if_small(numbers.select(F.col("blk").alias(end))), end)
+    return sent
+
 
-    def pair(table: pa.Table) -> pa.Table:
+def over_pairs(pairs: DataFrame, fn, schema: str, width: int) -> DataFrame:
+    """Run ``fn(side_p, P, side_q, Q, same)`` once per unordered pair of blocks; it returns columns."""
+    def meet(table: pa.Table) -> pa.Table:
         facts = table.select(["blk", "side", "wide"]).to_pylist()
         ends = sorted(range(len(facts)), key=lambda i: facts[i]["blk"])
         p, q = ends[0], ends[-1]
@@ -99,7 +105,7 @@ def over_pairs(blocks: DataFrame, fn, schema: str, width: int) -> DataFrame:
         a = block(p)
         return pa.table(fn(facts[p]["side"], a, facts[q]["side"], a if p == q else block(q), p == q))
 
-    return sent.groupBy("p", "q").applyInArrow(pair, schema)
+    return pairs.groupBy("p", "q").applyInArrow(meet, schema)
 
 
 def _tiles(a: np.ndarray, b: np.ndarray, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
@@ -114,7 +120,7 @@ def squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(np.sum(a * a, axis=1)[:, None] + np.sum(b * b, axis=1)[None, :] - 2.0 * (a @ b.T), 0.0)
 
 
-def kernel_sums(blocks: DataFrame, kernel, width: int) -> DataFrame:
+def kernel_sums(blocks: DataFrame, pairs: DataFrame, kernel, width: int) -> DataFrame:
     """One row ``n, m, xx, yy, xy``: kernel sums over ordered pairs, the diagonal left out of xx and yy."""
     def sums(side_p, a, side_q, b, same):
         total = 0.0
@@ -128,13 +134,13 @@ def kernel_sums(blocks: DataFrame, kernel, width: int) -> DataFrame:
         out[side_p + side_q if within else "xy"] = [total * (2.0 if within and not same else 1.0)]
         return out
 
-    total = over_pairs(blocks, sums, "xx double, yy double, xy double", width).agg(
+    total = over_pairs(pairs, sums, "xx double, yy double, xy double", width).agg(
         *[F.sum(c).alias(c) for c in ("xx", "yy", "xy")]
     )
     return with_row(total, side_counts(blocks))
 
 
-def median_sq_distance(blocks: DataFrame, width: int) -> float:
+def median_sq_distance(pairs: DataFrame, width: int) -> float:
     """Exact median of the positive squared distances over unordered pairs; 1.0 when there is none.
 
     Blocks report counts per code, first coarse, then fine, then the values under the one or two fine codes
@@ -165,31 +171,31 @@ def median_sq_distance(blocks: DataFrame, width: int) -> float:
                 "n": pa.array(list(seen.values()), pa.int64()),
             }
 
-        return over_pairs(blocks, count, "code bigint, v double, n bigint", width).groupBy("code", "v").agg(
+        return over_pairs(pairs, count, "code bigint, v double, n bigint", width).groupBy("code", "v").agg(
             F.sum("n").alias("n")
         )
 
-    table = materialize(histogram(0, None), "distance-codes")
-    total = table.agg(F.sum("n")).first()[0]
-    if not total:
-        return 1.0
-    ranks = sorted({(total - 1) // 2, total // 2})
-    base = 0
-    for level in (0, 1, 2):
-        if level:
-            table = materialize(histogram(level, inside), "distance-codes")
-        rows = _rows_at_ranks(table, [r - base for r in ranks])
-        if level == 2:
-            median = float(np.mean([row["v"] for row in rows]))
-            return median if np.isfinite(median) and median > 0 else 1.0
-        inside = sorted({row["code"] for row in rows})
-        base += min(row["ahead"] for row in rows)
-    raise AssertionError
+    # the first two levels are bounded by the number of codes, whatever the number of pairs
+    base, inside = 0, None
+    for level in (0, 1):
+        table = histogram(level, inside).orderBy("code").toPandas()
+        if level == 0:
+            total = int(table["n"].sum())
+            if not total:
+                return 1.0
+            ranks = sorted({(total - 1) // 2, total // 2})
+        reach = base + table["n"].cumsum().to_numpy()
+        at = np.searchsorted(reach, ranks, side="right")
+        inside = sorted({int(c) for c in table["code"].to_numpy()[at]})
+        base = int(reach[at[0] - 1]) if at[0] else base
+    values = materialize(histogram(2, inside), "distances")
+    median = float(np.mean([row["v"] for row in _rows_at_ranks(values, [r - base for r in ranks])]))
+    return median if np.isfinite(median) and median > 0 else 1.0
 
 
 def _rows_at_ranks(table: DataFrame, ranks: list[int]) -> list:
-    """For each 0-based rank the (code, v, n, ahead) row that covers it: one or two rows, whatever the size."""
-    placed = running_before(table, ["code", "v"], F.floor(F.col("code") / 64), F.col("n"), name="ahead")
+    """For each 0-based rank the (v, n, ahead) row that covers it: one or two rows, whatever the size."""
+    placed = running_before(table, ["v"], ordered_bucket(table, "v"), F.col("n"), name="ahead")
     hit = F.lit(False)
     for r in ranks:
         hit = hit | ((F.col("ahead") <= r) & (F.col("ahead") + F.col("n") > r))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 from shardloom.functions.batches import extended_schema, list_column, matrix
 from shardloom.functions.joins import with_row
 from shardloom.operators.errors import random_projection
-from shardloom.operators.block_pairs import kernel_sums, median_sq_distance, pack_blocks, squared_distances
+from shardloom.operators.block_pairs import kernel_sums, median_sq_distance, pack_blocks, pair_up, squared_distances
 from shardloom.operators.moments import (
     feature_width, fold_tasks, moment_summary, moments, trace_sigma, vector_sums,
 )
@@ -155,7 +155,8 @@ def kid_poly3(
         def kernel(a, b):
             return (a @ b.T / width + 1.0) ** 3
 
-        sums = kernel_sums(pack_blocks(x, y, features, index, width, block), kernel, width)
+        blocks = pack_blocks(x, y, features, index, width, block)
+        sums = kernel_sums(blocks, pair_up(blocks), kernel, width)
     return _mmd_row(sums).withColumn("kid", F.col("mmd2")).withColumn("kid_x1000", F.col("mmd2") * 1000.0)
 
 
@@ -241,12 +242,13 @@ def mmd_rbf(
     """Unbiased MMD² with k = exp(-d²/2b²); b² is the exact median of positive squared distances over x ∪ y."""
     width = feature_width(x, features)
     blocks = pack_blocks(x, y, features, index, width, block)
-    bandwidth2 = median_sq_distance(blocks, width)
+    pairs = pair_up(blocks)
+    bandwidth2 = median_sq_distance(pairs, width)
 
     def kernel(a, b):
         return np.exp(-squared_distances(a, b) / (2.0 * bandwidth2))
 
-    return _mmd_row(kernel_sums(blocks, kernel, width)).withColumn("bandwidth2", F.lit(bandwidth2))
+    return _mmd_row(kernel_sums(blocks, pairs, kernel, width)).withColumn("bandwidth2", F.lit(bandwidth2))
 
 
 # ---- reports ----------------------------------------------------------------------------------------------

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from shardloom.functions.hashing import hex_prefix
 from shardloom.functions.joins import with_row
-from shardloom.session import require
+from shardloom.session import materialize, require
 
 # Spellings of a 64-bit integer dtype in shard headers.
 INT64_NAMES = ["I64", "int64", "torch.int64"]
@@ -136,6 +136,8 @@ def order_audit(source: DataFrame, derived: DataFrame, key: str = "source_index"
     ``position`` numbers the derived rows from 0 without gaps. A row is compared with its predecessor through
     an equi-join on ``position``, so no ordered window over the table is needed.
     """
+    # three narrow columns, read three times below
+    derived = materialize(derived.select(key, "label", position), "derived-order")
     copies = derived.groupBy(key).agg(
         F.count("*").alias("__copies"), F.min("label").alias("__lo"), F.max("label").alias("__hi")
     )

@@ -38,7 +38,21 @@ def _(t: Tables):
     return rounded(moments.trace_sigma(moments.moments(t.features, by=["label"]), ["label"]))
 
 
-@query("reference_stats")
+@query(
+    "moment_summary",
+    "SELECT label, round(avg(v), 6) AS feature_mean, round(stddev_pop(v), 6) AS feature_std FROM elements GROUP BY label",
+    ("elements",),
+)
+def _(t: Tables):
+    return rounded(moments.moment_summary(moments.moments(t.features, by=["label"]), ["label"]))
+
+
+@query(
+    "reference_stats",
+    """SELECT count(*) AS count, CAST(pos AS INTEGER) AS i, round(avg(v), 9) AS mu, round(var_samp(v), 9) AS variance
+    FROM elements GROUP BY pos""",
+    ("elements",),
+)
 def _(t: Tables):
     """Moments written as a published table, read back, in the packed one-row form."""
     from shardloom.session import scratch_dir
@@ -46,9 +60,10 @@ def _(t: Tables):
     path = scratch_dir(t.spark, "reference")
     moments.write_reference_stats(t.features, path)
     packed = moments.packed_moments(moments.load_reference_stats(t.spark, path))
-    return packed.select("count", F.posexplode("mu").alias("i", "mu"), "sigma").select(
+    diagonal = packed.select("count", F.posexplode("mu").alias("i", "mu"), "sigma").select(
         "count", "i", "mu", F.get(F.get("sigma", F.col("i")), F.col("i")).alias("variance")
     )
+    return rounded(diagonal, 9)
 
 
 @query("frechet")

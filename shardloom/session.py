@@ -16,7 +16,7 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
 
     Only when that is unset (single-machine tests) does a local temporary folder stand in.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         base = tempfile.mkdtemp(prefix="shardloom-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -15,18 +15,21 @@ _CHUNK = 8 << 20
 
 
 def open_fs(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system a path names and the path inside it."""
     if "://" in path:
-        return pafs.FileSystem.from_uri(path)
+        return pafs.FileSystem.from_uri("s3" + path[3:] if path.startswith("s3a://") else path)
     return pafs.LocalFileSystem(), path.removeprefix("file:")
 
 
 def list_files(path: str, glob: str = "*", recursive: bool = False) -> list[tuple[str, int]]:
     """``(path, bytes)`` of the matching files below a folder, in path order."""
+    path = path.rstrip("/")
     fs, root = open_fs(path)
+    root = root.rstrip("/")
     found = fs.get_file_info(pafs.FileSelector(root, recursive=recursive, allow_not_found=True))
-    prefix = path.split("://", 1)[0] + "://" if "://" in path else ""
+    lead = path[: len(path) - len(root)]  # scheme and authority, if any
     hits = [
-        (prefix + f.path, f.size)
+        (lead + f.path, f.size)
         for f in found
         if f.type == pafs.FileType.File and fnmatch.fnmatch(posixpath.basename(f.path), glob)
     ]

@@ -25,6 +25,11 @@ def read_source_parquet(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_feature_table(spark: SparkSession, path: str, max_ref: int | None = None, index: str = "global_index") -> DataFrame:
+    """A stored feature table (``global_index``, ``features`` and any further columns), cut as a bank if asked."""
+    return feature_bank(spark.read.parquet(path), max_ref, index)
+
+
 def feature_bank(df: DataFrame, max_ref: int | None = None, index: str = "global_index") -> DataFrame:
     """The first ``max_ref`` rows in index order; ``truncated_to_max_ref`` is set only when rows were left out."""
     if max_ref is None:

@@ -9,6 +9,12 @@ from shardloom.functions import ordering as O, quantiles as Q
 from shardloom.functions.parsing import evenly_spaced, parse_float_list, parse_index_list, scale_slug
 
 
+@pytest.fixture(autouse=True, params=[10, 10**6], ids=["buckets", "window"])
+def path(request, monkeypatch):
+    """Both ways: buckets as for a large table, and the plain window of a small one."""
+    monkeypatch.setattr(O, "SINGLE_TASK_ROWS", request.param if "null" not in request.node.name else min(request.param, 1))
+
+
 @pytest.fixture(scope="module")
 def skewed(spark):
     rng = np.random.default_rng(5)
@@ -33,10 +39,11 @@ def test_running_sum_and_position(skewed):
 def test_global_order_over_text_buckets(spark, skewed):
     frame, df = skewed
     named = df.withColumn("path", F.concat(F.lit("é/"), F.lpad(F.col("id").cast("string"), 6, "0")))
-    bucket = O.ordered_bucket(named, "path", single_task_rows=10)
+    bucket = O.ordered_bucket(named, "path")
     out = O.running_before(named, ["path"], bucket, name="pos").toPandas().sort_values("id")
     assert (out["pos"].to_numpy() == np.arange(len(frame))).all()
-    assert named.select(bucket.alias("b")).distinct().count() > 8
+    if bucket is not None:
+        assert named.select(bucket.alias("b")).distinct().count() > 8
 
 
 def test_last_before_carries_over_buckets_and_nulls(skewed):
@@ -119,7 +126,7 @@ def test_rows_with_null_keys_stay(spark, monkeypatch):
     assert {(r["g"], r["t"]): r["p"] for r in last.collect()}[("a", 2)] == 4.0 and last.count() == 5
     assert {r["g"]: r["q"][0] for r in Q.exact_quantiles(df, "v", [0.5], ["g"]).collect()} == {None: 1.5, "a": 3.5}
     texts = spark.createDataFrame([("b",), (None,), ("a",)], "s string")
-    placed = O.running_before(texts, ["s"], O.ordered_bucket(texts, "s", single_task_rows=1), name="pos")
+    placed = O.running_before(texts, ["s"], O.ordered_bucket(texts, "s"), name="pos")
     assert {r["s"]: r["pos"] for r in placed.collect()} == {None: 0, "a": 1, "b": 2}
 
 

@@ -221,3 +221,10 @@ def test_selection_denies_before_it_allows(spark):
     out = files.publish_selection(df, ["^a/"], [r"\.tmp$"])
     assert [r["path"] for r in out.where("published").collect()] == ["a/x.bin"]
     assert {r["published"]: r["bytes"] for r in files.selection_summary(out).collect()} == {True: 5, False: 13}
+
+
+def test_listed_paths_keep_their_scheme(tmp_path):
+    (tmp_path / "a.bin").write_bytes(b"123")
+    for lead in ("", "file:", "file://"):
+        assert files.list_files(f"{lead}{tmp_path}/") == [(f"{lead}{tmp_path}/a.bin", 3)]
+    assert files.list_files(str(tmp_path / "missing")) == []
