@@ -1,6 +1,8 @@
 """All queries of this package, registered by their modules."""
 
-from shardloom.llm import chat_format, decontaminate, packing, url_rules  # noqa: F401
+from shardloom.llm import (  # noqa: F401
+    chat_format, decontaminate, neighbours, packing, resharding, url_rules,
+)
 from shardloom.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
