@@ -120,5 +120,5 @@ SELECT page_id, host, path, best.rule AS rule, coalesce(best.v, 'allow') AS verd
 
 @query("op2_url_filters", OP2_SQL)
 def op2_url_filters(spark, sf_dir):
-    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    rules = spark.sql(f"SELECT * FROM VALUES {', '.join(map(str, RULES))} AS t(host, path, verdict)")
     return judge_urls(table(spark, sf_dir, "pages"), rules)
