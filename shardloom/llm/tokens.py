@@ -19,7 +19,7 @@ from shardloom.llm.textscan import NOT_BLANK, Powers, ragged, span_hashes, text_
 # White space beyond ASCII.
 OTHER_BLANKS = "[\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
 #: Distinct chunks remembered by a task before it starts afresh.
-REMEMBERED = 1_500_000
+REMEMBERED = 1_000_000
 
 
 def tokenizer_file(name: str) -> str:
