@@ -201,8 +201,8 @@ def find_matches(
     for k in range(parts):
         mine = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == k).collect()  # at most about part_bytes
         rows = sorted({(r["id"], r["text"]) for r in mine if r["id"] is not None})
-        bench = spark.sparkContext.broadcast(Benchmark([r[0] for r in rows], [r[1] for r in rows], window))
-        one = docs.mapInArrow(lambda b, bench=bench: _match_batches(bench.value, text, window)(b), f"{fields}, {HITS}")
+        sent = spark.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows]))
+        one = docs.mapInArrow(lambda b, sent=sent: _match_batches(Benchmark(*sent.value, window), text, window)(b), f"{fields}, {HITS}")
         found = one if found is None else found.unionByName(one)
     if parts > 1:
         found = _merge(found, [c for c in docs.columns if c != "__row"])
