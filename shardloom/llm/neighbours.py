@@ -28,7 +28,24 @@ CHUNK_QUERIES = 1_024
 FOUND = "query_id long, vec_id long, score double"
 #: Half a window, in units of the distance, at which a vector falls into a window with chance 0.5 + 2 * sigma.
 REACH = 0.82
-WIDEN = 1.25
+WIDEN = 1.4
+#: Queries of a chunk that widen their windows together.
+TOGETHER = 128
+
+
+class _Asked:
+    """One query: collisions of each row of the block, and what has been verified. Its own rows count as done."""
+
+    def __init__(self, n: int, vector: np.ndarray, own: np.ndarray) -> None:
+        self.hits, self.done, self.vector = np.zeros(n, dtype=np.int64), own.copy(), vector
+        self.rows, self.distances = np.zeros(0, dtype=np.int64), np.zeros(0)
+
+    def best(self, ids: np.ndarray, k: int, near: float, whole: bool):
+        """The k nearest if they all are within ``near``, or if there is nothing more to verify; else None."""
+        if not whole and (len(self.rows) < k or np.partition(self.distances, k - 1)[k - 1] > near):
+            return None
+        chosen = np.lexsort((ids[self.rows], self.distances))[:k]
+        return ids[self.rows[chosen]], self.distances[chosen]
 
 
 class CollisionIndex:
@@ -39,36 +56,45 @@ class CollisionIndex:
         projected = self.vectors @ directions
         self.order = np.ascontiguousarray(np.argsort(projected, axis=0, kind="stable").T.astype(np.int32))
         self.sorted = np.ascontiguousarray(np.sort(projected, axis=0).T)
-        self.step = float(projected.std(axis=0).mean()) / 8 or 1.0
-
-    def nearest(self, query_id: int, vector: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        n = len(self.ids)
-        centre = vector.astype(np.float64) @ self.directions
-        start = np.array([np.searchsorted(a, c) for a, c in zip(self.sorted, centre, strict=True)])
-        low, high = start, start.copy()
-        hits = np.zeros(n, dtype=np.int32)
-        done = np.zeros(n, dtype=bool)
-        own = self.ids == query_id
-        rows, distances = np.zeros(0, dtype=np.int64), np.zeros(0)
-        half = self.step
-        while True:
-            to_low = np.array([np.searchsorted(a, c - half, "left") for a, c in zip(self.sorted, centre, strict=True)])
-            to_high = np.array([np.searchsorted(a, c + half, "right") for a, c in zip(self.sorted, centre, strict=True)])
-            new = [o[x:y] for o, a, b, c, d in zip(self.order, to_low, low, high, to_high, strict=True) for x, y in ((a, b), (c, d)) if y > x]
-            if new:
-                hits += np.bincount(np.concatenate(new), minlength=n).astype(np.int32)
-            low, high = np.minimum(low, to_low), np.maximum(high, to_high)
-            fresh = np.flatnonzero((hits >= PROJECTIONS // 2) & ~done & ~own)
-            done[fresh] = True
-            if len(fresh):
-                gap = self.vectors[fresh] - vector
-                rows = np.append(rows, fresh)
-                distances = np.append(distances, np.sqrt((gap * gap).sum(axis=1)))
-            enough = len(rows) >= k and np.partition(distances, k - 1)[k - 1] <= half / REACH
-            if enough or (low == 0).all() and (high == n).all():
-                best = np.lexsort((self.ids[rows], distances))[:k]
-                return self.ids[rows[best]], distances[best]
+        self.step = float(projected.std(axis=0).mean()) / 2 or 1.0
+
+    def _bounds(self, centres: np.ndarray, half: float) -> tuple[np.ndarray, np.ndarray]:
+        """Windows of all queries in all arrays, as (projection, query)."""
+        low = [np.searchsorted(a, c - half, "left") for a, c in zip(self.sorted, centres.T, strict=True)]
+        high = [np.searchsorted(a, c + half, "right") for a, c in zip(self.sorted, centres.T, strict=True)]
+        return np.stack(low), np.stack(high)
+
+    def nearest(self, query_ids: np.ndarray, vectors: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids and distances of the k nearest found of each query, nearest first."""
+        n, vectors = len(self.ids), vectors.astype(np.float64)
+        centres = vectors @ self.directions
+        low = high = self._bounds(centres, 0.0)[0]
+        states = [_Asked(n, v, self.ids == q) for q, v in zip(query_ids, vectors, strict=True)]
+        found: list = [None] * len(states)
+        active, half = np.arange(len(states)), self.step
+        while len(active):
+            to_low, to_high = self._bounds(centres[active], half)
+            for at, q in enumerate(active.tolist()):
+                whole = self._widen(states[q], low[:, at], high[:, at], to_low[:, at], to_high[:, at])
+                found[q] = states[q].best(self.ids, k, half / REACH, whole)
+            more = np.array([found[q] is None for q in active.tolist()])
+            low, high, active = np.minimum(low, to_low)[:, more], np.maximum(high, to_high)[:, more], active[more]
             half *= WIDEN
+        return found
+
+    def _widen(self, asked: _Asked, low, high, to_low, to_high) -> bool:
+        """Counts what is new in the wider windows and verifies what has enough collisions; true if all rows are covered."""
+        new = [o[a:b] for o, a, b in zip(self.order, to_low.tolist(), low.tolist(), strict=True) if b > a]
+        new += [o[a:b] for o, a, b in zip(self.order, high.tolist(), to_high.tolist(), strict=True) if b > a]
+        if new:
+            asked.hits += np.bincount(np.concatenate(new), minlength=len(self.ids))
+        fresh = np.flatnonzero((asked.hits >= PROJECTIONS // 2) & ~asked.done)
+        asked.done[fresh] = True
+        if len(fresh):
+            gap = self.vectors[fresh] - asked.vector
+            asked.rows = np.append(asked.rows, fresh)
+            asked.distances = np.append(asked.distances, np.sqrt((gap * gap).sum(axis=1)))
+        return bool((to_low == 0).all() and (to_high == len(self.ids)).all())
 
 
 def _search(k: int):
@@ -81,10 +107,12 @@ def _search(k: int):
         out = ([], [], [])
         if (~is_query).any():
             index = CollisionIndex(ids[~is_query], values[~is_query])
-            for q in np.flatnonzero(is_query).tolist():
-                found, score = index.nearest(int(ids[q]), values[q].astype(np.float64), k)
-                for column, x in zip(out, (np.full(len(found), ids[q]), found, score), strict=True):
-                    column.append(x)
+            asked = np.flatnonzero(is_query)
+            for at in range(0, len(asked), TOGETHER):
+                some = asked[at : at + TOGETHER]
+                for q, (found, score) in zip(ids[some].tolist(), index.nearest(ids[some], values[some], k), strict=True):
+                    for column, x in zip(out, (np.full(len(found), q), found, score), strict=True):
+                        column.append(x)
         join = lambda xs, kind: pa.array(np.concatenate(xs) if xs else [], kind)
         return pa.table({"query_id": join(out[0], pa.int64()), "vec_id": join(out[1], pa.int64()), "score": join(out[2], pa.float64())})
 
