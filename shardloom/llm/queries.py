@@ -1,7 +1,7 @@
 """All queries of this package, registered by their modules."""
 
 from shardloom.llm import (  # noqa: F401
-    chat_format, decontaminate, jaccard, language, neighbours, packing, resharding, token_files, url_rules,
+    chat_format, decontaminate, jaccard, language, neighbours, packing, resharding, substrings, token_files, url_rules,
 )
 from shardloom.llm.registry import ORACLES, QUERIES
 
