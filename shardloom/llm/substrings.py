@@ -186,16 +186,17 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         F.collect_list(F.struct("name", "frag", "copies", "start", "windows", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("wanted")
     )
     run, schema = _content_rows(window, shards)
-    contents = join_spans(docs.select("key", "text"), materialize(wanted, "wanted"), "wanted", "inner").mapInArrow(run, schema)
+    contents = join_spans(docs.select("key", "text"), materialize(wanted, "wanted"), "key", "inner").mapInArrow(run, schema)
     masks = contents.groupBy("shard").applyInArrow(_shard_masks(window), "name long, frag long, mask long")
     masks = masks.groupBy("name", "frag").agg(F.bit_or("mask").alias("mask"))
     return occurrences.join(masks, ["name", "frag"]).select("key", "start", "mask")
 
 
-def join_spans(docs: DataFrame, spans: DataFrame, column: str, how: str) -> DataFrame:
+def join_spans(docs: DataFrame, spans: DataFrame, key: str, how: str) -> DataFrame:
     """``docs`` with their row of ``spans``; broadcast if it has few rows and few spans, else by a shuffle."""
-    few = is_small(spans) and (spans.agg(F.sum(F.size(column))).first()[0] or 0) <= BROADCAST_SPANS
-    return docs.join(F.broadcast(spans) if few else spans, "key", how)
+    listed = next(c for c in spans.columns if c != key)
+    few = is_small(spans) and (spans.agg(F.sum(F.size(listed))).first()[0] or 0) <= BROADCAST_SPANS
+    return docs.join(F.broadcast(spans) if few else spans, key, how)
 
 
 def _cut(window: int, keep_text: bool):
@@ -207,7 +208,7 @@ def _cut(window: int, keep_text: bool):
             for part in chunks(batch, "text", SMALL_BYTES):
                 words = scan_words(part.column("text"), NOT_BLANK, False, powers)
                 removed, digests, texts = [], [], []
-                raw, spans = words.data.tobytes(), part.column("spans")
+                raw, spans = words.data.tobytes(), part.column("__spans")
                 starts, ends = words.starts.tolist(), words.ends.tolist()
                 for d, (first, count) in enumerate(zip(words.first[:-1].tolist(), words.counts.tolist(), strict=True)):
                     mine = spans[d].as_py()
@@ -226,7 +227,7 @@ def _cut(window: int, keep_text: bool):
                 columns = dict(zip(part.schema.names, part.columns, strict=True))
                 if keep_text:
                     columns["text"] = pa.array([t if t is not None else o for t, o in zip(texts, columns["text"].to_pylist(), strict=True)], pa.string())
-                del columns["spans"], columns["key"]
+                del columns["__spans"]
                 columns |= {"n_words": pa.array(words.counts, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(digests, pa.string())}
                 yield pa.RecordBatch.from_pydict(columns)
 
@@ -236,12 +237,14 @@ def _cut(window: int, keep_text: bool):
 def remove_repeats(docs: DataFrame, window: int = WINDOW, keep_text: bool = True) -> DataFrame:
     """The documents with ``n_words, n_removed, kept_sha256``. With ``keep_text`` the text of a document that lost words
     is its kept words joined by blanks; other texts stay as they are."""
-    docs = docs.drop("n_words", "n_removed", "kept_sha256", "spans", "key")
-    keyed = docs.withColumn("key", F.xxhash64("doc_id", "text"))
-    spans = repeated_spans(keyed, window).distinct().groupBy("key").agg(F.collect_list(F.struct("start", "mask")).alias("spans"))
+    docs = docs.drop("n_words", "n_removed", "kept_sha256")
+    key = F.xxhash64(F.col("doc_id"), F.col("text"))
+    spans = repeated_spans(docs.select(key.alias("key"), "text"), window).distinct().groupBy("key")
+    spans = spans.agg(F.collect_list(F.struct("start", "mask")).alias("__spans")).withColumnRenamed("key", "__key")
     spans = materialize(spans, "spans")
+    keyed = docs.withColumn("__key", key)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return join_spans(keyed, spans, "spans", "left").select(*[F.col(f"`{c}`") for c in docs.columns], "key", "spans").mapInArrow(
+    return join_spans(keyed, spans, "__key", "left").drop("__key").mapInArrow(
         _cut(window, keep_text), f"{fields}, n_words long, n_removed long, kept_sha256 string"
     )
 
