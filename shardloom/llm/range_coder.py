@@ -27,8 +27,8 @@ NONE = 65_535
 CONTEXT_BITS = 12
 #: Weights sum to at most this; each way keeps a least share.
 WEIGHTS = 4096
-LEAST = np.array([1, 1, 16, 16], dtype=np.int64)
-SHARED = WEIGHTS - int(LEAST.sum())
+LEAST = (1, 1, 16, 16)
+SHARED = float(WEIGHTS - sum(LEAST))
 STEP = 2
 _U = np.uint64
 RANGE_TOP = _U(1) << _U(48)
@@ -40,7 +40,7 @@ def _refreshes(n: int) -> list[int]:
     out, at = [], 16
     while at < n:
         out.append(at)
-        at += at // 2
+        at *= 2
     return out
 
 
@@ -77,33 +77,33 @@ def _model(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at1, at2 = _earlier(_context1(last)), _earlier(_context2(before, last))
     guess1, guess2 = np.where(at1 < 0, NONE, ids[at1]), np.where(at2 < 0, NONE, ids[at2])
     context = 6 * _fared(guess2, ids, at2) + 2 * _fared(guess1, ids, at1) + (guess1 == guess2)
-    start0, count0, known = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+    start0, count0, known = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64), np.ones(n, dtype=np.int64)
     marks = [*_refreshes(n), n]
-    size_of, place_of = np.zeros(NONE, dtype=np.int64), np.zeros(NONE, dtype=np.int64)
     for a, b in zip(marks[:-1], marks[1:], strict=True):
-        kinds, counts = np.unique(ids[:a], return_counts=True)
-        size_of[kinds], place_of[kinds] = counts, np.cumsum(counts) - counts
-        start0[a:b], count0[a:b], known[a:b] = place_of[ids[a:b]], size_of[ids[a:b]], a
+        done = np.sort(ids[:a].astype(np.uint16))
+        new = ids[a:b].astype(np.uint16)
+        start0[a:b], known[a:b] = np.searchsorted(done, new, "left"), a
+        count0[a:b] = np.searchsorted(done, new, "right") - start0[a:b]
     way = np.where(guess2 == ids, 0, np.where(guess1 == ids, 1, np.where(count0 > 0, 2, 3)))
     # Weights before each id: how often each way came in its context so far.
     order = np.argsort(context.astype(np.uint16), kind="stable")
-    sorted_context = context[order]
-    opens = np.append(True, sorted_context[1:] != sorted_context[:-1])
-    group = np.cumsum(opens) - 1
-    came = np.zeros((n + 1, 4), dtype=np.int64)
-    came[np.arange(1, n + 1), way[order]] = 1
-    came = np.cumsum(came, axis=0)
-    seen = np.empty((n, 4), dtype=np.int64)
-    seen[order] = 1 + STEP * (came[:-1] - came[:-1][opens][group])
-    weights = LEAST + SHARED * seen // seen.sum(axis=1, keepdims=True)
-    ends = np.cumsum(weights, axis=1)
-    rows = np.arange(n)
-    size = weights[rows, way] << 12
-    start = (ends[rows, way] << 12) - size
-    part = np.where(way == 2, size // np.maximum(known, 1), size >> 16)
+    sorted_context, sorted_way = context[order], way[order]
+    opens = np.flatnonzero(np.append(True, sorted_context[1:] != sorted_context[:-1]))
+    group = np.repeat(np.arange(len(opens)), np.diff(np.append(opens, n)))
+    scale = SHARED / (4 + STEP * (np.arange(n) - opens[group]))
+    end, start, size = np.zeros(n), np.zeros(n), np.zeros(n)
+    for w in range(4):
+        mine = sorted_way == w
+        came = np.cumsum(mine) - mine
+        weight = LEAST[w] + np.floor((1 + STEP * (came - came[opens][group])) * scale)
+        start[mine], size[mine] = end[mine], weight[mine]
+        end += weight
+    from_, share = np.empty(n, dtype=np.int64), np.empty(n, dtype=np.int64)
+    from_[order], share[order] = start.astype(np.int64) << 12, size.astype(np.int64) << 12
+    part = np.where(way == 2, share // known, share >> 16)
     inner = np.where(way == 2, start0, ids)
     times = np.where(way == 2, count0, 1)
-    return np.where(way < 2, start, start + part * inner), np.where(way < 2, size, part * times)
+    return np.where(way < 2, from_, from_ + part * inner), np.where(way < 2, share, part * times)
 
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
@@ -189,8 +189,9 @@ def decode_blocks(coded: list[bytes]) -> list[np.ndarray]:
     # Per lane and context: the id seen last, and how the prediction fared.
     guess = [np.full(n * cells, NONE, dtype=np.uint16) for _ in range(2)]
     fared = [np.zeros(n * cells, dtype=np.uint8) for _ in range(2)]
-    seen = np.ones((n * 18, 4), dtype=np.int32)
-    lane = np.arange(n, dtype=np.int64)
+    seen = np.ones(n * 18 * 4)
+    least, mostly = [float(x) for x in LEAST], float((1 << 24) - 1)
+    row_contexts, row_cells = np.arange(n) * 18, np.arange(n) * cells
     live = np.searchsorted(-lengths, -np.arange(longest), "left")
     marks = set(_refreshes(longest))
     order0 = None
@@ -198,22 +199,26 @@ def decode_blocks(coded: list[bytes]) -> list[np.ndarray]:
         k = int(live[t])
         if t in marks:
             order0 = _Order0(out[:k, :t])
-        row = lane[:k]
-        cell1 = row * cells + _context1(last[:k])
-        cell2 = row * cells + _context2(before[:k], last[:k])
+        before_, last_ = before[:k], last[:k]
+        cell1, cell2 = row_cells[:k] + _context1(last_), row_cells[:k] + _context2(before_, last_)
         guess1, guess2 = guess[0][cell1], guess[1][cell2]
         fared1, fared2 = fared[0][cell1], fared[1][cell2]
-        context = row * 18 + 6 * fared2 + 2 * fared1 + (guess1 == guess2)
-        counts = seen[context]
-        weights = LEAST + SHARED * counts.astype(np.int64) // counts.sum(axis=1, keepdims=True)
-        ends = np.cumsum(weights, axis=1)
+        context = 4 * (row_contexts[:k] + (6 * fared2 + 2 * fared1 + (guess1 == guess2)))
+        c0, c1, c2, c3 = seen[context], seen[context + 1], seen[context + 2], seen[context + 3]
+        scale = SHARED / (c0 + c1 + c2 + c3)
+        w0, w1 = least[0] + np.floor(c0 * scale), least[1] + np.floor(c1 * scale)
+        w2, w3 = least[2] + np.floor(c2 * scale), least[3] + np.floor(c3 * scale)
+        e1 = w0 + w1
+        e2 = e1 + w2
         unit = width[:k] >> _U(24)
-        value = np.minimum((code[:k] / unit).astype(np.int64), (1 << 24) - 1)
-        share = value >> 12
-        way = (share >= ends[:, 0]).astype(np.int64) + (share >= ends[:, 1]) + (share >= ends[:, 2])
-        size = weights[row, way] << 12
-        start = (ends[row, way] << 12) - size
-        ids = np.where(way == 0, guess2, guess1).astype(np.int64)
+        value = np.minimum(np.floor(code[:k] / unit), mostly)
+        share = np.floor(value / 4096)
+        is1, is2, is3 = share >= w0, share >= e1, share >= e2
+        way = is1.astype(np.int64) + is2 + is3
+        start = np.where(is3, e2, np.where(is2, e1, np.where(is1, w0, 0.0))).astype(np.int64) << 12
+        size = np.where(is3, w3, np.where(is2, w2, np.where(is1, w1, w0))).astype(np.int64) << 12
+        value = value.astype(np.int64)
+        ids = np.where(is1, guess1, guess2).astype(np.int64)
         rest = np.flatnonzero(way == 2)
         if len(rest):
             part = size[rest] // order0.known
@@ -241,7 +246,7 @@ def decode_blocks(coded: list[bytes]) -> list[np.ndarray]:
         out[:k, t] = small
         guess[0][cell1], guess[1][cell2] = small, small
         fared[0][cell1], fared[1][cell2] = 1 + (guess1 == small), 1 + (guess2 == small)
-        seen[context, way] += STEP
+        seen[context + way] += STEP
         before[:k], last[:k] = last[:k], ids
     result: list[np.ndarray] = [np.zeros(0, np.uint16)] * n
     for at, k in enumerate(order):

@@ -69,7 +69,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, keep
             yield segment()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    dealt = rows.repartitionByRange(parts, "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    dealt = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
     dealt.mapInArrow(run, SEGMENT).withColumn("part", F.spark_partition_id()).write.parquet(path)
 
 
