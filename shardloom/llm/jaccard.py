@@ -35,7 +35,7 @@ from shardloom.session import broadcast_if_small, materialize
 NGRAM = 5
 PERCENT = 80
 #: n-grams counted together when looking for frequent ones, how often one must occur there, and in all.
-COUNTED, FREQUENT_HERE, FREQUENT = 1 << 21, 4, 48
+COUNTED, FREQUENT_HERE, FREQUENT = 1 << 21, 2, 20
 #: At most so many n-grams are put last. This bounds a broadcast; it changes the order only, never a result.
 MOST_FREQUENT = 1 << 19
 #: Rows of a column that are still paired one by one.
@@ -243,8 +243,8 @@ def rough_clusters(docs: DataFrame, frequent, n: int, percent: int) -> DataFrame
     return components(edges).select(F.col("node").alias("row"), F.col("root").alias("cluster"))
 
 
-def _set_rows(n: int):
-    """Whole rows of the documents asked for: those whose set is the one meant."""
+def _asked_rows(n: int):
+    """Documents asked for whose set is the one meant. Their texts go on: they take less room than the hashes."""
 
     def run(batches):
         for part, sets in _sets(batches, n):
@@ -252,12 +252,11 @@ def _set_rows(n: int):
             keep = [k for k, s in enumerate(sets) if signature(s) == (want[0][k], want[1][k])]
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [part.column("cluster").take(at), part.column("doc_id").take(at), pa.array([len(sets[k]) for k in keep], pa.int64()),
-                 pa.array([sets[k].tobytes() for k in keep], pa.binary())],
-                ["cluster", "doc_id", "n", "grams"],
+                [part.column("cluster").take(at), part.column("doc_id").take(at), pa.array([len(sets[k]) for k in keep], pa.int64()), part.column("text").take(at)],
+                ["cluster", "doc_id", "n", "text"],
             )
 
-    return run, "cluster long, doc_id long, n long, grams binary"
+    return run, "cluster long, doc_id long, n long, text string"
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -295,27 +294,27 @@ def linked_groups(sets: list[np.ndarray], percent: int) -> np.ndarray:
         root = near
 
 
-def _tiles(percent: int):
+def _tiles(n: int, percent: int):
     """Spanning forests of the links in each tile, from rows sorted by tile."""
 
-    def forest(ids, raw):
+    def forest(ids, sets):
         order = np.argsort(ids, kind="stable")
         ids = ids[order]
-        root = linked_groups([np.frombuffer(raw[k], dtype=np.uint64) for k in order.tolist()], percent)
+        root = linked_groups([sets[k] for k in order.tolist()], percent)
         return ids[ids != ids[root]], ids[root][ids != ids[root]]
 
     def run(batches):
-        tile, ids, raw = None, [], []
-        for batch in batches:
-            for t, d, g in zip(*[batch.column(c).to_pylist() for c in ("tile", "doc_id", "grams")], strict=True):
+        tile, ids, held = None, [], []
+        for part, sets in _sets(batches, n):
+            for t, d, s in zip(part.column("tile").to_pylist(), part.column("doc_id").to_pylist(), sets, strict=True):
                 if t != tile:
                     if len(ids) > 1:
-                        yield emit(tile, *forest(np.array(ids), raw))
-                    tile, ids, raw = t, [], []
+                        yield emit(tile, *forest(np.array(ids), held))
+                    tile, ids, held = t, [], []
                 ids.append(d)
-                raw.append(g)
+                held.append(s)
         if len(ids) > 1:
-            yield emit(tile, *forest(np.array(ids), raw))
+            yield emit(tile, *forest(np.array(ids), held))
 
     def emit(tile, u, v):
         return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array([tile.count("/") > 0] * len(u), pa.bool_())], ["u", "v", "part"])
@@ -335,7 +334,7 @@ def deal_tiles(rows: DataFrame, percent: int) -> DataFrame:
         return sizes.select("cluster", (F.col("band") - shift).alias("band"), F.col("blocks").alias(f"blocks{shift}"))
 
     dealt = banded.join(whole, "cluster")
-    one = dealt.where("whole = 1").select(F.col("cluster").cast("string").alias("tile"), "doc_id", "grams")
+    one = dealt.where("whole = 1").select(F.col("cluster").cast("string").alias("tile"), "doc_id", "text")
     many = (
         dealt.where("whole > 1").join(near(0), ["cluster", "band"]).join(near(1), ["cluster", "band"], "left").join(near(-1), ["cluster", "band"], "left")
         .withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks0")).cast("int"))
@@ -347,7 +346,7 @@ def deal_tiles(rows: DataFrame, percent: int) -> DataFrame:
         F.transform(upto(F.col("blocks1")), lambda j: name(F.col("band"), F.col("block"), F.col("band") + 1, j)),
         F.transform(upto(F.col("blocks-1")), lambda j: name(F.col("band") - 1, j, F.col("band"), F.col("block"))),
     )
-    return one.unionByName(many.select(F.explode(tiles).alias("tile"), "doc_id", "grams"))
+    return one.unionByName(many.select(F.explode(tiles).alias("tile"), "doc_id", "text"))
 
 
 def near_duplicates(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> DataFrame:
@@ -365,11 +364,11 @@ def near_duplicates(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) ->
     classes = materialize(info.where("n > 0").groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep")), "classes")
     asked = classes.where("rep IS NOT NULL").join(clusters, F.col("a") == F.col("row")).select(F.col("rep").alias("doc_id"), "a", "b", "cluster")
     asked = materialize(asked, "asked")
-    run, schema = _set_rows(n)
+    run, schema = _asked_rows(n)
     rows = materialize(docs.join(broadcast_if_small(asked), "doc_id").mapInArrow(run, schema), "rows")
-    run, schema = _tiles(percent)
+    run, schema = _tiles(n, percent)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tiled = deal_tiles(rows.dropDuplicates(["doc_id", "grams"]), percent).repartition(parts, "tile").sortWithinPartitions("tile")
+    tiled = deal_tiles(rows.dropDuplicates(["doc_id", "n", "text"]), percent).repartition(parts, "tile").sortWithinPartitions("tile")
     links = materialize(tiled.mapInArrow(run, schema), "links")
     roots = links.where("NOT part").select(F.col("u").alias("rep"), F.col("v").alias("root"))
     if links.where("part").limit(1).count():
