@@ -199,7 +199,29 @@ def join_spans(docs: DataFrame, spans: DataFrame, key: str, how: str) -> DataFra
     return docs.join(F.broadcast(spans) if few else spans, key, how)
 
 
-def _cut(window: int, keep_text: bool):
+def _merge_runs(window: int):
+    """Runs of words covered by a document's repeated windows."""
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column("marks")
+            starts, masks = (lists.flatten().field(c).to_numpy() for c in ("start", "mask"))
+            out = []
+            for a, b in zip(lists.offsets.to_pylist()[:-1], lists.offsets.to_pylist()[1:], strict=True):
+                bits = (masks[a:b].view(np.uint64)[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)
+                which, bit = np.nonzero(bits)
+                at = np.unique(starts[a:b][which] + bit)
+                opens = np.append(True, at[1:] > at[:-1] + window)
+                last = np.append(np.flatnonzero(opens)[1:], len(at)) - 1
+                out.append([{"start": int(x), "length": int(y) + window - int(x)} for x, y in zip(at[opens], at[last], strict=True)])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("key"), pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())])))], ["__key", "__runs"]
+            )
+
+    return run, "__key long, __runs array<struct<start:int,length:int>>"
+
+
+def _cut(keep_text: bool):
     """Kept words of each document; ``keep_text`` puts them in place of the text, where anything was removed."""
 
     def run(batches):
@@ -208,26 +230,22 @@ def _cut(window: int, keep_text: bool):
             for part in chunks(batch, "text", SMALL_BYTES):
                 words = scan_words(part.column("text"), NOT_BLANK, False, powers)
                 removed, digests, texts = [], [], []
-                raw, spans = words.data.tobytes(), part.column("__spans")
+                raw, runs = words.data.tobytes(), part.column("__runs").to_pylist()
                 starts, ends = words.starts.tolist(), words.ends.tolist()
-                for d, (first, count) in enumerate(zip(words.first[:-1].tolist(), words.counts.tolist(), strict=True)):
-                    mine = spans[d].as_py()
-                    edge = np.zeros(count + 1, dtype=np.int64)
-                    for s in mine or ():
-                        mask = s["mask"] & ((1 << 64) - 1)
-                        for k in range(mask.bit_length()):
-                            if mask >> k & 1:
-                                edge[s["start"] + k] += 1
-                                edge[s["start"] + k + window] -= 1
-                    kept = np.cumsum(edge[:-1]) == 0
-                    text = b" ".join([raw[starts[first + k] : ends[first + k]] for k in np.flatnonzero(kept).tolist()])
-                    removed.append(count - int(kept.sum()))
+                for first, count, mine in zip(words.first[:-1].tolist(), words.counts.tolist(), runs, strict=True):
+                    kept, at = [], first
+                    for r in mine or ():
+                        kept += range(at, first + r["start"])
+                        at = first + r["start"] + r["length"]
+                    kept += range(at, first + count)
+                    text = b" ".join([raw[starts[k] : ends[k]] for k in kept])
+                    removed.append(count - len(kept))
                     digests.append(hashlib.sha256(text).hexdigest())
                     texts.append(text.decode() if keep_text and mine else None)
                 columns = dict(zip(part.schema.names, part.columns, strict=True))
                 if keep_text:
                     columns["text"] = pa.array([t if t is not None else o for t, o in zip(texts, columns["text"].to_pylist(), strict=True)], pa.string())
-                del columns["__spans"]
+                del columns["__runs"]
                 columns |= {"n_words": pa.array(words.counts, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(digests, pa.string())}
                 yield pa.RecordBatch.from_pydict(columns)
 
@@ -239,13 +257,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, keep_text: bool = True
     is its kept words joined by blanks; other texts stay as they are."""
     docs = docs.drop("n_words", "n_removed", "kept_sha256")
     key = F.xxhash64(F.col("doc_id"), F.col("text"))
-    spans = repeated_spans(docs.select(key.alias("key"), "text"), window).distinct().groupBy("key")
-    spans = spans.agg(F.collect_list(F.struct("start", "mask")).alias("__spans")).withColumnRenamed("key", "__key")
-    spans = materialize(spans, "spans")
+    marks = repeated_spans(docs.select(key.alias("key"), "text"), window).distinct().groupBy("key")
+    run, schema = _merge_runs(window)
+    runs = materialize(marks.agg(F.collect_list(F.struct("start", "mask")).alias("marks")).mapInArrow(run, schema), "runs")
     keyed = docs.withColumn("__key", key)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return join_spans(keyed, spans, "__key", "left").drop("__key").mapInArrow(
-        _cut(window, keep_text), f"{fields}, n_words long, n_removed long, kept_sha256 string"
+    return join_spans(keyed, runs, "__key", "left").drop("__key").mapInArrow(
+        _cut(keep_text), f"{fields}, n_words long, n_removed long, kept_sha256 string"
     )
 
 
