@@ -221,6 +221,8 @@ def decode_blocks(coded: list[bytes]) -> list[np.ndarray]:
         ids = np.where(is1, guess1, guess2).astype(np.int64)
         rest = np.flatnonzero(way == 2)
         if len(rest):
+            if order0 is None:  # no id was seen yet: only a damaged block comes here
+                raise ValueError("a block fails its checksum")
             part = size[rest] // order0.known
             at = np.minimum((value[rest] - start[rest]) // part, order0.known - 1)
             ids[rest] = order0.ids[rest, at]
