@@ -106,6 +106,10 @@ def _describe(n: int):
     return run, schema
 
 
+def _entries(col, row, n, hub: bool) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(col), pa.array(row), pa.array(n), pa.array(np.full(len(col), hub))], ["col", "row", "n", "hub"])
+
+
 class _Order:
     """Tells frequent n-grams: a small table of flags first, then the sorted list."""
 
@@ -124,12 +128,13 @@ class _Order:
 
 
 def _prefixes(frequent, n: int, percent: int):
-    """Entries (column, row) of the first multiplication; ``hub`` tells columns known to be long."""
+    """Entries (column, row) of the first multiplication, and with ``hub`` edges for columns known to be long: a row is
+    joined to the least of its long columns, and that to its others, so rows that share a long column are connected."""
 
     def run(batches):
         order, done = _Order(frequent.value), set()
         for _, sets in _sets(batches, n):
-            columns, rows, sizes, hubs = [], [], [], []
+            columns, rows, sizes, edges = [], [], [], set()
             for grams in sets:
                 if not len(grams):
                     continue
@@ -140,16 +145,17 @@ def _prefixes(frequent, n: int, percent: int):
                 last = order.last(grams)
                 p = prefix_size(len(grams), percent)
                 rare = grams[~last][:p]
-                long = grams[last][: p - len(rare)]
-                columns += [rare, long]
-                hubs += [np.zeros(len(rare), dtype=bool), np.ones(len(long), dtype=bool)]
-                rows.append(np.full(p, a))
-                sizes.append(np.full(p, len(grams), dtype=np.int32))
+                long = hub_node(grams[last][: p - len(rare)]).tolist()
+                if long:
+                    edges |= {(long[0], x) for x in (*long[1:], a)}
+                columns.append(rare)
+                rows.append(np.full(len(rare), a))
+                sizes.append(np.full(len(rare), len(grams), dtype=np.int32))
             if rows:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(np.concatenate(columns))), pa.array(np.concatenate(rows)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(hubs))],
-                    ["col", "row", "n", "hub"],
-                )
+                yield _entries(signed(np.concatenate(columns)), np.concatenate(rows), np.concatenate(sizes), False)
+            if edges:
+                u, v = np.array(sorted(edges)).T
+                yield _entries(u, v, np.zeros(len(u), dtype=np.int32), True)
 
     return run, "col long, row long, n int, hub boolean"
 
@@ -207,20 +213,10 @@ def _column_rows(col, row, n, percent: int):
 
 
 def hub_node(col: np.ndarray) -> np.ndarray:
-    """Name of a column among rows."""
+    """Names of columns among rows."""
     return signed(mix(col.view(np.uint64) ^ np.uint64(0x5851F42D4C957F2D)))
 
 
-def _hub_edges():
-    def run(batches):
-        for batch in batches:
-            col = batch.column("col").to_numpy()
-            n = batch.column("n")
-            yield pa.RecordBatch.from_arrays([pa.array(hub_node(col)), batch.column("row"), pa.array(np.zeros(len(col), np.int32)), n], ["u", "v", "n_u", "n_v"])
-
-    return run, "u long, v long, n_u int, n_v int"
-
-
 def _reachable(percent: int) -> Column:
     """Whether the overlaps counted and all entries not multiplied can make the overlap that the sizes call for."""
     rest = lambda n: F.ceil(n * percent / 100.0 - 1e-9) - 1  # noqa: E731  entries after the prefix
@@ -236,10 +232,9 @@ def rough_clusters(docs: DataFrame, frequent, n: int, percent: int) -> DataFrame
     run, schema = _multiply(percent)
     short = entries.where("NOT hub").select("col", "row", "n").repartition(2 * parts, "col").sortWithinPartitions("col", "row")
     product = materialize(short.mapInArrow(run, schema), "product")
-    run, schema = _hub_edges()
-    hubs = entries.where("hub").select("col", "row", "n").mapInArrow(run, schema)
+    hubs = entries.where("hub").select(F.col("col").alias("u"), F.col("row").alias("v")).distinct()
     pairs = product.where("n_u > 0").groupBy("u", "v", "n_u", "n_v").agg(F.count("*").alias("c")).where(_reachable(percent))
-    edges = pairs.select("u", "v").unionByName(product.where("n_u = 0").unionByName(hubs).select("u", "v"))
+    edges = pairs.select("u", "v").unionByName(product.where("n_u = 0").select("u", "v")).unionByName(hubs)
     return components(edges).select(F.col("node").alias("row"), F.col("root").alias("cluster"))
 
 
@@ -249,14 +244,10 @@ def _asked_rows(n: int):
     def run(batches):
         for part, sets in _sets(batches, n):
             want = [part.column(c).to_pylist() for c in ("a", "b")]
-            keep = [k for k, s in enumerate(sets) if signature(s) == (want[0][k], want[1][k])]
-            at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [part.column("cluster").take(at), part.column("doc_id").take(at), pa.array([len(sets[k]) for k in keep], pa.int64()), part.column("text").take(at)],
-                ["cluster", "doc_id", "n", "text"],
-            )
+            at = pa.array([k for k, s in enumerate(sets) if signature(s) == (want[0][k], want[1][k])], pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column(c).take(at) for c in ("tiles", "doc_id", "text")], ["tiles", "doc_id", "text"])
 
-    return run, "cluster long, doc_id long, n long, text string"
+    return run, "tiles array<string>, doc_id long, text string"
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -323,30 +314,31 @@ def _tiles(n: int, percent: int):
 
 
 def deal_tiles(rows: DataFrame, percent: int) -> DataFrame:
-    """Rows with the tiles they take part in. A cluster of one block is one tile; in others, blocks of a size band meet
-    each other and those of the next band, the only ones whose sizes can link."""
+    """``rows`` (narrow: id, set, ``n``, ``cluster``) with ``tiles``, the names of those they take part in. A cluster of
+    one block is one tile; in others, blocks of a size band meet each other and those of the next band, the only ones
+    whose sizes can link."""
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) + 1e-9).cast("int")
     banded = rows.withColumn("band", band)
     blocks = lambda: F.greatest(F.ceil(F.sum("n") / BLOCK_ENTRIES), F.ceil(F.count("*") / BLOCK_ROWS)).cast("int")
     whole = rows.groupBy("cluster").agg(blocks().alias("whole"))
     sizes = banded.groupBy("cluster", "band").agg(blocks().alias("blocks"))
-    def near(shift):
-        return sizes.select("cluster", (F.col("band") - shift).alias("band"), F.col("blocks").alias(f"blocks{shift}"))
-
-    dealt = banded.join(whole, "cluster")
-    one = dealt.where("whole = 1").select(F.col("cluster").cast("string").alias("tile"), "doc_id", "text")
-    many = (
-        dealt.where("whole > 1").join(near(0), ["cluster", "band"]).join(near(1), ["cluster", "band"], "left").join(near(-1), ["cluster", "band"], "left")
-        .withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks0")).cast("int"))
+
+    def near(shift, name):
+        return sizes.select("cluster", (F.col("band") - shift).alias("band"), F.col("blocks").alias(name))
+
+    dealt = (
+        banded.join(whole, "cluster").join(near(0, "own"), ["cluster", "band"]).join(near(1, "above"), ["cluster", "band"], "left")
+        .join(near(-1, "below"), ["cluster", "band"], "left").withColumn("block", F.pmod(F.xxhash64("doc_id", "a"), F.col("own")).cast("int"))
     )
     name = lambda low, i, high, j: F.concat_ws("/", "cluster", low, i, high, j)
     upto = lambda c: F.when(c.isNull(), F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), c - 1))
     tiles = F.concat(
-        F.transform(upto(F.col("blocks0")), lambda j: name(F.col("band"), F.least("block", j), F.col("band"), F.greatest("block", j))),
-        F.transform(upto(F.col("blocks1")), lambda j: name(F.col("band"), F.col("block"), F.col("band") + 1, j)),
-        F.transform(upto(F.col("blocks-1")), lambda j: name(F.col("band") - 1, j, F.col("band"), F.col("block"))),
+        F.transform(upto(F.col("own")), lambda j: name(F.col("band"), F.least("block", j), F.col("band"), F.greatest("block", j))),
+        F.transform(upto(F.col("above")), lambda j: name(F.col("band"), F.col("block"), F.col("band") + 1, j)),
+        F.transform(upto(F.col("below")), lambda j: name(F.col("band") - 1, j, F.col("band"), F.col("block"))),
     )
-    return one.unionByName(many.select(F.explode(tiles).alias("tile"), "doc_id", "text"))
+    tiles = F.when(F.col("whole") == 1, F.array(F.col("cluster").cast("string"))).otherwise(tiles)
+    return dealt.withColumn("tiles", tiles).select(*rows.columns, "tiles")
 
 
 def near_duplicates(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> DataFrame:
@@ -362,13 +354,13 @@ def near_duplicates(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) ->
 
     clusters = rough_clusters(docs, frequent, n, percent)
     classes = materialize(info.where("n > 0").groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep")), "classes")
-    asked = classes.where("rep IS NOT NULL").join(clusters, F.col("a") == F.col("row")).select(F.col("rep").alias("doc_id"), "a", "b", "cluster")
-    asked = materialize(asked, "asked")
+    asked = classes.where("rep IS NOT NULL").join(clusters, F.col("a") == F.col("row"))
+    asked = deal_tiles(asked.select(F.col("rep").alias("doc_id"), "a", "b", "n", "cluster"), percent).select("doc_id", "a", "b", "tiles")
     run, schema = _asked_rows(n)
-    rows = materialize(docs.join(broadcast_if_small(asked), "doc_id").mapInArrow(run, schema), "rows")
+    rows = docs.join(broadcast_if_small(materialize(asked, "asked")), "doc_id").mapInArrow(run, schema)
     run, schema = _tiles(n, percent)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tiled = deal_tiles(rows.dropDuplicates(["doc_id", "n", "text"]), percent).repartition(parts, "tile").sortWithinPartitions("tile")
+    tiled = rows.select(F.explode("tiles").alias("tile"), "doc_id", "text").repartition(parts, "tile").sortWithinPartitions("tile")
     links = materialize(tiled.mapInArrow(run, schema), "links")
     roots = links.where("NOT part").select(F.col("u").alias("rep"), F.col("v").alias("root"))
     if links.where("part").limit(1).count():
