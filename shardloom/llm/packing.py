@@ -3,7 +3,8 @@
 Only the number of pieces of each length matters for the packing, at most ``capacity`` numbers whatever the corpus. From
 the longest down, the gap of a length is looked up among the single lengths, then the sums of two, then the sums of
 three; a combination that fills the gap exactly is used as often as its counts allow. What is left is filled best fit
-first. The outcome is a list of recipes with the number of times each is used. Every use of a recipe is a sequence, and
+first. Where large pieces are many, combinations can use up the small ones that the rest would need, so this is also tried
+with shorter combinations, and the plan of fewest sequences is taken. The outcome is a list of recipes with the number of times each is used. Every use of a recipe is a sequence, and
 the pieces of one length are dealt to the places for that length by their rank, which is computed in two steps, so that a
 frequent length is spread over many tasks.
 
@@ -55,8 +56,8 @@ def cut_pieces(docs: DataFrame, path: str, keep_blanks: bool, end: int, capacity
 class Recipes:
     """Recipes for the given counts by length: ``recipes`` holds (lengths in order, times used)."""
 
-    def __init__(self, counts: np.ndarray) -> None:
-        self.capacity = len(counts) - 1
+    def __init__(self, counts: np.ndarray, longest: int = 3) -> None:
+        self.capacity, self.longest = len(counts) - 1, longest
         self.left = counts.astype(np.int64).copy()
         self.recipes: list[tuple[list[int], int]] = []
         for length in range(self.capacity, 0, -1):
@@ -68,6 +69,12 @@ class Recipes:
         while self.left.any():
             self._use(self._best_fit())
 
+    @classmethod
+    def fewest(cls, counts: np.ndarray) -> Recipes:
+        """The plan of fewest sequences over combinations of at most three, two and one."""
+        plans = [cls(counts, longest) for longest in (3, 2, 1)]
+        return min(plans, key=lambda plan: sum(n for _, n in plan.recipes))
+
     def _use(self, lengths: list[int]) -> None:
         kinds, times = np.unique(lengths, return_counts=True)
         n = int((self.left[kinds] // times).min())
@@ -80,7 +87,8 @@ class Recipes:
             return []
         free = self.left.copy()
         free[length] -= 1
-        return self._single(gap, free) or self._pair(gap, free) or self._triple(gap, free)
+        ways = (self._single, self._pair, self._triple)[: self.longest]
+        return next((found for way in ways if (found := way(gap, free))), None)
 
     @staticmethod
     def _single(total: int, free: np.ndarray) -> list[int] | None:
@@ -153,7 +161,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, buckets: int | None = None
     counts = np.zeros(capacity + 1, dtype=np.int64)
     for row in pieces.groupBy("length").count().collect():  # at most one row per length
         counts[row["length"]] = row["count"]
-    places = spark.sparkContext.broadcast(Recipes(counts).places())
+    places = spark.sparkContext.broadcast(Recipes.fewest(counts).places())
 
     @F.pandas_udf("sequence_id long, offset long")
     def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
