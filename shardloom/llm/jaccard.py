@@ -2,9 +2,9 @@
 
 1. Every document's set of hashed word n-grams is a row of the incidence matrix. Documents with equal sets are one class
    and go on once.
-2. Of a row of n entries only the first n - ceil(t n) + 1 in a common order are multiplied at first: two rows with
-   similarity t or more share one of these. Any common order is right; n-grams that whole neighbourhoods repeat are put
-   last (a bounded list, found while reading), so the entries that count are rare ones.
+2. Of a row of n entries only the first n - ceil(t n) + 1 + x n in a common order are multiplied at first: two rows with
+   similarity t or more share more than x n of these. Any common order is right; n-grams that whole neighbourhoods repeat
+   are put last (a bounded list, found while reading), so the entries that count are rare ones.
 3. The product of these entries is accumulated column by column. A column of few rows gives its pairs; the overlaps of a
    pair are summed over columns, and the pair is dropped if they and all entries not multiplied cannot reach the overlap
    that its two sizes call for. A column of many rows gives one hub edge per row instead of pairs.
@@ -34,6 +34,8 @@ from shardloom.session import broadcast_if_small, materialize
 
 NGRAM = 5
 PERCENT = 80
+#: Entries of a row, in percent, that are multiplied beyond the least number; the more, the sharper the bounds.
+EXTRA = 10
 #: n-grams counted together when looking for frequent ones, how often one must occur there, and in all.
 COUNTED, FREQUENT_HERE, FREQUENT = 1 << 21, 2, 20
 #: At most so many n-grams are put last. This bounds a broadcast; it changes the order only, never a result.
@@ -65,7 +67,7 @@ def signature(grams: np.ndarray) -> tuple[int, int]:
 
 
 def prefix_size(n, percent: int = PERCENT):
-    return n - -(-percent * n // 100) + 1
+    return n - -(-percent * n // 100) + 1 + n * EXTRA // 100
 
 
 def _sets(batches, n: int):
@@ -106,8 +108,10 @@ def _describe(n: int):
     return run, schema
 
 
-def _entries(col, row, n, hub: bool) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(col), pa.array(row), pa.array(n), pa.array(np.full(len(col), hub))], ["col", "row", "n", "hub"])
+def _entries(col, row, n, k, hub: bool) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(col), pa.array(row), pa.array(n.astype(np.int32)), pa.array(k.astype(np.int32)), pa.array(np.full(len(col), hub))], ["col", "row", "n", "k", "hub"]
+    )
 
 
 class _Order:
@@ -128,8 +132,9 @@ class _Order:
 
 
 def _prefixes(frequent, n: int, percent: int):
-    """Entries (column, row) of the first multiplication, and with ``hub`` edges for columns known to be long: a row is
-    joined to the least of its long columns, and that to its others, so rows that share a long column are connected."""
+    """Entries (column, row) of the first multiplication, and with ``hub`` edges for columns known to be long, with the
+    number k of such entries that an edge stands for. A row with many is joined to one of these columns, and that to the
+    others, so rows that share a long column are connected by edges that many rows have in common."""
 
     def run(batches):
         order, done = _Order(frequent.value), set()
@@ -146,18 +151,20 @@ def _prefixes(frequent, n: int, percent: int):
                 p = prefix_size(len(grams), percent)
                 rare = grams[~last][:p]
                 long = hub_node(grams[last][: p - len(rare)]).tolist()
-                if long:
-                    edges |= {(long[0], x) for x in (*long[1:], a)}
+                if long and len(long) < len(grams) * EXTRA // 100:
+                    edges |= {(x, a, len(grams), 1) for x in long}
+                elif long:
+                    edges |= {(long[0], x, 0, 0) for x in long[1:]} | {(long[0], a, len(grams), len(long))}
                 columns.append(rare)
                 rows.append(np.full(len(rare), a))
-                sizes.append(np.full(len(rare), len(grams), dtype=np.int32))
+                sizes.append(np.full(len(rare), len(grams)))
             if rows:
-                yield _entries(signed(np.concatenate(columns)), np.concatenate(rows), np.concatenate(sizes), False)
+                col = signed(np.concatenate(columns))
+                yield _entries(col, np.concatenate(rows), np.concatenate(sizes), np.zeros(len(col), dtype=np.int64), False)
             if edges:
-                u, v = np.array(sorted(edges)).T
-                yield _entries(u, v, np.zeros(len(u), dtype=np.int32), True)
+                yield _entries(*np.array(sorted(edges)).T, True)
 
-    return run, "col long, row long, n int, hub boolean"
+    return run, "col long, row long, n int, k int, hub boolean"
 
 
 def _multiply(percent: int):
@@ -218,10 +225,12 @@ def hub_node(col: np.ndarray) -> np.ndarray:
 
 
 def _reachable(percent: int) -> Column:
-    """Whether the overlaps counted and all entries not multiplied can make the overlap that the sizes call for."""
-    rest = lambda n: F.ceil(n * percent / 100.0 - 1e-9) - 1  # noqa: E731  entries after the prefix
+    """Whether the overlaps counted, those that long columns may add and all entries not multiplied can make the overlap
+    that the sizes call for."""
+    rest = lambda n: F.ceil(n * percent / 100.0 - 1e-9) - 1 - F.floor(n * EXTRA / 100.0 + 1e-9)
     need = F.ceil((F.col("n_u") + F.col("n_v")) * percent / (100.0 + percent) - 1e-9)
-    return F.col("c") + F.greatest(rest(F.col("n_u")), rest(F.col("n_v"))) >= need
+    long = F.least(F.coalesce("k_u", F.lit(0)), F.coalesce("k_v", F.lit(0)))
+    return F.col("c") + long + F.greatest(rest(F.col("n_u")), rest(F.col("n_v"))) >= need
 
 
 def rough_clusters(docs: DataFrame, frequent, n: int, percent: int) -> DataFrame:
@@ -232,9 +241,17 @@ def rough_clusters(docs: DataFrame, frequent, n: int, percent: int) -> DataFrame
     run, schema = _multiply(percent)
     short = entries.where("NOT hub").select("col", "row", "n").repartition(2 * parts, "col").sortWithinPartitions("col", "row")
     product = materialize(short.mapInArrow(run, schema), "product")
-    hubs = entries.where("hub").select(F.col("col").alias("u"), F.col("row").alias("v")).distinct()
-    pairs = product.where("n_u > 0").groupBy("u", "v", "n_u", "n_v").agg(F.count("*").alias("c")).where(_reachable(percent))
-    edges = pairs.select("u", "v").unionByName(product.where("n_u = 0").select("u", "v")).unionByName(hubs)
+    # Long columns, of the list and found by the product, and how many entries each row has in them.
+    hubs = entries.where("hub").select("col", "row", "n", "k").unionByName(
+        product.where("n_u = 0").select(F.col("u").alias("col"), F.col("v").alias("row"), F.col("n_v").alias("n"), F.lit(1).alias("k"))
+    )
+    long = hubs.where("k > 0").groupBy("row").agg(F.sum("k").alias("k"), F.max("n").alias("n"))
+    long = materialize(long.select("row", "k", (F.col("k") >= F.floor(F.col("n") * EXTRA / 100.0 + 1e-9)).alias("linkable")), "long")
+    used = hubs.where("k = 0").unionByName(hubs.where("k > 0").join(long.where("linkable").select("row"), "row", "left_semi"))
+    pairs = product.where("n_u > 0").groupBy("u", "v", "n_u", "n_v").agg(F.count("*").alias("c"))
+    for side in ("u", "v"):
+        pairs = pairs.join(long.select(F.col("row").alias(side), F.col("k").alias(f"k_{side}")), side, "left")
+    edges = pairs.where(_reachable(percent)).select("u", "v").unionByName(used.select(F.col("col").alias("u"), F.col("row").alias("v")))
     return components(edges).select(F.col("node").alias("row"), F.col("root").alias("cluster"))
 
 
