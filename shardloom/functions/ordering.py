@@ -70,30 +70,57 @@ def bucket_count(rows: int) -> int:
 
 
 def range_bucket(df: DataFrame, column: str) -> Column | None:
-    """Equal-width buckets over the column's range (numbers or timestamps), none for a small table; reads three scalars."""
-    numeric = _as_number(df, column)
-    lo, hi, rows = df.agg(F.min(numeric), F.max(numeric), F.count("*")).first()
-    if rows <= SINGLE_TASK_ROWS or lo is None:
+    """Buckets of about equal counts along numbers, dates or timestamps, none for a small table.
+
+    Cut at approximate quantiles, which are merged from every task's sketch, so an outlier does not empty the buckets.
+    NaN comes last, as in Spark's order.
+    """
+    rows = df.count()
+    if rows <= SINGLE_TASK_ROWS:
         return None
     buckets = bucket_count(rows)
-    width = max((hi - lo) / buckets, 1e-9) if isinstance(lo, float) else max(1, -(-(hi - lo + 1) // buckets))
-    return F.floor((numeric - F.lit(lo)) / F.lit(width)).cast("bigint")
+    number = _as_number(df, column)
+    points = F.array(*[F.lit(k / buckets) for k in range(1, buckets)])
+    found = df.where(number.isNotNull() & ~F.isnan(number)).agg(F.percentile_approx(number, points, F.lit(max(10_000, 4 * buckets)))).first()[0]
+    cuts = np.unique(np.array(found or [], dtype=np.float64))
+
+    @F.pandas_udf("bigint")
+    def place(values: pd.Series) -> pd.Series:
+        at = values.to_numpy(dtype=np.float64, na_value=np.nan)
+        return pd.Series(np.searchsorted(cuts, at, side="right"))
+
+    # null and NaN look alike to numpy: null keeps no bucket
+    return F.when(number.isNotNull(), place(number))
 
 
 def _as_number(df: DataFrame, column: str) -> Column:
+    """A double that does not decrease along the column; equal ones share a bucket and are ordered exactly there."""
     kind = df.schema[column].dataType.typeName()
-    return F.unix_micros(F.col(column)) if kind == "timestamp" else F.col(column)
+    if kind == "timestamp":
+        number = F.unix_micros(F.col(column))
+    elif kind == "timestamp_ntz":
+        number = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(column))
+    elif kind == "date":
+        number = F.unix_date(F.col(column))
+    else:
+        number = F.col(column)
+    return number.cast("double")
 
 
 def text_bucket(df: DataFrame, column: str, rows: int) -> Column:
-    """Order-preserving buckets for a text column, cut at quantiles of a small hash-picked sample.
+    """Order-preserving buckets for a text column, cut at quantiles of a small hash-picked sample of its distinct values,
+    each weighted by its rows, so a frequent text does not fill the sample.
 
     The sample only balances the buckets; every row is still placed exactly.
     """
     buckets = bucket_count(rows)
-    picked = df.select(column).orderBy(F.xxhash64(column), column).limit(buckets * SAMPLE_PER_BUCKET)
-    sample = picked.toPandas()[column].dropna().sort_values()
-    cuts = np.unique(sample.to_numpy(dtype=object)[:: max(1, len(sample) // buckets)])
+    picked = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("__rows"))
+    sample = picked.orderBy(F.xxhash64(column), column).limit(buckets * SAMPLE_PER_BUCKET).toPandas().sort_values(column)
+    reached = sample["__rows"].cumsum().to_numpy(dtype=float)
+    share = reached[-1] / buckets if len(reached) else 1.0
+    # a value opens a bucket when the rows up to it pass the next share
+    opens = np.floor(reached / share) > np.floor(np.concatenate([[0.0], reached[:-1]]) / share)
+    cuts = sample[column].to_numpy(dtype=object)[opens]
     encoded = np.array([c.encode() for c in cuts], dtype=object)
 
     @F.pandas_udf("bigint")

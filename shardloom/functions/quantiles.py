@@ -2,6 +2,9 @@
 
 Spark's ``percentile`` keeps a whole group's values in one task. Here counts per order-preserving code find
 the code that holds each wanted rank, twice, and only the values under those codes are looked at one by one.
+
+The same rules hold at every size: nulls and NaN among plain values are left out, infinite values are ranked as the
+ends of the order, and a tensor that is null, holds a null or is not as wide as declared is an error.
 """
 
 from __future__ import annotations
@@ -9,8 +12,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from shardloom.functions.batches import extended_schema, group_rows, key_columns, matrix
 from shardloom.functions.joins import join_groups
@@ -27,19 +31,19 @@ _TABLE_CODES = 1 << 22
 SMALL_VALUES = 1_000_000
 
 
-def _code(v: Column) -> Column:
-    """A number that never decreases as the value grows."""
-    magnitude = F.floor((F.log2(F.abs(v)) + F.lit(_OFFSET)) * F.lit(float(_FINE))) + 1
-    return F.when(v == 0, F.lit(0).cast("bigint")).otherwise(F.signum(v).cast("bigint") * magnitude)
-
-
 def value_codes(values: np.ndarray) -> np.ndarray:
-    """The same kind of code for a block of values."""
-    with np.errstate(divide="ignore"):
-        magnitude = np.floor((np.log2(np.abs(values)) + _OFFSET) * _FINE) + 1
+    """Numbers that never decrease as the values grow; infinite values lie beyond all others. No NaN."""
+    size = np.clip(np.abs(values), np.finfo(np.float64).tiny * 2.0**-52, np.finfo(np.float64).max)
+    magnitude = np.floor((np.log2(size) + _OFFSET) * _FINE) + 1 + np.where(np.isinf(values), float(_FINE), 0.0)
     return np.where(values == 0, 0, np.sign(values) * magnitude).astype(np.int64)
 
 
+@F.pandas_udf(T.LongType())
+def _code(v: pd.Series) -> pd.Series:
+    """``value_codes`` of a column; the one coder of all levels and both forms."""
+    return pd.Series(value_codes(v.to_numpy(dtype=np.float64)))
+
+
 def count_codes(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct codes and how often each occurs; a table of counts where the codes lie close together."""
     if codes.dtype.kind != "i" or not len(codes):
@@ -52,7 +56,9 @@ def count_codes(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at + low, counts[at]
 
 
-def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+def exact_quantiles(
+    df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (), small_values: int | None = None
+) -> DataFrame:
     """One row per group: ``n`` and ``q`` (array aligned with ``probs``), linear interpolation.
 
     Nulls and NaN are left out. A table counted as small is ranked at once; a larger one takes three passes,
@@ -60,7 +66,8 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Seque
     """
     by = list(by)
     rows = df.select(*by, F.col(value).cast("double").alias("__v")).where(F.col("__v").isNotNull() & ~F.isnan("__v"))
-    if rows.limit(SMALL_VALUES + 1).count() <= SMALL_VALUES:
+    small = SMALL_VALUES if small_values is None else small_values
+    if rows.limit(small + 1).count() <= small:
         return _at_once(rows, probs, by)
     rows = rows.withColumn("__fine", _code(F.col("__v"))).withColumn("__coarse", F.shiftright("__fine", _SHIFT))
 
@@ -76,16 +83,19 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Seque
 
 def tensor_quantiles(
     df: DataFrame, width: int, probs: Sequence[float], by: Sequence[str] = (), tensor: str = "tensor",
-    magnitude: bool = False,
+    magnitude: bool = False, small_values: int | None = None,
 ) -> DataFrame:
     """``exact_quantiles`` of all values in arrays of ``width``; tasks count codes in blocks, nothing is exploded.
 
     Falls back to the row form when there are too many groups to hand the wanted codes to every task.
     """
     by = list(by)
+    bad = F.col(tensor).isNull() | (F.size(tensor) != width) | F.exists(tensor, lambda v: v.isNull())
+    sound = F.when(bad, F.raise_error(F.lit(f"a tensor is not {width} values"))).otherwise(F.col(tensor))
     source = df.select(*by, tensor)
-    if source.limit(SMALL_VALUES // width + 1).count() <= SMALL_VALUES // width:
-        rows = source.select(*by, F.explode(tensor).alias("__v")).withColumn("__v", F.col("__v").cast("double"))
+    small = (SMALL_VALUES if small_values is None else small_values) // width
+    if source.limit(small + 1).count() <= small:
+        rows = source.withColumn(tensor, sound).select(*by, F.explode(tensor).alias("__v")).withColumn("__v", F.col("__v").cast("double"))
         rows = rows.withColumn("__v", F.abs("__v")) if magnitude else rows
         return _at_once(rows.where(~F.isnan("__v")), probs, by)
 
@@ -177,7 +187,9 @@ def _quantiles(count, probs: Sequence[float], by: list[str]) -> DataFrame:
         pos = F.lit(float(p)) * (F.col("n") - 1)
         low = F.try_element_at("__at", F.floor(pos).cast("bigint"))
         high = F.try_element_at("__at", F.ceil(pos).cast("bigint"))
-        return low + (high - low) * (pos - F.floor(pos))
+        # as in Spark's percentile, so an infinite neighbour gives the same value in both forms
+        between = (F.ceil(pos) - pos) * low + (pos - F.floor(pos)) * high
+        return F.when((F.floor(pos) == F.ceil(pos)) | (low == high), low).otherwise(between)
 
     return grouped.select(*by, "n", F.array(*[interpolate(p) for p in probs]).alias("q"))
 

@@ -21,9 +21,8 @@ _MAX_OPEN_CELLS = 2**25
 _CHUNK_CELLS = 65_536
 
 
-def fold_tasks(df: DataFrame) -> DataFrame:
-    """Fewer, larger tasks for folds whose partial is big: a narrow merge of input splits, no shuffle."""
-    return df.coalesce(df.sparkSession.sparkContext.defaultParallelism * 4)
+# Partials of so many tasks meet first, so no group grows with the number of tasks.
+_MERGED_TASKS = 64
 
 
 def feature_width(df: DataFrame, features: str) -> int:
@@ -33,7 +32,10 @@ def feature_width(df: DataFrame, features: str) -> int:
 
 
 def vector_sums(partials: DataFrame, keys: Sequence[str], vector: str) -> DataFrame:
-    """Element-wise sum of ``vector`` per key. A group holds one row per task, never data rows."""
+    """Element-wise sum of ``vector`` per key, as a tree: rows are summed in salted groups, then those sums.
+
+    A first group holds the partials of a share of the tasks, a last one at most ``_MERGED_TASKS`` rows.
+    """
     keys = list(keys)
     schema = partials.select(*keys, vector).schema
 
@@ -44,7 +46,10 @@ def vector_sums(partials: DataFrame, keys: Sequence[str], vector: str) -> DataFr
         out[vector] = list_column(total, pa.float64())
         return pa.table(out)
 
-    return partials.select(*keys, vector).groupBy(*keys).applyInArrow(add, schema)
+    # the salt follows from the row itself, so a repeated task sends its partial the same way
+    salted = partials.select(*keys, vector, F.pmod(F.xxhash64(vector), F.lit(_MERGED_TASKS)).alias("__salt"))
+    first = salted.groupBy(*keys, "__salt").applyInArrow(add, schema)
+    return first.groupBy(*keys).applyInArrow(add, schema)
 
 
 def gram_partials(
@@ -82,7 +87,7 @@ def gram_partials(
                 groups = {}
         yield from emit(groups)
 
-    return fold_tasks(df.select(*by, features)).mapInArrow(fold, schema)
+    return df.select(*by, features).mapInArrow(fold, schema)
 
 
 def _chunk_rows(width: int) -> int:

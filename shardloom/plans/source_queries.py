@@ -198,15 +198,14 @@ def _(t: Tables):
 
 @query(
     "build_manifest",
-    """SELECT source, count(*) AS "rows", CAST(sum(n_chars) AS BIGINT) AS bytes, min(doc_id) AS first_index, max(doc_id) AS last_index,
-      min(n_chars % 10) AS label_min, max(n_chars % 10) AS label_max FROM documents WHERE length(text) = n_chars GROUP BY source""",
+    """SELECT source, count(*) AS "rows", CAST(sum(length(text)) AS BIGINT) AS bytes, min(doc_id) AS first_index, max(doc_id) AS last_index,
+      min(n_chars % 10) AS label_min, max(n_chars % 10) AS label_max FROM documents GROUP BY source""",
 )
 def _(t: Tables):
-    docs = t.read("documents").where(F.char_length("text") == F.col("n_chars")).select(
-        F.col("source").alias("shard"), "doc_id", (F.col("n_chars") % 10).alias("label"), F.split("text", "").alias("chars"), "n_chars"
+    docs = t.read("documents").select(
+        F.col("source").alias("shard"), "doc_id", (F.col("n_chars") % 10).alias("label"), F.split("text", "").alias("chars")
     )
-    sized = docs.withColumn("chars", F.slice("chars", F.lit(1), F.col("n_chars").cast("int")))
-    manifest = sinks.build_manifest(sized, "doc_id", "chars", 1)
+    manifest = sinks.build_manifest(docs, "doc_id", "chars", 1)
     return manifest.withColumnRenamed("shard", "source").drop("digest_xor", "digest_sum")
 
 
