@@ -69,14 +69,14 @@ def bucket_count(rows: int) -> int:
     return min(MAX_BUCKETS, max(MIN_BUCKETS, rows // ROWS_PER_BUCKET))
 
 
-def range_bucket(df: DataFrame, column: str) -> Column | None:
+def range_bucket(df: DataFrame, column: str, single_task_rows: int | None = None) -> Column | None:
     """Buckets of about equal counts along numbers, dates or timestamps, none for a small table.
 
     Cut at approximate quantiles, which are merged from every task's sketch, so an outlier does not empty the buckets.
     NaN comes last, as in Spark's order.
     """
     rows = df.count()
-    if rows <= SINGLE_TASK_ROWS:
+    if rows <= (SINGLE_TASK_ROWS if single_task_rows is None else single_task_rows):
         return None
     buckets = bucket_count(rows)
     number = _as_number(df, column)
@@ -132,12 +132,12 @@ def text_bucket(df: DataFrame, column: str, rows: int) -> Column:
     return place(F.col(column))
 
 
-def ordered_bucket(df: DataFrame, column: str) -> Column | None:
+def ordered_bucket(df: DataFrame, column: str, single_task_rows: int | None = None) -> Column | None:
     """Buckets along any sortable column, none for a small table."""
     if df.schema[column].dataType.typeName() != "string":
-        return range_bucket(df, column)
+        return range_bucket(df, column, single_task_rows)
     rows = df.count()
-    return None if rows <= SINGLE_TASK_ROWS else text_bucket(df, column, rows)
+    return None if rows <= (SINGLE_TASK_ROWS if single_task_rows is None else single_task_rows) else text_bucket(df, column, rows)
 
 
 def last_rows(df: DataFrame, group: Sequence[str], order: str, k: int, tiebreak: str | None = None) -> DataFrame:

@@ -89,12 +89,12 @@ PRACTICAL_FLAGS = ["class_cond_all_steps", "target_detached_all_steps", "live_pa
 
 def training_gate(
     summary: DataFrame, audits: DataFrame, evals: DataFrame, checkpoints: DataFrame, max_steps: int | None = None,
-    eval_required: bool = True, by: Sequence[str] = RUN,
+    eval_required: bool = True, by: Sequence[str] = RUN, flags: Sequence[str] = (*TRAIN_FLAGS, *PRACTICAL_FLAGS),
 ) -> DataFrame:
     """Pass/fail per run from its summary, its last audit, its evals and checkpoints.
 
-    ``max_steps`` is the requested last step (``requested_max_steps`` of the summary when None). Flags the
-    summary does not report are not required.
+    ``max_steps`` is the requested last step (``requested_max_steps`` of the summary when None). Each of ``flags`` must
+    be reported by the summary and true: a run without one fails.
     """
     by = list(by)
     last = audits.groupBy(*by).agg(
@@ -110,9 +110,12 @@ def training_gate(
 
     wanted = F.col("requested_max_steps") if max_steps is None else F.lit(max_steps)
     train = sure(F.col("final_step") == wanted)
+    def reported(name: str) -> Column:
+        return sure(F.col(name)) if name in summary.columns else F.lit(False)
+
     for name in TRAIN_FLAGS:
-        if name in summary.columns:
-            train = train & sure(F.col(name))
+        if name in flags:
+            train = train & reported(name)
     rows = (
         rows.withColumn("train_ok", train)
         .withColumn("fd_ok", sure(F.col("fd_rel_err") < FD_LIMIT))
@@ -125,8 +128,8 @@ def training_gate(
     for name in ("train_ok", "fd_ok", "degenerate_ok", "checkpoint_ok", "eval_ok", "memory_logged"):
         gate = gate & F.col(name)
     for name in PRACTICAL_FLAGS:
-        if name in summary.columns:
-            gate = gate & sure(F.col(name))
+        if name in flags:
+            gate = gate & reported(name)
     return rows.withColumn("practical_gate_pass", gate).select(
         *by, "train_ok", "fd_rel_err", "fd_ok", "degenerate_error", "degenerate_ok", "checkpoint_ok", "eval_ok",
         "memory_logged", "practical_gate_pass",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from shardloom.functions.hashing import draw_key, hex_prefix, unit_draw
 from shardloom.functions.ordering import running_before
-from shardloom.session import require
+from shardloom.session import broadcast_if_small, require
 
 INDEX = "global_index"
 # Above this a sample is cut by key buckets instead of one top-n task.
@@ -40,8 +40,14 @@ def slice_provenance(sliced: DataFrame, index: str = INDEX) -> DataFrame:
 
 
 def take_per_view(df: DataFrame, n: int, index: str = INDEX) -> DataFrame:
-    """First ``n`` samples of every view."""
-    return df.where(F.col(index) < n)
+    """First ``n`` samples of every view in index order, whatever gaps a selection has left.
+
+    Only (view, index) is ranked; every task keeps its own first ``n`` before they meet. Rows that share an index with
+    the n-th sample come along.
+    """
+    rank = F.row_number().over(Window.partitionBy("view").orderBy(index))
+    upto = df.select("view", index).withColumn("__rank", rank).where(F.col("__rank") <= n).groupBy("view").agg(F.max(index).alias("__last"))
+    return df.join(broadcast_if_small(upto), "view").where(F.col(index) <= F.col("__last")).select(df.columns)
 
 
 def first_n(df: DataFrame, n: int, index: str = INDEX) -> DataFrame:

@@ -77,6 +77,26 @@ def _(t: Tables):
     return distances.frechet(gen, moments.moments(t.features, by=["label"]), ["label"])
 
 
+def _stretched(t: Tables):
+    """Features 1.5 x + 0.25, whose distance to x has a closed form: |mean gap|^2 + (1.5 - 1)^2 tr(cov)."""
+    return t.features.withColumn("features", F.transform("features", lambda v: v.cast("double") * 1.5 + 0.25))
+
+
+STRETCHED = """WITH m AS (SELECT {by} pos, avg(v) AS mu, var_samp(v) AS s, count(*) AS n FROM elements GROUP BY {by} pos)
+    SELECT {by} any_value(n) AS n1, any_value(n) AS n2, 64 AS dims, round(sum(pow(0.5 * mu + 0.25, 2)) + 0.25 * sum(s), 4) AS fid FROM m {group}"""
+
+
+@query("frechet_stretched", STRETCHED.format(by="", group=""), ("elements",))
+def _(t: Tables):
+    return rounded(distances.frechet(moments.moments(_stretched(t)), moments.moments(t.features)), 4)
+
+
+@query("frechet_stretched_by_label", STRETCHED.format(by="label,", group="GROUP BY label"), ("elements",))
+def _(t: Tables):
+    one, two = (moments.moments(f, by=["label"]) for f in (_stretched(t), t.features))
+    return rounded(distances.frechet(one, two, ["label"]), 4)
+
+
 @query("frechet_regularized")
 def _(t: Tables):
     gen = moments.moments(t.recon_features(1), strict=False)

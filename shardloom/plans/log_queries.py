@@ -56,7 +56,9 @@ def _(t: Tables):
 def _(t: Tables):
     parts = runlog.split_events(t.log)
     summary = runlog.run_summary(parts["train_step"]).withColumn("requested_max_steps", F.col("final_step"))
-    gate = runlog.training_gate(summary, parts["fd_audit"], parts["eval"], parts["checkpoint"])
+    # the log of this query records these two flags
+    flags = ["loss_all_finite", "grad_all_finite"]
+    gate = runlog.training_gate(summary, parts["fd_audit"], parts["eval"], parts["checkpoint"], flags=flags)
     return gate.withColumn("fd_rel_err", F.round("fd_rel_err", 6)).withColumn(
         "degenerate_error", F.round("degenerate_error", 12)
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shardloom.functions.ordering import running_before
+from shardloom.functions.ordering import ordered_bucket, running_before
 from shardloom.operators import registry, sampling, validation
 from shardloom.plans.catalog import query, rounded
 from shardloom.plans.views import Tables
@@ -160,6 +160,37 @@ def _(t: Tables):
     return sampling.take_per_view(t.views, 150).select("view", "global_index", "label")
 
 
+@query(
+    "take_per_view_after_selection",
+    """WITH s AS (SELECT * FROM latents WHERE shard IN (1, 3, 4)), r AS (SELECT global_index, label, row_number() OVER (ORDER BY global_index) AS r FROM s)
+    SELECT view, global_index, label FROM r, (VALUES ('latents'), ('latents_flip')) v(view) WHERE r <= 100""",
+    ("latents",),
+)
+def _(t: Tables):
+    """The first samples of what a shard selection has left, whose indexes have gaps."""
+    return sampling.take_per_view(t.views.where(F.col("shard").isin(1, 3, 4)), 100).select("view", "global_index", "label")
+
+
+def _ordered(column: str, kind: str):
+    def run(t: Tables):
+        orders = t.read("orders").select("o_orderkey", F.col(column).cast(kind).alias("at"))
+        bucket = ordered_bucket(orders, "at", single_task_rows=0)
+        return running_before(orders, ["at", "o_orderkey"], bucket).select("o_orderkey", "before")
+
+    return run
+
+
+# The form for tables of any size, on every kind of order column.
+for _name, _column, _kind in (
+    ("date", "o_orderdate", "date"), ("timestamp", "o_orderdate", "timestamp_ntz"), ("number", "o_totalprice", "double"),
+    ("text", "o_orderpriority", "string"),
+):
+    query(
+        f"ordered_large_{_name}",
+        f"SELECT o_orderkey, row_number() OVER (ORDER BY {_column}{'::DATE' if _kind == 'date' else ''}, o_orderkey) - 1 AS before FROM orders",
+    )(_ordered(_column, _kind))
+
+
 @query("first_n", "SELECT global_index, label FROM latents WHERE global_index < 300", ("latents",))
 def _(t: Tables):
     return sampling.first_n(t.latents, 300).select("global_index", "label")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from shardloom.functions import quantiles
 from shardloom.operators import errors, stats, transforms
 from shardloom.plans.catalog import query, rounded
 from shardloom.plans.views import SPEC, Tables
@@ -112,6 +113,37 @@ def _(t: Tables):
     return rounded(stats.abs_quantiles(t.latents, SPEC).select("abs_median", "abs_p99"))
 
 
+@query(
+    "abs_quantiles_large",
+    """SELECT label, count(*) AS n, round(quantile_cont(abs(v), 0.5), 6) AS abs_median, round(quantile_cont(abs(v), 0.99), 6) AS abs_p99
+    FROM elements GROUP BY label""",
+    ("elements",),
+)
+def _(t: Tables):
+    """The form for tables of any size, which the other quantile queries only take beyond a million values."""
+    q = quantiles.tensor_quantiles(t.latents, SPEC.size, [0.5, 0.99], ["label"], magnitude=True, small_values=0)
+    return rounded(q.select("label", "n", F.col("q")[0].alias("abs_median"), F.col("q")[1].alias("abs_p99")))
+
+
+def _nonfinite(small_values: int):
+    def run(t: Tables):
+        v = F.when(F.col("event_id") % 50 == 0, float("inf")).when(F.col("event_id") % 50 == 1, float("-inf"))
+        v = v.when(F.col("event_id") % 50 == 2, float("nan")).when(F.col("event_id") % 50 == 3, None).otherwise(F.col("value"))
+        rows = t.read("events").select("event_type", v.alias("v"))
+        q = quantiles.exact_quantiles(rows, "v", [0.0, 0.25, 0.5, 1.0], ["event_type"], small_values=small_values)
+        names = ("lowest", "q25", "median", "highest")
+        return q.select("event_type", "n", *[F.round(F.col("q")[k], 6).cast("string").alias(name) for k, name in enumerate(names)])
+
+    return run
+
+
+NONFINITE = """WITH e AS (SELECT event_type, CASE event_id % 50 WHEN 0 THEN 'inf'::DOUBLE WHEN 1 THEN '-inf'::DOUBLE WHEN 2 THEN NULL WHEN 3 THEN NULL ELSE value END AS v FROM events),
+    q AS (SELECT event_type, count(v) AS n, quantile_cont(v, 0.25) AS a, quantile_cont(v, 0.5) AS b FROM e WHERE v IS NOT NULL GROUP BY event_type)
+    SELECT event_type, n, '-Infinity' AS lowest, round(a, 6)::VARCHAR AS q25, round(b, 6)::VARCHAR AS median, 'Infinity' AS highest FROM q"""
+query("exact_quantiles_nonfinite", NONFINITE)(_nonfinite(10**6))
+query("exact_quantiles_nonfinite_large", NONFINITE)(_nonfinite(0))
+
+
 @query(
     "finite_audit",
     """WITH hurt AS (SELECT label, global_index, pos, CASE WHEN v > 0.4 THEN 'nan' WHEN v > 0.35 THEN 'pos'

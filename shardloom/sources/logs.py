@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from shardloom.functions.parsing import iso_timestamp, path_step
 
@@ -85,13 +85,17 @@ RECORD_KEYS = {
 }
 RECORD_MARKERS = ["fid", "FID", "mmd2", "kid"]
 FID_TEXT = r"(?i)\bfid(?:50k)?\b[^0-9+\-.eE]*([+-]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?)"
+# The same pattern over a line break: the name at the end of one line, the number at the head of another.
+FID_OPEN = r"(?i)\bfid(?:50k)?\b[^0-9+\-.eE]*$"
+FID_REST = r"^[^0-9+\-.eE]*([+-]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?)"
 
 
 def parse_metric_text(lines: DataFrame, by: list[str], line: str = "line", order: str = "line_no") -> DataFrame:
     """Metrics printed among free text, one row per ``by``.
 
     ``fid`` is the first JSON line with a non-null spelling of it, else the first match of the text pattern;
-    the full record is the last JSON line that names fid, mmd2 or kid. Keys are matched exactly.
+    the full record is the last JSON line that names fid, mmd2 or kid. Keys are matched exactly. The text pattern may
+    reach over line breaks. The lines of one ``by`` are one step's output and are sorted in one task.
     """
     text = F.trim(line)
     fields = F.from_json(
@@ -106,6 +110,12 @@ def parse_metric_text(lines: DataFrame, by: list[str], line: str = "line", order
     for n in RECORD_MARKERS:
         named = named | F.coalesce(F.map_contains_key("__map", F.lit(n)), F.lit(False))
     found = F.regexp_extract("__text", FID_TEXT, 1)
+    # A name at the end of a line takes its number from the first later line that has a character to stop at.
+    later = Window.partitionBy(*by).orderBy(F.desc("__at")).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = F.last(F.when(F.col("__text").rlike(r"[0-9+\-.eE]"), F.col("__text")), ignorenulls=True).over(later)
+    rows = rows.withColumn("__next", ahead)
+    continued = F.when(F.col("__text").rlike(FID_OPEN), F.regexp_extract("__next", FID_REST, 1))
+    found = F.when(found != "", found).otherwise(F.coalesce(continued, F.lit("")))
     rows = rows.withColumn("__fid", first_key(FID_KEYS)).withColumn("__named", named).withColumn(
         "__free", F.when(found != "", found.cast("double"))
     )

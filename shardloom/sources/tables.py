@@ -31,11 +31,16 @@ def read_feature_table(spark: SparkSession, path: str, max_ref: int | None = Non
 
 
 def feature_bank(df: DataFrame, max_ref: int | None = None, index: str = "global_index") -> DataFrame:
-    """The first ``max_ref`` rows in index order; ``truncated_to_max_ref`` is set only when rows were left out."""
+    """The first ``max_ref`` rows in index order; ``truncated_to_max_ref`` is set only when rows were left out.
+
+    Indexes may have gaps; rows that share one with the last row kept come along.
+    """
     if max_ref is None:
         return df.withColumn("truncated_to_max_ref", F.lit(None).cast("bigint"))
-    longer = df.agg(F.max(index)).first()[0]
-    cut = longer is not None and longer >= max_ref
-    return df.where(F.col(index) < max_ref).withColumn(
+    # a top-n of the index column alone: tasks keep their own first rows before these meet
+    last = df.select(index).orderBy(index).limit(max_ref).agg(F.max(index)).first()[0] if max_ref else None
+    kept = df.where(F.col(index) <= F.lit(last)) if last is not None else df.limit(0)
+    cut = last is not None and df.where(F.col(index) > F.lit(last)).limit(1).count() > 0
+    return kept.withColumn(
         "truncated_to_max_ref", F.lit(max_ref if cut else None).cast("bigint")
     )

@@ -28,8 +28,10 @@ def test_equal_flags(spark):
     assert L.run_summary(df.withColumn("jvp_param_source", F.lit("live"))).first()["live_params_all_steps"] is True
 
 
-def gate(spark, fd=0.001, degenerate=0.0, ok="ok", ckpt=True, last=2, **kw):
+def gate(spark, fd=0.001, degenerate=0.0, ok="ok", ckpt=True, last=2, unreported=None, **kw):
     summary = L.run_summary(steps(spark, [("a", 1, 1.0, 1.0), ("a", 2, 1.0, 1.0)]))
+    for flag in (*L.TRAIN_FLAGS, *L.PRACTICAL_FLAGS):
+        summary = summary.withColumn(flag, F.lit(True)) if flag != unreported else summary.drop(flag)
     audits = spark.createDataFrame([("a", 1, 9.0, 9.0), ("a", 2, fd, degenerate)], "run string, step bigint, fd_rel_err_full_jvp double, all_r_eq_t_degenerate_target_minus_v_max_abs double")
     evals = spark.createDataFrame([("a", ok)], "run string, sample_status string")
     ckpts = spark.createDataFrame([("a" if ckpt else "z",)], "run string")
@@ -41,6 +43,9 @@ def test_training_gate(spark):
     for bad in ({"fd": 0.01}, {"fd": None}, {"degenerate": 1e-7}, {"ok": "timeout"}, {"ckpt": False}, {"last": 3}):
         assert not gate(spark, **bad)["practical_gate_pass"], bad
     assert gate(spark, ok="timeout", eval_required=False)["practical_gate_pass"]
+    for flag in (*L.TRAIN_FLAGS, *L.PRACTICAL_FLAGS):  # what a run does not report it has not shown
+        assert not gate(spark, unreported=flag)["practical_gate_pass"], flag
+        assert gate(spark, unreported=flag, flags=[f for f in (*L.TRAIN_FLAGS, *L.PRACTICAL_FLAGS) if f != flag])["practical_gate_pass"]
 
 
 def test_windows_use_the_newest_steps(spark):
@@ -132,6 +137,7 @@ def test_audit_gates(spark):
     assert run([("ok", "fp32", 256, 0.04, 0.0, True, True)]) == (False, True)
     assert run([("ok", "fp32", 256, 0.001, 1e-8, True, True)]) == (False, True)
     assert run([("ok", "fp32", 256, 0.001, 0.0, False, True)]) == (False, False)
+    assert run([("ok", "fp32", 256, 0.001, 0.0, None, True)]) == (True, True)  # a skipped train step
     assert run(base=good[:1]) == (False, False) and run(base=[("ok", "bf16", 256, 0.0, 0.0, True, True)]) == (False, False)
 
 
