@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from shardloom.llm import workers
 from shardloom.llm.registry import query, table
 from shardloom.llm.textscan import ALNUM, Powers, chunks, ragged, scan_words
 
@@ -202,7 +203,7 @@ def find_matches(
         mine = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == k).collect()  # at most about part_bytes
         rows = sorted({(r["id"], r["text"]) for r in mine if r["id"] is not None})
         sent = spark.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows]))
-        one = docs.mapInArrow(lambda b, sent=sent: _match_batches(Benchmark(*sent.value, window), text, window)(b), f"{fields}, {HITS}")
+        one = docs.mapInArrow(workers.batches(lambda b, sent=sent: _match_batches(Benchmark(*sent.value, window), text, window)(b)), f"{fields}, {HITS}")
         found = one if found is None else found.unionByName(one)
     if parts > 1:
         found = _merge(found, [c for c in docs.columns if c != "__row"])

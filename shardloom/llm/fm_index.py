@@ -50,11 +50,12 @@ class WaveletTree:
         return low - start, high - start
 
 
-def suffix_order(codes: np.ndarray, depth: int) -> tuple[np.ndarray, dict[int, np.ndarray]]:
-    """Suffixes in the order of their first ``depth`` codes or more, and ranks by the first 1, 2, 4, ... codes."""
+def suffix_order(codes: np.ndarray, depth: int, power: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes in the order of their first ``depth`` codes or more, and their ranks by the first ``power`` codes, a power
+    of two."""
     n = len(codes)
     rank = codes.astype(np.int64)
-    ranks, length = {1: rank}, 1
+    kept, length = rank, 1
     order = np.argsort(rank, kind="stable")
     while length < depth:
         key = rank * (n + 2)
@@ -64,8 +65,9 @@ def suffix_order(codes: np.ndarray, depth: int) -> tuple[np.ndarray, dict[int, n
         rank = np.empty(n, dtype=np.int64)
         rank[order] = np.cumsum(np.append(0, key[1:] != key[:-1]))
         length *= 2
-        ranks[length] = rank
-    return order, ranks
+        if length == power:
+            kept = rank
+    return order, kept
 
 
 class FMIndex:
@@ -76,14 +78,13 @@ class FMIndex:
 
     def __init__(self, codes: np.ndarray, depth: int, weights: np.ndarray) -> None:
         n = self.n = len(codes)
-        order, ranks = suffix_order(codes, depth)
-        self.order = order
+        power = 1 << ((depth - 1).bit_length() - 1)
+        order, rank = suffix_order(codes, depth, power)
         self.first = np.searchsorted(codes[order], np.arange(int(codes.max(initial=0)) + 2))
         self.tree = WaveletTree(codes[order - 1], max(1, int(codes.max(initial=1)).bit_length()))
         self.weight = np.concatenate([[0], np.cumsum(weights[order])])
         # Groups of neighbours that share depth - 1 words: two overlapping powers of two cover these.
-        power = 1 << ((depth - 1).bit_length() - 1)
-        rank = np.append(ranks[power], np.full(depth, -1))
+        rank = np.append(rank, np.full(depth, -1))
         shift = depth - 1 - power
         same = (rank[order[1:]] == rank[order[:-1]]) & (rank[order[1:] + shift] == rank[order[:-1] + shift])
         opens = np.append(True, ~same) if n else np.zeros(0, dtype=bool)

@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from shardloom.llm import workers
 from shardloom.llm.components import components
 from shardloom.llm.registry import query, table
 from shardloom.llm.textscan import NOT_BLANK, Powers, Words, chunks, mix, ngram_hashes, scan_words, signed
@@ -236,11 +237,11 @@ def _reachable(percent: int) -> Column:
 def rough_clusters(docs: DataFrame, frequent, n: int, percent: int) -> DataFrame:
     """``row, cluster`` of all rows that may link with another."""
     run, schema = _prefixes(frequent, n, percent)
-    entries = materialize(docs.mapInArrow(run, schema), "entries")
+    entries = materialize(docs.mapInArrow(workers.batches(run), schema), "entries")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     run, schema = _multiply(percent)
     short = entries.where("NOT hub").select("col", "row", "n").repartition(2 * parts, "col").sortWithinPartitions("col", "row")
-    product = materialize(short.mapInArrow(run, schema), "product")
+    product = materialize(short.mapInArrow(workers.batches(run), schema), "product")
     # Long columns, of the list and found by the product, and how many entries each row has in them.
     hubs = entries.where("hub").select("col", "row", "n", "k").unionByName(
         product.where("n_u = 0").select(F.col("u").alias("col"), F.col("v").alias("row"), F.col("n_v").alias("n"), F.lit(1).alias("k"))
@@ -363,7 +364,7 @@ def near_duplicates(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) ->
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     run, schema = _describe(n)
-    described = materialize(docs.mapInArrow(run, schema), "described")
+    described = materialize(docs.mapInArrow(workers.batches(run), schema), "described")
     info = described.where("NOT frequent").select("doc_id", "n", "a", "b")
     often = described.where("frequent").groupBy("a").agg(F.sum("n").alias("times")).where(F.col("times") >= FREQUENT)
     found = often.orderBy(F.desc("times"), "a").limit(MOST_FREQUENT).select("a").toArrow().column("a").to_numpy()
@@ -374,11 +375,11 @@ def near_duplicates(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) ->
     asked = classes.where("rep IS NOT NULL").join(clusters, F.col("a") == F.col("row"))
     asked = deal_tiles(asked.select(F.col("rep").alias("doc_id"), "a", "b", "n", "cluster"), percent).select("doc_id", "a", "b", "tiles")
     run, schema = _asked_rows(n)
-    rows = docs.join(broadcast_if_small(materialize(asked, "asked")), "doc_id").mapInArrow(run, schema)
+    rows = docs.join(broadcast_if_small(materialize(asked, "asked")), "doc_id").mapInArrow(workers.batches(run), schema)
     run, schema = _tiles(n, percent)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     tiled = rows.select(F.explode("tiles").alias("tile"), "doc_id", "text").repartition(parts, "tile").sortWithinPartitions("tile")
-    links = materialize(tiled.mapInArrow(run, schema), "links")
+    links = materialize(tiled.mapInArrow(workers.batches(run), schema), "links")
     roots = links.where("NOT part").select(F.col("u").alias("rep"), F.col("v").alias("root"))
     if links.where("part").limit(1).count():
         joined = components(links.where("part").select("u", "v"))

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from shardloom.llm import workers
 from shardloom.llm.registry import query, table
 from shardloom.llm.textscan import CHUNK_BYTES, LOWER, chunks, text_bytes
 
@@ -161,7 +162,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                     [*part.schema.names, "lang_pred", "score", "rejected"],
                 )
 
-    return docs.mapInArrow(run, f"{fields}, lang_pred string, score double, rejected boolean").drop("__letters")
+    return docs.mapInArrow(workers.batches(run), f"{fields}, lang_pred string, score double, rejected boolean").drop("__letters")
 
 
 def held_out(doc_id: Column) -> Column:

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from shardloom.llm import workers
 from shardloom.llm.registry import query, table
 
 PROJECTIONS = 128
@@ -141,7 +142,7 @@ def nearest_neighbours(
     left = rows.select(F.lit(False).alias("is_query"), deal.alias("block"), spread(parts).alias("part"), "vec_id", "vec")
     right = asked.select(F.lit(True).alias("is_query"), own(parts).alias("part"), spread(blocks).alias("block"), "vec_id", "vec")
     met = left.unionByName(right).withColumn("width", F.size("vec"))
-    found = met.groupBy("width", "block", "part").applyInArrow(_search(k), FOUND)
+    found = met.groupBy("width", "block", "part").applyInArrow(workers.group(_search(k)), FOUND)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from shardloom.llm import tokens
+from shardloom.llm import tokens, workers
 from shardloom.llm.registry import query, table
 from shardloom.llm.textscan import chunks
 from shardloom.session import materialize
@@ -50,7 +50,7 @@ def cut_pieces(docs: DataFrame, path: str, keep_blanks: bool, end: int, capacity
                     ["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECE)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(workers.batches(run, keep_encoders=True), PIECE)
 
 
 class Recipes:

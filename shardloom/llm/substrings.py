@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from shardloom.llm import workers
 from shardloom.llm.fm_index import FMIndex
 from shardloom.llm.registry import query, table
 from shardloom.llm.textscan import NOT_BLANK, Powers, Words, chunks, mix, ngram_hashes, ragged, scan_words, signed
@@ -173,7 +174,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     if not ANCHOR <= window <= ANCHOR + 63:
         raise ValueError(f"windows of {ANCHOR} to {ANCHOR + 63} words are supported")
     run, schema = _fragment_rows(window)
-    found = materialize(docs.select("key", "text").mapInArrow(run, schema), "fragments")
+    found = materialize(docs.select("key", "text").mapInArrow(workers.batches(run), schema), "fragments")
     names = found.groupBy("name").agg(F.count("*").alias("times")).where("times > 1")
     occurrences = materialize(found.join(names.select("name"), "name"), "occurrences")
     kinds = occurrences.groupBy("name", "frag").agg(F.count("*").alias("copies"), F.min(F.struct("key", "start", "windows")).alias("one"))
@@ -186,8 +187,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         F.collect_list(F.struct("name", "frag", "copies", "start", "windows", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("wanted")
     )
     run, schema = _content_rows(window, shards)
-    contents = join_spans(docs.select("key", "text"), materialize(wanted, "wanted"), "key", "inner").mapInArrow(run, schema)
-    masks = contents.groupBy("shard").applyInArrow(_shard_masks(window), "name long, frag long, mask long")
+    contents = join_spans(docs.select("key", "text"), materialize(wanted, "wanted"), "key", "inner").mapInArrow(workers.batches(run), schema)
+    masks = contents.groupBy("shard").applyInArrow(workers.group(_shard_masks(window)), "name long, frag long, mask long")
     masks = masks.groupBy("name", "frag").agg(F.bit_or("mask").alias("mask"))
     return occurrences.join(masks, ["name", "frag"]).select("key", "start", "mask")
 
@@ -259,11 +260,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, keep_text: bool = True
     key = F.xxhash64(F.col("doc_id"), F.col("text"))
     marks = repeated_spans(docs.select(key.alias("key"), "text"), window).distinct().groupBy("key")
     run, schema = _merge_runs(window)
-    runs = materialize(marks.agg(F.collect_list(F.struct("start", "mask")).alias("marks")).mapInArrow(run, schema), "runs")
+    runs = materialize(marks.agg(F.collect_list(F.struct("start", "mask")).alias("marks")).mapInArrow(workers.batches(run), schema), "runs")
     keyed = docs.withColumn("__key", key)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return join_spans(keyed, runs, "__key", "left").drop("__key").mapInArrow(
-        _cut(keep_text), f"{fields}, n_words long, n_removed long, kept_sha256 string"
+        workers.batches(_cut(keep_text)), f"{fields}, n_words long, n_removed long, kept_sha256 string"
     )
 
 

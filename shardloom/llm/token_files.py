@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from shardloom.llm import range_coder, tokens
+from shardloom.llm import range_coder, tokens, workers
 from shardloom.llm.registry import query, table
 from shardloom.llm.textscan import chunks
 from shardloom.session import scratch_dir
@@ -70,7 +70,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, keep
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     dealt = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    dealt.mapInArrow(run, SEGMENT).withColumn("part", F.spark_partition_id()).write.parquet(path)
+    dealt.mapInArrow(workers.batches(run, keep_encoders=True), SEGMENT).withColumn("part", F.spark_partition_id()).write.parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -86,7 +86,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
             for k in range(batch.num_rows):
                 yield _documents(*[batch.column(c)[k] for c in ("start", "doc_ids", "lengths", "blocks")])
 
-    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return placed.mapInArrow(workers.batches(run), "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
 
 
 def _documents(start: pa.Scalar, doc_ids: pa.Scalar, lengths: pa.Scalar, blocks: pa.Scalar) -> pa.RecordBatch:
