@@ -140,6 +140,12 @@ def ordered_bucket(df: DataFrame, column: str, single_task_rows: int | None = No
     return None if rows <= (SINGLE_TASK_ROWS if single_task_rows is None else single_task_rows) else text_bucket(df, column, rows)
 
 
+def bucket_in_groups(df: DataFrame, group: Sequence[str], bucket: Column, max_rows: int = ROWS_PER_BUCKET) -> Column | None:
+    """``bucket`` if some group is too long for one task, else None: then a plain window needs one shuffle only."""
+    longest = df.groupBy(*group).count().agg(F.max("count")).first()[0]
+    return bucket if (longest or 0) > max_rows else None
+
+
 def last_rows(df: DataFrame, group: Sequence[str], order: str, k: int, tiebreak: str | None = None) -> DataFrame:
     """The ``k`` rows with the largest ``order`` per group, with ``rank_desc`` = 1 for the newest.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shardloom.functions.ordering import ordered_bucket, running_before
+from shardloom.functions.ordering import bucket_in_groups, ordered_bucket, running_before
 from shardloom.operators import registry, sampling, validation
 from shardloom.plans.catalog import query, rounded
 from shardloom.plans.views import Tables
@@ -62,9 +62,9 @@ def _(t: Tables):
 def _items(t: Tables):
     """``lineitem`` as samples: shard path and position inside the shard."""
     order = ["l_linenumber", "l_partkey", "l_suppkey"]
-    numbered = running_before(
-        t.read("lineitem").select("l_orderkey", *order), order, F.col("l_linenumber"), group=["l_orderkey"], name="local_index"
-    )
+    lines = t.read("lineitem").select("l_orderkey", *order)
+    bucket = bucket_in_groups(lines, ["l_orderkey"], F.col("l_linenumber"))
+    numbered = running_before(lines, order, bucket, group=["l_orderkey"], name="local_index")
     return numbered.withColumn("path", F.lpad(F.col("l_orderkey").cast("string"), 10, "0"))
 
 

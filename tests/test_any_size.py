@@ -128,3 +128,13 @@ def test_scratch_needs_a_shared_folder_on_a_cluster(spark, monkeypatch):
     with pytest.raises(ValueError):
         scratch_dir(Session(), "x")
     assert scratch_dir(spark, "x")
+
+
+def test_long_groups_take_buckets(spark):
+    df = spark.range(60).select((F.col("id") % 3).alias("g"), "id", (F.col("id") / 10).cast("int").alias("b"))
+    found = []
+    for most in (5, 100):
+        bucket = ordering.bucket_in_groups(df, ["g"], F.col("b"), most)
+        assert (bucket is None) == (most == 100)
+        found.append(sorted((r["g"], r["id"], r["before"]) for r in ordering.running_before(df, ["id"], bucket, group=["g"]).collect()))
+    assert found[0] == found[1]
