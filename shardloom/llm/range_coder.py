@@ -77,14 +77,18 @@ def _model(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at1, at2 = _earlier(_context1(last)), _earlier(_context2(before, last))
     guess1, guess2 = np.where(at1 < 0, NONE, ids[at1]), np.where(at2 < 0, NONE, ids[at2])
     context = 6 * _fared(guess2, ids, at2) + 2 * _fared(guess1, ids, at1) + (guess1 == guess2)
+    way = np.where(guess2 == ids, 0, np.where(guess1 == ids, 1, 3))
     start0, count0, known = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64), np.ones(n, dtype=np.int64)
-    marks = [*_refreshes(n), n]
+    small, marks = ids.astype(np.uint16), [*_refreshes(n), n]
     for a, b in zip(marks[:-1], marks[1:], strict=True):
-        done = np.sort(ids[:a].astype(np.uint16))
-        new = ids[a:b].astype(np.uint16)
-        start0[a:b], known[a:b] = np.searchsorted(done, new, "left"), a
-        count0[a:b] = np.searchsorted(done, new, "right") - start0[a:b]
-    way = np.where(guess2 == ids, 0, np.where(guess1 == ids, 1, np.where(count0 > 0, 2, 3)))
+        new = a + np.flatnonzero(way[a:b] == 3)
+        done = np.sort(small[:a])
+        opens = np.flatnonzero(np.append(True, done[1:] != done[:-1]))
+        kinds = done[opens]
+        at = np.minimum(np.searchsorted(kinds, small[new]), len(kinds) - 1)
+        found = kinds[at] == small[new]
+        new, at = new[found], at[found]
+        start0[new], count0[new], known[new], way[new] = opens[at], np.append(opens[1:], a)[at] - opens[at], a, 2
     # Weights before each id: how often each way came in its context so far.
     order = np.argsort(context.astype(np.uint16), kind="stable")
     sorted_context, sorted_way = context[order], way[order]
