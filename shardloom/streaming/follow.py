@@ -34,7 +34,8 @@ def follow_derive(
     """Run ``fn`` on the source rows not derived yet, whenever new source data leaves a large enough gap.
 
     The stream only wakes the job; what to do is decided from source and result, so a restart or a replayed
-    batch continues where the finished results end. Each run writes its own folder under its batch id.
+    batch continues where the finished results end. Each run writes its own folder under its batch id. A source can
+    become complete without a new file: ``derive_rest`` then finishes what the gap left waiting.
     """
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -51,27 +52,51 @@ def follow_derive(
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
+#: Folder of what ``derive_rest`` writes; streams number their batches from 0.
+REST_BATCH = -1
+
+
+def derive_rest(
+    read_source: Callable[[], DataFrame], fn: Callable[[DataFrame], DataFrame], path: str, key: str = "source_index"
+) -> int:
+    """Derive all rows of a complete source that no batch has derived yet; returns how many there were.
+
+    Needs no arrival, so a poll or the end of a job can call it; a repeated call rewrites the same folder.
+    """
+    source = read_source()
+    done = _read_if_any(source.sparkSession, path)
+    if done is not None:
+        done = done.where(F.col("batch_id") != REST_BATCH)
+    todo = derive_gap(source, done, 1, True, key)
+    if todo is None:
+        return 0
+    fn(todo).write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={REST_BATCH}")
+    return todo.count()
+
+
 def follow_backlog(
     samples_stream: DataFrame, evaluate: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, lo: int, hi: int,
-    by: Sequence[str] = ("run",), trigger: dict | None = None,
+    by: Sequence[str] = ("run",), trigger: dict | None = None, read_samples: Callable[[], DataFrame] | None = None,
 ) -> StreamingQuery:
     """Evaluate every new sample set with a step in ``[lo, hi]``; the metrics table is the done marker.
 
-    ``evaluate(samples)`` returns rows with the ``by`` columns, step, metrics_path, bytes and metrics.
+    ``evaluate(samples)`` returns rows with the ``by`` columns, step, metrics_path, bytes and metrics. With
+    ``read_samples``, each wake-up looks at all sets there are, so one whose evaluation failed (bytes 0) is tried again.
     """
     keys = [*by, "step"]
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         done = _read_if_any(spark, path)
-        sets = batch.select(*keys).distinct()
+        samples = batch if read_samples is None else read_samples()
+        sets = samples.select(*keys).distinct()
         if done is None:
             todo = sets.where(F.col("step").between(lo, hi))
         else:
             done = done.where(F.col("batch_id") != batch_id)
             none_running = sets.limit(0)
             todo = eval_backlog(sets, done.select(*keys, "bytes"), none_running, lo, hi, by=by)
-        evaluate(batch.join(todo, keys, "left_semi")).write.mode("overwrite").parquet(
+        evaluate(samples.join(todo, keys, "left_semi")).write.mode("overwrite").parquet(
             f"{path.rstrip('/')}/batch_id={batch_id}"
         )
 

@@ -146,3 +146,33 @@ def test_backlog_evaluates_each_sample_set_once(spark, tmp_path):
         follow.follow_backlog(stream(spark, sets, src), evaluate, out, state, 2, 10).awaitTermination()
     assert sorted(r["step"] for r in spark.read.parquet(out).collect()) == [5, 9]
     assert follow.backlog_trend(spark, out).count() == 2
+
+
+def test_the_rest_of_a_complete_source_needs_no_arrival(spark, tmp_path):
+    src, out, state = (str(tmp_path / n) for n in ("src", "out", "state"))
+    source = spark.range(15).withColumnRenamed("id", "source_index")
+    double = lambda todo: todo.withColumn("y", F.col("source_index") * 2)
+    append(source.where("source_index < 10"), src)
+    append(source.where("source_index >= 10"), src)
+    follow.follow_derive(stream(spark, source, src), lambda: spark.read.parquet(src).where("source_index < 10"), double, out, state, min_gap=8).awaitTermination()
+    for _ in range(2):  # the second call finds the first one's folder and rewrites it
+        assert follow.derive_rest(lambda: spark.read.parquet(src), double, out) == 5
+        assert sorted(r["source_index"] for r in spark.read.parquet(out).collect()) == list(range(15))
+    assert follow.derive_rest(lambda: spark.read.parquet(src).where("source_index < 10"), double, out) == 0
+
+
+def test_failed_evaluations_are_tried_again(spark, tmp_path):
+    src, out, state = (str(tmp_path / n) for n in ("src", "out", "state"))
+    sets = spark.createDataFrame([("a", 1), ("a", 2), ("a", 3)], "run string, step bigint")
+
+    def evaluate(rows, size=[0]):  # noqa: B006  the first evaluation fails
+        path = F.concat(F.lit("/e/step_"), F.col("step").cast("string"))
+        done = rows.select("run", "step", F.lit(1.5).alias("fid"), path.alias("metrics_path"), F.lit(size[0]).cast("bigint").alias("bytes")).distinct()
+        size[0] = 7
+        return done
+
+    for step in (1, 2, 3):
+        append(sets.where(f"step = {step}"), src)
+        follow.follow_backlog(stream(spark, sets, src), evaluate, out, state, 1, 9, read_samples=lambda: spark.read.parquet(src)).awaitTermination()
+    rows = sorted((r["step"], r["bytes"]) for r in spark.read.parquet(out).collect())
+    assert rows == [(1, 0), (1, 7), (2, 7), (3, 7)]
