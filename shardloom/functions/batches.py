@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
@@ -20,11 +21,25 @@ def matrix(column: pa.Array, width: int) -> np.ndarray:
 
 
 def bytes_matrix(column: pa.Array, width: int) -> np.ndarray:
-    """A binary column as an ``[n, width]`` uint8 matrix."""
-    rows = column.to_pylist()
-    if any(r is None or len(r) != width for r in rows):
+    """A binary column as an ``[n, width]`` uint8 matrix over the column's own buffer."""
+    n = len(column)
+    lengths = pc.binary_length(column)
+    if column.null_count or (n and not np.all(lengths.to_numpy(zero_copy_only=False) == width)):
         raise ValueError(f"every image must hold {width} bytes")
-    return np.frombuffer(b"".join(rows), dtype=np.uint8).reshape(len(rows), width)
+    wide = column.cast(pa.large_binary())
+    _, offsets, data = wide.buffers()
+    if not n or data is None:
+        return np.zeros((n, width), dtype=np.uint8)
+    start = np.frombuffer(offsets, dtype=np.int64)[wide.offset]
+    return np.frombuffer(data, dtype=np.uint8)[start : start + n * width].reshape(n, width)
+
+
+def bytes_column(values: np.ndarray) -> pa.Array:
+    """The rows of an ``[n, width]`` uint8 matrix as a binary column."""
+    n, width = values.shape
+    offsets = pa.array(np.arange(n + 1, dtype=np.int64) * width)
+    wide = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, offsets.buffers()[1], pa.py_buffer(np.ascontiguousarray(values, dtype=np.uint8))])
+    return wide.cast(pa.binary())
 
 
 def list_column(values: np.ndarray, kind: pa.DataType) -> pa.Array:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from shardloom.functions.arrays import as_double
-from shardloom.functions.batches import bytes_matrix, extended_schema, list_column
+from shardloom.functions.batches import bytes_column, bytes_matrix, extended_schema, list_column, matrix
 from shardloom.functions.joins import join_groups
 from shardloom.functions.quantiles import exact_quantiles
 from shardloom.operators.stats import tensor_partials
@@ -51,9 +51,11 @@ def image_summary(df: DataFrame, spec: DatasetSpec, by: Sequence[str] = (), imag
 
 def array_to_bytes(df: DataFrame, spec: DatasetSpec, image: str = "image") -> DataFrame:
     """``array<int>`` of 0..255 to ``binary``."""
-    @F.pandas_udf("binary")
-    def pack(images):
-        return images.map(lambda a: np.asarray(a, dtype=np.uint8).tobytes())
+    size = spec.size
+
+    @F.arrow_udf("binary")
+    def pack(images: pa.Array) -> pa.Array:
+        return bytes_column(matrix(images, size).astype(np.uint8))
 
     return df.withColumn(image, pack(F.col(image)))
 

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from shardloom.functions.batches import bytes_matrix, extended_schema, list_column, matrix
+from shardloom.functions.batches import bytes_column, bytes_matrix, extended_schema, list_column, matrix
 from shardloom.session import require
 from shardloom.spec import DatasetSpec
 
@@ -83,10 +83,11 @@ def hflip(df: DataFrame, spec: DatasetSpec, image: str = "image") -> DataFrame:
         from shardloom.functions.arrays import flip_last_axis
 
         return df.withColumn(image, flip_last_axis(F.col(image), spec))
-    shape = spec.shape
+    shape, size = spec.shape, spec.size
 
-    @F.pandas_udf("binary")
-    def flip(images):
-        return images.map(lambda b: np.frombuffer(b, dtype=np.uint8).reshape(shape)[:, :, ::-1].tobytes())
+    @F.arrow_udf("binary")
+    def flip(images: pa.Array) -> pa.Array:
+        planes = bytes_matrix(images, size).reshape(-1, *shape)
+        return bytes_column(planes[..., ::-1].reshape(-1, size))
 
     return df.withColumn(image, flip(F.col(image)))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
-from shardloom.functions.batches import list_column, matrix
+from shardloom.functions.batches import bytes_column, list_column, matrix
 from shardloom.functions.parsing import shard_number
 from shardloom.session import materialize, require
 from shardloom.sources.files import list_files, open_fs
@@ -164,7 +164,7 @@ class _ShardReader(DataSourceReader):
             "local_index": pa.array(np.arange(start, stop)),
         }
         if self.mode == "images":
-            columns["image"] = pa.array([r.tobytes() for r in rows], pa.binary())
+            columns["image"] = bytes_column(np.ascontiguousarray(rows).view(np.uint8).reshape(n, -1))
         else:
             columns["view"] = pa.array([view] * n)
             columns["tensor"] = list_column(rows.astype(np.float32), pa.float32())
