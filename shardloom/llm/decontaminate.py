@@ -189,6 +189,7 @@ def find_matches(
     ``longest`` has, for each item that hits, its longest verbatim match: its first word there, here, and its length.
     """
     spark = docs.sparkSession
+    workers.small_batches(spark)
     for taken in ("n_words", "hits", "items", "longest"):
         docs = docs.drop(taken)
     items = benchmark.select(F.col(item_id).cast("string").alias("id"), F.coalesce(item_text, F.lit("")).alias("text"))

@@ -362,6 +362,7 @@ def deal_tiles(rows: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row; documents link at similarity ``percent`` / 100 or more."""
     spark = docs.sparkSession
+    workers.small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     run, schema = _describe(n)
     described = materialize(docs.mapInArrow(workers.batches(run), schema), "described")

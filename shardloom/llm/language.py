@@ -41,6 +41,8 @@ UNKNOWN = "und"
 _FOLD = LOWER.astype(np.int64)
 _FOLD[:128] = [b if chr(b).isalpha() else 32 for b in LOWER[:128].tolist()]
 _CHUNK = CHUNK_BYTES // 2
+#: Texts whose counts are held at once.
+ROWS = 128
 
 
 def _gram_columns(data: np.ndarray, n: int) -> np.ndarray:
@@ -140,6 +142,7 @@ def has_letters(text: Column) -> Column:
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred``, ``score`` (the cosine, 0 to 1) and ``rejected``."""
+    workers.small_batches(docs.sparkSession)
     docs = docs.drop("lang_pred", "score", "rejected").withColumn("__letters", has_letters(F.col(f"`{text}`")))
     # Plain arrays: workers need not have this package. At most MOST_LANGS * CENTROIDS rows of WIDTH numbers.
     fitted = docs.sparkSession.sparkContext.broadcast((model.languages, model.idf, model.centroids, model.owner, model.least))
@@ -152,9 +155,9 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 n = part.num_rows
                 known = part.column("__letters").to_numpy(zero_copy_only=False) & bool(m.languages)
                 names, scores, far = np.full(n, UNKNOWN, dtype=object), np.zeros(n), np.ones(n, dtype=bool)
-                for at in range(0, n, 512) if m.languages else ():
-                    rows = slice(at, min(n, at + 512))
-                    lang, score, off = m.predict(gram_counts(part.column(text).slice(at, 512)))
+                for at in range(0, n, ROWS) if m.languages else ():
+                    rows = slice(at, min(n, at + ROWS))
+                    lang, score, off = m.predict(gram_counts(part.column(text).slice(at, ROWS)))
                     names[rows], scores[rows], far[rows] = np.array(m.languages, dtype=object)[lang], score, off
                 names[~known], scores[~known], far[~known] = UNKNOWN, 0.0, True
                 yield pa.RecordBatch.from_arrays(

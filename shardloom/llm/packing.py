@@ -35,6 +35,8 @@ ENCODE_BYTES = 1 << 20
 def cut_pieces(docs: DataFrame, path: str, keep_blanks: bool, end: int, capacity: int) -> DataFrame:
     """One row per piece of every document: its ids and the end id, cut only where they exceed the capacity."""
 
+    workers.small_batches(docs.sparkSession)
+
     def run(batches):
         encoder = tokens.encoder(path, keep_blanks)
         for batch in batches:

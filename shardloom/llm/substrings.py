@@ -33,7 +33,7 @@ from shardloom.session import is_small, materialize
 
 WINDOW = 35
 ANCHOR = 10
-SHARD_WORDS = 1 << 19
+SHARD_WORDS = 1 << 18
 SMALL_BYTES = 1 << 20
 #: A side is broadcast if it has at most so many rows and spans.
 BROADCAST_SPANS = 2_000_000
@@ -256,6 +256,7 @@ def _cut(keep_text: bool):
 def remove_repeats(docs: DataFrame, window: int = WINDOW, keep_text: bool = True) -> DataFrame:
     """The documents with ``n_words, n_removed, kept_sha256``. With ``keep_text`` the text of a document that lost words
     is its kept words joined by blanks; other texts stay as they are."""
+    workers.small_batches(docs.sparkSession)
     docs = docs.drop("n_words", "n_removed", "kept_sha256")
     key = F.xxhash64(F.col("doc_id"), F.col("text"))
     marks = repeated_spans(docs.select(key.alias("key"), "text"), window).distinct().groupBy("key")

@@ -54,7 +54,7 @@ class Powers:
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = max(n, CHUNK_BYTES)
+            size = 1 << max(16, (n - 1).bit_length())
             inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
             tables = []
             for base in (BASE, inverse):

@@ -34,6 +34,7 @@ SEGMENT = "seq long, before long, n_ids long, doc_ids array<bigint>, lengths arr
 def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, keep_blanks: bool = True, end: int = END, parts: int | None = None) -> None:
     """Encodes ``doc_id, text`` and writes the token files below ``path``."""
     spark = docs.sparkSession
+    workers.small_batches(spark)
     vocabulary = vocabulary or tokens.tokenizer_file("byte_bpe_50k.json")
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
 

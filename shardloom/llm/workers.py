@@ -7,6 +7,17 @@ import gc
 import sys
 
 import pyarrow as pa
+from pyspark.sql import SparkSession
+
+
+#: Rows of an Arrow batch of texts, where the session keeps Spark's default of 10,000: rows here are whole documents.
+BATCH_ROWS = 2_500
+
+
+def small_batches(spark: SparkSession) -> None:
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
 
 
 def forget_encoders() -> None:
