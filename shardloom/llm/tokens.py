@@ -19,7 +19,7 @@ from shardloom.llm.textscan import NOT_BLANK, Powers, ragged, span_hashes, text_
 # White space beyond ASCII.
 OTHER_BLANKS = "[\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
 #: Distinct chunks remembered by a task before it starts afresh.
-REMEMBERED = 1_000_000
+REMEMBERED = 480_000
 
 
 def tokenizer_file(name: str) -> str:
@@ -75,7 +75,7 @@ class HashIndex:
         if 2 * (self.count + len(keys)) > self.mask:
             used = np.flatnonzero(self.places >= 0)
             old = self.keys[used][np.argsort(self.places[used])]
-            self.__init__(int(2 * (self.count + len(keys))).bit_length() + 1)
+            self.__init__(int(2 * (self.count + len(keys))).bit_length())
             self.add(old)
         place = np.arange(self.count, self.count + len(keys), dtype=np.int32)
         left, slot = np.arange(len(keys)), (keys & np.uint64(self.mask)).astype(np.int64)
