@@ -29,7 +29,7 @@ CAPACITY = 4096
 END = 1
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Bytes of text encoded at a time.
-ENCODE_BYTES = 1 << 20
+ENCODE_BYTES = 1 << 19
 
 
 def cut_pieces(docs: DataFrame, path: str, keep_blanks: bool, end: int, capacity: int) -> DataFrame:

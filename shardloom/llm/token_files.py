@@ -27,7 +27,7 @@ END = 2
 SEGMENT_IDS = 1 << 22
 #: Blocks decoded side by side.
 LANES = 1_024
-ENCODE_BYTES = 1 << 20
+ENCODE_BYTES = 1 << 19
 SEGMENT = "seq long, before long, n_ids long, doc_ids array<bigint>, lengths array<bigint>, blocks array<binary>"
 
 

@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 from shardloom.llm.textscan import NOT_BLANK, Powers, ragged, span_hashes, text_bytes
+from shardloom.llm.workers import release
 
 # White space beyond ASCII.
 OTHER_BLANKS = "[\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
@@ -207,4 +208,5 @@ def encoder(path: str, keep_blanks: bool) -> Encoder:
     if (path, keep_blanks) not in kept:
         kept.clear()
         kept[path, keep_blanks] = Encoder(path, keep_blanks)
+        release()  # reading a vocabulary takes more memory than keeping it
     return kept[path, keep_blanks]

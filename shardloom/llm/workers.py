@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 
 
 #: Rows of an Arrow batch of texts, where the session keeps Spark's default of 10,000: rows here are whole documents.
-BATCH_ROWS = 2_500
+BATCH_ROWS = 1_500
 
 
 def small_batches(spark: SparkSession) -> None:
