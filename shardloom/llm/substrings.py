@@ -4,13 +4,15 @@
    named by one and the same gram form a fragment. Equal windows have equal names, and those of one fragment all differ,
    so a name that occurs once needs no further look, and this leaves the part of the corpus in which something may repeat.
 2. Fragments whose names repeat are dealt to shards by name, each distinct fragment once with the number of its copies.
-   The windows of a name with too many distinct fragments for one shard are dealt singly, by their own hash.
+   The windows of a name with too many distinct fragments for one shard are counted instead: each is named by its own
+   hash, the copies of equal ones are summed before the shuffle, and the repeated ones go back to their fragments in
+   salted parts, so that no task holds all copies of a window however often it occurs.
 3. A shard is an FM-index. All its fragments are streamed through it from right to left, side by side: a backward search
    step on the wavelet tree adds a word, and a window matches elsewhere if its interval, counted with copies, holds more
    than itself; then the last word is given up and the next step taken.
 4. Repeated windows go back to the documents, which are read once more to cut out the union of their words.
 
-Words and fragments are told apart by 64-bit hashes.
+Words, fragments and the windows of a hot name are told apart by 64-bit hashes.
 
 Null or odd input: a null text has no words; texts shorter than a window lose nothing; equal rows repeat each other, and
 rows are told apart by id and text, so ids may be null or repeated; an empty table gives no rows. Further columns are kept
@@ -29,7 +31,7 @@ from shardloom.llm import workers
 from shardloom.llm.fm_index import FMIndex
 from shardloom.llm.registry import query, table
 from shardloom.llm.textscan import NOT_BLANK, Powers, Words, chunks, mix, ngram_hashes, ragged, scan_words, signed
-from shardloom.session import is_small, materialize
+from shardloom.session import broadcast_if_small, is_small, materialize
 
 WINDOW = 35
 ANCHOR = 10
@@ -37,6 +39,8 @@ SHARD_WORDS = 1 << 18
 SMALL_BYTES = 1 << 20
 #: A side is broadcast if it has at most so many rows and spans.
 BROADCAST_SPANS = 2_000_000
+#: Windows of hot names in one salted part, at most about so many with one hash.
+SALT_ROWS = 1 << 16
 
 
 def window_minima(values: np.ndarray, width: int) -> np.ndarray:
@@ -90,33 +94,46 @@ def _fragment_rows(window: int):
 
 
 def _content_rows(window: int, shards: int):
-    """Words of the wanted fragments, dealt to shards; those of hot names window by window."""
-    schema = "shard int, name long, frag long, at int, copies long, words binary"
+    """Words of the wanted fragments, dealt to shards by name."""
+    schema = "shard int, name long, frag long, copies long, words binary"
 
     def run(batches):
         powers = Powers()
         for batch in batches:
             for part in chunks(batch, "text", SMALL_BYTES):
                 words = scan_words(part.column("text"), NOT_BLANK, False, powers)
-                grams = mix(ngram_hashes(words.hashes, window))
                 wanted, first = part.column("wanted"), words.first[:-1]
-                out: list[list] = [[] for _ in range(6)]
-
-                def put(*row, out=out):
-                    for column, x in zip(out, row, strict=True):
-                        column.append(x)
-
+                out: list[list] = [[] for _ in range(5)]
                 for d in range(part.num_rows):
                     for w in wanted[d].as_py():
                         a = int(first[d]) + w["start"]
-                        if not w["hot"]:
-                            end = a + w["windows"] + window - 1
-                            put(int(np.uint64(w["name"] & ((1 << 64) - 1)) % np.uint64(shards)), w["name"], w["frag"], 0, w["copies"], words.hashes[a:end].tobytes())
-                            continue
-                        for k in range(w["windows"]):
-                            put(int(grams[a + k] % np.uint64(shards)), w["name"], w["frag"], k, w["copies"], words.hashes[a + k : a + k + window].tobytes())
-                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["shard", "name", "frag", "at", "copies", "words"])
+                        end = a + w["windows"] + window - 1
+                        shard = int(np.uint64(w["name"] & ((1 << 64) - 1)) % np.uint64(shards))
+                        for column, x in zip(out, (shard, w["name"], w["frag"], w["copies"], words.hashes[a:end].tobytes()), strict=True):
+                            column.append(x)
+                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["shard", "name", "frag", "copies", "words"])
+
+    return run, schema
+
+
+def _window_rows(window: int):
+    """Hashes of the windows of the wanted fragments."""
+    schema = "name long, frag long, at int, copies long, hash long"
+
+    def run(batches):
+        powers = Powers()
+        for batch in batches:
+            for part in chunks(batch, "text", SMALL_BYTES):
+                words = scan_words(part.column("text"), NOT_BLANK, False, powers)
+                grams = mix(ngram_hashes(words.hashes, window))
+                lists = part.column("wanted")
+                name, frag, copies, start, windows = (lists.flatten().field(c).to_numpy() for c in ("name", "frag", "copies", "start", "windows"))
+                doc_of = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
+                at = ragged(np.zeros(len(windows), dtype=np.int64), windows)
+                hashes = grams[ragged(words.first[:-1][doc_of] + start, windows)]
+                columns = [*(pa.array(np.repeat(c, windows)) for c in (name, frag)), pa.array(at, pa.int32()), pa.array(np.repeat(copies, windows)), pa.array(signed(hashes))]
+                yield pa.RecordBatch.from_arrays(columns, ["name", "frag", "at", "copies", "hash"])
 
     return run, schema
 
@@ -153,13 +170,12 @@ def repeated_windows(texts: list[np.ndarray], copies: np.ndarray, window: int) -
 
 def _shard_masks(window: int):
     def run(data: pa.Table) -> pa.Table:
-        name, frag, at, copies = (data.column(c).to_numpy() for c in ("name", "frag", "at", "copies"))
+        name, frag, copies = (data.column(c).to_numpy() for c in ("name", "frag", "copies"))
         # Equal rows of a table can send a fragment twice.
-        _, one = np.unique(np.stack([name, frag, at]), axis=1, return_index=True)
+        _, one = np.unique(np.stack([name, frag]), axis=1, return_index=True)
         words = data.column("words")
         texts = [np.frombuffer(words[int(k)].as_py(), dtype=np.uint64) for k in one]
-        # An equal window dealt singly from several fragments is one text with all their copies.
-        masks = repeated_windows(texts, copies[one], window) << at[one].astype(np.uint64)
+        masks = repeated_windows(texts, copies[one], window)
         hit = masks != 0
         return pa.table({"name": name[one][hit], "frag": frag[one][hit], "mask": signed(masks[hit])})
 
@@ -182,17 +198,35 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     size = F.col("windows") + window - 1
     total = kinds.agg(F.sum(size)).first()[0] or 0
     shards = -(-int(total) // SHARD_WORDS) or 1
-    hot = kinds.groupBy("name").agg(F.sum(size).alias("n")).where(F.col("n") > SHARD_WORDS // 4).select("name", F.lit(True).alias("hot"))
-    wanted = kinds.join(hot, "name", "left").groupBy("key").agg(
-        F.collect_list(F.struct("name", "frag", "copies", "start", "windows", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("wanted")
-    )
+    hot = kinds.groupBy("name").agg(F.sum(size).alias("n")).where(F.col("n") > SHARD_WORDS // 4).select("name")
+    hot = broadcast_if_small(materialize(hot, "hot"))
     run, schema = _content_rows(window, shards)
-    contents = join_spans(docs.select("key", "text"), materialize(wanted, "wanted"), "key", "inner").mapInArrow(workers.batches(run), schema)
+    contents = _wanted(docs, kinds.join(hot, "name", "left_anti")).mapInArrow(workers.batches(run), schema)
     masks = contents.groupBy("shard").applyInArrow(workers.group(_shard_masks(window)), "name long, frag long, mask long")
-    masks = masks.groupBy("name", "frag").agg(F.bit_or("mask").alias("mask"))
+    if not hot.isEmpty():
+        masks = masks.unionByName(_hot_masks(docs, kinds.join(hot, "name", "left_semi"), window))
     return occurrences.join(masks, ["name", "frag"]).select("key", "start", "mask")
 
 
+def _wanted(docs: DataFrame, kinds: DataFrame) -> DataFrame:
+    """The documents that hold the first copy of a fragment, with their fragments in ``wanted``."""
+    wanted = kinds.groupBy("key").agg(F.collect_list(F.struct("name", "frag", "copies", "start", "windows")).alias("wanted"))
+    return join_spans(docs.select("key", "text"), materialize(wanted, "wanted"), "key", "inner")
+
+
+def _hot_masks(docs: DataFrame, kinds: DataFrame, window: int) -> DataFrame:
+    """``name, frag, mask`` of fragments by counting their windows. A fragment that equal rows of a table send twice has
+    copies already, so its windows repeat anyway."""
+    run, schema = _window_rows(window)
+    found = materialize(_wanted(docs, kinds).mapInArrow(workers.batches(run), schema), "windows")
+    salts = found.count() // SALT_ROWS + 1
+    found = found.withColumn("salt", F.pmod("frag", F.lit(salts)))
+    parts = materialize(found.groupBy("name", "hash", "salt").agg(F.sum("copies").alias("copies")), "window_counts")
+    again = parts.groupBy("name", "hash").agg(F.sum("copies").alias("n")).where("n > 1").select("name", "hash")
+    hits = found.join(parts.join(again, ["name", "hash"]).select("name", "hash", "salt"), ["name", "hash", "salt"])
+    return hits.groupBy("name", "frag").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("mask"))
+
+
 def join_spans(docs: DataFrame, spans: DataFrame, key: str, how: str) -> DataFrame:
     """``docs`` with their row of ``spans``; broadcast if it has few rows and few spans, else by a shuffle."""
     listed = next(c for c in spans.columns if c != key)

@@ -197,3 +197,30 @@ def test_contamination_of_nothing(spark):
     row = decontaminate.find_matches(docs, none).first()
     assert (row.n_words, row.hits, row["items"]) == (3, [], [])
     assert decontaminate.find_matches(docs.limit(0), none).count() == 0
+
+
+def test_copies_of_a_hot_window_meet_in_no_single_group(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "SHARD_WORDS", 600)
+    monkeypatch.setattr(substrings, "SALT_ROWS", 200, raising=False)
+    make = substrings._shard_masks
+
+    def bounded(window):
+        masks = make(window)
+
+        def run(data):
+            words = sum(len(w) // 8 for w in data.column("words").to_pylist())
+            assert words <= 4 * 600, f"{words} words in one group"
+            return masks(data)
+
+        return run
+
+    monkeypatch.setattr(substrings, "_shard_masks", bounded)
+    rnd = random.Random(8)
+    word = lambda: f"w{rnd.randrange(10**6)}"
+    passage = [word() for _ in range(40)]
+    texts = [" ".join([*(word() for _ in range(rnd.randint(5, 60))), *passage, *(word() for _ in range(rnd.randint(0, 60)))]) for _ in range(300)]
+    texts += [" ".join(word() for _ in range(80)) for _ in range(50)] + texts[:2]
+    got = substrings.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4))
+    found = {r.doc_id: (r.n_words, r.n_removed, r.text) for r in got.collect()}
+    want = brute_kept(texts, 35)
+    assert found == {i: (n, g, k if g else texts[i]) for i, (n, g, k) in enumerate(want)}
