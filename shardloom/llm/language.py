@@ -4,12 +4,14 @@ N-grams of one to three UTF-8 bytes of the lower-cased text, with everything in
 hashed to ``WIDTH`` columns; logarithmic counts are weighted and normalised. The model is fitted on a bounded sample, at
 most ``SAMPLE_DOCS`` labelled texts of each of the ``MOST_LANGS`` most frequent languages, chosen by a hash of the text
 and none over ``SAMPLE_BYTES``; it is a small table of centroids. Each language's vectors are clustered into
-``CENTROIDS`` groups, and a centroid keeps the least cosine of its members. Prediction reads the whole text of every
-document, in pieces if it is long, and shuffles nothing.
+at most ``CENTROIDS`` groups of ``LEAST_MEMBERS`` or more, and a language keeps a low quantile of its members' cosines.
+Prediction reads the whole text of every document, in pieces if it is long, and shuffles nothing.
 
-A document is rejected if it has no letters, or if its cosine is less than ``SLACK`` times the least cosine of a training
-text of its centroid: it is then much farther than anything the language was learned from. Texts of fewer than
-``FEW_GRAMS`` n-grams lie far from everything by their length alone and are not rejected for it.
+A document is rejected if it has no letters, or if its cosine is less than ``SLACK`` times the ``LOW`` quantile of the
+cosines of its language's training texts: it is then much farther than nearly all that the language was learned from. A
+language of fewer than ``LEAST_MEMBERS`` texts tells no distance of its own and takes the least of the other languages;
+if there is none, it rejects nothing for its distance. Texts of fewer than ``FEW_GRAMS`` n-grams lie far from everything
+by their length alone and are not rejected for it.
 
 Null or odd input: a null, empty or letterless text is ``und`` with score 0; texts without a label, or with a null id
 where the split needs one, are not learned from; repeated rows are predicted alike; without any labelled text every
@@ -31,6 +33,10 @@ from shardloom.llm.textscan import CHUNK_BYTES, LOWER, chunks, text_bytes
 
 WIDTH = 8192
 CENTROIDS = 3
+#: Texts behind a centroid; a smaller cluster is made of outliers.
+LEAST_MEMBERS = 10
+#: Quantile of a language's own cosines from which the rejection distance is taken.
+LOW = 0.02
 SAMPLE_DOCS = 300
 MOST_LANGS = 200
 SAMPLE_BYTES = 100_000
@@ -94,12 +100,31 @@ class Model:
         return self.owner[best], score, (score < SLACK * self.least[best]) & (counts.sum(axis=1) >= FEW_GRAMS)
 
 
-def _cluster(vectors: np.ndarray, k: int, rounds: int = 15) -> tuple[np.ndarray, np.ndarray]:
-    """Unit centroids and the centroid of each vector: farthest-first starts, then spherical k-means."""
-    centroids = vectors.mean(axis=0, keepdims=True)
+def _cluster(vectors: np.ndarray, k: int, rounds: int = 15, tries: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Unit centroids and the centroid of each vector: farthest-first starts, then spherical k-means.
+
+    Clusters of fewer than ``LEAST_MEMBERS`` are started anew without their members, then there is one cluster less.
+    """
+    starts = np.ones(len(vectors), dtype=bool)
+    for size in range(k, 0, -1):
+        for _ in range(tries):
+            centroids, member = _k_means(vectors, vectors[starts], size, rounds)
+            counts = np.bincount(member, minlength=len(centroids))
+            few = (counts > 0) & (counts < LEAST_MEMBERS)
+            if not few.any() or (counts > 0).sum() == 1:
+                return centroids, member
+            starts &= ~few[member]
+            if not starts.any():
+                starts[:] = True
+                break
+    return centroids, member
+
+
+def _k_means(vectors: np.ndarray, starts: np.ndarray, k: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    centroids = starts.mean(axis=0, keepdims=True)
     centroids = centroids / max(float(np.linalg.norm(centroids)), 1e-12)
-    while len(centroids) < min(k, len(vectors)):
-        centroids = np.vstack([centroids, vectors[(vectors @ centroids.T).max(axis=1).argmin()]])
+    while len(centroids) < min(k, len(starts)):
+        centroids = np.vstack([centroids, starts[(starts @ centroids.T).max(axis=1).argmin()]])
     for _ in range(rounds):
         member = (vectors @ centroids.T).argmax(axis=1)
         for c in np.unique(member):
@@ -125,15 +150,18 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     idf = (np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 0.05).astype(np.float32)
     vectors = weighted(counts, idf)
     languages = sorted(set(names))
-    centroids, owner, least = [], [], []
+    centroids, owner, low = [], [], []
     for k, name in enumerate(languages):
         mine = vectors[names == name]
         centres, member = _cluster(mine, CENTROIDS)
         for c in np.unique(member):
             centroids.append(centres[c])
             owner.append(k)
-            least.append(float((mine[member == c] @ centres[c]).min()))
-    return Model(languages, idf, np.stack(centroids), np.array(owner), np.array(least))
+        own = np.einsum("ij,ij->i", mine, centres[member])
+        low.append(float(np.quantile(own, LOW)) if len(mine) >= LEAST_MEMBERS else np.nan)
+    known = [x for x in low if not np.isnan(x)]
+    low = np.nan_to_num(np.array(low), nan=min(known, default=0.0))
+    return Model(languages, idf, np.stack(centroids), np.array(owner), low[owner])
 
 
 def has_letters(text: Column) -> Column:

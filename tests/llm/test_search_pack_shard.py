@@ -6,6 +6,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,6 +78,28 @@ def test_languages(spark):
     assert language.identify(docs.limit(0), model).count() == 0
 
 
+def test_outliers_make_no_centroid_of_their_own(spark):
+    """Odd texts labelled like a language neither get a cluster nor reject what lies near them."""
+    odd = [(500 + i, f"zq{i}xj " * 60, "de") for i in range(4)]
+    docs = spark.createDataFrame(sample_texts() + odd, "doc_id long, text string, lang string")
+    model = language.fit(docs)
+    vectors = language.weighted(np.concatenate([language.gram_counts(pa.array([t])) for _, t, k in sample_texts() + odd if k == "de"]), model.idf)
+    mine = np.array(model.owner) == model.languages.index("de")
+    member = (vectors @ model.centroids[mine].T).argmax(axis=1)
+    assert np.bincount(member, minlength=mine.sum()).min() >= 10
+    near = [(i, " ".join(("das haus und wasser für über straße mit " * 5).split()) + f" {'77' * 9} zq{i}xj zq{i}xj", None) for i in range(4)]
+    found = language.identify(spark.createDataFrame(near, "doc_id long, text string, lang string"), model).collect()
+    assert all(r.lang_pred == "de" and not r.rejected for r in found)
+    assert language.identify(spark.createDataFrame([(1, "Ω" * 400)], "doc_id long, text string"), model).first().rejected
+
+
+def test_languages_of_few_texts_set_no_distance(spark):
+    """One text alone is its own centroid at cosine 1, which says nothing about the distance of others."""
+    one = spark.createDataFrame([("the house and water they with from under " * 8, "en")], "text string, lang string")
+    model = language.fit(one)
+    assert model.least.tolist() == [0.0]
+
+
 def test_held_out_documents_are_not_learned_from(spark):
     docs = spark.createDataFrame(sample_texts(), "doc_id long, text string, lang string")
     changed = docs.withColumn("lang", F.when(language.held_out(F.col("doc_id")), "zz").otherwise(F.col("lang")))
