@@ -10,7 +10,8 @@ are merged per document.
 
 Null or odd input: null and empty texts have no words and are never contaminated; an item without words has no window; an
 item shorter than the window is one window. Repeated documents and items, null ids and extra columns are kept as they
-are; an empty benchmark contaminates nothing.
+are; an item with a null id marks words and has its longest match, but no entry in ``items``; an empty benchmark
+contaminates nothing.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ HITS = "n_words long, hits array<struct<start:int,length:int>>, items array<stri
 class Benchmark:
     """Words of the items coded by rank, and one entry per window: its item, place, length and codes."""
 
-    def __init__(self, ids: list[str], texts: list[str], window: int) -> None:
+    def __init__(self, ids: list[str | None], texts: list[str], window: int) -> None:
         words = scan_words(pa.array(texts, pa.string()), ALNUM, True, Powers())
         self.vocabulary, codes = np.unique(words.hashes, return_inverse=True)
         lengths = words.counts
@@ -156,7 +157,8 @@ def _collect(words, bench, window, found, hits, items, longest):
         hits[d].append({"start": int(o - words.first[d]), "length": int(s - o)})
     pairs = np.unique(np.stack([doc_of[at], bench.item[which]], axis=1), axis=0)
     for d, i in pairs.tolist():
-        items[d].append(bench.ids[i])
+        if bench.ids[i] is not None:
+            items[d].append(bench.ids[i])
     # The longest match of each (document, item): follow each match that no earlier window of the item continues.
     length = bench.length[which].copy()
     before = (at > words.first[:-1][doc_of[at]]) & (bench.place[which] > 0)
@@ -202,7 +204,7 @@ def find_matches(
         fields += ", `__row` struct<id:bigint>"
     for k in range(parts):
         mine = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == k).collect()  # at most about part_bytes
-        rows = sorted({(r["id"], r["text"]) for r in mine if r["id"] is not None})
+        rows = sorted({(r["id"], r["text"]) for r in mine}, key=lambda r: (r[0] is None, r[0] or "", r[1]))
         sent = spark.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows]))
         one = docs.mapInArrow(workers.batches(lambda b, sent=sent: _match_batches(Benchmark(*sent.value, window), text, window)(b)), f"{fields}, {HITS}")
         found = one if found is None else found.unionByName(one)

@@ -191,6 +191,21 @@ def test_contamination(spark, part_bytes):
     assert {r.doc_id for r in clean.select("doc_id").collect()} == {r.doc_id for r in found.where("NOT bad").select("doc_id").collect()}
 
 
+@pytest.mark.parametrize("part_bytes", [1 << 24, 60])
+def test_items_without_an_id_mark_words(spark, part_bytes):
+    first, second = (" ".join(f"{c}{i}" for i in range(20)) for c in "ab")
+    items = [(None, first), (None, "lone"), (7, second), (None, None), (8, first)]
+    texts = [first, second, f"zq {second} zq {first[:60]} lone", "zq lone zq", "zq zq", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for some in (items, items[:4]):
+        benchmark = spark.createDataFrame(some, "item_id long, text string")
+        found = decontaminate.find_matches(docs, benchmark, part_bytes=part_bytes).withColumn("n_hit", decontaminate.n_hit())
+        for r in found.withColumn("bad", decontaminate.contaminated()).collect():
+            n_words, n_hit, which = brute_hits(r.text, some)
+            assert (r.n_words, r.n_hit, r["items"]) == (n_words, n_hit, [i for i in which if i != "None"]), r.text
+            assert r.bad == (n_hit > 0 and 20 * n_hit >= n_words)
+
+
 def test_contamination_of_nothing(spark):
     docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")
