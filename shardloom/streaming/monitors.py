@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from shardloom.functions.arrays import is_not_finite
 from shardloom.functions.joins import with_row
+from shardloom.session import require
 from shardloom.sources.logs import parse_run_log
 
 
@@ -44,11 +46,45 @@ def monitor_windows(
     )
 
 
-def late_rows(query: StreamingQuery) -> int:
-    """Rows the watermark has turned away so far, as far as the query's recent progress reaches."""
-    return sum(
-        op["numRowsDroppedByWatermark"] for progress in query.recentProgress for op in progress["stateOperators"]
-    )
+class LateRows(StreamingQueryListener):
+    """Rows the watermark has turned away, by query id, over all batches reported since the listener was added."""
+
+    def __init__(self) -> None:
+        self.totals: Counter[str] = Counter()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        self.totals[str(event.progress.id)] += _turned_away(event.progress)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
+def _turned_away(progress) -> int:
+    return sum(op["numRowsDroppedByWatermark"] for op in progress["stateOperators"])
+
+
+def count_late_rows(spark: SparkSession) -> LateRows:
+    """A counter for ``late_rows``, to be added before the stream starts."""
+    counter = LateRows()
+    spark.streams.addListener(counter)
+    return counter
+
+
+def late_rows(query: StreamingQuery, counter: LateRows | None = None) -> int:
+    """Rows the watermark has turned away so far: from a counter, over all batches since it was added; without one, from
+    the query's recent progress, which is an error once older reports may have been dropped."""
+    if counter is not None:
+        return counter.totals[str(query.id)]
+    reports = query.recentProgress
+    limit = int(SparkSession.active().conf.get("spark.sql.streaming.numRecentProgressUpdates", "100"))
+    require(len(reports) < limit, f"only the last {limit} reports are kept: add count_late_rows before the stream starts")
+    return sum(map(_turned_away, reports))
 
 
 def latest_state(log: DataFrame, by: Sequence[str] = ("run", "type")) -> DataFrame:

@@ -1,4 +1,5 @@
 import datetime as dt
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -85,6 +86,26 @@ def test_windows_close_behind_the_watermark_and_late_rows_are_counted(spark, tmp
     assert sorted(r["last_step"] for r in spark.read.parquet(out).collect()) == [2, 3]
 
 
+def test_late_rows_of_old_batches_are_counted(spark, tmp_path):
+    """Reports of a real stream, repeated to more than a query keeps; the listener is fed by hand, so no port is opened."""
+    src, out, state = (str(tmp_path / n) for n in ("src", "out", "state"))
+    for files in (([("a", 1, 1.0, 1)], [("a", 2, 1.0, 60)]), ([("a", 3, 1.0, 3)], [("a", 4, 1.0, 200)])):
+        for rows in files:
+            append(events(spark, rows), src)
+        s = M.monitor_windows(stream(spark, events(spark, []), src), "5 minutes", late="5 minutes")
+        q = s.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
+        q.awaitTermination()
+    once, reports = M.late_rows(q), q.recentProgress
+    assert once >= 1
+    counter, many = M.LateRows(), reports * 60
+    for progress in many:
+        counter.onQueryProgress(SimpleNamespace(progress=progress))
+    busy = SimpleNamespace(id=q.id, recentProgress=many[-100:])
+    assert M.late_rows(busy, counter) == 60 * once
+    with pytest.raises(ValueError):
+        M.late_rows(busy)
+
+
 def test_alerts_stream_equals_batch(spark, tmp_path):
     rows = [("a", 1, 1.0, 0), ("a", 2, float("inf"), 5), ("a", 3, float("nan"), 6), ("a", 4, 1.0, 100), ("b", 1, 1.0, 50), ("b", 2, 1.0, 109)]
     src, out, state = (str(tmp_path / n) for n in ("src", "out", "state"))
