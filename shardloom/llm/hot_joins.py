@@ -1,0 +1,25 @@
+"""Inner joins with a table of one row per key, in which some keys may hold a large share of the other side's rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+#: Keys with at least so many rows are joined by broadcast, and at most so many keys are.
+HOT_ROWS, HOT_KEYS = 10_000, 50_000
+
+
+def join_counted(left: DataFrame, right: DataFrame, keys: list[str], count: str, rows: int) -> DataFrame:
+    """``left`` with its row of ``right``, whose ``count`` says how many of the ``rows`` rows of ``left`` a key has.
+
+    Rows of hot keys stay where they are: the keys with at least ``rows / HOT_KEYS`` rows are fewer than ``HOT_KEYS``, so
+    broadcasting them (narrow rows) is bounded. What is shuffled has less than that per key. Both sides are read twice, so
+    they should be written tables.
+    """
+    least = max(HOT_ROWS, rows // HOT_KEYS)
+    hot = right.where(F.col(count) >= least)
+    cold = right.where(F.col(count) < least).drop(count)
+    if hot.isEmpty():
+        return left.join(cold, keys)
+    spread = left.join(F.broadcast(hot.drop(count)), keys)
+    rest = left.join(F.broadcast(hot.select(keys)), keys, "left_anti").join(cold, keys)
+    return spread.unionByName(rest)
