@@ -5,8 +5,8 @@ Texts are read as UTF-8 bytes; a string that starts at a place is called its win
 1. Every window is named by the least hash of the ``GRAM``-byte grams in it. Neighbouring windows named by one and the same
    gram form a fragment. Equal windows have equal names and those of a fragment all differ, so a name that occurs once
    needs no further look, which leaves the part of the corpus in which something may repeat.
-2. Equal fragments meet as one kind, with the first place and the number of its copies: all windows of a later copy are
-   repeats. What is left are windows that kinds of one name share in part. Kinds are dealt to shards by name.
+2. Equal fragments are copies of one kind, and all windows of a later copy are repeats. What is left are windows that kinds
+   of one name share in part. The first copies of kinds are dealt to shards by name.
 3. A shard is a suffix array, built by difference-cover blockwise construction (``suffix_blocks``): one bucket of suffixes
    is sorted at a time, and long ties are resolved by the ranks of the cover. Suffixes that agree in ``length`` bytes are
    neighbours in it; all but the first in the order of the corpus repeat.
@@ -29,9 +29,10 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.window import Window
 
 from shardloom.llm import workers
-from shardloom.llm.hot_joins import join_counted
+from shardloom.llm.hot_joins import hot_and_cold, join_counted
 from shardloom.llm.registry import query, table
 from shardloom.llm.suffix_blocks import BUCKET, SuffixBlocks
 from shardloom.llm.textscan import chunks, mix, ragged, signed, text_bytes
@@ -39,11 +40,9 @@ from shardloom.session import materialize
 
 LENGTH = 100
 GRAM = 20
-#: Bytes of the texts a task works on at a time, and of the kinds of one shard.
+#: Bytes of the texts a task works on at a time, and of the kinds of one shard. A larger name is split.
 PIECE_BYTES = 1 << 20
-SHARD_BYTES = 1 << 20
-#: A table of runs is broadcast up to this size.
-BROADCAST_BYTES = 16 << 20
+SHARD_BYTES = 2 << 20
 ORDER = ["a", "b"]
 LAST = (1 << 63) - 1
 
@@ -124,14 +123,14 @@ def _wanted_pieces(part: pa.RecordBatch, length: int):
     """Bytes of a chunk, and of all wanted kinds the first byte in the chunk, the size and the columns."""
     data, offsets = text_bytes(part.column("text"))
     lists = part.column("wanted")
-    columns = {c: lists.flatten().field(c) for c in ("name", "frag", "start", "windows")}
+    columns = {c: lists.flatten().field(c) for c in ("name", "start", "windows")}
     row = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
     return data, offsets[:-1][row] + columns["start"].to_numpy(), columns["windows"].to_numpy() + length - 1, row, columns
 
 
 def _content_rows(length: int, shards: int):
     """Bytes of the wanted kinds, dealt to shards by name."""
-    schema = "shard int, name long, frag long, a long, b long, start long, bytes binary"
+    schema = "shard int, a long, b long, start long, bytes binary"
 
     def run(batches):
         for batch in batches:
@@ -143,8 +142,8 @@ def _content_rows(length: int, shards: int):
                 shard = (columns["name"].to_numpy().view(np.uint64) % np.uint64(shards)).astype(np.int32)
                 of_row = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(shard), columns["name"], columns["frag"], *(part.column(c).take(of_row) for c in ORDER), columns["start"], content],
-                    ["shard", "name", "frag", *ORDER, "start", "bytes"],
+                    [pa.array(shard), *(part.column(c).take(of_row) for c in ORDER), columns["start"], content],
+                    ["shard", *ORDER, "start", "bytes"],
                 )
 
     return run, schema
@@ -152,7 +151,7 @@ def _content_rows(length: int, shards: int):
 
 def _window_rows(length: int):
     """Every window of the wanted kinds with its hash and its place in the corpus."""
-    schema = "name long, frag long, at int, a long, b long, place long, hash long"
+    schema = "name long, a long, b long, start long, hash long"
 
     def run(batches):
         for batch in batches:
@@ -170,8 +169,8 @@ def _window_rows(length: int):
                     of_row = pa.array(np.repeat(row[mine], n))
                     hashes = block_hashes(words, starts, np.full(len(starts), length))
                     yield pa.RecordBatch.from_arrays(
-                        [columns["name"].take(repeat), columns["frag"].take(repeat), pa.array(at, pa.int32()), *(part.column(c).take(of_row) for c in ORDER), pa.array(place), pa.array(signed(hashes))],
-                        ["name", "frag", "at", *ORDER, "place", "hash"],
+                        [columns["name"].take(repeat), *(part.column(c).take(of_row) for c in ORDER), pa.array(place), pa.array(signed(hashes))],
+                        ["name", *ORDER, "start", "hash"],
                     )
 
     return run, schema
@@ -207,7 +206,7 @@ def later_windows(contents: list[np.ndarray], order: np.ndarray, start: np.ndarr
     return [repeats[f : f + w] for f, w in zip(first.tolist(), windows.tolist(), strict=True)]
 
 
-def _shard_masks(length: int):
+def _shard_marks(length: int):
     def run(data: pa.Table) -> pa.Table:
         a, b, start = (data.column(c).to_numpy() for c in (*ORDER, "start"))
         by = np.lexsort((b, a))
@@ -218,36 +217,55 @@ def _shard_masks(length: int):
         hit = [k for k, m in enumerate(masks) if m.any()]
         packed = pa.array([np.packbits(masks[k], bitorder="little").tobytes() for k in hit], pa.binary())
         chosen = pa.array(hit, pa.int64())
-        return pa.table({"name": data.column("name").take(chosen), "frag": data.column("frag").take(chosen), "mask": packed})
+        windows = pa.array([len(masks[k]) for k in hit], pa.int32())
+        return pa.table({**{c: data.column(c).take(chosen) for c in (*ORDER, "start")}, "windows": windows, "mask": packed})
 
     return run
 
 
 def _wanted(docs: DataFrame, kinds: DataFrame) -> DataFrame:
     """The documents that hold the first copy of a kind, with their kinds in ``wanted``."""
-    listed = kinds.groupBy(*ORDER).agg(F.collect_list(F.struct("name", "frag", "start", "windows")).alias("wanted"))
-    return docs.join(materialize(listed, "wanted"), ORDER)
+    listed = kinds.groupBy(*ORDER).agg(F.collect_list(F.struct("name", "start", "windows")).alias("wanted"))
+    return docs.join(listed, ORDER)
 
 
-def _split_masks(docs: DataFrame, kinds: DataFrame, length: int) -> DataFrame:
-    """``name, frag, mask`` of names too large for a shard, by the hashes of their windows."""
+def _split_marks(docs: DataFrame, kinds: DataFrame, length: int) -> DataFrame:
+    """Later windows of names too large for a shard, by the hashes of their windows."""
     run, schema = _window_rows(length)
     found = materialize(_wanted(docs, kinds).mapInArrow(workers.batches(run), schema), "windows")
-    place = F.struct(*ORDER, "place")
+    place = F.struct(*ORDER, "start")
     groups = found.groupBy("name", "hash").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1")
-    later = join_counted(found, materialize(groups, "window_groups"), ["name", "hash"], "times", found.count()).where(place > F.col("first"))
-    at = F.sort_array(F.collect_list("at"))
-    return later.groupBy("name", "frag").agg(at.alias("at")).mapInArrow(workers.batches(_packed), "name long, frag long, mask binary")
-
-
-def _packed(batches):
-    for batch in batches:
-        masks = []
-        for at in batch.column("at").to_pylist():
-            bits = np.zeros(at[-1] + 1, dtype=bool)
-            bits[at] = True
-            masks.append(np.packbits(bits, bitorder="little").tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column("name"), batch.column("frag"), pa.array(masks, pa.binary())], ["name", "frag", "mask"])
+    later = join_counted(found, materialize(groups, "window_groups"), ["name", "hash"], "times", found.count())
+    return later.where(place > F.col("first")).selectExpr(*ORDER, "start", "1 AS windows", "cast(NULL AS binary) AS mask")
+
+
+def _told_apart(found: DataFrame, names: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """Fragments of repeated names as kinds, ``a, b, start, windows, name, bytes, different`` of the first copy, the last
+    two being the size and number of all kinds of the name, and as later copies, ``a, b, start, windows``.
+
+    One shuffle by name serves the join and all windows; the fragments of hot names stay where they are, and their kinds
+    meet after a partial aggregate.
+    """
+    hot, cold = hot_and_cold(names, "times", found.count())
+    size, place = F.col("windows") + length - 1, F.struct(*ORDER, "start")
+    columns = [*ORDER, "start", "windows", "name", "bytes", "different"]
+    rest = found if hot is None else found.join(F.broadcast(hot.select("name")), "name", "left_anti")
+    copy = F.row_number().over(Window.partitionBy("name", "frag").orderBy(*ORDER, "start"))
+    whole = Window.partitionBy("name")
+    sized = [F.sum(F.when(F.col("copy") == 1, x)).over(whole).alias(c) for x, c in ((size, "bytes"), (F.lit(1), "different"))]
+    told = rest.join(cold.select("name"), "name").withColumn("copy", copy).select("*", *sized)
+    # Kinds without another kind of their name have no part in what follows.
+    told = materialize(told.where("copy > 1 OR different > 1").select(*columns, "copy"), "copies")
+    kinds, later = told.where("copy = 1").select(columns), told.where("copy > 1").select(*ORDER, "start", "windows")
+    if hot is None:
+        return kinds, later
+    rows = materialize(found.join(F.broadcast(hot.select("name")), "name"), "hot_fragments")
+    firsts = materialize(rows.groupBy("name", "frag").agg(F.count("*").alias("copies"), F.min(F.struct(place.alias("place"), "windows")).alias("first")), "hot_kinds")
+    firsts = firsts.select("name", "frag", "copies", "first.place", "first.windows")
+    sizes = firsts.groupBy("name").agg(F.sum(size).alias("bytes"), F.count("*").alias("different")).where("different > 1")
+    kinds = kinds.unionByName(firsts.select("name", "place.*", "windows").join(F.broadcast(sizes), "name").select(columns))  # as few as hot names
+    copies = join_counted(rows, firsts.where("copies > 1").drop("windows"), ["name", "frag"], "copies", rows.count())
+    return kinds, later.unionByName(copies.where(place > F.col("place")).select(*ORDER, "start", "windows"))
 
 
 def repeated_windows(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -258,27 +276,16 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, shard_bytes: int = S
     run, schema = _fragment_rows(length)
     found = materialize(docs.mapInArrow(workers.batches(run), schema), "fragments")
     names = materialize(found.groupBy("name").agg(F.count("*").alias("times")).where("times > 1"), "names")
-    occurrences = materialize(join_counted(found, names, ["name"], "times", found.count()), "occurrences")
-    first = F.min(F.struct(*ORDER, "start", "windows")).alias("first")
-    kinds = materialize(occurrences.groupBy("name", "frag").agg(F.count("*").alias("copies"), first).select("name", "frag", "copies", "first.*"), "kinds")
-    size = F.col("windows") + length - 1
-    sizes = kinds.groupBy("name").agg(F.sum(size).alias("bytes"), F.count("*").alias("different")).where("different > 1")
-    sizes = materialize(sizes, "name_sizes")
-    large = F.col("bytes") > shard_bytes // 4
-    total, split = sizes.agg(F.sum(F.when(~large, F.col("bytes"))), F.count(F.when(large, 1))).first()
+    kinds, later = _told_apart(found, names, length)
+    kinds = kinds.where("different > 1")
+    large = F.col("bytes") > shard_bytes
+    total, split = kinds.agg(F.sum(F.when(~large, F.col("windows") + length - 1)), F.count(F.when(large, 1))).first()
     run, schema = _content_rows(length, -(-int(total or 0) // shard_bytes) or 1)
-    shared = join_counted(kinds, sizes.where(~large).select("name", "different"), ["name"], "different", kinds.count())
-    masks = _wanted(docs, shared).mapInArrow(workers.batches(run), schema).groupBy("shard").applyInArrow(
-        workers.group(_shard_masks(length)), "name long, frag long, mask binary"
-    )
+    contents = _wanted(docs, kinds.where(~large)).mapInArrow(workers.batches(run), schema)
+    marks = contents.groupBy("shard").applyInArrow(workers.group(_shard_marks(length)), "a long, b long, start long, windows int, mask binary")
     if split:
-        parts = join_counted(kinds, sizes.where(large).select("name", "different"), ["name"], "different", kinds.count())
-        masks = masks.unionByName(_split_masks(docs, parts, length))
-    told = kinds.drop("windows").join(materialize(masks, "masks"), ["name", "frag"], "left").where("copies > 1 OR mask IS NOT NULL")
-    told = materialize(told.select("name", "frag", "copies", F.struct(*ORDER, "start").alias("first"), "mask"), "told")
-    back = join_counted(occurrences, told, ["name", "frag"], "copies", occurrences.count())
-    is_first = F.struct(*ORDER, "start") == F.col("first")
-    return back.where(~is_first | F.col("mask").isNotNull()).select(*ORDER, "start", "windows", F.when(is_first, F.col("mask")).alias("mask"))
+        marks = marks.unionByName(_split_marks(docs, kinds.where(large), length))
+    return marks.unionByName(later.withColumn("mask", F.lit(None).cast("binary")))
 
 
 def _merge_runs(length: int):
@@ -344,23 +351,22 @@ def remove_repeated_bytes(
     added = ["n_bytes", "n_removed", "removed", "kept_sha256", "kept"]
     docs = docs.drop(*added)
     names = docs.columns
-    key = [F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)), F.xxhash64(F.col(id_col).isNull(), F.col(text))]
+    key = [F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)), F.lit(0).cast("long")]
+    if not docs.groupBy(key[0].alias("a")).count().where("count > 1").isEmpty():
+        key[1] = F.xxhash64(F.col(id_col).isNull(), F.col(text))  # ids alone do not tell the rows apart
     once = docs.where(F.octet_length(text) >= length).select(key[0].alias("a"), key[1].alias("b"), F.col(text).alias("text"))
-    # Rows that share an id may be equal; only they are compared.
     again = once.groupBy(*ORDER).count().where("count > 1").select(*ORDER)
     if not again.isEmpty():
         again = materialize(again, "equal_rows")
-        twice = once.join(again, ORDER).groupBy(*ORDER).agg(F.first("text").alias("text"))
+        twice = once.join(again, ORDER).groupBy(*ORDER).agg(F.min("text").alias("text"))
         once = materialize(once.join(again, ORDER, "left_anti").unionByName(twice), "documents_once")
     run, schema = _merge_runs(length)
     marks = repeated_windows(once, length, shard_bytes).groupBy(*ORDER).agg(F.collect_list(F.struct("start", "windows", "mask")).alias("marks"))
     runs = materialize(marks.mapInArrow(workers.batches(run), schema), "runs")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), F.col(text).alias("__text"), key[0].alias("__a"), key[1].alias("__b"))
-    found, listed = runs.agg(F.count("*"), F.sum(F.size("__runs"))).first()
-    small = 32 * found + 16 * (listed or 0) <= BROADCAST_BYTES
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     schema = f"{fields}, n_bytes long, n_removed long, removed array<struct<start:long,length:long>>, kept_sha256 string" + (", kept binary" if keep else "")
-    return rows.join(F.broadcast(runs) if small else runs, ["__a", "__b"], "left").mapInArrow(workers.batches(_cut(names, keep)), schema)
+    return rows.join(runs, ["__a", "__b"], "left").mapInArrow(workers.batches(_cut(names, keep)), schema)
 
 
 OP11_SQL = """

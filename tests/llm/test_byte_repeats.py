@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from shardloom.llm import byte_repeats
+from shardloom.llm import byte_repeats, hot_joins
 from shardloom.llm.suffix_blocks import COVER, PERIOD, SuffixBlocks
 
 
@@ -57,8 +57,9 @@ def brute(rows, length):
     return out
 
 
-@pytest.mark.parametrize("shard_bytes", [1 << 20, 3000, 300])
-def test_removal(spark, shard_bytes):
+@pytest.mark.parametrize("shard_bytes,hot_rows", [(1 << 20, 10_000), (3000, 20), (300, 40), (1 << 20, 3)])
+def test_removal(spark, shard_bytes, hot_rows, monkeypatch):
+    monkeypatch.setattr(hot_joins, "HOT_ROWS", hot_rows)
     rnd = random.Random(5)
     words = "eau où été the und straße of 水 x".split()
     make = lambda n: " ".join(rnd.choice(words) + str(rnd.randint(0, 99)) for _ in range(n))
