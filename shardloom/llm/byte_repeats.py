@@ -2,6 +2,7 @@
 
 Texts are read as UTF-8 bytes; a string that starts at a place is called its window.
 
+0. Of a text with very many copies only the first row takes part; the others are repeats as a whole.
 1. Every window is named by the least hash of the ``GRAM``-byte grams in it. Neighbouring windows named by one and the same
    gram form a fragment. Equal windows have equal names and those of a fragment all differ, so a name that occurs once
    needs no further look, which leaves the part of the corpus in which something may repeat.
@@ -14,7 +15,8 @@ Texts are read as UTF-8 bytes; a string that starts at a place is called its win
    grouped by their own hash, and the first of each group is found before the shuffle.
 5. Repeats go back to the documents, which are read once more to cut out the union of their bytes.
 
-Fragments of one name, and the windows of a name of step 4, are told apart by a 64-bit block hash beside the name's.
+Texts of step 0 are told apart by md5, fragments of one name and the windows of a name of step 4 by a 64-bit block hash
+beside the name's.
 
 The order of the corpus: by id, null ids last, then by a hash of the text, then by place. Null or odd input: a null text is
 empty; a text shorter than ``length`` loses nothing; rows equal in id and text are one document, so they do not repeat each
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from shardloom.llm import workers
-from shardloom.llm.hot_joins import hot_and_cold, join_counted
+from shardloom.llm.hot_joins import HOT_KEYS, hot_and_cold, join_counted
 from shardloom.llm.registry import query, table
 from shardloom.llm.suffix_blocks import BUCKET, SuffixBlocks
 from shardloom.llm.textscan import chunks, mix, ragged, signed, text_bytes
@@ -43,6 +45,8 @@ GRAM = 20
 #: Bytes of the texts a task works on at a time, and of the kinds of one shard. A larger name is split.
 PIECE_BYTES = 1 << 20
 SHARD_BYTES = 2 << 20
+#: A text with at least so many copies is taken once; at most HOT_KEYS texts are.
+MANY_COPIES = 1_000
 ORDER = ["a", "b"]
 LAST = (1 << 63) - 1
 
@@ -354,7 +358,13 @@ def remove_repeated_bytes(
     key = [F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)), F.lit(0).cast("long")]
     if not docs.groupBy(key[0].alias("a")).count().where("count > 1").isEmpty():
         key[1] = F.xxhash64(F.col(id_col).isNull(), F.col(text))  # ids alone do not tell the rows apart
-    once = docs.where(F.octet_length(text) >= length).select(key[0].alias("a"), key[1].alias("b"), F.col(text).alias("text"))
+    size, digest = F.octet_length(text), F.unhex(F.md5(text)).alias("__digest")
+    texts = docs.where(size >= length).groupBy(digest).agg(F.count("*").alias("n"), F.min(F.struct(key[0].alias("a"), key[1].alias("b"))).alias("__first"))
+    least = max(MANY_COPIES, docs.count() // HOT_KEYS)
+    frequent = materialize(texts.where(F.col("n") >= least).select("__digest", "__first"), "frequent_texts")  # at most HOT_KEYS
+    once = docs.where(size >= length).select(key[0].alias("a"), key[1].alias("b"), F.col(text).alias("text"), digest)
+    once = once.join(F.broadcast(frequent), "__digest", "left").where(F.col("__first").isNull() | (F.struct(*ORDER) == F.col("__first")))
+    once = once.select(*ORDER, "text")
     again = once.groupBy(*ORDER).count().where("count > 1").select(*ORDER)
     if not again.isEmpty():
         again = materialize(again, "equal_rows")
@@ -364,9 +374,13 @@ def remove_repeated_bytes(
     marks = repeated_windows(once, length, shard_bytes).groupBy(*ORDER).agg(F.collect_list(F.struct("start", "windows", "mask")).alias("marks"))
     runs = materialize(marks.mapInArrow(workers.batches(run), schema), "runs")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), F.col(text).alias("__text"), key[0].alias("__a"), key[1].alias("__b"))
+    rows = rows.withColumn("__digest", F.unhex(F.md5("__text"))).join(F.broadcast(frequent), "__digest", "left")
+    copy = F.struct(F.col("__a").alias("a"), F.col("__b").alias("b")) != F.col("__first")
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.octet_length("__text").cast("long").alias("length")))
+    cut = rows.join(runs, ["__a", "__b"], "left").withColumn("__runs", F.when(copy, whole).otherwise(F.col("__runs"))).select("__row", "__text", "__runs")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     schema = f"{fields}, n_bytes long, n_removed long, removed array<struct<start:long,length:long>>, kept_sha256 string" + (", kept binary" if keep else "")
-    return rows.join(runs, ["__a", "__b"], "left").mapInArrow(workers.batches(_cut(names, keep)), schema)
+    return cut.mapInArrow(workers.batches(_cut(names, keep)), schema)
 
 
 OP11_SQL = """

@@ -60,6 +60,7 @@ def brute(rows, length):
 @pytest.mark.parametrize("shard_bytes,hot_rows", [(1 << 20, 10_000), (3000, 20), (300, 40), (1 << 20, 3)])
 def test_removal(spark, shard_bytes, hot_rows, monkeypatch):
     monkeypatch.setattr(hot_joins, "HOT_ROWS", hot_rows)
+    monkeypatch.setattr(byte_repeats, "MANY_COPIES", hot_rows)
     rnd = random.Random(5)
     words = "eau où été the und straße of 水 x".split()
     make = lambda n: " ".join(rnd.choice(words) + str(rnd.randint(0, 99)) for _ in range(n))
