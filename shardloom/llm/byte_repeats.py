@@ -37,7 +37,7 @@ from shardloom.llm import workers
 from shardloom.llm.hot_joins import HOT_KEYS, hot_and_cold, join_counted
 from shardloom.llm.registry import query, table
 from shardloom.llm.suffix_blocks import BUCKET, SuffixBlocks
-from shardloom.llm.textscan import chunks, mix, ragged, signed, text_bytes
+from shardloom.llm.textscan import chunks, eight_bytes, mix, ragged, signed, text_bytes
 from shardloom.session import materialize
 
 LENGTH = 100
@@ -51,13 +51,6 @@ ORDER = ["a", "b"]
 LAST = (1 << 63) - 1
 
 
-def eight_bytes(data: np.ndarray) -> np.ndarray:
-    """The eight bytes from every place on as one number; zero bytes follow the end."""
-    padded = np.zeros(len(data) + 8, dtype=np.uint8)
-    padded[: len(data)] = data
-    return np.ndarray(len(data), dtype="<u8", buffer=padded, strides=(1,)).astype(np.uint64)
-
-
 def gram_hashes(words: np.ndarray) -> np.ndarray:
     """Hash of the GRAM bytes from each place on."""
     n = len(words) - GRAM + 1
@@ -87,7 +80,7 @@ def fragments(data: np.ndarray, offsets: np.ndarray, length: int):
     none = np.zeros(0, dtype=np.int64)
     if len(data) < length:
         return none, none, none, none.view(np.uint64), none.view(np.uint64)
-    words = eight_bytes(data)
+    words = eight_bytes(data).astype(np.uint64)
     hashes = gram_hashes(words)
     bits = np.uint64(len(hashes).bit_length())
     # The place in the low bits makes the first of equal grams the least.
@@ -161,7 +154,7 @@ def _window_rows(length: int):
         for batch in batches:
             for part in chunks(batch, "text", PIECE_BYTES):
                 data, first, size, row, columns = _wanted_pieces(part, length)
-                words = eight_bytes(data)
+                words = eight_bytes(data).astype(np.uint64)
                 windows = columns["windows"].to_numpy().astype(np.int64)
                 per = max(1, PIECE_BYTES // (8 * length))  # kinds at a time
                 for k in range(0, len(windows), per):

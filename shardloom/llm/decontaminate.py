@@ -1,9 +1,10 @@
 """Benchmark decontamination with suffix arrays of the training texts.
 
 Each chunk of training documents is a shard. Its suffix array holds the word suffixes that open with two words which open
-some benchmark suffix; no other suffix can match one. Every benchmark suffix is then looked up by binary search. Its two
-neighbours in sorted order give its longest verbatim match, and the range that shares its first ``window`` words gives all
-locations, which mark the hit words. Documents never leave their task, so nothing is shuffled.
+some benchmark suffix; no other suffix can match one. Every benchmark suffix with a window left is then looked up by binary
+search. The range that shares its first ``window`` words gives all locations, which mark the hit words; each is followed
+word by word to its longest verbatim match. Matches shorter than a window are not reported. Documents never leave their
+task, so nothing is shuffled unless the benchmark has several parts.
 
 The benchmark is sent to the tasks in parts of at most ``PART_BYTES`` of text, as many as it takes; hits of several parts
 are merged per document.
@@ -22,7 +23,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from shardloom.llm import workers
 from shardloom.llm.registry import query, table
-from shardloom.llm.textscan import ALNUM, Powers, chunks, ragged, scan_words
+from shardloom.llm.textscan import ALNUM, chunks, ragged, scan_words
+from shardloom.session import materialize
 
 WINDOW = 13
 PART_BYTES = 16 << 20
@@ -33,7 +35,7 @@ class Benchmark:
     """Words of the items coded by rank, and one entry per window: its item, place, length and codes."""
 
     def __init__(self, ids: list[str | None], texts: list[str], window: int) -> None:
-        words = scan_words(pa.array(texts, pa.string()), ALNUM, True, Powers())
+        words = scan_words(pa.array(texts, pa.string()), ALNUM, True)
         self.vocabulary, codes = np.unique(words.hashes, return_inverse=True)
         lengths = words.counts
         size = np.minimum(lengths, window)
@@ -85,18 +87,6 @@ class SuffixArray:
         high = _keys(np.where(inside, rows, (1 << 31) - 1))
         return np.searchsorted(self.keys, low, "left"), np.searchsorted(self.keys, high, "right")
 
-    def longest(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Length within the depth of the longest match of each row, and the place of one such match."""
-        at = np.searchsorted(self.keys, _keys(rows), "left")
-        best, place = np.zeros(len(rows), dtype=np.int64), np.zeros(len(rows), dtype=np.int64)
-        for side in (at - 1, at):
-            near = np.clip(side, 0, len(self.keys) - 1)
-            same = (self.rows[near] == rows) & (rows > 0)
-            size = np.where(side == near, np.cumprod(same, axis=1).sum(axis=1), 0)
-            place = np.where(size > best, self.places[near], place)
-            best = np.maximum(best, size)
-        return best, place
-
 
 def _search(words, bench: Benchmark, window: int):
     """Hit words of one shard and, per match, its document, item, item place, word and length."""
@@ -119,10 +109,9 @@ def _search(words, bench: Benchmark, window: int):
 
 def _match_batches(bench: Benchmark, text: str, window: int):
     def run(batches):
-        powers = Powers()
         for batch in batches:
             for part in chunks(batch, text):
-                words = scan_words(part.column(text), ALNUM, True, powers)
+                words = scan_words(part.column(text), ALNUM, True)
                 n = part.num_rows
                 hits, items, longest = [[] for _ in range(n)], [[] for _ in range(n)], [[] for _ in range(n)]
                 found = _search(words, bench, window)
@@ -194,14 +183,17 @@ def find_matches(
     workers.small_batches(spark)
     for taken in ("n_words", "hits", "items", "longest"):
         docs = docs.drop(taken)
+    names = docs.columns
     items = benchmark.select(F.col(item_id).cast("string").alias("id"), F.coalesce(item_text, F.lit("")).alias("text"))
     total = items.agg(F.sum(F.octet_length("text") + F.coalesce(F.octet_length("id"), F.lit(0)) + 16)).first()[0] or 0
     parts = -(-int(total) // part_bytes) or 1
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     found = None
     if parts > 1:
-        docs = docs.withColumn("__row", F.struct(F.monotonically_increasing_id().alias("id")))
-        fields += ", `__row` struct<id:bigint>"
+        # Several scans meet again by row, so the numbers are written once. No column can clash: the row is a struct.
+        whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if docs.columns else F.struct(F.lit(0).alias("none"))
+        docs = materialize(docs.select(F.monotonically_increasing_id().alias("__row"), whole.alias("__columns"), F.col(f"`{text}`").alias("__text")), "numbered")
+        fields, text = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), "__text"
     for k in range(parts):
         mine = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == k).collect()  # at most about part_bytes
         rows = sorted({(r["id"], r["text"]) for r in mine}, key=lambda r: (r[0] is None, r[0] or "", r[1]))
@@ -209,14 +201,14 @@ def find_matches(
         one = docs.mapInArrow(workers.batches(lambda b, sent=sent: _match_batches(Benchmark(*sent.value, window), text, window)(b)), f"{fields}, {HITS}")
         found = one if found is None else found.unionByName(one)
     if parts > 1:
-        found = _merge(found, [c for c in docs.columns if c != "__row"])
+        found = _merge(found).select(*[F.col("__columns").getField(c).alias(c) for c in names], "n_words", "hits", "items", "longest")
     return found.withColumn("items", F.array_sort(F.array_distinct("items")))
 
 
-def _merge(found: DataFrame, columns: list[str]) -> DataFrame:
+def _merge(found: DataFrame) -> DataFrame:
     """One row per document from the rows of each benchmark part; overlapping runs are joined."""
     one = found.groupBy("__row").agg(
-        *[F.first(c).alias(c) for c in columns], F.first("n_words").alias("n_words"),
+        F.first("__columns").alias("__columns"), F.first("n_words").alias("n_words"),
         F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"), F.flatten(F.collect_list("items")).alias("items"),
         F.flatten(F.collect_list("longest")).alias("longest"),
     )
@@ -228,7 +220,7 @@ def _merge(found: DataFrame, columns: list[str]) -> DataFrame:
           greatest(element_at(done, -1).length, h.start + h.length - element_at(done, -1).start))))
         ELSE concat(done, array(h)) END)"""
     )
-    return one.withColumn("hits", joined).drop("__row")
+    return one.withColumn("hits", joined)
 
 
 def n_hit():

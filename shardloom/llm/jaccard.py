@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from shardloom.llm import workers
 from shardloom.llm.components import components
 from shardloom.llm.registry import query, table
-from shardloom.llm.textscan import NOT_BLANK, Powers, Words, chunks, mix, ngram_hashes, scan_words, signed
+from shardloom.llm.textscan import NOT_BLANK, Words, chunks, mix, ngram_hashes, scan_words, signed
 from shardloom.session import broadcast_if_small, materialize
 
 NGRAM = 5
@@ -72,10 +72,9 @@ def prefix_size(n, percent: int = PERCENT):
 
 
 def _sets(batches, n: int):
-    powers = Powers()
     for batch in batches:
         for part in chunks(batch, "text", SMALL_BYTES):
-            yield part, list(gram_sets(scan_words(part.column("text"), NOT_BLANK, True, powers), n))
+            yield part, list(gram_sets(scan_words(part.column("text"), NOT_BLANK, True), n))
 
 
 def _describe(n: int):

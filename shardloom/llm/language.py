@@ -171,29 +171,31 @@ def has_letters(text: Column) -> Column:
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred``, ``score`` (the cosine, 0 to 1) and ``rejected``."""
     workers.small_batches(docs.sparkSession)
-    docs = docs.drop("lang_pred", "score", "rejected").withColumn("__letters", has_letters(F.col(f"`{text}`")))
+    docs = docs.drop("lang_pred", "score", "rejected")
     # Plain arrays: workers need not have this package. At most MOST_LANGS * CENTROIDS rows of WIDTH numbers.
     fitted = docs.sparkSession.sparkContext.broadcast((model.languages, model.idf, model.centroids, model.owner, model.least))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    fields, columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), docs.columns
+    # The rows go along as structs, so that no column of theirs can clash.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col(f"`{text}`").alias("text"), has_letters(F.col(f"`{text}`")).alias("letters"))
 
     def run(batches):
         m = Model(*fitted.value)
         for batch in batches:
-            for part in chunks(batch, text, _CHUNK):
+            for part in chunks(batch, "text", _CHUNK):
                 n = part.num_rows
-                known = part.column("__letters").to_numpy(zero_copy_only=False) & bool(m.languages)
+                known = part.column("letters").to_numpy(zero_copy_only=False) & bool(m.languages)
                 names, scores, far = np.full(n, UNKNOWN, dtype=object), np.zeros(n), np.ones(n, dtype=bool)
                 for at in range(0, n, ROWS) if m.languages else ():
                     rows = slice(at, min(n, at + ROWS))
-                    lang, score, off = m.predict(gram_counts(part.column(text).slice(at, ROWS)))
+                    lang, score, off = m.predict(gram_counts(part.column("text").slice(at, ROWS)))
                     names[rows], scores[rows], far[rows] = np.array(m.languages, dtype=object)[lang], score, off
                 names[~known], scores[~known], far[~known] = UNKNOWN, 0.0, True
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(names, pa.string()), pa.array(scores), pa.array(far)],
-                    [*part.schema.names, "lang_pred", "score", "rejected"],
+                    [*(part.column("row").field(c) for c in columns), pa.array(names, pa.string()), pa.array(scores), pa.array(far)],
+                    [*columns, "lang_pred", "score", "rejected"],
                 )
 
-    return docs.mapInArrow(workers.batches(run), f"{fields}, lang_pred string, score double, rejected boolean").drop("__letters")
+    return rows.mapInArrow(workers.batches(run), f"{fields}, lang_pred string, score double, rejected boolean")
 
 
 def held_out(doc_id: Column) -> Column:

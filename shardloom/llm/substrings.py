@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from shardloom.llm import workers
 from shardloom.llm.fm_index import FMIndex
+from shardloom.llm.hot_joins import join_counted
 from shardloom.llm.registry import query, table
 from shardloom.llm.textscan import NOT_BLANK, Powers, Words, chunks, mix, ngram_hashes, ragged, scan_words, signed
 from shardloom.session import broadcast_if_small, is_small, materialize
@@ -83,7 +84,7 @@ def _fragment_rows(window: int):
         powers = Powers()
         for batch in batches:
             for part in chunks(batch, "text", SMALL_BYTES):
-                words = scan_words(part.column("text"), NOT_BLANK, False, powers)
+                words = scan_words(part.column("text"), NOT_BLANK, False)
                 doc, start, windows, names, hashes = fragments(words, window, powers)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("key").take(pa.array(doc)), pa.array(start, pa.int32()), pa.array(windows, pa.int32()), pa.array(signed(names)), pa.array(signed(hashes))],
@@ -98,10 +99,9 @@ def _content_rows(window: int, shards: int):
     schema = "shard int, name long, frag long, copies long, words binary"
 
     def run(batches):
-        powers = Powers()
         for batch in batches:
             for part in chunks(batch, "text", SMALL_BYTES):
-                words = scan_words(part.column("text"), NOT_BLANK, False, powers)
+                words = scan_words(part.column("text"), NOT_BLANK, False)
                 wanted, first = part.column("wanted"), words.first[:-1]
                 out: list[list] = [[] for _ in range(5)]
                 for d in range(part.num_rows):
@@ -122,10 +122,9 @@ def _window_rows(window: int):
     schema = "name long, frag long, at int, copies long, hash long"
 
     def run(batches):
-        powers = Powers()
         for batch in batches:
             for part in chunks(batch, "text", SMALL_BYTES):
-                words = scan_words(part.column("text"), NOT_BLANK, False, powers)
+                words = scan_words(part.column("text"), NOT_BLANK, False)
                 grams = mix(ngram_hashes(words.hashes, window))
                 lists = part.column("wanted")
                 name, frag, copies, start, windows = (lists.flatten().field(c).to_numpy() for c in ("name", "frag", "copies", "start", "windows"))
@@ -191,8 +190,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         raise ValueError(f"windows of {ANCHOR} to {ANCHOR + 63} words are supported")
     run, schema = _fragment_rows(window)
     found = materialize(docs.select("key", "text").mapInArrow(workers.batches(run), schema), "fragments")
-    names = found.groupBy("name").agg(F.count("*").alias("times")).where("times > 1")
-    occurrences = materialize(found.join(names.select("name"), "name"), "occurrences")
+    names = materialize(found.groupBy("name").agg(F.count("*").alias("times")).where("times > 1"), "names")
+    occurrences = materialize(join_counted(found, names, ["name"], "times", found.count()), "occurrences")
     kinds = occurrences.groupBy("name", "frag").agg(F.count("*").alias("copies"), F.min(F.struct("key", "start", "windows")).alias("one"))
     kinds = materialize(kinds.select("name", "frag", "copies", "one.key", "one.start", "one.windows"), "kinds")
     size = F.col("windows") + window - 1
@@ -200,12 +199,24 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     shards = -(-int(total) // SHARD_WORDS) or 1
     hot = kinds.groupBy("name").agg(F.sum(size).alias("n")).where(F.col("n") > SHARD_WORDS // 4).select("name")
     hot = broadcast_if_small(materialize(hot, "hot"))
+    docs = _once(docs)
     run, schema = _content_rows(window, shards)
     contents = _wanted(docs, kinds.join(hot, "name", "left_anti")).mapInArrow(workers.batches(run), schema)
     masks = contents.groupBy("shard").applyInArrow(workers.group(_shard_masks(window)), "name long, frag long, mask long")
     if not hot.isEmpty():
         masks = masks.unionByName(_hot_masks(docs, kinds.join(hot, "name", "left_semi"), window))
-    return occurrences.join(masks, ["name", "frag"]).select("key", "start", "mask")
+    told = materialize(masks.join(kinds.select("name", "frag", "copies"), ["name", "frag"]), "told")
+    return join_counted(occurrences, told, ["name", "frag"], "copies", occurrences.count()).select("key", "start", "mask")
+
+
+def _once(docs: DataFrame) -> DataFrame:
+    """One of the rows that are equal in id and text, so that each fragment is sent to its shard once."""
+    again = docs.groupBy("key").count().where("count > 1").select("key")
+    if again.isEmpty():
+        return docs
+    again = broadcast_if_small(materialize(again, "equal_rows"))
+    one = docs.join(again, "key").groupBy("key").agg(F.min("text").alias("text"))
+    return materialize(docs.join(again, "key", "left_anti").unionByName(one), "documents_once")
 
 
 def _wanted(docs: DataFrame, kinds: DataFrame) -> DataFrame:
@@ -256,14 +267,13 @@ def _merge_runs(window: int):
     return run, "__key long, __runs array<struct<start:int,length:int>>"
 
 
-def _cut(keep_text: bool):
+def _cut(names: list[str], keep_text: bool):
     """Kept words of each document; ``keep_text`` puts them in place of the text, where anything was removed."""
 
     def run(batches):
-        powers = Powers()
         for batch in batches:
             for part in chunks(batch, "text", SMALL_BYTES):
-                words = scan_words(part.column("text"), NOT_BLANK, False, powers)
+                words = scan_words(part.column("text"), NOT_BLANK, False)
                 removed, digests, texts = [], [], []
                 raw, runs = words.data.tobytes(), part.column("__runs").to_pylist()
                 starts, ends = words.starts.tolist(), words.ends.tolist()
@@ -277,10 +287,9 @@ def _cut(keep_text: bool):
                     removed.append(count - len(kept))
                     digests.append(hashlib.sha256(text).hexdigest())
                     texts.append(text.decode() if keep_text and mine else None)
-                columns = dict(zip(part.schema.names, part.columns, strict=True))
+                columns = {c: part.column("__row").field(c) for c in names}
                 if keep_text:
                     columns["text"] = pa.array([t if t is not None else o for t, o in zip(texts, columns["text"].to_pylist(), strict=True)], pa.string())
-                del columns["__runs"]
                 columns |= {"n_words": pa.array(words.counts, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(digests, pa.string())}
                 yield pa.RecordBatch.from_pydict(columns)
 
@@ -296,10 +305,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, keep_text: bool = True
     marks = repeated_spans(docs.select(key.alias("key"), "text"), window).distinct().groupBy("key")
     run, schema = _merge_runs(window)
     runs = materialize(marks.agg(F.collect_list(F.struct("start", "mask")).alias("marks")).mapInArrow(workers.batches(run), schema), "runs")
-    keyed = docs.withColumn("__key", key)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), key.alias("__key"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return join_spans(keyed, runs, "__key", "left").drop("__key").mapInArrow(
-        workers.batches(_cut(keep_text)), f"{fields}, n_words long, n_removed long, kept_sha256 string"
+    keyed = join_spans(rows, runs, "__key", "left").select(F.col("__row.text").alias("text"), "__row", "__runs")  # no name can clash
+    return keyed.mapInArrow(
+        workers.batches(_cut(docs.columns, keep_text)), f"{fields}, n_words long, n_removed long, kept_sha256 string"
     )
 
 

@@ -6,6 +6,7 @@ into chunks of a bounded number of bytes; only a single longer document makes a
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -66,9 +67,6 @@ class Powers:
         return self.up, self.down
 
 
-BYTE_KEYS = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-
-
 @dataclass
 class Words:
     """Words of a run of documents: byte spans, 64-bit hashes, and ``first[d] : first[d + 1]`` of document d."""
@@ -96,17 +94,49 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8)[spans[0] : spans[-1]], spans - spans[0]
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers: Powers) -> np.ndarray:
-    """64-bit hashes of byte spans from one running polynomial sum."""
-    if not len(starts):
-        return np.zeros(0, dtype=np.uint64)
-    up, down = powers.upto(len(data) + 1)
-    total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(BYTE_KEYS[data] * up[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+#: Keeps the first k of eight bytes read as a little-endian number.
+FIRST_BYTES = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], dtype=np.uint64)
+#: Longer spans are hashed one by one.
+LONG_SPAN = 512
 
 
-def scan_words(column: pa.Array, word_bytes: np.ndarray, lower: bool, powers: Powers) -> Words:
+def eight_bytes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place on as one number, over a copy of ``data``; zero bytes follow the end."""
+    padded = np.zeros(len(data) + 8, dtype=np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray(len(data), dtype="<u8", buffer=padded, strides=(1,))
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte spans, mixed block by block of eight bytes.
+
+    Each step is a bijection of the state, so spans of one length of at most eight bytes never share a hash, and no pattern
+    within longer ones cancels out as it would in a sum of powers.
+    """
+    lengths = ends - starts
+    out = mix(lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
+    if not len(starts):
+        return out
+    words = eight_bytes(data)
+    left, at, h, which = lengths, starts, out, None  # ``which`` spans are still open; at first all of them
+    for k in range(LONG_SPAN // 8):
+        blocks = words[at] & FIRST_BYTES[np.minimum(left, 8)]
+        h = mix((h ^ blocks) * np.uint64(0xD1342543DE82EF95))
+        if which is None:
+            out = h
+        else:
+            out[which] = h
+        more = np.flatnonzero(left > 8)
+        if not len(more):
+            return out
+        which = more if which is None else which[more]
+        at, left, h = at[more] + 8, left[more] - 8, h[more]
+    for k in np.flatnonzero(lengths > LONG_SPAN).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
+def scan_words(column: pa.Array, word_bytes: np.ndarray, lower: bool) -> Words:
     data, offsets = text_bytes(column)
     if lower:
         data = LOWER[data]
@@ -122,7 +152,7 @@ def scan_words(column: pa.Array, word_bytes: np.ndarray, lower: bool, powers: Po
     after[cuts[cuts > 0] - 1] = False
     starts = np.flatnonzero(inside & ~before[:-1])
     ends = np.flatnonzero(inside & ~after) + 1
-    return Words(data, starts, ends, np.searchsorted(starts, offsets), span_hashes(data, starts, ends, powers))
+    return Words(data, starts, ends, np.searchsorted(starts, offsets), span_hashes(data, starts, ends))
 
 
 def chunks(batch: pa.RecordBatch, text: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:

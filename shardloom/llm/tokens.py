@@ -14,7 +14,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from shardloom.llm.textscan import NOT_BLANK, Powers, ragged, span_hashes, text_bytes
+from shardloom.llm.textscan import FIRST_BYTES, LONG_SPAN, NOT_BLANK, eight_bytes, ragged, span_hashes, text_bytes
 from shardloom.llm.workers import release
 
 # White space beyond ASCII.
@@ -96,7 +96,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.keep_blanks, self.powers = keep_blanks, Powers()
+        self.keep_blanks = keep_blanks
         self.forget()
 
     def forget(self) -> None:
@@ -105,6 +105,9 @@ class Encoder:
         self.size = np.zeros(1 << 16, dtype=np.int32)
         self.flat = np.zeros(1 << 18, dtype=np.uint16)
         self.used = 0
+        # Bytes of the remembered chunks, to tell apart different ones with one hash; at least eight bytes follow them.
+        self.bytes = np.zeros(1 << 20, dtype=np.uint8)
+        self.bytes_first, self.bytes_size, self.bytes_used = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int64), 0
 
     def _ids(self, texts: list[bytes]) -> list[list[int]]:
         """Ids of chunks. ASCII letters, with one blank before them at most, are one word to the tokenizer's model, and a
@@ -139,19 +142,45 @@ class Encoder:
         n, m = self.seen.count, len(hashes)
         while n + m > len(self.first):
             self.first, self.size = np.resize(self.first, 2 * len(self.first)), np.resize(self.size, 2 * len(self.size))
+            self.bytes_first, self.bytes_size = np.resize(self.bytes_first, len(self.first)), np.resize(self.bytes_size, len(self.first))
         while self.used + len(ids) > len(self.flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
         self.flat[self.used : self.used + len(ids)] = ids
         self.first[n : n + m] = self.used + np.cumsum(lengths) - lengths
         self.size[n : n + m] = lengths
+        raw = np.frombuffer(b"".join(texts), dtype=np.uint8)
+        while self.bytes_used + len(raw) + 8 > len(self.bytes):
+            self.bytes = np.resize(self.bytes, 2 * len(self.bytes))
+        self.bytes[self.bytes_used : self.bytes_used + len(raw)] = raw
+        sizes = np.fromiter(map(len, texts), dtype=np.int64, count=m)
+        self.bytes_first[n : n + m], self.bytes_size[n : n + m] = self.bytes_used + np.cumsum(sizes) - sizes, sizes
+        self.bytes_used += len(raw)
         self.seen.add(hashes)
         self.used += len(ids)
 
+    def _differ(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, entry: np.ndarray) -> np.ndarray:
+        """Chunks that are not, byte by byte, the remembered ones whose hash they share."""
+        sizes = ends - starts
+        bad = sizes != self.bytes_size[entry]
+        here, there = eight_bytes(data), np.ndarray(len(self.bytes) - 8, dtype="<u8", buffer=self.bytes, strides=(1,))
+        which, at, to, left = np.arange(len(starts)), starts, self.bytes_first[entry], np.where(bad | (sizes > LONG_SPAN), 0, sizes)
+        for _ in range(LONG_SPAN // 8):
+            if not len(which):
+                break
+            bad[which[((here[at] ^ there[to]) & FIRST_BYTES[np.minimum(left, 8)]) != 0]] = True
+            more = np.flatnonzero(left > 8)
+            which, at, to, left = which[more], at[more] + 8, to[more] + 8, left[more] - 8
+        for k in np.flatnonzero(~bad & (sizes > LONG_SPAN)).tolist():
+            first = self.bytes_first[entry[k]]
+            bad[k] = not np.array_equal(data[starts[k] : ends[k]], self.bytes[first : first + sizes[k]])
+        return np.flatnonzero(bad)
+
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the rows as uint16, and the number of ids of each row; null is an empty text."""
-        odd = pc.fill_null(pc.match_substring_regex(column, OTHER_BLANKS), False).to_numpy(zero_copy_only=False)
+        odd = pc.fill_null(pc.match_substring_regex(column, OTHER_BLANKS), False).to_numpy(zero_copy_only=False).copy()
         plain = pc.if_else(pa.array(odd), pa.scalar("", column.type), column) if odd.any() else column
-        ids, counts = self._encode_chunks(plain)
+        ids, counts, differing = self._encode_chunks(plain)
+        odd[differing] = True
         if not odd.any():
             return ids, counts
         rows = np.split(ids, np.cumsum(counts)[:-1])
@@ -159,14 +188,15 @@ class Encoder:
             rows[k] = np.array(self.tokenizer.encode(column[k].as_py(), add_special_tokens=False).ids, dtype=np.uint16)
         return np.concatenate(rows), np.array([len(r) for r in rows], dtype=np.int64)
 
-    def _encode_chunks(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def _encode_chunks(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, their number in each row, and the rows with a chunk whose hash another one has."""
         data, offsets = text_bytes(column)
         if not len(data):
-            return np.zeros(0, dtype=np.uint16), np.zeros(len(column), dtype=np.int64)
+            return np.zeros(0, dtype=np.uint16), np.zeros(len(column), dtype=np.int64), np.zeros(0, dtype=np.int64)
         starts, ends, first = chunk_spans(data, offsets, self.keep_blanks)
         if self.seen.count > REMEMBERED:
             self.forget()
-        codes, distinct = pd.factorize(span_hashes(data, starts, ends, self.powers))
+        codes, distinct = pd.factorize(span_hashes(data, starts, ends))
         known = self.seen.find(distinct)
         new = np.flatnonzero(known < 0)
         if len(new):
@@ -180,7 +210,8 @@ class Encoder:
         size = self.size[entry].astype(np.int64)
         ids = self.flat[ragged(self.first[entry], size)]
         total = np.concatenate([[0], np.cumsum(size)])
-        return ids, np.diff(total[first])
+        bad = self._differ(data, starts, ends, entry)
+        return ids, np.diff(total[first]), np.searchsorted(first, bad, "right") - 1
 
 
 def with_end(ids: np.ndarray, counts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -198,8 +229,6 @@ def crc32s(ids: np.ndarray, counts: np.ndarray) -> list[int]:
     return [zlib.crc32(raw[a:b]) for a, b in zip([0, *stops[:-1]], stops, strict=True)]
 
 
-
-
 def encoder(path: str, keep_blanks: bool) -> Encoder:
     """The encoder of this worker process; it outlives a task, so what one task learned the next one knows."""
     import tokenizers

@@ -170,17 +170,17 @@ def test_contamination(spark, part_bytes):
     for item in items:
         if item[1]:
             texts += [f"zq {item[1]} zq " + "filler " * rnd.randint(0, 400), item[1].upper().replace(" ", "; ")]
-    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").selectExpr("*", "doc_id AS hits", "doc_id AS item_id").repartition(3)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").selectExpr("*", "doc_id AS hits", "doc_id AS item_id", "1 AS __row", "2 AS __text", "3 AS __columns").repartition(3)
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     found = decontaminate.find_matches(docs, benchmark, part_bytes=part_bytes).withColumn("n_hit", decontaminate.n_hit()).withColumn("bad", decontaminate.contaminated())
-    named = [i for i in items if i[0] is not None]
     for r in found.collect():
-        n_words, n_hit, which = brute_hits(r.text, named)
+        n_words, n_hit, which = brute_hits(r.text, items)
+        which = [w for w in which if w != "None"]  # an item without an id marks words only
         assert (r.n_words, r.n_hit, r["items"]) == (n_words, n_hit, which), r.text
         assert r.bad == (n_hit > 0 and 20 * n_hit >= n_words)
         words = alnum(r.text)
         for m in r.longest:
-            mine = [alnum(t) for i, t in named if str(i) == m["item"]]
+            mine = [alnum(t) for i, t in items if (None if i is None else str(i)) == m["item"]]
             same = words[m["word"] : m["word"] + m["length"]]
             assert any(w[m["item_word"] : m["item_word"] + m["length"]] == same for w in mine)
             if len(mine) == 1:
@@ -239,3 +239,29 @@ def test_copies_of_a_hot_window_meet_in_no_single_group(spark, monkeypatch):
     found = {r.doc_id: (r.n_words, r.n_removed, r.text) for r in got.collect()}
     want = brute_kept(texts, 35)
     assert found == {i: (n, g, k if g else texts[i]) for i, (n, g, k) in enumerate(want)}
+
+
+def test_patterned_words_and_clashing_names(spark):
+    """Words whose difference cancels out in sums of powers are different words; names of helper columns are free."""
+    word, other = "a", "b"
+    for _ in range(11):
+        word, other = word + other, other + word
+    fill = [f"w{i}" for i in range(20)]
+    one, two = (" ".join([*fill, w, *fill[::-1]]) for w in (word, other))
+    docs = spark.createDataFrame([(1, one), (2, two)], "doc_id long, text string").selectExpr("*", "1 AS __key", "2 AS __runs", "3 AS __row", "4 AS key", "5 AS __letters", "6 AS size")
+    cut = substrings.remove_repeats(docs)
+    assert {r.n_removed for r in cut.collect()} == {0} and cut.columns == [*docs.columns, "n_words", "n_removed", "kept_sha256"]
+    linked = jaccard.near_duplicates(spark.createDataFrame([(1, f"a b c d {word}"), (2, f"a b c d {other}")], "doc_id long, text string"))
+    assert {r.component_id for r in linked.collect()} == {1, 2}
+    for part_bytes in (1 << 24, 1000):
+        found = decontaminate.find_matches(docs, spark.createDataFrame([(7, one), (8, "zz yy")], "item_id long, text string"), part_bytes=part_bytes)
+        hits = {r.doc_id: len(r["items"]) for r in found.collect()}
+        assert hits == {1: 1, 2: 1}  # the windows of 13 words before and after the word differ from none
+        n = {r.doc_id: r.n for r in found.select("doc_id", decontaminate.n_hit().alias("n")).collect()}
+        assert n == {1: 41, 2: 40}
+    # Equal rows repeat each other; each fragment is sent once.
+    again = spark.createDataFrame([(1, one)] * 50 + [(None, one)], "doc_id long, text string")
+    assert {r.n_removed for r in substrings.remove_repeats(again).collect()} == {41}
+    from shardloom.llm import language
+    said = language.identify(docs, language.fit(docs.selectExpr("doc_id", "text", "'xx' AS lang")))
+    assert said.columns == [*docs.columns, "lang_pred", "score", "rejected"]

@@ -9,7 +9,7 @@ import pytest
 from hypothesis import example, given, settings, strategies as st
 
 from shardloom.llm import range_coder, token_files, tokens
-from shardloom.llm.textscan import ALNUM, NOT_BLANK, Powers, chunks, mix, ngram_hashes, scan_words
+from shardloom.llm.textscan import ALNUM, NOT_BLANK, chunks, mix, ngram_hashes, scan_words
 
 TEXTS = st.lists(st.one_of(st.none(), st.text(alphabet="aAzZ09 \n\t\x0b\x1c.,'é\u00a0日<|\\", max_size=40)), max_size=8)
 
@@ -22,7 +22,7 @@ def lowered(text):
 @given(TEXTS)
 def test_words_are_those_of_the_patterns(texts):
     for flags, lower, pattern in ((NOT_BLANK, False, r"[^\x20\x09-\x0D]+"), (ALNUM, True, r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")):
-        words = scan_words(pa.array(texts, pa.string()), flags, lower, Powers())
+        words = scan_words(pa.array(texts, pa.string()), flags, lower)
         got = [words.data[a:b].tobytes().decode() for a, b in zip(words.starts, words.ends, strict=True)]
         want = [re.findall(pattern, lowered(t) if lower else t or "") for t in texts]
         assert words.counts.tolist() == [len(w) for w in want]
@@ -34,11 +34,46 @@ def test_words_are_those_of_the_patterns(texts):
 
 
 def test_hashes_do_not_depend_on_the_place():
-    one = scan_words(pa.array(["x " * 100 + "a b c d e"]), NOT_BLANK, False, Powers())
-    two = scan_words(pa.array(["", None, "a b c d e"]), NOT_BLANK, False, Powers())
+    one = scan_words(pa.array(["x " * 100 + "a b c d e"]), NOT_BLANK, False)
+    two = scan_words(pa.array(["", None, "a b c d e"]), NOT_BLANK, False)
     assert ngram_hashes(one.hashes, 5)[-1] == ngram_hashes(two.hashes, 5)[0]
 
 
+def thue_morse(bits, letters="ab"):
+    """Two words of 2**bits letters whose difference cancels out in every sum of powers modulo 2**64."""
+    word, other = letters
+    for _ in range(bits):
+        word, other = word + other, other + word
+    return word, other
+
+
+@pytest.mark.parametrize("bits", [3, 10, 11, 13])
+def test_hashes_tell_patterned_words_apart(bits):
+    assert len(set(scan_words(pa.array([" ".join(thue_morse(bits))]), NOT_BLANK, False).hashes.tolist())) == 2
+
+
+def test_chunks_with_one_hash_are_told_apart(monkeypatch):
+    few = lambda data, starts, ends: np.full(len(starts), 7, dtype=np.uint64)
+    monkeypatch.setattr(tokens, "span_hashes", few)
+    for file, keep in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
+        encoder = tokens.Encoder(tokens.tokenizer_file(file), keep)
+        texts = ["same same", "same other", None, "a" * 600, "a" * 599 + "b", "same", "longer than eight", "longer thaN eight"]
+        ids, counts = encoder.encode(pa.array(texts))
+        stops = np.cumsum(counts)
+        for text, a, b in zip(texts, stops - counts, stops, strict=True):
+            assert encoder.tokenizer.encode(text or "", add_special_tokens=False).ids == ids[a:b].tolist(), text
+
+
+@pytest.mark.parametrize("file, keep", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_patterned_words_keep_their_ids(file, keep):
+    encoder = tokens.Encoder(tokens.tokenizer_file(file), keep)
+    texts = [w for bits in (10, 12, 13) for w in thue_morse(bits)]
+    ids, counts = encoder.encode(pa.array(texts))
+    stops = np.cumsum(counts)
+    for text, a, b in zip(texts, stops - counts, stops, strict=True):
+        assert encoder.tokenizer.encode(text, add_special_tokens=False).ids == ids[a:b].tolist()
+
+
 def test_chunks_cover_a_batch():
     batch = pa.RecordBatch.from_pydict({"text": ["a" * 10, None, "b" * 500, "", "c" * 3]})
     parts = list(chunks(batch, "text", 12))
