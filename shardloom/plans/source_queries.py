@@ -8,7 +8,7 @@ from shardloom.operators.registry import shard_registry, with_global_index
 from shardloom.operators.validation import verify_dataset
 from shardloom.plans.catalog import query, rounded
 from shardloom.plans.views import SHARD, SPEC, Tables
-from shardloom.session import scratch_dir
+from shardloom.session import materialize, scratch_dir
 from shardloom.sources import files, infer, logs, sinks, tables, tensor_shards
 
 ROW_SUMS = """round(list_sum(CAST(tensor AS DOUBLE[])), 6) AS total, round(tensor[1], 6) AS first, round(tensor[64], 6) AS last"""
@@ -40,6 +40,24 @@ def _(t: Tables):
     )
 
 
+@query(
+    "read_tensor_slice",
+    """SELECT CAST(shard AS INTEGER) AS shard, local_index, label, round(CAST(tensor[64] / 2 AS DOUBLE), 6) AS first
+    FROM latents WHERE shard IN (1, 3, 4) AND local_index > 9 AND local_index <= 40""",
+    ("latents",),
+)
+def _(t: Tables):
+    """A slice of some shards: the other files are not opened, of these only the rows and the view asked for are read."""
+    path, before = _write_latents(t), t.spark.conf.get(tensor_shards.PUSHDOWN, "false")
+    t.spark.conf.set(tensor_shards.PUSHDOWN, "true")
+    try:
+        back = tensor_shards.read_tensor_shards(t.spark, path, SPEC, ["latents", "latents_flip"], columns=["shard", "local_index", "view", "tensor", "label"])
+        wanted = back.where("shard IN (1, 3, 4) AND local_index > 9 AND local_index <= 40 AND view = 'latents_flip'")
+        return materialize(rounded(wanted.select("shard", "local_index", "label", F.get("tensor", F.lit(0)).alias("first"))), "slice")
+    finally:
+        t.spark.conf.set(tensor_shards.PUSHDOWN, before)
+
+
 @query(
     "read_shard_headers",
     """SELECT CAST(shard AS INTEGER) AS shard_index, count(*) AS num_samples, count(*) || ',4,4,4' AS latent_shape,

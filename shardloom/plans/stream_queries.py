@@ -29,6 +29,20 @@ def _rolled(t: Tables, df: DataFrame, files: int = 4) -> tuple[DataFrame, str]:
     return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path), path
 
 
+def _rolled_in_time(t: Tables, df: DataFrame, time: str, pieces: int = 3) -> DataFrame:
+    """A derived table appended piece by piece in the order of its times, as a running job would, and read as a stream.
+
+    Every piece is written by as many tasks as it has partitions.
+    """
+    path = scratch_dir(t.spark, "rolled")
+    cuts = df.select(F.percentile_approx(F.unix_micros(time), [k / pieces for k in range(1, pieces)], 10_000)).first()[0] or []
+    at = F.unix_micros(time)
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        piece = df.where((F.lit(True) if low is None else at > low) & (F.lit(True) if high is None else at <= high))
+        piece.write.mode("append").parquet(path)
+    return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 3).parquet(path)
+
+
 def _finish(t: Tables, stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream until its source is exhausted and return what reached the sink."""
     out, state = scratch_dir(t.spark, "sink"), scratch_dir(t.spark, "state")
@@ -82,7 +96,11 @@ def _(t: Tables):
 )
 def _(t: Tables):
     """Append mode gives the intervals the watermark has passed; the open ones wait for more data."""
-    stream, _ = _rolled(t, t.log.select("run", "step", "loss", "batch_size", "peak_memory_mb", "created_at"), 1)
+    # All files in one trigger: no row is late, however many tasks have written them.
+    path = scratch_dir(t.spark, "rolled")
+    log = t.log.select("run", "step", "loss", "batch_size", "peak_memory_mb", "created_at")
+    log.write.parquet(path)
+    stream = t.spark.readStream.schema(log.schema).parquet(path)
     return _monitor_rows(_finish(t, monitors.monitor_windows(stream, "6 hours")))
 
 
@@ -134,6 +152,23 @@ def _(t: Tables):
     return _alert_rows(monitors.alerts_from_partials(t.spark.read.parquet(out), IDLE))
 
 
+@query(
+    "stream_live_alerts",
+    f"""WITH bad AS (SELECT run, 'non_finite' AS kind, min(step) AS step, min_by(created_at, step) AS at FROM runlog
+      WHERE NOT loss_finite OR NOT grad_is_finite GROUP BY run),
+    g AS (SELECT run, created_at, lead(created_at) OVER (PARTITION BY run ORDER BY created_at, event_id) AS nxt FROM runlog),
+    a AS (SELECT * FROM bad UNION ALL SELECT run, 'idle', NULL, created_at FROM g
+      WHERE (nxt IS NULL OR date_diff('microsecond', created_at, nxt) >= {IDLE}::BIGINT * 1000000)
+      AND created_at + INTERVAL {IDLE} SECONDS <= (SELECT date_trunc('milliseconds', max(created_at)) FROM runlog) - INTERVAL 1 HOUR)
+    SELECT run, kind, step, {TS.format('"at"')} AS "at" FROM a""",
+    ("runlog",),
+)
+def _(t: Tables):
+    """Each alert fires in the stream itself; silences that the watermark has not passed yet wait."""
+    stream = _rolled_in_time(t, t.log.select("run", "step", "loss", "loss_finite", "grad_is_finite", "created_at"), "created_at")
+    return _alert_rows(_finish(t, monitors.live_alerts(stream, IDLE, "1 hour")))
+
+
 @query("stream_stats", f"SELECT {COUNTS}, {STATS}, round(max(abs(v)), 6) AS absmax FROM elements", ("elements",))
 def _(t: Tables):
     stream, _ = _rolled(t, t.latents)

@@ -36,6 +36,17 @@ def list_files(path: str, glob: str = "*", recursive: bool = False) -> list[tupl
     return sorted(hits)
 
 
+def list_folders(path: str, glob: str, holding: str) -> list[str]:
+    """Matching folders right below a folder that hold a file of the given name, in path order. No file is listed."""
+    path = path.rstrip("/")
+    fs, root = open_fs(path)
+    lead = path[: len(path) - len(root)]
+    found = fs.get_file_info(pafs.FileSelector(root, allow_not_found=True))
+    folders = sorted(f.path for f in found if f.type == pafs.FileType.Directory and fnmatch.fnmatch(posixpath.basename(f.path), glob))
+    marks = fs.get_file_info([f"{f}/{holding}" for f in folders]) if folders else []
+    return [lead + f for f, mark in zip(folders, marks, strict=True) if mark.type == pafs.FileType.File]
+
+
 def file_table(spark: SparkSession, path: str, glob: str = "*", recursive: bool = True) -> DataFrame:
     """``(path, name, bytes)`` of the files below a folder."""
     rows = list_files(path, glob, recursive)

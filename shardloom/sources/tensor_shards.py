@@ -3,6 +3,11 @@
 A shard file is an 8-byte little-endian header length, a JSON header naming each tensor's dtype, shape and
 byte range, then the raw tensors. Only the wanted tensors and row ranges are read; large shards are cut into
 several partitions by file size, so one huge shard does not become one task.
+
+Where the session has ``spark.sql.python.filterPushdown.enabled``, comparisons of ``path``, ``shard``, ``local_index`` and
+``view`` with values are pushed: files they exclude are not opened, and of the others only the tensors and rows that can
+match are read. Spark cannot tell a Python source which columns are used, so ``columns`` names those wanted; tensors that
+none of them needs are not read.
 """
 
 from __future__ import annotations
@@ -16,7 +21,9 @@ from collections.abc import Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import (
+    DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual,
+)
 from pyspark.sql.types import StructType
 
 from shardloom.functions.batches import bytes_column, list_column, matrix
@@ -26,6 +33,7 @@ from shardloom.sources.files import list_files, open_fs
 from shardloom.spec import DatasetSpec
 
 FORMAT = "tensor_shards"
+PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
 # Dtype names of the shard format and their little-endian numpy forms (BF16 is widened by hand).
 DTYPES = {
     "BOOL": "|b1", "U8": "|u1", "I8": "|i1", "I16": "<i2", "U16": "<u2", "I32": "<i4", "U32": "<u4",
@@ -90,23 +98,62 @@ class _Rows(InputPartition):
 
 
 class TensorShardSource(DataSource):
-    """Options: path, glob, mode (samples | images | headers), views, channels, height, width, partition_bytes."""
+    """Options: path, glob, mode (samples | images | headers), views, channels, height, width, partition_bytes, columns, push."""
 
     @classmethod
     def name(cls) -> str:
         return FORMAT
 
     def schema(self) -> str:
-        return {"headers": HEADER_SCHEMA, "images": IMAGE_SCHEMA}.get(self.options.get("mode", "samples"), SAMPLE_SCHEMA)
+        whole = {"headers": HEADER_SCHEMA, "images": IMAGE_SCHEMA}.get(self.options.get("mode", "samples"), SAMPLE_SCHEMA)
+        if "columns" not in self.options:
+            return whole
+        fields, wanted = dict(f.split(" ", 1) for f in whole.split(", ")), self.options["columns"].split(",")
+        if unknown := [c for c in wanted if c not in fields]:
+            raise ValueError(f"no columns {unknown}; there are {list(fields)}")
+        return ", ".join(f"{c} {fields[c]}" for c in wanted)
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return _ShardReader(dict(self.options), schema)
+        kind = _PushingShardReader if self.options.get("push") == "true" else _ShardReader
+        return kind(dict(self.options), schema)
+
+
+class _Limits:
+    """What pushed comparisons leave of one column: a range, both ends included, or a set of values."""
+
+    def __init__(self) -> None:
+        self.low = self.high = self.values = None
+
+    def narrow(self, found: Filter) -> None:
+        if isinstance(found, (EqualTo, In)):
+            values = {found.value} if isinstance(found, EqualTo) else set(found.value)
+            self.values = values if self.values is None else self.values & values
+        elif isinstance(found, (GreaterThan, GreaterThanOrEqual)):
+            self.low = found.value if self.low is None else max(self.low, found.value)
+        else:
+            self.high = found.value if self.high is None else min(self.high, found.value)
+
+    def admits(self, value) -> bool:
+        if self.values is not None and value not in self.values:
+            return False
+        return (self.low is None or value >= self.low) and (self.high is None or value <= self.high)
+
+    def span(self, start: int, stop: int) -> tuple[int, int]:
+        """The part of a half-open range of numbers that can match."""
+        values = [v for v in self.values if v is not None] if self.values is not None else None
+        if values is not None:
+            start, stop = (max(start, min(values)), min(stop, max(values) + 1)) if values else (start, start)
+        return max(start, self.low if self.low is not None else start), min(stop, self.high + 1 if self.high is not None else stop)
 
 
 class _ShardReader(DataSourceReader):
     def __init__(self, options: dict, schema: StructType):
         self.options, self.schema = options, schema
         self.mode = options.get("mode", "samples")
+        self.limits: dict[str, _Limits] = {}
+
+    def _admits(self, column: str, value) -> bool:
+        return column not in self.limits or self.limits[column].admits(value)
 
     def partitions(self) -> list[InputPartition]:
         files = list_files(self.options["path"], self.options.get("glob", "*.safetensors"))
@@ -115,6 +162,8 @@ class _ShardReader(DataSourceReader):
         for path, size in files:
             found = re.search(r"shard(\d+)\.safetensors$", path)
             shard = int(found.group(1)) if found else -1
+            if not (self._admits("path", path) and self._admits("shard", shard)):
+                continue
             parts = 1 if self.mode == "headers" else max(1, -(-size // target))
             out += [_Rows(path, shard, i, parts) for i in range(parts)]
         return out
@@ -132,8 +181,12 @@ class _ShardReader(DataSourceReader):
             views = ["images"] if self.mode == "images" else self._views(tensors, partition.path)
             n = tensors["labels"]["shape"][0] if "labels" in tensors else tensors[views[0]]["shape"][0]
             start, stop = (n * k // partition.parts for k in (partition.part, partition.part + 1))
+            if "local_index" in self.limits:
+                start, stop = self.limits["local_index"].span(start, stop)
             for view in views:
                 self._check(tensors[view], view, n, partition.path)
+                if self.mode != "images" and not self._admits("view", view):
+                    continue
                 width = int(np.prod(tensors[view]["shape"][1:], dtype=np.int64))
                 step = max(1, _BATCH_BYTES // (4 * max(1, width)))
                 for at in range(start, stop, step):
@@ -157,18 +210,22 @@ class _ShardReader(DataSourceReader):
             raise ValueError(f"{path}: {view} has shape {shape}, expected [{n}, {', '.join(map(str, want))}]")
 
     def _batch(self, handle, tensors, base, view, partition, start, stop, schema):
-        rows = read_rows(handle, tensors[view], base, start, stop).reshape(stop - start, -1)
-        n = stop - start
+        n, wanted = stop - start, {f.name for f in schema}
+        rows = None
+        if wanted & {"image", "tensor"}:
+            rows = read_rows(handle, tensors[view], base, start, stop).reshape(n, -1)
         columns = {
             "path": pa.array([partition.path] * n), "shard": pa.array([partition.shard] * n, pa.int32()),
             "local_index": pa.array(np.arange(start, stop)),
         }
-        if self.mode == "images":
+        columns["view"] = pa.array([view] * n)
+        if rows is not None and self.mode == "images":
             columns["image"] = bytes_column(np.ascontiguousarray(rows).view(np.uint8).reshape(n, -1))
-        else:
-            columns["view"] = pa.array([view] * n)
+        elif rows is not None:
             columns["tensor"] = list_column(rows.astype(np.float32), pa.float32())
         for name, key in (("label", "labels"), ("source_index", "source_indices")):
+            if name not in wanted:
+                continue
             if key in tensors:
                 columns[name] = pa.array(read_rows(handle, tensors[key], base, start, stop).astype(np.int64))
             else:
@@ -200,7 +257,20 @@ class _ShardReader(DataSourceReader):
         return row
 
 
+class _PushingShardReader(_ShardReader):
+    """Spark refuses a reader with ``pushFilters`` where the session has pushing switched off."""
+
+    def pushFilters(self, filters: list[Filter]):  # noqa: N802  Spark's name
+        for found in filters:
+            kinds = (EqualTo, In, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)
+            if isinstance(found, kinds) and len(found.attribute) == 1 and found.attribute[0] in ("path", "shard", "local_index", "view"):
+                self.limits.setdefault(found.attribute[0], _Limits()).narrow(found)
+            yield found  # all are checked again by Spark: ranges are narrowed to whole numbers, both ends included
+
+
 def _source(spark: SparkSession, path: str, glob: str, **options):
+    if options.get("mode") != "headers" and spark.conf.get(PUSHDOWN, "false") == "true":
+        options["push"] = "true"
     spark.dataSource.register(TensorShardSource)
     reader = spark.read.format(FORMAT).option("path", path).option("glob", glob)
     for k, v in options.items():
@@ -211,21 +281,23 @@ def _source(spark: SparkSession, path: str, glob: str, **options):
 
 def read_tensor_shards(
     spark: SparkSession, path: str, spec: DatasetSpec, views: Sequence[str] = ("latents",),
-    glob: str = "*.safetensors", partition_bytes: int | None = None,
+    glob: str = "*.safetensors", partition_bytes: int | None = None, columns: Sequence[str] | None = None,
 ) -> DataFrame:
-    """One row per (shard, local_index, view). ``views=('auto',)`` takes samples, latents or latents_flip."""
+    """One row per (shard, local_index, view). ``views=('auto',)`` takes samples, latents or latents_flip; ``columns`` are
+    those to read, all if it is None."""
     return _source(
         spark, path, glob, views=",".join(views), channels=spec.channels, height=spec.height, width=spec.width,
-        partition_bytes=partition_bytes,
+        partition_bytes=partition_bytes, columns=columns and ",".join(columns),
     )
 
 
 def read_image_shards(
-    spark: SparkSession, path: str, spec: DatasetSpec, glob: str = "*.safetensors", partition_bytes: int | None = None
+    spark: SparkSession, path: str, spec: DatasetSpec, glob: str = "*.safetensors", partition_bytes: int | None = None,
+    columns: Sequence[str] | None = None,
 ) -> DataFrame:
     return _source(
         spark, path, glob, mode="images", channels=spec.channels, height=spec.height, width=spec.width,
-        partition_bytes=partition_bytes,
+        partition_bytes=partition_bytes, columns=columns and ",".join(columns),
     )
 
 

@@ -10,11 +10,13 @@ from pyspark.sql.streaming import StreamingQuery
 from shardloom.operators.artifacts import eval_backlog
 from shardloom.operators.trends import trend_table
 from shardloom.operators.validation import resume_after_prefix
-from shardloom.sources.files import list_files
+from shardloom.sources.files import list_folders
 
 
 def _read_if_any(spark: SparkSession, path: str) -> DataFrame | None:
-    return spark.read.parquet(path) if list_files(path, "*.parquet", recursive=True) else None
+    """Results of the batches that were committed; what a crashed batch has left is not looked at."""
+    done = list_folders(path, "batch_id=*", holding="_SUCCESS")
+    return spark.read.option("basePath", path).parquet(*done) if done else None
 
 
 def derive_gap(

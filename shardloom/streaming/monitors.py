@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from shardloom.functions.arrays import is_not_finite
 from shardloom.functions.joins import with_row
@@ -93,15 +95,24 @@ def latest_state(log: DataFrame, by: Sequence[str] = ("run", "type")) -> DataFra
     return log.groupBy(*by).agg(F.max_by(F.struct(*rest), "step").alias("__row")).select(*by, "__row.*")
 
 
-def alert_partials(log: DataFrame, idle_seconds: int, by: Sequence[str] = ("run",), time: str = "created_at") -> DataFrame:
-    """Mergeable facts behind ``alerts``: first bad step and first/last event per run and idle-long slot."""
-    slot = F.floor(F.unix_micros(time) / (idle_seconds * 1_000_000))
+def _slot(time: str, idle_seconds: int) -> Column:
+    """Events of one slot are closer than the idle limit."""
+    return F.floor(F.unix_micros(time) / (idle_seconds * 1_000_000))
+
+
+def _is_bad(log: DataFrame) -> Column:
     bad = F.coalesce(is_not_finite(F.col("loss")), F.lit(False))
     for flag in ("loss_finite", "grad_is_finite"):
         if flag in log.columns:
             bad = bad | F.coalesce(~F.col(flag), F.lit(False))
     if "status" in log.columns:
         bad = bad | F.coalesce(F.col("status") == "error", F.lit(False))
+    return bad
+
+
+def alert_partials(log: DataFrame, idle_seconds: int, by: Sequence[str] = ("run",), time: str = "created_at") -> DataFrame:
+    """Mergeable facts behind ``alerts``: first bad step and first/last event per run and idle-long slot."""
+    slot, bad = _slot(time, idle_seconds), _is_bad(log)
     return log.groupBy(*by, slot.alias("slot")).agg(
         F.min(time).alias("first_at"), F.max(time).alias("last_at"), F.min(F.when(bad, F.col("step"))).alias("bad_step"),
         F.min_by(time, F.when(bad, F.col("step"))).alias("bad_at"),
@@ -134,3 +145,89 @@ def alerts_from_partials(partials: DataFrame, idle_seconds: int, by: Sequence[st
 def alerts(log: DataFrame, idle_seconds: int, by: Sequence[str] = ("run",), time: str = "created_at") -> DataFrame:
     """Alerts of a static log; on a stream keep ``alert_partials`` per batch and read them back here."""
     return alerts_from_partials(alert_partials(log, idle_seconds, by, time), idle_seconds, by)
+
+
+#: State of a run: slots whose silences are still open, as parallel lists, the end of the last silence told, and the
+#: lowest bad step told. Times are microseconds.
+ALERT_STATE = "slots array<bigint>, firsts array<bigint>, lasts array<bigint>, told bigint, bad_step bigint"
+
+
+def live_alerts(
+    log: DataFrame, idle_seconds: int, late: str = "10 minutes", by: Sequence[str] = ("run",), time: str = "created_at"
+) -> DataFrame:
+    """The rows of ``alerts`` from a stream, each as soon as it is certain and only once; append mode.
+
+    A bad step is told in the batch that brings it (a lower one that arrives afterwards is told too). A silence is told when
+    the watermark passes its limit, by an event-time timer: the run needs no further event and nobody has to look, but some
+    run must move the watermark. Tasks fold a batch to one row per run and slot first, so a run with most of the events
+    sends few rows to its state; the state holds the slots within the watermark's delay.
+    """
+    by = list(by)
+    keys = log.select(*by).schema
+    names = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keys.fields)
+    events = log.where(F.col(time).isNotNull()).select(
+        *by, _slot(time, idle_seconds).alias("slot"), F.unix_micros(time).alias("first"), F.unix_micros(time).alias("last"),
+        F.when(_is_bad(log), F.col("step")).cast("double").alias("bad_step"),
+    )
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            at = frame["first"].where(frame["bad_step"].notna())
+            lowest = frame.assign(bad_at=at).sort_values("bad_step", kind="stable")  # missing ones come last
+            yield lowest.groupby([*by, "slot"], dropna=False, sort=False, as_index=False).agg(
+                first=("first", "min"), last=("last", "max"), bad_step=("bad_step", "first"), bad_at=("bad_at", "first")
+            )
+
+    folded = events.mapInPandas(fold, f"{names}, slot bigint, first bigint, last bigint, bad_step double, bad_at double")
+    timed = folded.withColumn("last_at", F.timestamp_micros("last")).withWatermark("last_at", late)
+    out = timed.groupBy(*by).applyInPandasWithState(
+        _alert_step(by, idle_seconds * 1_000_000), f"{names}, kind string, step bigint, at bigint", ALERT_STATE, "append",
+        GroupStateTimeout.EventTimeTimeout,
+    )
+    return out.withColumn("at", F.timestamp_micros("at"))
+
+
+def _alert_step(by: list[str], idle: int):
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        slots, firsts, lasts, told, bad_step = state.get if state.exists else ([], [], [], None, None)
+        open_ = {s: [f, x] for s, f, x in zip(slots, firsts, lasts, strict=True)}
+        found, worst = [], None
+        for frame in [] if state.hasTimedOut else frames:
+            for slot, first, last in frame[["slot", "first", "last"]].itertuples(index=False):
+                had = open_.setdefault(int(slot), [int(first), int(last)])
+                had[:] = min(had[0], int(first)), max(had[1], int(last))
+            bad = frame[frame["bad_step"].notna()]
+            if len(bad):
+                low = bad.loc[bad["bad_step"].idxmin()]
+                worst = min(worst or (low["bad_step"], low["bad_at"]), (low["bad_step"], low["bad_at"]))
+        if worst is not None and (bad_step is None or worst[0] < bad_step):
+            bad_step = int(worst[0])
+            found.append(("non_finite", bad_step, int(worst[1])))
+        now = max(state.getCurrentWatermarkMs(), 0) * 1000
+        order, wake = sorted(open_), []
+        for slot, following in zip(order, [*order[1:], None], strict=True):
+            first, last = open_[slot]
+            if following is not None and open_[following][0] - last < idle:
+                if first <= now:  # nothing earlier can arrive
+                    del open_[slot]
+            elif last + idle > now:
+                wake.append(last + idle)
+            else:  # nothing can arrive in between any more
+                if told is None or last > told:
+                    told = last
+                    found.append(("idle", None, last))
+                if following is not None:
+                    del open_[slot]
+        kept = sorted(open_)
+        state.update((kept, [open_[s][0] for s in kept], [open_[s][1] for s in kept], told, bad_step))
+        if wake:
+            # a timer fires when the watermark is beyond it
+            state.setTimeoutTimestamp(max(-(-min(wake) // 1000) - 1, state.getCurrentWatermarkMs() + 1))
+        if not found:
+            return
+        rows = pd.DataFrame(found, columns=["kind", "step", "at"]).astype({"step": "Int64", "at": "Int64"})
+        for name, value in zip(by, key, strict=True):
+            rows[name] = value
+        yield rows[[*by, "kind", "step", "at"]]
+
+    return step

@@ -3,6 +3,8 @@ import struct
 
 import numpy as np
 import pytest
+from pyspark.sql.datasource import EqualTo, GreaterThan, In, LessThanOrEqual
+from pyspark.sql.types import StructType
 from pyspark.sql import functions as F
 
 from shardloom.operators import registry as R, validation as V
@@ -76,6 +78,73 @@ def test_views_are_checked_before_reading(spark, samples, tmp_path):
         TS.read_tensor_shards(spark, str(tmp_path), DatasetSpec(4, 3, 2)).collect()
 
 
+class Counting:
+    """A file handle that adds up the bytes read from it."""
+
+    def __init__(self, handle, log):
+        self.handle, self.log = handle, log
+
+    def read(self, n=-1):
+        got = self.handle.read(n)
+        self.log.append(len(got))
+        return got
+
+    def __getattr__(self, name):
+        return getattr(self.handle, name)
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        self.handle.close()
+
+
+def test_pushed_filters_skip_files_views_and_rows(spark, tmp_path, monkeypatch):
+    spec = DatasetSpec(4, 8, 8)
+    data = np.random.default_rng(1).normal(size=(1000, 256)).astype(np.float32)
+    df = spark.createDataFrame([(i, r.tolist(), (-r).tolist(), i % 7) for i, r in enumerate(data)], "global_index bigint, latents array<float>, latents_flip array<float>, label bigint")
+    TS.write_tensor_shards(df, str(tmp_path), spec, ["latents", "latents_flip"], shard_size=250)
+    opened, read = [], []
+
+    def open_counted(path, real=TS.open_fs):
+        fs, inner = real(path)
+
+        class FS:
+            def open_input_file(self, p):
+                opened.append(p)
+                return Counting(fs.open_input_file(p), read)
+
+        return FS(), inner
+
+    def rows(filters, **options):
+        opened.clear(), read.clear()
+        source = TS.TensorShardSource({"path": str(tmp_path), "views": "latents,latents_flip", "channels": "4", "height": "8", "width": "8", "push": "true", **options})
+        schema = source.schema() if not isinstance(source.schema(), str) else StructType.fromDDL(source.schema())
+        reader = source.reader(schema)
+        assert list(reader.pushFilters(filters)) == filters
+        with monkeypatch.context() as m:
+            m.setattr(TS, "open_fs", open_counted)
+            return [r for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
+
+    whole = rows([])
+    assert len(whole) == 2000 and len(opened) == 4 and sum(read) > 2 * data.nbytes
+    some = rows([EqualTo(("shard",), 2), GreaterThan(("local_index",), 99), LessThanOrEqual(("local_index",), 120), In(("view",), ("latents_flip", "x"))])
+    assert len(opened) == 1 and sum(read) < 25 * 1024 + 4000  # 22 rows of one view
+    assert [r["local_index"] for r in some] == list(range(99, 121)) and np.allclose(some[1]["tensor"], -data[600])
+    assert rows([In(("shard",), (9,))]) == [] and not opened and rows([EqualTo(("local_index",), 7), EqualTo(("local_index",), 8)]) == []
+    few = rows([], columns="shard,label")
+    assert len(few) == 2000 and set(few[0]) == {"shard", "label"} and sum(read) < 40_000  # no tensor is read
+    before = spark.conf.get(TS.PUSHDOWN, "false")
+    for on in ("true", "false"):
+        spark.conf.set(TS.PUSHDOWN, on)
+        back = TS.read_tensor_shards(spark, str(tmp_path), spec, ["latents", "latents_flip"]).where("shard >= 1 AND shard < 3 AND local_index = 5 AND label IS NOT NULL")
+        assert sorted((r["shard"], r["view"]) for r in back.collect()) == [(s, v) for s in (1, 2) for v in ("latents", "latents_flip")]
+    spark.conf.set(TS.PUSHDOWN, before)
+    assert TS.read_tensor_shards(spark, str(tmp_path), spec, columns=["label", "path"]).groupBy("label").count().count() == 7
+    with pytest.raises(Exception, match="no columns"):
+        TS.read_tensor_shards(spark, str(tmp_path), spec, columns=["nothing"]).count()
+
+
 def test_bad_files_are_quarantined(spark, tmp_path):
     good = ("F32", [2, 1, 1, 2], np.zeros(4, "<f4").tobytes())
     write_raw(tmp_path / "d_shard000000.safetensors", {"labels": labels(2), "latents": good})

@@ -143,7 +143,7 @@ def test_derived_set_waits_for_the_gap_and_finishes(spark, tmp_path):
 
     append(source.where("source_index < 5"), src)
     run()
-    assert not follow.list_files(out, "*.parquet", True)
+    assert not follow.list_folders(out, "batch_id=*", "_SUCCESS")
     append(source.where("source_index >= 5 AND source_index < 12"), src)
     run()
     assert spark.read.parquet(out).count() == 12
@@ -197,3 +197,57 @@ def test_failed_evaluations_are_tried_again(spark, tmp_path):
         follow.follow_backlog(stream(spark, sets, src), evaluate, out, state, 1, 9, read_samples=lambda: spark.read.parquet(src)).awaitTermination()
     rows = sorted((r["step"], r["bytes"]) for r in spark.read.parquet(out).collect())
     assert rows == [(1, 0), (1, 7), (2, 7), (3, 7)]
+
+
+def test_leftovers_of_a_crashed_batch_are_not_read(spark, tmp_path):
+    src, out, state = (str(tmp_path / n) for n in ("src", "out", "state"))
+    source = spark.range(9).withColumnRenamed("id", "source_index")
+    append(source, src)
+    for left in ("batch_id=0/_temporary/0", "batch_id=7"):  # before the first commit, and of a batch that never ended
+        (tmp_path / "out" / left).mkdir(parents=True)
+        (tmp_path / "out" / left / "x.parquet").write_bytes(b"half")
+    double = lambda todo: todo.withColumn("y", F.col("source_index") * 2)
+    follow.follow_derive(stream(spark, source, src), lambda: spark.read.parquet(src), double, out, state, min_gap=1).awaitTermination()
+    assert follow._read_if_any(spark, out).count() == 9
+    assert follow.derive_rest(lambda: spark.read.parquet(src), double, out) == 0
+
+
+def test_live_alerts_fire_once_and_by_themselves(spark, tmp_path):
+    src, out, state = (str(tmp_path / n) for n in ("src", "out", "state"))
+    nan = float("nan")
+
+    def run():
+        s = M.live_alerts(stream(spark, events(spark, []), src), 3600, late="5 minutes")
+        s.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+        rows = spark.read.schema(s.schema).parquet(out).collect()
+        return sorted((str(r["run"]), r["kind"], r["step"] or 0, (r["at"] - dt.datetime(2026, 1, 1)).total_seconds() / 60) for r in rows)
+
+    append(events(spark, [("a", 1, 1.0, 0), ("a", 2, nan, 5), ("a", 3, nan, 6), ("b", 1, 1.0, 4), (None, 1, 1.0, 3)]), src)
+    bad = [("a", "non_finite", 2, 5.0)]
+    assert run() == bad  # at once, although no event follows
+    append(events(spark, [("b", 2, 1.0, 68)]), src)
+    assert run() == [("None", "idle", 0, 3.0), *bad]  # 63 minutes have passed for certain, by a timer: the run has no further row
+    append(events(spark, [("b", 3, 1.0, 72), ("a", 4, nan, 71)]), src)
+    again = run()  # a restart each time; the other silences pass the watermark now, and nothing is told twice
+    append(events(spark, [("b", 4, 1.0, 80), (None, 2, 1.0, 80)]), src)
+    assert again == run() == sorted([("None", "idle", 0, 3.0), ("a", "idle", 0, 6.0), ("b", "idle", 0, 4.0), *bad])
+    append(events(spark, [("b", 5, 1.0, 400)]), src)
+    got = run()
+    log = spark.read.schema(LOG).parquet(src)
+    want = sorted((str(r["run"]), r["kind"], r["step"] or 0, (r["at"] - dt.datetime(2026, 1, 1)).total_seconds() / 60) for r in M.alerts(log, 3600).collect())
+    assert got == want
+
+
+def test_live_alerts_of_unordered_batches(spark, tmp_path):
+    """Rows within the watermark's delay may come in any order; a hot run is folded before it reaches its state."""
+    src, out, state = (str(tmp_path / n) for n in ("src", "out", "state"))
+    rows = [("a", i, 1.0, 3 * i + (90 if i > 40 else 0)) for i in range(80)] + [("b", 1, 1.0, 10), ("b", 2, 1.0, 200), ("c", 1, 1.0, 2000)]
+    for part in (rows[1::2], rows[0::2]):
+        append(events(spark, part), src)
+    s = M.live_alerts(stream(spark, events(spark, []), src), 3600, late="3 days")
+    s.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    append(events(spark, [("d", 1, 1.0, 90_000)]), src)
+    s.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    got = sorted((r["run"], (r["at"] - dt.datetime(2026, 1, 1)).total_seconds() / 60) for r in spark.read.schema(s.schema).parquet(out).collect())
+    want = sorted((r["run"], (r["at"] - dt.datetime(2026, 1, 1)).total_seconds() / 60) for r in M.alerts(spark.read.schema(LOG).parquet(src), 3600).collect())
+    assert got == want and ("a", 120.0) in got and ("b", 10.0) in got
