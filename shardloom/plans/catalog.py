@@ -45,5 +45,5 @@ def stamp(column: str):
 
 def load() -> None:
     from shardloom.plans import (  # noqa: F401
-        distance_queries, log_queries, sample_queries, source_queries, stat_queries, stream_queries,
+        distance_queries, log_queries, quality_queries, sample_queries, source_queries, stat_queries, stream_queries,
     )
