@@ -33,8 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from shardloom.functions.hot_joins import HOT_KEYS, hot_and_cold, join_counted
 from shardloom.llm import workers
-from shardloom.llm.hot_joins import HOT_KEYS, hot_and_cold, join_counted
 from shardloom.llm.registry import query, table
 from shardloom.llm.suffix_blocks import BUCKET, SuffixBlocks
 from shardloom.llm.textscan import chunks, eight_bytes, mix, ragged, signed, text_bytes

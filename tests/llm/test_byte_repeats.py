@@ -6,7 +6,8 @@ import random
 import numpy as np
 import pytest
 
-from shardloom.llm import byte_repeats, hot_joins
+from shardloom.functions import hot_joins
+from shardloom.llm import byte_repeats
 from shardloom.llm.suffix_blocks import COVER, PERIOD, SuffixBlocks
 
 
