@@ -45,6 +45,8 @@ GRAM = 20
 #: Bytes of the texts a task works on at a time, and of the kinds of one shard. A larger name is split.
 PIECE_BYTES = 1 << 20
 SHARD_BYTES = 2 << 20
+#: Copies of a hot kind are dealt to at least SALTS parts, about SALT_ROWS of all hot fragments to each.
+SALTS, SALT_ROWS = 16, 1 << 20
 #: A text with at least so many copies is taken once; at most HOT_KEYS texts are.
 MANY_COPIES = 1_000
 ORDER = ["a", "b"]
@@ -240,11 +242,10 @@ def _told_apart(found: DataFrame, names: DataFrame, length: int) -> tuple[DataFr
     """Fragments of repeated names as kinds, ``a, b, start, windows, name, bytes, different`` of the first copy, the last
     two being the size and number of all kinds of the name, and as later copies, ``a, b, start, windows``.
 
-    One shuffle by name serves the join and all windows; the fragments of hot names stay where they are, and their kinds
-    meet after a partial aggregate.
+    One shuffle by name serves the join and all windows; the fragments of hot names are dealt by kind and salt.
     """
     hot, cold = hot_and_cold(names, "times", found.count())
-    size, place = F.col("windows") + length - 1, F.struct(*ORDER, "start")
+    size = F.col("windows") + length - 1
     columns = [*ORDER, "start", "windows", "name", "bytes", "different"]
     rest = found if hot is None else found.join(F.broadcast(hot.select("name")), "name", "left_anti")
     copy = F.row_number().over(Window.partitionBy("name", "frag").orderBy(*ORDER, "start"))
@@ -257,12 +258,17 @@ def _told_apart(found: DataFrame, names: DataFrame, length: int) -> tuple[DataFr
     if hot is None:
         return kinds, later
     rows = materialize(found.join(F.broadcast(hot.select("name")), "name"), "hot_fragments")
-    firsts = materialize(rows.groupBy("name", "frag").agg(F.count("*").alias("copies"), F.min(F.struct(place.alias("place"), "windows")).alias("first")), "hot_kinds")
-    firsts = firsts.select("name", "frag", "copies", "first.place", "first.windows")
-    sizes = firsts.groupBy("name").agg(F.sum(size).alias("bytes"), F.count("*").alias("different")).where("different > 1")
-    kinds = kinds.unionByName(firsts.select("name", "place.*", "windows").join(F.broadcast(sizes), "name").select(columns))  # as few as hot names
-    copies = join_counted(rows, firsts.where("copies > 1").drop("windows"), ["name", "frag"], "copies", rows.count())
-    return kinds, later.unionByName(copies.where(place > F.col("place")).select(*ORDER, "start", "windows"))
+    # The first copy of a kind is found in salted parts, then among the firsts of these.
+    salt = F.pmod(F.xxhash64(*ORDER, "start"), F.lit(SALTS + rows.count() // SALT_ROWS))
+    near = F.row_number().over(Window.partitionBy("name", "frag", "salt").orderBy(*ORDER, "start"))
+    parts = materialize(rows.withColumn("salt", salt).withColumn("copy", near).drop("salt"), "hot_parts")
+    firsts = materialize(parts.where("copy = 1").withColumn("copy", copy), "hot_kinds")
+    mine = firsts.where("copy = 1")
+    sizes = mine.groupBy("name").agg(F.sum(size).alias("bytes"), F.count("*").alias("different")).where("different > 1")
+    kinds = kinds.unionByName(mine.join(F.broadcast(sizes), "name").select(columns))  # as few as hot names
+    for found in (parts, firsts):
+        later = later.unionByName(found.where("copy > 1").select(*ORDER, "start", "windows"))
+    return kinds, later
 
 
 def repeated_windows(docs: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_BYTES) -> DataFrame:
