@@ -115,11 +115,14 @@ OP3_SQL = r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
 f AS (SELECT *, regexp_replace(text, '([<\[])(\\*)(s>|/s>|SYS\]|INST\]|/INST\]|ROLE=)', '\1\\\2\3', 'g') AS body,
-  CASE role WHEN 'system' THEN 'SYS' WHEN 'user' THEN 'INST' WHEN 'assistant' THEN '/INST' ELSE 'ROLE=' || url_encode(role) END AS mark FROM c)
+  CASE role WHEN 'system' THEN 'SYS' WHEN 'user' THEN 'INST' WHEN 'assistant' THEN '/INST' ELSE 'ROLE=' || url_encode(role) END AS mark,
+  lag(role, 1, 'start') OVER turns || '>' || role AS step, lead(role) OVER turns IS NULL AND role <> 'assistant' AS open_end
+  FROM c WINDOW turns AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text))
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  sum(length('<s>[' || mark || '] ' || body || '</s>'))::BIGINT AS formatted_chars
+  sum(length('<s>[' || mark || '] ' || body || '</s>'))::BIGINT AS formatted_chars,
+  bool_and(NOT open_end AND step IN ('start>system', 'start>user', 'system>user', 'user>assistant', 'assistant>user')) AS valid
 FROM f GROUP BY conv_id
 """
 
@@ -133,5 +136,5 @@ def op3_chat_formatting(spark, sf_dir):
     return back.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(digest, 256).alias("turns_sha256"),
         F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"),
-        F.length("formatted").cast("long").alias("formatted_chars"),
+        F.length("formatted").cast("long").alias("formatted_chars"), "valid",
     )

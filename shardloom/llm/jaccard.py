@@ -16,9 +16,9 @@
 N-grams and sets are told apart by 64-bit and 128-bit hashes.
 
 Null or odd input: a null or empty text, or one without words, has an empty set, links with nothing and is its own
-component; a text with fewer words than n has its whole word sequence as its only n-gram. A row with a null id is counted
-but gives no name to a component; the component of a class that has only such rows is null. Rows that share an id are
-told apart by their sets. Further columns are not returned; an empty table gives no rows.
+component; a text with fewer words than n has its whole word sequence as its only n-gram. A row with a null id links like
+any other but gives no name to a component; a component that has only such rows is null. Rows that share an id are told
+apart by their sets. Further columns are not returned; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,11 +27,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from shardloom.functions.hot_joins import join_counted
 from shardloom.llm import workers
 from shardloom.llm.components import components
 from shardloom.llm.registry import query, table
 from shardloom.llm.textscan import NOT_BLANK, Words, chunks, mix, ngram_hashes, scan_words, signed
-from shardloom.session import broadcast_if_small, materialize
+from shardloom.session import BROADCAST_ROWS, materialize
 
 NGRAM = 5
 PERCENT = 80
@@ -262,9 +263,37 @@ def _asked_rows(n: int):
         for part, sets in _sets(batches, n):
             want = [part.column(c).to_pylist() for c in ("a", "b")]
             at = pa.array([k for k, s in enumerate(sets) if signature(s) == (want[0][k], want[1][k])], pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column(c).take(at) for c in ("tiles", "doc_id", "text")], ["tiles", "doc_id", "text"])
+            yield pa.RecordBatch.from_arrays([part.column(c).take(at) for c in ("tiles", "node", "text")], ["tiles", "node", "text"])
 
-    return run, "tiles array<string>, doc_id long, text string"
+    return run, "tiles array<string>, node string, text string"
+
+
+def _signed_texts(n: int):
+    """Texts with the signatures of their sets, the empty ones left out."""
+
+    def run(batches):
+        for part, sets in _sets(batches, n):
+            at = [k for k, s in enumerate(sets) if len(s)]
+            a, b = zip(*(signature(sets[k]) for k in at), strict=True) if at else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), part.column("text").take(pa.array(at, pa.int64()))], ["a", "b", "text"])
+
+    return run, "a long, b long, text string"
+
+
+def asked_texts(docs: DataFrame, asked: DataFrame, n: int) -> DataFrame:
+    """``tiles, node, text`` of one text or more of each class in ``asked`` (a written table). Classes with an id are found by it,
+    those of rows without ids by the set."""
+    run, schema = _asked_rows(n)
+    facts = asked.agg(F.sum(F.size("tiles") + 1), F.count_if(F.col("doc_id").isNull())).first()
+    known = asked.where("doc_id IS NOT NULL").select("doc_id", "node", "a", "b", "tiles")
+    known = F.broadcast(known) if (facts[0] or 0) <= BROADCAST_ROWS else known  # names of tiles, a few bytes each
+    rows = docs.join(known, "doc_id").mapInArrow(workers.batches(run), schema)
+    if not facts[1]:
+        return rows
+    run, schema = _signed_texts(n)
+    texts = docs.where("doc_id IS NULL").select("text").mapInArrow(workers.batches(run), schema)
+    texts = texts.groupBy("a", "b").agg(F.min("text").alias("text"))
+    return rows.unionByName(texts.join(asked.where("doc_id IS NULL"), ["a", "b"]).select("tiles", "node", "text"))
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -303,7 +332,7 @@ def linked_groups(sets: list[np.ndarray], percent: int) -> np.ndarray:
 
 
 def _tiles(n: int, percent: int):
-    """Spanning forests of the links in each tile, from rows sorted by tile."""
+    """Spanning forests of the links in each tile, from rows sorted by tile and node."""
 
     def forest(ids, sets):
         order = np.argsort(ids, kind="stable")
@@ -314,24 +343,26 @@ def _tiles(n: int, percent: int):
     def run(batches):
         tile, ids, held = None, [], []
         for part, sets in _sets(batches, n):
-            for t, d, s in zip(part.column("tile").to_pylist(), part.column("doc_id").to_pylist(), sets, strict=True):
+            for t, d, s in zip(part.column("tile").to_pylist(), part.column("node").to_pylist(), sets, strict=True):
                 if t != tile:
                     if len(ids) > 1:
                         yield emit(tile, *forest(np.array(ids), held))
                     tile, ids, held = t, [], []
+                if ids and ids[-1] == d:  # a repeated row
+                    continue
                 ids.append(d)
                 held.append(s)
         if len(ids) > 1:
             yield emit(tile, *forest(np.array(ids), held))
 
     def emit(tile, u, v):
-        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array([tile.count("/") > 0] * len(u), pa.bool_())], ["u", "v", "part"])
+        return pa.RecordBatch.from_arrays([pa.array(u.tolist(), pa.string()), pa.array(v.tolist(), pa.string()), pa.array([tile.count("/") > 0] * len(u), pa.bool_())], ["u", "v", "part"])
 
-    return run, "u long, v long, part boolean"
+    return run, "u string, v string, part boolean"
 
 
 def deal_tiles(rows: DataFrame, percent: int) -> DataFrame:
-    """``rows`` (narrow: id, set, ``n``, ``cluster``) with ``tiles``, the names of those they take part in. A cluster of
+    """``rows`` (narrow: ``node``, set, ``n``, ``cluster``) with ``tiles``, the names of those they take part in. A cluster of
     one block is one tile; in others, blocks of a size band meet each other and those of the next band, the only ones
     whose sizes can link."""
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) + 1e-9).cast("int")
@@ -345,7 +376,7 @@ def deal_tiles(rows: DataFrame, percent: int) -> DataFrame:
 
     dealt = (
         banded.join(whole, "cluster").join(near(0, "own"), ["cluster", "band"]).join(near(1, "above"), ["cluster", "band"], "left")
-        .join(near(-1, "below"), ["cluster", "band"], "left").withColumn("block", F.pmod(F.xxhash64("doc_id", "a"), F.col("own")).cast("int"))
+        .join(near(-1, "below"), ["cluster", "band"], "left").withColumn("block", F.pmod(F.xxhash64("node"), F.col("own")).cast("int"))
     )
     name = lambda low, i, high, j: F.concat_ws("/", "cluster", low, i, high, j)
     upto = lambda c: F.when(c.isNull(), F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), c - 1))
@@ -371,21 +402,25 @@ def near_duplicates(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) ->
     frequent = spark.sparkContext.broadcast(found.astype(np.int64).view(np.uint64))
 
     clusters = rough_clusters(docs, frequent, n, percent)
-    classes = materialize(info.where("n > 0").groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep")), "classes")
-    asked = classes.where("rep IS NOT NULL").join(clusters, F.col("a") == F.col("row"))
-    asked = deal_tiles(asked.select(F.col("rep").alias("doc_id"), "a", "b", "n", "cluster"), percent).select("doc_id", "a", "b", "tiles")
-    run, schema = _asked_rows(n)
-    rows = docs.join(broadcast_if_small(materialize(asked, "asked")), "doc_id").mapInArrow(workers.batches(run), schema)
+    # Classes of equal sets go by their signature, so rows without an id link too and equal ids of unlike texts do not.
+    classes = info.where("n > 0").groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep"))
+    classes = materialize(classes.withColumn("node", F.concat_ws(":", "a", "b")), "classes")
+    asked = classes.join(clusters, F.col("a") == F.col("row")).select(F.col("rep").alias("doc_id"), "node", "a", "b", "n", "cluster")
+    asked = materialize(deal_tiles(asked, percent).select("doc_id", "node", "a", "b", "tiles"), "asked")
     run, schema = _tiles(n, percent)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tiled = rows.select(F.explode("tiles").alias("tile"), "doc_id", "text").repartition(parts, "tile").sortWithinPartitions("tile")
+    tiled = asked_texts(docs, asked, n).select(F.explode("tiles").alias("tile"), "node", "text")
+    tiled = tiled.repartition(parts, "tile").sortWithinPartitions("tile", "node")
     links = materialize(tiled.mapInArrow(workers.batches(run), schema), "links")
-    roots = links.where("NOT part").select(F.col("u").alias("rep"), F.col("v").alias("root"))
+    roots = links.where("NOT part").select(F.col("u").alias("node"), F.col("v").alias("root"))
     if links.where("part").limit(1).count():
-        joined = components(links.where("part").select("u", "v"))
-        roots = roots.unionByName(joined.select(F.col("node").alias("rep"), "root"))
-    roots = roots.groupBy("rep").agg(F.min("root").alias("root"))
-    named = classes.join(roots, "rep", "left").select("a", "b", "n", F.coalesce("root", "rep").alias("root"))
+        roots = roots.unionByName(components(links.where("part").select("u", "v")))
+    roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root"))
+    roots = roots.groupBy("node").agg(F.min("root").alias("root"))
+    linked = materialize(roots.join(classes.select("node", "rep"), "node"), "linked")
+    least = materialize(linked.groupBy("root").agg(F.min("rep").alias("least"), F.count("*").alias("members")), "least")
+    linked = join_counted(linked.select("node", "root"), least, ["root"], "members", linked.count()).select("node", "least")
+    named = classes.join(linked, "node", "left").select("a", "b", "n", F.coalesce("least", "rep").alias("root"))
     return info.join(named, ["a", "b", "n"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("doc_id")).alias("component_id")
     )

@@ -82,6 +82,20 @@ def test_null_ids_and_repeated_rows_of_near_duplicates(spark):
     assert jaccard.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize("small", [False, True])
+def test_links_through_rows_without_an_id(spark, monkeypatch, small):
+    if small:
+        monkeypatch.setattr(jaccard, "BLOCK_ROWS", 1)
+    words = [f"w{i}" for i in range(60)]
+    shifted = [" ".join(words[k : k + 50]) for k in (0, 4, 8)]  # neighbours link, the outer two do not
+    other = [" ".join(f"v{i}" for i in range(k, k + 50)) for k in (0, 4)]
+    rows = [(3, shifted[0]), (None, shifted[1]), (None, shifted[1]), (1, shifted[2]), (3, "one text of this id stands quite alone"), (None, other[0]), (None, other[1])]
+    rows += [(8, shifted[0])] * 5
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert Counter(map(tuple, got)) == brute_components(rows)
+    assert Counter(r.component_id for r in got) == {1: 9, 3: 1, None: 2}
+
+
 def test_overlaps_and_prefixes():
     rnd = np.random.default_rng(1)
     sets = [np.unique(rnd.integers(0, 60, n).astype(np.uint64)) for n in (3, 40, 40, 1, 25)]
