@@ -1,10 +1,10 @@
-"""Bootstrap intervals, precision and recall, Inception Score and ranks over the given tables."""
+"""Bootstrap intervals, precision and recall, Inception Score, ranks and class balance over the given tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shardloom.operators import bootstrap, coverage, distances, ranks
+from shardloom.operators import balance, bootstrap, coverage, distances, ranks
 from shardloom.plans.catalog import query, rounded
 from shardloom.plans.distance_queries import _stretched
 from shardloom.plans.views import Tables
@@ -100,3 +100,54 @@ def _(t: Tables):
     """Events by low loss and much memory; losses that are not numbers are one tie at the end."""
     rows = t.log.where("loss IS NOT NULL AND peak_memory_mb IS NOT NULL").select("run", "step", "loss", "peak_memory_mb")
     return ranks.rank_sum(rows, {"loss": False, "peak_memory_mb": True}).select("run", "step", "rank_sum")
+
+
+def _balanced(table: str, label: str, index: str, seed: int, n: str) -> str:
+    return f"""WITH k AS (SELECT {label} AS label, {index} AS id, rank() OVER (PARTITION BY {label} ORDER BY md5('{seed}:' || {index})) AS place FROM {table})
+    SELECT label, id FROM k WHERE place <= {n}"""
+
+
+@query("balanced_subset", _balanced("events", "event_type", "event_id", 5, "(SELECT min(c) FROM (SELECT count(*) AS c FROM events GROUP BY event_type))"))
+def _(t: Tables):
+    """As many events of every type as the rarest type has."""
+    rows = t.read("events").select(F.col("event_type").alias("label"), F.col("event_id").alias("id"))
+    return balance.balanced_subset(rows, seed=5, index="id")
+
+
+@query("balanced_subset_large", _balanced("lineitem", "l_linestatus", "l_orderkey", 8, "1000"))
+def _(t: Tables):
+    """The form for labels too large to rank in one task; the lines of an order share a key and stay together."""
+    rows = t.read("lineitem").select(F.col("l_linestatus").alias("label"), F.col("l_orderkey").alias("id"))
+    return balance.balanced_subset(rows, 1000, 8, index="id", cap=True, step=1, ranked=20)
+
+
+@query(
+    "class_scatter",
+    """WITH m AS (SELECT pos, avg(v) AS mu FROM elements GROUP BY pos),
+    c AS (SELECT label, pos, avg(v) AS mu, count(*) AS n FROM elements GROUP BY label, pos),
+    d AS (SELECT label, pos, n, c.mu - m.mu AS d FROM c JOIN m USING (pos)),
+    b AS (SELECT x.pos AS i, y.pos AS j, sum(x.n * x.d * y.d) AS s FROM d x JOIN d y ON x.label IS NOT DISTINCT FROM y.label GROUP BY ALL),
+    r AS (SELECT global_index, e.pos, e.v - c.mu AS r FROM elements e JOIN c ON e.pos = c.pos AND e.label IS NOT DISTINCT FROM c.label),
+    w AS (SELECT x.pos AS i, y.pos AS j, sum(x.r * y.r) AS s, count(*) AS n FROM r x JOIN r y USING (global_index) GROUP BY ALL)
+    SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, n, (SELECT count(*) FROM c WHERE pos = 0) AS classes,
+      round(w.s / (n - (SELECT count(*) FROM c WHERE pos = 0)), 8) AS within, round(b.s / n, 8) AS between FROM w JOIN b USING (i, j)""",
+    ("elements",),
+)
+def _(t: Tables):
+    found = balance.class_scatter(t.features)
+    cells = found.select("i", "n", F.col("classes").cast("bigint"), F.posexplode(F.arrays_zip("within", "between")).alias("j", "c"))
+    return rounded(cells.select("i", "j", "n", "classes", "c.within", "c.between"), 8)
+
+
+@query(
+    "class_coverage",
+    """WITH r AS (SELECT label, count(*) AS n FROM latents WHERE global_index % 3 > 0 GROUP BY label),
+    g AS (SELECT label, count(*) AS n FROM latents WHERE global_index % 3 = 0 GROUP BY label),
+    x AS (SELECT r.n AS r, g.n AS g FROM r FULL JOIN g ON r.label IS NOT DISTINCT FROM g.label)
+    SELECT count(r) AS classes, count(*) FILTER (r IS NOT NULL AND g >= 2) AS covered,
+      round(count(*) FILTER (r IS NOT NULL AND g >= 2) / count(r), 6) AS coverage, CAST(coalesce(sum(g) FILTER (r IS NULL), 0) AS BIGINT) AS "foreign" FROM x""",
+    ("latents",),
+)
+def _(t: Tables):
+    gen, real = t.latents.where("global_index % 3 = 0"), t.latents.where("global_index % 3 > 0")
+    return rounded(balance.class_coverage(gen, real, least=2))
