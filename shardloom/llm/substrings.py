@@ -38,8 +38,8 @@ WINDOW = 35
 ANCHOR = 10
 SHARD_WORDS = 1 << 18
 SMALL_BYTES = 1 << 20
-#: A side is broadcast if it has at most so many rows and spans.
-BROADCAST_SPANS = 2_000_000
+#: Spans are broadcast if they take at most so many bytes.
+BROADCAST_BYTES = 16 << 20
 #: Windows of hot names in one salted part, at most about so many with one hash.
 SALT_ROWS = 1 << 16
 
@@ -239,9 +239,10 @@ def _hot_masks(docs: DataFrame, kinds: DataFrame, window: int) -> DataFrame:
 
 
 def join_spans(docs: DataFrame, spans: DataFrame, key: str, how: str) -> DataFrame:
-    """``docs`` with their row of ``spans``; broadcast if it has few rows and few spans, else by a shuffle."""
+    """``docs`` with their row of ``spans`` (a written table); broadcast if their bytes are few, else by a shuffle."""
     listed = next(c for c in spans.columns if c != key)
-    few = is_small(spans) and (spans.agg(F.sum(F.size(listed))).first()[0] or 0) <= BROADCAST_SPANS
+    entry = 8 * (1 + len(spans.schema[listed].dataType.elementType.fields))  # a word per field, and one for flags
+    few = is_small(spans) and (spans.agg(F.sum(48 + entry * F.size(listed))).first()[0] or 0) <= BROADCAST_BYTES
     return docs.join(F.broadcast(spans) if few else spans, key, how)
 
 
