@@ -32,14 +32,12 @@ from shardloom.llm import workers
 from shardloom.llm.fm_index import FMIndex
 from shardloom.llm.registry import query, table
 from shardloom.llm.textscan import NOT_BLANK, Powers, Words, chunks, mix, ngram_hashes, ragged, scan_words, signed
-from shardloom.session import broadcast_if_small, is_small, materialize
+from shardloom.session import broadcast_if_small, materialize
 
 WINDOW = 35
 ANCHOR = 10
 SHARD_WORDS = 1 << 18
 SMALL_BYTES = 1 << 20
-#: Spans are broadcast if they take at most so many bytes.
-BROADCAST_BYTES = 16 << 20
 #: Windows of hot names in one salted part, at most about so many with one hash.
 SALT_ROWS = 1 << 16
 
@@ -239,11 +237,8 @@ def _hot_masks(docs: DataFrame, kinds: DataFrame, window: int) -> DataFrame:
 
 
 def join_spans(docs: DataFrame, spans: DataFrame, key: str, how: str) -> DataFrame:
-    """``docs`` with their row of ``spans`` (a written table); broadcast if their bytes are few, else by a shuffle."""
-    listed = next(c for c in spans.columns if c != key)
-    entry = 8 * (1 + len(spans.schema[listed].dataType.elementType.fields))  # a word per field, and one for flags
-    few = is_small(spans) and (spans.agg(F.sum(48 + entry * F.size(listed))).first()[0] or 0) <= BROADCAST_BYTES
-    return docs.join(F.broadcast(spans) if few else spans, key, how)
+    """``docs`` with their row of ``spans``, which grow with the documents: both are shuffled and sorted, at any size."""
+    return docs.join(spans.hint("merge"), key, how)
 
 
 def _merge_runs(window: int):

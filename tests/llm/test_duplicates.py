@@ -123,10 +123,9 @@ def brute_kept(texts, window):
     return out
 
 
-@pytest.mark.parametrize("window, shard, broadcast", [(35, 1 << 19, 2_000_000), (12, 600, 2_000_000), (20, 5_000, 0)])
-def test_repeated_words_go(spark, monkeypatch, window, shard, broadcast):
+@pytest.mark.parametrize("window, shard", [(35, 1 << 19), (12, 600), (20, 5_000)])
+def test_repeated_words_go(spark, monkeypatch, window, shard):
     monkeypatch.setattr(substrings, "SHARD_WORDS", shard)  # small shards also make hot names
-    monkeypatch.setattr(substrings, "BROADCAST_BYTES", broadcast)
     texts = corpus(6)
     rows = [(i if i % 9 else None, t) for i, t in enumerate(texts)] + [(1, texts[20]), (1, texts[20])]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "text AS key", "3 AS spans", "4 AS n_words").repartition(4)
