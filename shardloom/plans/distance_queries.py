@@ -103,6 +103,30 @@ def _(t: Tables):
     return distances.frechet_regularized(gen, moments.moments(t.features, strict=False))
 
 
+@query(
+    "frechet_regularized_stretched",
+    """WITH m AS (SELECT pos, avg(v) AS mu, var_samp(v) AS s, count(*) AS n FROM elements GROUP BY pos)
+    SELECT any_value(n) AS n1, any_value(n) AS n2, 64 AS dims, round(sum(pow(0.5 * mu + 0.25, 2)) + 0.25 * sum(s) - count(*) * 1e-6::DOUBLE / 6, 6) AS fid_reg FROM m""",
+    ("elements",),
+)
+def _(t: Tables):
+    """A stretch by 1.5 leaves (sqrt(2.25 s + eps) - sqrt(s + eps))^2 per eigenvalue s, which is s / 4 - eps / 6 up to eps^2."""
+    return rounded(distances.frechet_regularized(moments.moments(_stretched(t)), moments.moments(t.features)))
+
+
+@query(
+    "frechet_regularized_mirrored",
+    """WITH m AS (SELECT label, pos, avg(v) AS mu, count(*) AS n FROM elements GROUP BY label, pos)
+    SELECT label, any_value(n) AS n1, any_value(n) AS n2, 64 AS dims, round(sum(pow(2 * mu - 0.25, 2)), 6) AS fid_reg FROM m GROUP BY label HAVING any_value(n) > 0""",
+    ("elements",),
+)
+def _(t: Tables):
+    """Features 0.25 - x have the covariance of x, so the distance is that of the means."""
+    mirrored = t.features.withColumn("features", F.transform("features", lambda v: F.lit(0.25) - v.cast("double")))
+    one, two = (moments.moments(f, by=["label"], strict=False) for f in (mirrored, t.features))
+    return rounded(distances.frechet_regularized(one, two, ["label"]))
+
+
 KID_SQL = f"""WITH {WIDE}, k AS (SELECT a.id AS p, b.id AS q, pow(list_dot_product(a.x, b.x) / 64 + 1, 3) AS xx,
       pow(list_dot_product(a.y, b.y) / 64 + 1, 3) AS yy, pow(list_dot_product(a.x, b.y) / 64 + 1, 3) AS xy
     FROM wide a CROSS JOIN wide b), n AS (SELECT count(*) AS n FROM wide),
@@ -209,3 +233,57 @@ def _(t: Tables):
 @query("compact_metrics")
 def _(t: Tables):
     return distances.compact_metrics(t.recon_images(1), t.images, DatasetSpec(1, 8, 8), dim=16, size=8)
+
+
+def _moved(name: str, a: float, b: float) -> str:
+    """CTEs of a record on the features a x + b against x: sizes, distance, spread and KID."""
+    return f"""{name}_f AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS x, [v::DOUBLE * {a} + {b} FOR v IN embedding] AS y FROM embeddings),
+    {name}_n AS (SELECT count(*) AS n FROM {name}_f),
+    {name}_k AS (SELECT sum(pow(list_dot_product(a.x, b.x) / 64 + 1, 3)) FILTER (a.id <> b.id) / any_value(n * (n - 1))
+      + sum(pow(list_dot_product(a.y, b.y) / 64 + 1, 3)) FILTER (a.id <> b.id) / any_value(n * (n - 1))
+      - 2 * sum(pow(list_dot_product(a.x, b.y) / 64 + 1, 3)) / any_value(n * n) AS kid FROM {name}_f a CROSS JOIN {name}_f b CROSS JOIN {name}_n),
+    {name}_m AS (SELECT pos, avg(v) AS mu, var_samp(v) AS s FROM elements GROUP BY pos),
+    {name} AS (SELECT n, sum(pow(({a} - 1) * mu + {b}, 2)) + pow({a} - 1, 2) * sum(s) AS fid, pow({a}, 2) * sum(s) AS tr, any_value(kid) AS kid,
+      (SELECT avg({a} * v + {b}) FROM elements) AS mean, (SELECT stddev_pop({a} * v + {b}) FROM elements) AS std FROM {name}_m, {name}_k, {name}_n GROUP BY n)"""
+
+
+_RECORD = """n AS num_images, n AS ref_count, 64 AS dims, round(fid, 4) AS fid, round(mean, 4) AS feature_mean, round(std, 4) AS feature_std,
+      round(tr, 4) AS sigma_trace"""
+
+
+@query(
+    "compare_features_stretched",
+    f"""WITH {_moved("w", 1.5, 0.25)} SELECT {_RECORD}, n AS ref_features_used, round(kid, 4) AS mmd2, round(kid, 4) AS kid,
+      round(kid * 1000, 4) AS kid_x1000, 'ok' AS mmd_status, 'ok' AS status FROM w""",
+    ("elements",),
+)
+def _(t: Tables):
+    return rounded(distances.compare_features(_stretched(t), moments.moments(t.features), feature_bank(t.features)), 4)
+
+
+@query(
+    "compare_features_stretched_without_bank",
+    f"""WITH {_moved("w", 1.5, 0.25)} SELECT {_RECORD}, NULL::BIGINT AS ref_features_used, NULL::DOUBLE AS mmd2, NULL::DOUBLE AS kid,
+      NULL::DOUBLE AS kid_x1000, 'skipped_no_ref_features' AS mmd_status, 'ok' AS status FROM w""",
+    ("elements",),
+)
+def _(t: Tables):
+    return rounded(distances.compare_features(_stretched(t), moments.moments(t.features)), 4)
+
+
+_REPORT = """SELECT '{0}' AS name, n AS num_images, 64 AS dims, round(fid, 4) AS rfid_vs_original, round(mean, 4) AS feature_mean,
+    round(std, 4) AS feature_std, round(tr, 4) AS sigma_trace, round(fid, 4) AS fid_vs_full_ref, round(kid, 4) AS mmd2_vs_original,
+    round(kid * 1000, 4) AS kid_x1000_vs_original, round(kid, 4) AS mmd2_vs_full_ref_bank, round(kid * 1000, 4) AS kid_x1000_vs_full_ref_bank,
+    false AS mmd_skipped, NULL::VARCHAR AS mmd_skip_reason FROM {0}"""
+
+
+@query(
+    "reconstruction_report_stretched",
+    f"""WITH {_moved("wide", 1.5, 0.25)}, {_moved("flat", 0.5, -0.125)} {_REPORT.format("wide")} UNION ALL {_REPORT.format("flat")}""",
+    ("elements",),
+)
+def _(t: Tables):
+    """Two reconstructions whose covariances are multiples of the originals', so every column has a closed form."""
+    flat = t.features.withColumn("features", F.transform("features", lambda v: v.cast("double") * 0.5 - 0.125))
+    recons = {"wide": _stretched(t), "flat": flat}
+    return rounded(distances.reconstruction_report(t.features, recons, moments.moments(t.features), feature_bank(t.features)), 4)

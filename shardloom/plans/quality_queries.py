@@ -1,10 +1,10 @@
-"""Bootstrap intervals, precision and recall, Inception Score, ranks and class balance over the given tables."""
+"""Bootstrap intervals, precision and recall, Inception Score, ranks, class balance, memorisation and judges over the given tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shardloom.operators import balance, bootstrap, coverage, distances, ranks
+from shardloom.operators import balance, bootstrap, coverage, distances, judges, memorisation, moments, ranks
 from shardloom.plans.catalog import query, rounded
 from shardloom.plans.distance_queries import _stretched
 from shardloom.plans.views import Tables
@@ -151,3 +151,72 @@ def _(t: Tables):
 def _(t: Tables):
     gen, real = t.latents.where("global_index % 3 = 0"), t.latents.where("global_index % 3 > 0")
     return rounded(balance.class_coverage(gen, real, least=2))
+
+
+NEAREST = """WITH x AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS x, [round(v::DOUBLE, 1) FOR v IN embedding] AS y FROM embeddings),
+    d AS (SELECT a.id, b.id AS other, list_distance(a.{g}, b.x) AS d FROM x a JOIN x b ON {on}),
+    n AS (SELECT id AS global_index, arg_min(other, {{'d': d, 'id': other}}) AS nearest, min(d) AS distance FROM d GROUP BY id)"""
+
+
+@query("nearest_training_rows", NEAREST.format(g="y", on="true") + " SELECT global_index, nearest, round(distance, 9) AS distance FROM n")
+def _(t: Tables):
+    """Every rounded sample against all samples."""
+    found = memorisation.nearest_training_rows(t.recon_features(1), t.features)
+    return rounded(found.select("global_index", "nearest", "distance"), 9)
+
+
+@query(
+    "memorisation",
+    NEAREST.format(g="x", on="a.id % 2 = 1 AND b.id % 2 = 0")
+    + """ SELECT count(*) AS n, count(*) FILTER (distance = 0) AS copies, count(*) FILTER (distance <= 1.05) AS near,
+      round(count(*) FILTER (distance <= 1.05) / count(*), 6) AS near_rate, round(avg(distance), 6) AS mean_distance FROM n""",
+)
+def _(t: Tables):
+    """Odd samples as the generated ones, even ones as the training set, in blocks of a hundred."""
+    gen, real = (t.features.where(F.col("global_index") % 2 == k) for k in (1, 0))
+    return rounded(memorisation.memorisation(gen, real, 1.05, block=100).drop("verified_share"))
+
+
+@query(
+    "near_duplicate_rate",
+    NEAREST.format(g="y", on="true") + """ SELECT count(*) AS n, count(*) FILTER (distance <= 0.23) AS near,
+      round(count(*) FILTER (distance <= 0.23) / count(*), 6) AS near_rate FROM n""",
+)
+def _(t: Tables):
+    return rounded(memorisation.near_duplicate_rate(t.recon_features(1), t.features, 0.23))
+
+
+JUDGES = {"one": (1.5, 0.25), "two": (0.5, 0.0), "three": (1.25, -0.125)}
+
+
+@query(
+    "judge_gap",
+    f"""WITH m AS (SELECT pos, avg(v) AS mu, var_samp(v) AS s FROM elements GROUP BY pos),
+    j AS (SELECT * FROM (VALUES {", ".join(f"('{k}', {a}::DOUBLE, {b}::DOUBLE)" for k, (a, b) in JUDGES.items())}) v(judge, a, b)),
+    f AS (SELECT judge, sum(pow((a - 1) * mu + b, 2)) + any_value(pow(a - 1, 2)) * sum(s) AS fid,
+      sum(pow(0.125 * mu, 2)) + pow(0.125, 2) * sum(s) AS base FROM j, m GROUP BY judge)
+    SELECT count(*) FILTER (judge <> 'three') AS train_judges, count(*) FILTER (judge = 'three') AS holdout_judges,
+      round(avg(fid / base) FILTER (judge <> 'three'), 4) AS train_mean, round(avg(fid / base) FILTER (judge = 'three'), 4) AS holdout_mean,
+      round(avg(fid / base) FILTER (judge = 'three') - avg(fid / base) FILTER (judge <> 'three'), 4) AS gap FROM f""",
+    ("elements",),
+)
+def _(t: Tables):
+    """Three judges that see the samples stretched and moved differently; the floor is a stretch by an eighth."""
+    moved = lambda a, b: t.features.withColumn("features", F.transform("features", lambda v: v.cast("double") * a + b))
+    real = dict.fromkeys(JUDGES, t.features)
+    found = judges.judge_distances({k: moved(a, b) for k, (a, b) in JUDGES.items()}, real, dict.fromkeys(JUDGES, moved(1.125, 0.0)))
+    return rounded(judges.judge_gap(found, ["one", "two"]), 4)
+
+
+@query(
+    "condition_number",
+    """WITH p AS (SELECT label, max(v) FILTER (pos = 0) AS x, max(v) FILTER (pos = 1) AS y FROM elements WHERE pos < 2 GROUP BY global_index, label),
+    c AS (SELECT label, count(*) AS n, var_samp(x) AS a, var_samp(y) AS d, covar_samp(x, y) AS b FROM p GROUP BY label),
+    e AS (SELECT label, n, (a + d) / 2 + sqrt(pow((a - d) / 2, 2) + b * b) AS hi, (a + d) / 2 - sqrt(pow((a - d) / 2, 2) + b * b) AS lo FROM c)
+    SELECT label, n, 2 AS dims, round(hi, 6) AS eig_max, round(lo, 6) AS eig_min, round(hi / lo, 6) AS condition FROM e""",
+    ("elements",),
+)
+def _(t: Tables):
+    """Of the first two features per label, where the eigenvalues have a closed form."""
+    rows = t.features.withColumn("features", F.slice("features", 1, 2))
+    return rounded(judges.condition_number(moments.moments(rows, by=["label"], strict=False), ["label"]))

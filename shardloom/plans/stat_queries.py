@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from shardloom.functions import quantiles
@@ -378,3 +379,24 @@ def _(t: Tables):
     spec = DatasetSpec(1, 8, 8)
     features = errors.random_projection(errors.array_to_bytes(t.images, spec), spec, dim=16, size=8)
     return features.select("global_index", F.posexplode("features").alias("dim", "value"))
+
+
+#: The fixed draw of 16 rows (pixels) and 4 columns (features), as the operator makes it from its seed.
+_DRAW = np.random.default_rng(20260527).normal(0.0, 1.0 / np.sqrt(16), size=(16, 4))
+
+
+@query(
+    "random_projection_resized",
+    f"""WITH g AS (SELECT global_index, pos // 16 AS r, (pos % 8) // 2 AS c, (pos // 8) % 2 AS i, pos % 2 AS j, CAST(p AS FLOAT) / CAST(255 AS FLOAT) AS x FROM pixels),
+    q AS (SELECT global_index, r, c, max(x) FILTER (i = 0 AND j = 0) * 0.5::FLOAT + max(x) FILTER (i = 0 AND j = 1) * 0.5::FLOAT AS upper,
+      max(x) FILTER (i = 1 AND j = 0) * 0.5::FLOAT + max(x) FILTER (i = 1 AND j = 1) * 0.5::FLOAT AS lower FROM g GROUP BY ALL),
+    s AS (SELECT global_index, r * 4 + c AS cell, CAST(upper * 0.5::FLOAT + lower * 0.5::FLOAT AS DOUBLE) AS x FROM q),
+    w AS (SELECT * FROM (VALUES {", ".join(f"({i}, {j}, {float(_DRAW[i, j])!r}::DOUBLE)" for i in range(16) for j in range(4))}) v(cell, dim, w))
+    SELECT global_index, CAST(dim AS INTEGER) AS dim, round(sum(x * w), 9) AS value FROM s JOIN w USING (cell) GROUP BY ALL""",
+    ("pixels",),
+)
+def _(t: Tables):
+    """8x8-pixel images halved to 4x4 before the projection: every target pixel is the mean of four."""
+    spec = DatasetSpec(1, 8, 8)
+    features = errors.random_projection(errors.array_to_bytes(t.images, spec), spec, dim=4, size=4)
+    return rounded(features.select("global_index", F.posexplode("features").alias("dim", "value")), 9)
