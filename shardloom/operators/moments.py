@@ -107,14 +107,15 @@ def moments(
     return finalize_moments(sums, by, pilot, strict)
 
 
-def finalize_moments(sums: DataFrame, by: Sequence[str], pilot: np.ndarray, strict: bool = True) -> DataFrame:
-    """Summed Gram chunks to moments."""
+def finalize_moments(sums: DataFrame, by: Sequence[str], pilot: np.ndarray, strict: bool = True, weighted: bool = False) -> DataFrame:
+    """Summed Gram chunks to moments. ``weighted`` sums carry any weights: the covariance is divided by the total weight, which
+    is added as ``weight`` (``n`` is its nearest whole number)."""
     by, width = list(by), len(pilot)
     rows = _chunk_rows(width)
     last = width // rows
     start = (width - last * rows) * (width + 1)
     totals = sums.where(F.col("chunk") == last).select(*by, F.slice("cells", start + 1, width + 1).alias("__sums"))
-    schema = extended_schema(sums.select(*by).schema, "i int, n bigint, mu double, sigma array<double>")
+    schema = extended_schema(sums.select(*by).schema, "i int, n bigint, mu double, sigma array<double>" + (", weight double" if weighted else ""))
 
     def finish(batches):
         for batch in batches:
@@ -126,16 +127,18 @@ def finalize_moments(sums: DataFrame, by: Sequence[str], pilot: np.ndarray, stri
                 count, sums_i, n = len(block), block[:, width], total[width]
                 if not count:
                     continue
-                if n >= 2:
-                    sigma = list_column((block[:, :width] - np.outer(sums_i, total[:width]) / n) / (n - 1), pa.float64())
+                if weighted or n >= 2:
+                    divisor = n if weighted else n - 1
+                    sigma = list_column((block[:, :width] - np.outer(sums_i, total[:width]) / n) / divisor, pa.float64())
                 elif strict:
                     raise ValueError("at least two samples are needed for a covariance")
                 else:
                     sigma = pa.nulls(count, pa.list_(pa.float64()))
                 at = np.arange(first, first + count)
                 out = {c: batch.column(c).take(pa.array([r] * count)) for c in by}
-                out |= {"i": pa.array(at.astype(np.int32)), "n": pa.array([int(n)] * count, pa.int64())}
+                out |= {"i": pa.array(at.astype(np.int32)), "n": pa.array([round(n)] * count, pa.int64())}
                 out |= {"mu": pa.array(pilot[at] + sums_i / n), "sigma": sigma}
+                out |= {"weight": pa.array([n] * count, pa.float64())} if weighted else {}
                 yield pa.RecordBatch.from_pydict(out)
 
     return join_groups(sums, totals, by).mapInArrow(finish, schema)

@@ -11,7 +11,7 @@ from shardloom.plans.source_queries import _write_log
 from shardloom.plans.stat_queries import COUNTS, STATS
 from shardloom.plans.views import SPEC, Tables
 from shardloom.session import scratch_dir
-from shardloom.streaming import follow, incremental, monitors
+from shardloom.streaming import follow, incremental, monitors, population
 
 TS = "strftime({}, '%Y-%m-%d %H:%M:%S.%f')"
 
@@ -190,6 +190,50 @@ def _(t: Tables):
     return rounded(moments.moment_cells(incremental.read_moments(t.spark, out, SPEC.size)), 9)
 
 
+ARRIVALS = 5
+
+
+def _arriving(t: Tables, run) -> None:
+    """Samples arrive a fifth at a time, by their index modulo five; ``run`` starts the stream again for each arrival."""
+    path = scratch_dir(t.spark, "arrivals")
+    for k in range(ARRIVALS):
+        t.features.where(F.col("global_index") % ARRIVALS == k).write.mode("append").parquet(path)
+        run(t.spark.readStream.schema(t.features.schema).parquet(path)).awaitTermination()
+
+
+@query(
+    "population_decayed",
+    f"""WITH w AS (SELECT global_index, pos, v, pow(0.5, {ARRIVALS - 1} - global_index % {ARRIVALS}) AS w FROM elements),
+    s AS (SELECT a.pos AS i, b.pos AS j, sum(a.w) AS w, sum(a.w * a.v) / sum(a.w) AS mi, sum(a.w * b.v) / sum(a.w) AS mj, sum(a.w * a.v * b.v) / sum(a.w) AS q
+      FROM w a JOIN w b USING (global_index) GROUP BY a.pos, b.pos)
+    SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(w, 6) AS weight, round(mi, 9) AS mu_i, round(q - mi * mj, 9) AS sigma_ij FROM s""",
+    ("elements",),
+)
+def _(t: Tables):
+    """Weights halve with every batch; finished batches are compacted on the way."""
+    out, state = scratch_dir(t.spark, "population"), scratch_dir(t.spark, "state")
+    _arriving(t, lambda stream: population.stream_decayed(stream, SPEC.size, out, state, 0.5, every=2))
+    mom = population.read_decayed(t.spark, out, SPEC.size, 0.5)
+    return rounded(
+        mom.select("i", F.posexplode("sigma").alias("j", "sigma_ij"), F.round("weight", 6).alias("weight"), F.col("mu").alias("mu_i")), 9
+    )
+
+
+@query(
+    "population_newest",
+    f"""WITH k AS (SELECT vec_id AS global_index FROM embeddings ORDER BY vec_id % {ARRIVALS} DESC, vec_id DESC LIMIT 333),
+    e AS (SELECT global_index, pos, v FROM elements JOIN k USING (global_index))
+    SELECT CAST(a.pos AS INTEGER) AS i, CAST(b.pos AS INTEGER) AS j, count(*) AS n, round(avg(a.v), 9) AS mu_i,
+      round(covar_samp(a.v, b.v), 9) AS sigma_ij FROM e a JOIN e b USING (global_index) GROUP BY a.pos, b.pos""",
+    ("elements",),
+)
+def _(t: Tables):
+    """The newest 333 samples: whole batches by their sums, the oldest one by its newest rows."""
+    out, state = scratch_dir(t.spark, "population"), scratch_dir(t.spark, "state")
+    _arriving(t, lambda stream: population.stream_newest(stream, SPEC.size, out, state, 333))
+    return rounded(moments.moment_cells(population.read_newest(t.spark, out, SPEC.size, 333)), 9)
+
+
 @query(
     "follow_derive",
     "SELECT o_orderkey AS source_index, round(o_totalprice * 2, 4) AS derived FROM orders",

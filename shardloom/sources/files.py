@@ -47,6 +47,13 @@ def list_folders(path: str, glob: str, holding: str) -> list[str]:
     return [lead + f for f, mark in zip(folders, marks, strict=True) if mark.type == pafs.FileType.File]
 
 
+def remove_folder(path: str) -> None:
+    """Remove a folder and what is in it; one that is not there is fine."""
+    fs, root = open_fs(path.rstrip("/"))
+    if fs.get_file_info(root).type == pafs.FileType.Directory:
+        fs.delete_dir(root)
+
+
 def file_table(spark: SparkSession, path: str, glob: str = "*", recursive: bool = True) -> DataFrame:
     """``(path, name, bytes)`` of the files below a folder."""
     rows = list_files(path, glob, recursive)
