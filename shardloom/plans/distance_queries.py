@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shardloom.functions.arrays import sq_distance
-from shardloom.operators import distances, errors, moments
+from shardloom.operators import distances, errors, linear_mmd, moments
 from shardloom.plans.catalog import query, rounded
 from shardloom.plans.stat_queries import PAIRED
 from shardloom.plans.views import SPEC, Tables
@@ -287,3 +287,21 @@ def _(t: Tables):
     flat = t.features.withColumn("features", F.transform("features", lambda v: v.cast("double") * 0.5 - 0.125))
     recons = {"wide": _stretched(t), "flat": flat}
     return rounded(distances.reconstruction_report(t.features, recons, moments.moments(t.features), feature_bank(t.features)), 4)
+
+
+@query(
+    "mmd_rbf_linear",
+    """WITH f AS (SELECT vec_id AS id, vec_id % 5 AS blk, CAST(embedding AS DOUBLE[]) AS x, [v::DOUBLE * 1.5 + 0.25 FOR v IN embedding] AS y FROM embeddings),
+    z AS (SELECT id, blk, 0 AS side, x AS f FROM f UNION ALL SELECT id, blk, 1, y FROM f),
+    h AS (SELECT 2 * sum(s) AS h FROM (SELECT var_samp(v) AS s FROM (SELECT pos, v FROM elements UNION ALL SELECT pos, v * 1.5 + 0.25 FROM elements) GROUP BY pos)),
+    n AS (SELECT blk, count(*) AS n FROM f GROUP BY blk),
+    k AS (SELECT a.blk, a.side AS sa, b.side AS sb, a.id <> b.id AS other, exp(-pow(list_distance(a.f, b.f), 2) / (2 * h)) AS k
+      FROM z a JOIN z b ON a.blk = b.blk AND a.side <= b.side CROSS JOIN h),
+    e AS (SELECT blk, sum(k) FILTER (sa = sb AND other) / any_value(n * (n - 1)) - 2 * sum(k) FILTER (sa < sb) / any_value(n * n) AS v FROM k JOIN n USING (blk) GROUP BY blk)
+    SELECT (SELECT count(*) FROM f) AS n, (SELECT count(*) FROM f) AS m, count(v) AS blocks, round(avg(v), 9) AS mmd2,
+      round(stddev_samp(v) / sqrt(count(v)), 9) AS std_error, round((SELECT h FROM h), 9) AS bandwidth2, CAST(0 AS BIGINT) AS unused_rows FROM e""",
+    ("elements",),
+)
+def _(t: Tables):
+    """Five blocks by index: every sample against its stretched form within a block."""
+    return rounded(linear_mmd.mmd_rbf_linear(t.features, _stretched(t), block=F.col("global_index") % 5), 9)
