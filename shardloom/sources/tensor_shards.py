@@ -28,7 +28,7 @@ from pyspark.sql.types import StructType
 
 from shardloom.functions.batches import bytes_column, list_column, matrix
 from shardloom.functions.parsing import shard_number
-from shardloom.session import materialize, require
+from shardloom.session import broadcast_if_small, materialize, require
 from shardloom.sources.files import list_files, open_fs
 from shardloom.spec import DatasetSpec
 
@@ -313,54 +313,105 @@ def write_tensor_shards(
 ) -> DataFrame:
     """One file per ``index div shard_size``, rows in index order; returns ``(path, rows, bytes, sha256)``.
 
-    A group is one shard, so its size is the shard size. Files appear under their name only when complete,
-    and a retried task writes the same bytes again.
+    Every row becomes one piece per tensor; pieces are shuffled to their shard, sorted in the order of the file by Spark (which
+    spills) and written as they come, so a worker holds a batch of pieces, not a shard. Files appear under their name only
+    when complete, and a retried task writes the same bytes again.
     """
     require(dtype in ("F32", "BF16", "F16", "U8"), f"unsupported dtype {dtype}")
-    names, shape, size = list(tensors), spec.shape, spec.size
-    extra = ["source_index"] if "source_index" in df.columns else []
+    shape, size = spec.shape, spec.size
+    numbers = [("labels", "label")] + ([("source_indices", "source_index")] if "source_index" in df.columns else [])
+    columns = [*tensors, *(c for _, c in numbers)]
+    # name in the file, dtype, shape of a row and its bytes, in file order
+    layout = [(name, dtype, list(shape), size * _ITEM_BYTES[dtype]) for name in tensors] + [(name, "I64", [], 8) for name, _ in numbers]
     meta = {str(k): str(v) for k, v in (metadata or {}).items()}
     root = path.rstrip("/")
 
-    def encode(column: pa.ChunkedArray) -> bytes:
-        values = matrix(column.combine_chunks(), size)
-        if dtype == "BF16":
-            bits = values.astype("<f4").view("<u4")
-            # round to nearest even on the dropped half
-            return ((bits + 0x7FFF + ((bits >> 16) & 1)) >> 16).astype("<u2").tobytes()
-        return values.astype(DTYPES[dtype]).tobytes()
-
-    def write(table: pa.Table) -> pa.Table:
-        table = table.sort_by(index)
-        shard, n = table.column("__shard")[0].as_py(), len(table)
-        blobs = {name: (dtype, [n, *shape], encode(table.column(name))) for name in names}
-        for key, column in (("labels", "label"), ("source_indices", "source_index")):
-            if column in table.column_names:
-                blobs[key] = ("I64", [n], np.asarray(table.column(column)).astype("<i8").tobytes())
+    def pieces(batches):
+        for batch in batches:
+            step = max(1, _BATCH_BYTES // max(1, 8 * size))
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                for number, name in enumerate(columns):
+                    blob = _encode(part.column(f"__{number}"), size, layout[number][1]) if number < len(tensors) else _whole_numbers(part.column(f"__{number}"), name)
+                    data = pa.array([row.tobytes() for row in blob], pa.binary())
+                    numbered = pa.array(np.full(part.num_rows, number, dtype=np.int32))
+                    yield pa.RecordBatch.from_arrays([part.column("__shard"), part.column("__n"), numbered, part.column("__id"), data], ["shard", "n", "number", "id", "data"])
+
+    def write(batches):
+        current = None
+        for batch in batches:
+            shards = batch.column("shard").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(shards)) + 1), len(shards)]
+            for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+                if low == high:
+                    continue
+                if current is None or current.shard != shards[low]:
+                    if current is not None:
+                        yield current.finish()
+                    current = _ShardFile(f"{root}/{prefix}{int(shards[low]):06d}.safetensors", shards[low], batch.column("n")[int(low)].as_py(), layout, meta)
+                for data in batch.column("data").slice(low, high - low):
+                    current.write(data.as_buffer())
+        if current is not None:
+            yield current.finish()
+
+    shard = F.floor(F.col(index) / shard_size).cast("bigint")
+    sizes = materialize(df.groupBy(shard.alias("__shard")).agg(F.count("*").alias("__n")), "shard_sizes")
+    rows = df.select(shard.alias("__shard"), F.col(index).cast("bigint").alias("__id"), *[F.col(c).alias(f"__{i}") for i, c in enumerate(columns)])
+    rows = rows.join(broadcast_if_small(sizes), "__shard").mapInArrow(pieces, "shard bigint, n bigint, number int, id bigint, data binary")
+    ordered = rows.repartition("shard").sortWithinPartitions("shard", "number", "id")
+    # writing happens once, here; the facts about the files are kept as a table
+    return materialize(ordered.mapInArrow(write, "path string, rows bigint, bytes bigint, sha256 string"), "written")
+
+
+#: Bytes of a value in the dtypes that can be written.
+_ITEM_BYTES = {"F32": 4, "BF16": 2, "F16": 2, "U8": 1}
+
+
+def _encode(column: pa.Array, size: int, dtype: str) -> np.ndarray:
+    """One row of encoded values per tensor."""
+    values = matrix(column, size)
+    if dtype == "BF16":
+        bits = values.astype("<f4").view("<u4")
+        # round to nearest even on the dropped half
+        return ((bits + 0x7FFF + ((bits >> 16) & 1)) >> 16).astype("<u2")
+    return values.astype(DTYPES[dtype])
+
+
+def _whole_numbers(column: pa.Array, name: str) -> np.ndarray:
+    if column.null_count:
+        raise ValueError(f"{name} must not be null")
+    return column.to_numpy(zero_copy_only=False).astype("<i8")[:, None]
+
+
+class _ShardFile:
+    """A shard file being written piece by piece in file order, under a name of its own until it is complete."""
+
+    def __init__(self, target: str, shard: int, rows: int, layout: list[tuple], meta: dict):
+        self.target, self.shard, self.rows = target, shard, rows
         header, at = {"__metadata__": meta} if meta else {}, 0
-        for key, (kind, dims, blob) in blobs.items():
-            header[key] = {"dtype": kind, "shape": dims, "data_offsets": [at, at + len(blob)]}
-            at += len(blob)
+        for name, dtype, dims, size in layout:
+            header[name] = {"dtype": dtype, "shape": [rows, *dims], "data_offsets": [at, at + rows * size]}
+            at += rows * size
         head = json.dumps(header, separators=(",", ":")).encode()
         head += b" " * (-len(head) % 8)
-        target = f"{root}/{prefix}{shard:06d}.safetensors"
-        fs, inner = open_fs(target)
-        fs.create_dir(inner.rsplit("/", 1)[0], recursive=True)
-        digest, total = hashlib.sha256(), 0
-        attempt = f"{inner}.{uuid.uuid4().hex}.tmp"
-        with fs.open_output_stream(attempt) as out:
-            for block in (len(head).to_bytes(8, "little") + head, *(blob for _, _, blob in blobs.values())):
-                out.write(block)
-                digest.update(block)
-                total += len(block)
-        fs.move(attempt, inner)
-        return pa.table({"path": [target], "rows": [n], "bytes": [total], "sha256": [digest.hexdigest()]})
-
-    rows = df.select(index, "label", *extra, *names).withColumn("__shard", F.floor(F.col(index) / shard_size))
-    # writing happens once, here; the facts about the files are kept as a table
-    return materialize(
-        rows.groupBy("__shard").applyInArrow(write, "path string, rows bigint, bytes bigint, sha256 string"), "written"
-    )
+        self.expected = 8 + len(head) + at
+        self.fs, self.inner = open_fs(target)
+        self.fs.create_dir(self.inner.rsplit("/", 1)[0], recursive=True)
+        self.attempt = f"{self.inner}.{uuid.uuid4().hex}.tmp"
+        self.out, self.digest, self.total = self.fs.open_output_stream(self.attempt), hashlib.sha256(), 0
+        self.write(len(head).to_bytes(8, "little") + head)
+
+    def write(self, data) -> None:
+        self.out.write(data)
+        self.digest.update(data)
+        self.total += len(data)
+
+    def finish(self) -> pa.RecordBatch:
+        self.out.close()
+        if self.total != self.expected:
+            raise ValueError(f"{self.target}: {self.total} bytes written, {self.expected} expected; the rows changed between two reads")
+        self.fs.move(self.attempt, self.inner)
+        return pa.RecordBatch.from_pydict({"path": [self.target], "rows": [self.rows], "bytes": [self.total], "sha256": [self.digest.hexdigest()]})
 
 
 def registry_rows(headers: DataFrame) -> DataFrame:
