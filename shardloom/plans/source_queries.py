@@ -97,6 +97,14 @@ def _(t: Tables):
     return with_global_index(samples, shard_registry(headers)).select("global_index", "shard", "local_index", "label")
 
 
+def _write_images(t: Tables) -> str:
+    """The images as shard files of 64."""
+    path = scratch_dir(t.spark, "images")
+    rows = t.images.withColumnRenamed("image", "images").withColumn("source_index", F.col("global_index"))
+    tensor_shards.write_tensor_shards(rows, path, SPEC, ["images"], "U8", SHARD, prefix="images_shard")
+    return path
+
+
 @query(
     "read_image_shards",
     """SELECT global_index // 64 * 64 + global_index % 64 AS source_index, label, CAST(sum(p) AS BIGINT) AS total,
@@ -104,10 +112,7 @@ def _(t: Tables):
     ("pixels",),
 )
 def _(t: Tables):
-    path = scratch_dir(t.spark, "images")
-    rows = t.images.withColumnRenamed("image", "images").withColumn("source_index", F.col("global_index"))
-    tensor_shards.write_tensor_shards(rows, path, SPEC, ["images"], "U8", SHARD, prefix="images_shard")
-    back = tensor_shards.read_image_shards(t.spark, path, SPEC)
+    back = tensor_shards.read_image_shards(t.spark, _write_images(t), SPEC)
 
     @F.pandas_udf("bigint")
     def total(images):
@@ -270,6 +275,30 @@ def _(t: Tables):
     return files.checksum(files.file_table(t.spark, path)).select("name", "bytes", "sha256")
 
 
+def _little_endian(value: str) -> str:
+    """Hex digits of the eight bytes of a whole number."""
+    return " || ".join(f"printf('%02x', ({value} >> {8 * k}) & 255)" for k in range(8))
+
+
+@query(
+    "checksum_images",
+    f"""WITH i AS (SELECT global_index, any_value(label) AS label, string_agg(printf('%02x', p), '' ORDER BY pos) AS x FROM pixels GROUP BY global_index),
+    s AS (SELECT global_index // {SHARD} AS shard, count(*) AS n, string_agg(x, '' ORDER BY global_index) AS images,
+      string_agg({_little_endian("label")}, '' ORDER BY global_index) AS labels, string_agg({_little_endian("global_index")}, '' ORDER BY global_index) AS ids
+      FROM i GROUP BY shard),
+    h AS (SELECT *, '{{"images":{{"dtype":"U8","shape":[' || n || ',4,4,4],"data_offsets":[0,' || n * 64 || ']}},"labels":{{"dtype":"I64","shape":[' || n
+      || '],"data_offsets":[' || n * 64 || ',' || n * 72 || ']}},"source_indices":{{"dtype":"I64","shape":[' || n || '],"data_offsets":[' || n * 72 || ','
+      || n * 80 || ']}}}}' AS head FROM s),
+    b AS (SELECT shard, unhex({_little_endian("(length(head) + (8 - length(head) % 8) % 8)")} || hex(encode(head || repeat(' ', (8 - length(head) % 8) % 8)))
+      || images || labels || ids) AS bytes FROM h)
+    SELECT printf('images_shard%06d.safetensors', shard) AS name, octet_length(bytes) AS bytes, sha256(bytes) AS sha256 FROM b""",
+    ("pixels",),
+)
+def _(t: Tables):
+    """SHA-256 of image shard files, whose bytes SQL can build: header, pixels, labels and indices."""
+    return files.checksum(files.file_table(t.spark, _write_images(t), "*.safetensors")).select("name", "bytes", "sha256")
+
+
 @query(
     "batch_infer",
     "SELECT global_index, label, CAST(channel AS BIGINT) AS channel, round(avg(v), 5) AS value FROM elements GROUP BY ALL",
