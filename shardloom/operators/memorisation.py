@@ -4,8 +4,8 @@
    is left. No two rows are closer than their coordinates, so a distance of coordinates is a bound on the true one.
 2. Training rows are range-partitioned along their coordinates: a tree of cuts, balanced on a bounded sample, places every
    row in a cell. Cells that stay large (copies, dense spots) are dealt to several blocks. Each block keeps its bounding box.
-3. A generated row first meets the block whose box is nearest, which gives it a distance to beat, then the other blocks
-   whose boxes are not farther than that. Inside a block, rows are compared in the order of their bounds until the bound
+3. A generated row first meets the few blocks whose boxes are nearest, which gives it a distance to beat, then the other
+   blocks whose boxes are not farther than that. Inside a block, rows are compared in the order of their bounds until the bound
    passes the best distance.
 
 Only rows close to their training set prune well; far ones meet more blocks, at worst all, and the result stays exact. What is
@@ -31,6 +31,8 @@ BLOCK_ROWS = 4096
 CELLS = 1 << 14
 #: Sampled training rows per cell, for balance only.
 SAMPLE_PER_CELL = 8
+#: Blocks that a generated row meets first.
+FIRST_BLOCKS = 3
 #: Generated rows that meet one copy of a block.
 CHUNK_ROWS = 8192
 #: Cells of a tile of bounds.
@@ -129,9 +131,9 @@ def _box_bounds(y: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
 
 
 def _visits(rows: DataFrame, width: int, dims: int, boxes, first: bool) -> DataFrame:
-    """``blk, id, f, y, best``: the nearest block of each row, or all others that may hold something as near as ``best``.
+    """``blk, id, f, y, best``: the nearest blocks of each row, or all others that may hold something as near as ``best``.
 
-    Of several nearest blocks, rows take different ones.
+    Of several equally near blocks, rows take different ones.
     """
     shared = rows.sparkSession.sparkContext.broadcast(boxes)
 
@@ -145,13 +147,17 @@ def _visits(rows: DataFrame, width: int, dims: int, boxes, first: bool) -> DataF
                 bounds = _box_bounds(y, lows, highs)
                 ids = part.column("id").to_numpy(zero_copy_only=False)
                 if first:
-                    near = bounds == bounds.min(axis=1, keepdims=True)
-                    turn = np.where(near, np.cumsum(near, axis=1) - 1, -1) == (ids % near.sum(axis=1))[:, None]
-                    r, c = np.nonzero(turn)
+                    k = min(FIRST_BLOCKS, len(numbers))
+                    turn = (np.arange(len(numbers)) + ids[:, None]) % len(numbers)
+                    c = np.lexsort((turn, bounds), axis=1)[:, :k].reshape(-1)
+                    r = np.repeat(np.arange(part.num_rows), k)
                 else:
-                    best, seen = (part.column(k).to_numpy(zero_copy_only=False) for k in ("best", "seen"))
+                    best, met = part.column("best").to_numpy(zero_copy_only=False), part.column("seen")
+                    seen = np.zeros(bounds.shape, dtype=bool)
+                    at_row = np.repeat(np.arange(part.num_rows), met.value_lengths().to_numpy())
+                    seen[at_row, np.searchsorted(numbers, met.flatten().to_numpy())] = True
                     doubt = _ROUNDING * (np.square(matrix(part.column("f"), dims)).sum(axis=1) + longest)
-                    r, c = np.nonzero((bounds <= (best + doubt)[:, None]) & (numbers[None, :] != seen[:, None]))
+                    r, c = np.nonzero((bounds <= (best + doubt)[:, None]) & ~seen)
                 took = part.take(pa.array(r))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(numbers[c]), *(took.column(k) for k in ("id", "f", "y", "best"))], ["blk", "id", "f", "y", "best"]
@@ -231,7 +237,7 @@ def nearest_training_rows(
     queries = materialize(_with_coordinates(gen, index, features, mean, vectors).withColumn("best", F.lit(within * within)), "queries")
     boxes = (names, low, high, longest)
     first = materialize(_meet(_visits(queries, width, dims, boxes, True), rows, width, dims, longest, chunk), "first")
-    known = queries.drop("best").join(first.select("id", F.col("d2").alias("best"), F.col("blk").alias("seen")), "id")
+    known = queries.drop("best").join(first.groupBy("id").agg(F.min("d2").alias("best"), F.collect_list("blk").alias("seen")), "id")
     known = materialize(known, "known")
     rest = _meet(_visits(known, width, dims, boxes, False), rows, width, dims, longest, chunk)
     # distance first, then the least id; a visit that found nothing has no nearest row
